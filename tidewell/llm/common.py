@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -124,3 +126,27 @@ def components(edges: DataFrame) -> DataFrame:
             break
         was = now
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back; discard() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes the files of tables made by keep() once nothing reads them any more."""
+    for df in kept:
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if "/kept-" in f:
+                jvm = df.sparkSession.sparkContext._jvm
+                path = jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect garbage, so that shuffle files and checkpoints that nothing refers to are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

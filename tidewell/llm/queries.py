@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality_rules, warc
+from . import bpe, jaccard, neardup, packing, quality_rules, warc
 from .common import table
 
 
@@ -27,8 +27,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.check(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op4_warc_reassembly, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op4_warc_reassembly, op5_quality_rules, op6_bpe_automaton, op7_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
