@@ -19,13 +19,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path).encode
+    encode = encoder(path).encode_many
     tail = np.array([end], dtype="<u4")
     for whole in batches:
         for batch in slices(whole, "text"):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.concatenate([encode(text or ""), tail])
+            for doc, body in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                ids = np.concatenate([body, tail])
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))

@@ -2,50 +2,93 @@
 
 from __future__ import annotations
 
-import re
+import json
 from functools import lru_cache
 
 import numpy as np
+import regex
 
-#: Characters on which str.split() and the tokenizer's white-space class do not agree.
-ODD_SPACES = re.compile("[\x1c-\x1f]")
+#: Texts with other characters go through the library whole: beyond these, Unicode versions and normal forms may differ.
+PLAIN = regex.compile("[\x00-\x1b\x20-ɏ‐-‧‰-⁞€]*")
 
 
 class WordEncoder:
     """Encodes texts by white-space separated words, each distinct word once.
 
-    For tokenizers that drop white space and never join across it. A text holding a special token's string or a
-    character on which the two notions of white space differ goes through the library whole. The cache is
-    emptied when it holds `most` words, so its memory is bounded.
+    For tokenizers whose tokens mark the end of a word, which drop white space and lower-case: a word's ids do not
+    depend on its neighbours. New words are split by the tokenizer's own pattern, and the new parts are encoded by
+    the library in one call, whose ids are told apart at the word ends. Texts with special tokens' strings or
+    unusual characters, and all texts of other kinds of tokenizers, go through the library whole. A cache is
+    emptied when it holds `most` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        split = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", ()) if p["type"] == "Split"]
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_words = bool(suffix) and len(split) == 1 and kinds == ["NFC", "Replace", "Lowercase"]
+        if self.by_words:
+            self.parts_of = regex.compile(split[0]).findall
+            self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+            self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
 
+    def _learn(self, words: list[str]) -> None:
+        known, single, several = self.parts, {}, {}
+        new: dict[str, None] = {}
+        for w in words:
+            part = w.lower()
+            if part.isalpha():  # one part, the usual case
+                single[w] = part
+                if part not in known:
+                    new[part] = None
+            else:
+                several[w] = parts = self.parts_of(part)
+                for p in parts:
+                    if p not in known:
+                        new[p] = None
+        asked = list(new)
+        for at in range(0, len(asked), 4096):
+            some = asked[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not end every word with a word end")
+            raw, a = ids.tobytes(), 0
+            for p, b in zip(some, (ends * 4).tolist(), strict=True):
+                known[p] = raw[a:b]
+                a = b
+        get = known.__getitem__
+        self.words.update(zip(single, map(get, single.values()), strict=True))
+        for w, parts in several.items():
+            self.words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text without special tokens, as little-endian unsigned 32-bit integers."""
+        plain = [self.by_words and PLAIN.fullmatch(t) is not None and not ("<|" in t and any(s in t for s in self.special)) for t in texts]
+        words = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        distinct = set().union(*words)
+        if len(self.words) > self.most:
+            self.words.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        if new := distinct.difference(self.words):
+            self._learn(list(new))
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)), dtype="<u4") if ok else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4") for t, w, ok in zip(texts, words, plain, strict=True)]
+
     def encode(self, text: str) -> np.ndarray:
-        if ODD_SPACES.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = text.split()
-        cache = self.words
-        try:
-            return np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype="<u4")
-        except KeyError:
-            pass
-        if len(cache) > self.most:
-            cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype="<u4")
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
