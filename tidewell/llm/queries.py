@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, neardup, packing, quality_rules, warc
+from . import bpe, jaccard, neardup, packing, quality_rules, repeats, warc
 from .common import table
 
 
@@ -35,8 +35,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op4_warc_reassembly, op5_quality_rules, op6_bpe_automaton, op7_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op4_warc_reassembly, op5_quality_rules, op6_bpe_automaton, op7_ngram_jaccard, op10_suffix_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
