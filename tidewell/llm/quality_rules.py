@@ -56,13 +56,16 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.col("_some"), covered).otherwise(0).cast("long")).drop("_g", "_some", "_s", "_p")
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
     """The measurements of every whole text of `docs` (doc_id, text), in row order of the input and without a shuffle.
+    With `carry`, the whole row comes along as _row.
 
     Words are runs of characters other than space and the controls 9 to 13. A null or empty text has no words, no
     lines and zeros. Repeated rows are measured each; other columns are dropped.
     """
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    rows = [F.struct(*docs.columns).alias("_row")] if carry else []
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"), *rows)
+    rows = ["_row"] if carry else []
     df = df.withColumn("_words", F.array_remove(F.split("_t", SPACES), ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
@@ -78,13 +81,14 @@ def measure(docs: DataFrame) -> DataFrame:
         count(r"[^A-Za-z]+").alias("n_letters"),
         count(r"[^!]+").alias("n_marks"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_w"),
+        *rows,
     )
-    return _repeated(df).select("doc_id", *MEASURES)
+    return _repeated(df).select("doc_id", *MEASURES, *rows)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements and rule_bits (bit k: the k-th rule fails) of each document; no rule is evaluated twice."""
-    m = measure(docs)
+    m = measure(docs, carry)
     bits = F.lit(0).cast("long")
     for k, (_, fails) in enumerate(_rules()):
         bits = bits.bitwiseOR(F.when(fails, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
@@ -115,6 +119,11 @@ def ablations(book: DataFrame, policy: str = "v2") -> DataFrame:
     return seen.groupBy("rule").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"))
 
 
+def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of `docs` that pass a policy, with all their columns and without a shuffle."""
+    return apply_policy(ledger(docs, carry=True), policy).filter("kept").select("_row.*")
+
+
 def check(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """doc_id, the contract's measures, rule_bits, base_failed and kept of every document."""
     return apply_policy(ledger(docs), policy).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bits")

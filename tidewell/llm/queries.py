@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, neardup, packing, quality_rules, repeats, warc
+from . import bpe, classifier, jaccard, language, neardup, packing, quality_rules, repeats, sharding, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_embeddings(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs, model = language.train(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), langs, model)
+
+
 def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,12 +40,33 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", [f"shard-{k:03d}" for k in range(64)])
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op4_warc_reassembly, op5_quality_rules, op6_bpe_automaton, op7_ngram_jaccard, op10_suffix_repeats)}
+    named = (
+        op1_best_fit_packing,
+        op2_embedding_neardup,
+        op3_language_evidence,
+        op4_warc_reassembly,
+        op5_quality_rules,
+        op6_bpe_automaton,
+        op7_ngram_jaccard,
+        op8_shard_table,
+        op9_quality_classifier,
+        op10_suffix_repeats,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import discard, keep, release, slices
 from .jaccard import mix
@@ -233,7 +234,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("tid")), size)), pa.array(start)], ["h", "tid", "start"])
 
 
-def _apply(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], texts: bool, carried: list[str]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
             out: list[tuple] = []
@@ -251,16 +252,17 @@ def _apply(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Record
                 kept.append(rest)
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             more = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *more], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *more, *(batch.column(c) for c in carried)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts, *carried])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, texts: bool = False, carry: bool = False) -> DataFrame:
     """Removes from `docs` (doc_id, text) every byte covered by a `length`-byte string that also starts elsewhere.
 
     Texts are UTF-8 bytes (null: empty); matches never cross texts; strings are judged on the input. Returns one
     row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `texts` kept_text, from which the
-    broken halves of characters that a cut runs through are left out. Repeated rows are copies of each other, so
-    they lose all strings of that length; texts shorter than `length` lose nothing. Other columns are ignored.
+    broken halves of characters that a cut runs through are left out; with `carry` also the row's other columns as
+    _row. Repeated rows are copies of each other, so
+    they lose all strings of that length; texts shorter than `length` lose nothing.
 
     A cover of the suffixes is ranked instead of all of them: equal strings have their sampled place in common, so
     only suffixes at sampled places are sorted, by rank of the place and by the stretch of all strings that have
@@ -269,7 +271,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, texts
     memory is bounded by a bucket. Larger buckets are spread by string.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
+    rest = [F.struct(*(c for c in docs.columns if c != "text")).alias("_row")] if carry else []
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest).withColumn("tid", F.xxhash64("text"))
+    d = source.select("doc_id", "text", "tid")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     runs = d.mapInArrow(partial(_runs, length=length, gram=gram), "rank long, stretch long, weight long, doc_id long, tid long, first long, last long")
     runs = runs.repartition(parts, "rank").sortWithinPartitions("rank", "stretch", "tid", "first")
@@ -293,5 +297,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, texts
     by_text = keep(union.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("marks")))
     discard(found)
     release(spark)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    return d.join(by_text, "tid", "left").select("doc_id", "text", "marks").mapInArrow(partial(_apply, texts=texts), schema)
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
+    carried = ["_row"] if carry else []
+    if carry:
+        schema = schema.add(source.schema["_row"])
+    return source.join(by_text, "tid", "left").select("doc_id", "text", "marks", *carried).mapInArrow(partial(_apply, texts=texts, carried=carried), schema)
