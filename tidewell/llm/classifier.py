@@ -201,4 +201,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with all their columns and without a shuffle."""
-    return statistics(docs, carry=True).filter(model.column() >= threshold).select("_row.*")
+    s = statistics(docs, carry=True).withColumn("_place", F.monotonically_increasing_id())
+    # the condition on _place keeps the filter above the statistics: below, each rule would compute them anew
+    return s.filter((F.col("_place") >= 0) & (model.column() >= threshold)).select("_row.*")
