@@ -23,7 +23,10 @@ _oracles: dict[str, str] = {}
 
 BY_TYPE = Order("event_type", "ts", "event_id")
 BY_USER = Order("user_id", "ts", "event_id")
-BY_FLAG = Order("l_returnflag", "l_shipdate", ("l_orderkey", "l_linenumber"))
+BY_FLAG = Order("l_returnflag", "l_shipdate", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"))
+LINE_KEYS = ["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"]
+#: Added before rounding, so that sums and means of prices never lie on the edge between two rounded values.
+SHIFT = 0.00000031415926
 BARS = Order("event_type", "bar_ts")
 DAY = Duration(1, "d")
 
@@ -36,11 +39,11 @@ def _add(name: str, query: Query, sql: str | None) -> None:
 
 def rounded(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; a negative zero becomes zero."""
-    return df.select(*keys, *((F.round(c, digits) + F.lit(0.0)).alias(c) for c, t in df.dtypes if c not in keys and t == "double"), *(c for c, t in df.dtypes if c not in keys and t != "double"))
+    return df.select(*keys, *((F.round(F.col(c) + SHIFT, digits) + F.lit(0.0)).alias(c) for c, t in df.dtypes if c not in keys and t == "double"), *(c for c, t in df.dtypes if c not in keys and t != "double"))
 
 
 def _sql_round(exprs: dict[str, str], digits: int = 6) -> str:
-    return ", ".join(f"round(CAST({e} AS DOUBLE), {digits}) + 0.0 AS {n}" for n, e in exprs.items())
+    return ", ".join(f"round(CAST({e} AS DOUBLE) + CAST({SHIFT!r} AS DOUBLE), {digits}) + 0.0 AS {n}" for n, e in exprs.items())
 
 
 # scalar functions
@@ -87,7 +90,7 @@ def _erf_sql(sign: str) -> str:
     return f"""WITH RECURSIVE t AS (
         SELECT c_custkey, CAST(c_acctbal AS DOUBLE) / 5000.0 AS x, CAST(c_acctbal AS DOUBLE) / 5000.0 AS term, CAST(c_acctbal AS DOUBLE) / 5000.0 AS s, 0 AS n FROM customer
         UNION ALL SELECT c_custkey, x, term * -(x * x) / (n + 1), s + term * -(x * x) / (n + 1) / (2 * n + 3), n + 1 FROM t WHERE n < 60)
-        SELECT c_custkey, round({sign}(2 / sqrt(pi()) * s), 6) + 0.0 AS y FROM t WHERE n = 60"""
+        SELECT c_custkey, round({sign}(2 / sqrt(pi()) * s) + CAST({SHIFT!r} AS DOUBLE), 6) + 0.0 AS y FROM t WHERE n = 60"""
 
 
 def _scalar() -> None:
@@ -99,7 +102,7 @@ def _scalar() -> None:
 
         oracle = f"SELECT c_custkey, {_sql_round({'y': sql})} FROM (SELECT c_custkey, CAST({source} AS DOUBLE) AS x FROM customer)"
         _add(f"fn_{name}", unary, _erf_sql("") if name == "erf" else _erf_sql("1 - ") if name == "erfc" else oracle)
-    binary = {"add": "a + b", "sub": "a - b", "mul": "a * b", "div": "CASE WHEN b = 0 THEN CASE WHEN a = 0 THEN 'nan'::DOUBLE ELSE sign(a) * 'inf'::DOUBLE END ELSE a / b END", "fmod": "CASE WHEN b = 0 THEN 'nan'::DOUBLE ELSE fmod(a, b) END"}
+    binary = {"add": "a + b", "sub": "a - b", "mul": "a * b", "div": "CASE WHEN b = 0 THEN CASE WHEN a = 0 THEN 'nan'::DOUBLE ELSE sign(a) * 'inf'::DOUBLE END ELSE a / b END", "fmod": "CASE WHEN b = 0 THEN 'nan'::DOUBLE ELSE a % b END"}
     pair = "SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer"
     for name, sql in binary.items():
 
@@ -139,7 +142,7 @@ _ROLL_SQL: dict[str, tuple[int, dict[str, str]]] = {
     "min": (1, {"min": "min(x) OVER w"}),
     "max": (1, {"max": "max(x) OVER w"}),
 }
-_LINE_SQL = "SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice / 1000.0 AS DOUBLE) AS y FROM lineitem"
+_LINE_SQL = "SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice / 1000.0 AS DOUBLE) AS y FROM lineitem"
 _EVENT_SQL = "SELECT event_type, user_id, ts, event_id, CAST(value AS DOUBLE) AS x FROM events"
 
 
@@ -164,12 +167,13 @@ def _rolling() -> None:
                 g.set_output(*(f"op.{k}" for k in range(len(outs))))
                 out = g.run(df, order)
                 out = out.toDF(*order.columns, *outs)
-                return rounded(out.drop(order.time), [c for c in order.columns if c != order.time], 4)
+                keys = LINE_KEYS if order is BY_FLAG else ["event_type", "event_id"]
+                return rounded(out.select(*keys, *outs), keys, 4)
 
             line = two and kind != "time"
             source = _LINE_SQL if line else "SELECT event_type, ts, event_id, CAST(value AS DOUBLE) AS x, CAST(event_id % 7 + 1 AS DOUBLE) AS y FROM events"
-            by = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber" if line else f"PARTITION BY event_type ORDER BY ts{'' if kind == 'time' else ', event_id'}"
-            keys = "l_returnflag, l_orderkey, l_linenumber" if line else "event_type, event_id"
+            by = "PARTITION BY l_returnflag ORDER BY " + ", ".join(BY_FLAG.keys) if line else f"PARTITION BY event_type ORDER BY ts{'' if kind == 'time' else ', event_id'}"
+            keys = ", ".join(LINE_KEYS) if line else "event_type, event_id"
             _add(f"{'cum' if kind == 'cum' else 'roll'}_{op}{'' if kind == 'cum' else '_' + kind}", roll, f"SELECT {keys}, {_sql_round(outs, 4)} FROM ({source}) WINDOW w AS ({by} {frame})")
     for fill, sql in {"nan": "'nan'::DOUBLE", "zero": "0.0", "last": "x", "oldest": "first_value(x) OVER (PARTITION BY event_type ORDER BY ts, event_id)"}.items():
         for kind in ("rows", "time"):
@@ -492,7 +496,7 @@ def _scans() -> None:
                 FROM e JOIN s ON s.user_id = e.user_id AND s.rn = e.rn + 1 WHERE NOT e.evict
                 UNION ALL
                 SELECT user_id, rn, w[2:], mean - (w[1] - mean) / (len(w) - 1), greatest(CAST(0 AS DOUBLE), m2 - (w[1] - mean) * (w[1] - (mean - (w[1] - mean) / (len(w) - 1)))), size, TRUE FROM e WHERE evict)))
-      SELECT s.user_id, s.event_id, round(e.mean, 6) + 0.0 AS mean FROM s JOIN e ON s.user_id = e.user_id AND s.rn = e.rn WHERE NOT e.evict""",
+      SELECT s.user_id, s.event_id, {_sql_round({"mean": "e.mean"})} FROM s JOIN e ON s.user_id = e.user_id AND s.rn = e.rn WHERE NOT e.evict""",
     )
 
     def parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -604,9 +608,9 @@ def _graphs() -> None:
         g.add("half", G.batch_functor(lambda a: (a / 2, a % 3), 1, 2), "x")
         g.add("answer", G.functor(lambda: 42.0, 0))
         out = g.set_output("hyp", "waves.0", "waves.1", "half.0", "half.1", "answer").run(_line(spark, d), BY_FLAG).toDF(*BY_FLAG.columns, "hyp", "s", "c", "half", "rest", "answer")
-        return rounded(out.drop("l_shipdate"), ["l_returnflag", "l_orderkey", "l_linenumber"])
+        return rounded(out.select(*LINE_KEYS, "hyp", "s", "c", "half", "rest", "answer"), LINE_KEYS)
 
-    _add("udf_functors", functors, f"SELECT l_returnflag, l_orderkey, l_linenumber, {_sql_round({'hyp': 'sqrt(x * x + y * y)', 's': 'sin(x / 100)', 'c': 'cos(x / 100)', 'half': 'x / 2', 'rest': 'fmod(x, 3)', 'answer': '42.0'})} FROM ({_LINE_SQL})")
+    _add("udf_functors", functors, f"SELECT {', '.join(LINE_KEYS)}, {_sql_round({'hyp': 'sqrt(x * x + y * y)', 's': 'sin(x / 100)', 'c': 'cos(x / 100)', 'half': 'x / 2', 'rest': 'x % 3', 'answer': '42.0'})} FROM ({_LINE_SQL})")
 
     def accumulate(spark: SparkSession, d: str) -> DataFrame:
         class Sum:
@@ -627,7 +631,7 @@ def _graphs() -> None:
     def times(spark: SparkSession, d: str) -> DataFrame:
         return read(spark, d, "events").select("event_id", since_epoch(F.col("ts"), "us").alias("us"), since_epoch(F.col("ts"), "ms").alias("ms"), since_epoch(F.col("ts"), "s").alias("s"), since_epoch(F.col("ts"), "h").alias("h"), since_epoch(F.col("ts"), "d").alias("d"), floor_time(F.col("ts"), Duration(15, "min")).cast("timestamp_ntz").alias("quarter"))
 
-    _add("time_units", times, "SELECT event_id, epoch_us(ts) AS us, epoch_ms(ts) AS ms, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 3600000000 AS h, epoch_us(ts) // 86400000000 AS d, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter FROM events")
+    _add("time_units", times, "SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 3600000000 AS h, epoch_us(ts) // 86400000000 AS d, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter FROM events")
 
 
 _scalar()
