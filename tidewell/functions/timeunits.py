@@ -147,3 +147,19 @@ def floor_time(ts: Column, unit: Duration) -> Column:
     k = unit.micros()
     m = F.unix_micros(ts.cast("timestamp"))
     return F.timestamp_micros(m - F.pmod(m, F.lit(k)))
+
+
+def now() -> Column:
+    """The time at which the query started."""
+    return F.current_timestamp()
+
+
+def from_epoch(count: Column, unit: str) -> Column:
+    """Timestamp from a whole count of a unit since 1970; what is finer than a microsecond is cut off."""
+    k = UNITS[_unit(unit)] / UNITS["us"]
+    return F.timestamp_micros((count * int(k)).cast("long") if k >= 1 else F.floor(count / F.lit(int(1 / k))).cast("long"))
+
+
+def posix(ts: Column) -> Column:
+    """Seconds since 1970 with a fraction."""
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)

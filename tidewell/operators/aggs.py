@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,22 @@ AGGREGATORS: dict[str, tuple[int | None, tuple[str, ...] | None, Callable[..., l
 }
 
 
+def python_aggregate(f: Callable[..., float], columns_read: int) -> Callable[..., list[Column]]:
+    """A user's function of a window's columns, as numpy arrays in row order; it needs a window's rows at once."""
+    def make(seq: Column, *cols: str) -> list[Column]:
+        if len(cols) != columns_read:
+            raise ValueError(f"the aggregate reads {columns_read} columns, not {len(cols)}")
+
+        @F.pandas_udf("double")
+        def run(rows: pd.DataFrame) -> pd.Series:
+            return pd.Series([float(f(*(np.asarray(r[c], dtype=np.float64) for c in rows.columns))) for r in rows.to_dict("records")], index=rows.index, dtype="float64")
+
+        ordered = F.sort_array(F.collect_list(F.struct(seq.alias("seq"), *(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)))))
+        return [run(F.struct(*(ordered.getField(f"c{k}").alias(f"c{k}") for k in range(len(cols)))))]
+
+    return make
+
+
 def outputs(name: str, cols: list[str]) -> list[str]:
     if name not in AGGREGATORS:
         raise ValueError(f"unknown aggregator {name!r}")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.timeunits import Duration, floor_time, since_epoch
+from ..operators import aggs
 from ..operators import windows as W
 from ..operators.frames import Order
-from ..operators.scan import KERNELS, Node, scan, with_parameters
+from ..operators.scan import KERNELS, Node, scan
 from ..sources.tables import hourly_bars, read
 from . import graph as G
 from .pipeline import Pipeline
@@ -48,7 +49,6 @@ def _sql_round(exprs: dict[str, str], digits: int = 6) -> str:
 
 # scalar functions
 
-_TOTAL = "o_totalprice / 100000.0"
 _UNARY_SQL: dict[str, tuple[str, str]] = {
     # name: (column expression over the input x, input expression); inputs keep each function within its domain or test its edge
     "neg": ("-x", "c_acctbal"),
@@ -118,10 +118,6 @@ def _scalar() -> None:
 
 # rolling operators
 
-_ONE = "value"
-_LINE = {"x": "l_quantity", "y": "l_extendedprice / 1000.0"}
-
-
 def _line(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(*BY_FLAG.columns, F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000.0).cast("double").alias("y"))
 
@@ -287,6 +283,38 @@ def _aggregates() -> None:
 
     _add("win_cusum_filter", cusum, f"WITH RECURSIVE {_cusum_rows(2.0)} SELECT event_type, max(ts) AS window_ts, {_sql_round(_AGG_SQL['ohlc'] | _AGG_SQL['count'])} FROM s JOIN r USING (event_type, rn) GROUP BY event_type, wid")
 
+    def custom(spark: SparkSession, d: str) -> DataFrame:
+        spread = lambda seq, x: [F.max(x) - F.min(x)]
+        moves = aggs.python_aggregate(lambda x: float(abs(x[1:] - x[:-1]).sum()), 1)
+        g = G.AggGraph().input("value").window(W.tumbling("1 hour")).add(spread, ["value"], into=["spread"]).add(moves, ["value"], into=["moves"])
+        return rounded(g.run(sides(spark, d), BY_TYPE), ["event_type", "window_ts"])
+
+    moved = f"SELECT *, abs(value - lag(value) OVER (PARTITION BY event_type, wid ORDER BY ts, event_id)) AS m FROM ({_WINDOWS['tumbling'][2]})"
+    _add("udf_aggregates", custom, f"SELECT event_type, wid AS window_ts, {_sql_round({'spread': 'max(value) - min(value)', 'moves': 'coalesce(sum(m), 0)'})} FROM ({moved}) GROUP BY event_type, wid")
+
+    def custom_window(spark: SparkSession, d: str) -> DataFrame:
+        class Jump:
+            """A window starts where the value has more than doubled."""
+
+            outputs = ("window",)
+
+            def __init__(self) -> None:
+                self.last, self.n = None, 0
+
+            def step(self, x):
+                out = []
+                for v in x.tolist():
+                    self.n += self.last is not None and v > 2 * self.last
+                    self.last = v
+                    out.append(float(self.n))
+                return (np.array(out),)
+
+        g = G.AggGraph().input("value").window(W.custom(Jump, ["value"])).add("ohlc", ["value"]).add("count")
+        return rounded(g.run(sides(spark, d), BY_TYPE), ["event_type", "window_ts"])
+
+    jumps = f"SELECT *, sum(j) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS wid FROM (SELECT *, CASE WHEN value > 2 * lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) THEN 1 ELSE 0 END AS j FROM ({_SIDES_SQL}))"
+    _add("win_custom", custom_window, f"SELECT event_type, max(ts) AS window_ts, {_sql_round(_AGG_SQL['ohlc'] | _AGG_SQL['count'])} FROM ({jumps}) GROUP BY event_type, wid")
+
     def hop(spark: SparkSession, d: str) -> DataFrame:
         g = G.AggGraph().input("value").window(W.hopping("2 hours", "1 hour")).add("sum", ["value"], into=["total"]).add("count")
         return rounded(g.run(sides(spark, d), BY_TYPE), ["event_type", "window_ts"])

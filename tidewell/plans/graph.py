@@ -515,7 +515,7 @@ class AggGraph:
 
     _inputs: list[str] = field(default_factory=list)
     _window: Callable[[DataFrame, Order], Windows] | None = None
-    _aggs: list[tuple[str, list[str], dict, list[str]]] = field(default_factory=list)
+    _aggs: list[tuple[str | Callable, list[str], dict, list[str]]] = field(default_factory=list)
 
     def input(self, *columns: str) -> AggGraph:
         self._inputs += columns
@@ -527,12 +527,15 @@ class AggGraph:
         self._window = assign
         return self
 
-    def add(self, name: str, columns: list[str] | tuple[str, ...] = (), *, into: list[str] | None = None, **options: Any) -> AggGraph:
-        """An aggregator of columns; `into` names its outputs."""
+    def add(self, name: str | Callable[..., list[Column]], columns: list[str] | tuple[str, ...] = (), *, into: list[str] | None = None, **options: Any) -> AggGraph:
+        """An aggregator of columns by name, or a user's function of the row order and columns that gives aggregate
+        columns; `into` names its outputs, and must for a user's function."""
         for c in columns:
             if c not in self._inputs:
                 raise ValueError(f"unknown column {c!r}")
-        names = aggs.outputs(name, list(columns))
+        if callable(name) and not into:
+            raise ValueError("a user's aggregator needs names for its outputs")
+        names = into if callable(name) else aggs.outputs(name, list(columns))
         if into is not None and len(into) != len(names):
             raise ValueError(f"{name} has {len(names)} outputs")
         self._aggs.append((name, list(columns), options, into or names))
@@ -543,7 +546,7 @@ class AggGraph:
         window is left out; with it, it comes as at the end of input."""
         if self._window is None or not self._aggs:
             raise ValueError("the graph needs a window and an aggregator")
-        return windowed(df.select(*dict.fromkeys([*order.columns, *self._inputs])), order, self._window, lambda seq: {n: c.alias(n) for name, cols, options, into in self._aggs for n, c in zip(into, aggs.columns(name, seq, cols, **options), strict=True)}, emit_partial, time_name)
+        return windowed(df.select(*dict.fromkeys([*order.columns, *self._inputs])), order, self._window, lambda seq: {n: c.alias(n) for name, cols, options, into in self._aggs for n, c in zip(into, name(seq, *cols, **options) if callable(name) else aggs.columns(name, seq, cols, **options), strict=True)}, emit_partial, time_name)
 
 
 def windowed(df: DataFrame, order: Order, assign: Callable[[DataFrame, Order], Windows], make: Callable[[Column], dict[str, Column]], emit_partial: bool, time_name: str, arrival: str | None = None) -> DataFrame:
