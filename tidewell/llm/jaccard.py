@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import components, cut, discard, keep, release, slices
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
-GROUPS = 32
-#: Spare groups of a level beyond the largest difference of two linked sets.
-SPARE = 4
+GROUPS = 128
+#: Groups with so few members or fewer are light: they are alike by chance too often to be keys.
+LIGHT = 1
 #: Members of a leaf of the R-tree.
 LEAF = 32
 #: Members that one task compares with a copy of the centre's set.
@@ -69,35 +69,40 @@ class Levels:
         """Numbers of groups at which a set of n members has keys: those of its own size and of larger partners."""
         if self.differ(self.largest(n)) == 0:
             return []  # linked with equal sets only
-        low, high, k, out = self.differ(n) + SPARE, self.differ(self.largest(n)) + SPARE, SPARE + 1, []
+        low, high, k, out = self.differ(n), self.differ(self.largest(n)), 5, []
         while True:
-            if k >= low:
+            if k - self.spare(k) >= low:
                 out.append(k)
-            if k >= high:
+            if k - self.spare(k) >= high:
                 return out
-            k = -(-3 * k // 2)
+            k = -(-5 * k // 4)
+
+    @staticmethod
+    def spare(k: int) -> int:
+        """Of k groups, so many at least are alike in two linked sets."""
+        return 4 + k // 10
 
 
 def keys(s: np.ndarray, levels: Levels) -> np.ndarray:
     """Keys of a set: at each level, every group's number and content as one hash.
 
-    At a level of k groups two linked sets differ in at most k - SPARE members, so they agree on at least SPARE
-    whole groups. A set with fewer empty groups than that need not give keys of empty groups: one of those on
-    which it agrees with a linked set has members.
+    At a level of k groups two linked sets differ in at most k - spare(k) members, so they agree on at least
+    spare(k) whole groups. A set with fewer light groups than that need not give their keys: one of the groups on
+    which it agrees with a linked set is not light, and is as large there.
     """
     out = []
     for k in levels.of(len(s)):
         group = ((s >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
         total = np.zeros(k, dtype=np.uint64)
         np.add.at(total, group, mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-        filled = np.bincount(group, minlength=k) > 0
+        heavy = np.bincount(group, minlength=k) > LIGHT
         key = mix(total ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(k << 32)))
-        out.append(key if k - filled.sum() >= SPARE else key[filled])
+        out.append(key if k - heavy.sum() >= levels.spare(k) else key[heavy])
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,13 +160,19 @@ class CountRTree:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Size, name, point and keys of each text's set; a set that a batch holds again has no keys there."""
     levels = Levels(percent)
     for whole in batches:
+        seen: set[int] = set()
         for batch in slices(whole, "text"):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-            got = [keys(s, levels) for s in sets]
+            names = [_name(s) for s in sets]
+            got = []
+            for s, name in zip(sets, names, strict=True):
+                got.append(np.empty(0, dtype=np.int64) if name in seen else keys(s, levels).view(np.int64))
+                seen.add(name)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array([k.view(np.int64) for k in got], pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "point", "keys"]
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "point", "keys"]
             )
 
 
@@ -179,23 +190,35 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: those of keys with two sets or more, with the first set as the centre."""
-    key = center = None
-    held: tuple | None = None  # the only row so far of the last key
+    """From rows sorted by key and set: those of keys with two sets or more, with the first set as the centre."""
+    key = last = center = None
+    held = False  # whether the last row is the only one of its key so far
     for batch in batches:
         k, s = np.asarray(batch.column("key")), np.asarray(batch.column("set_id"))
+        again = np.concatenate([[key is not None and k[0] == key and s[0] == last], (k[1:] == k[:-1]) & (s[1:] == s[:-1])])
+        k, s = k[~again], s[~again]
+        if not len(k):
+            continue
         new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
         at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        c = np.where(at >= 0, s[np.maximum(at, 0)], center if center is not None else 0)
-        grown = ~new  # every row behind the first of its key
-        first = np.concatenate([new[:-1] & grown[1:], [False]])  # first rows whose key goes on in this batch
-        more = [(held[0], held[1], held[1])] if held is not None and grown[0] else []
-        rows = first | grown
-        if rows.any() or more:
-            before = [np.array([m[i] for m in more], dtype=np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y[rows]])) for x, y in zip(before, (k, s, c), strict=True)], ["key", "set_id", "center"])
-        held = (k[-1], s[-1]) if new[-1] else None
-        key, center = k[-1], c[-1]
+        c = np.where(at >= 0, s[np.maximum(at, 0)], 0 if center is None else center)
+        first = np.concatenate([new[:-1] & ~new[1:], [False]])  # first rows whose key goes on in this batch
+        rows = first | ~new
+        before = held and not new[0]
+        if rows.any():
+            cols = [k[rows], s[rows], c[rows]]
+            if before:
+                cols = [np.concatenate([np.array([x], dtype=np.int64), y]) for x, y in zip((key, last, last), cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "set_id", "center"])
+        held, key, last, center = bool(new[-1]), k[-1], s[-1], c[-1]
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose summed smaller counts leave the similarity possible."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS).astype(np.int64) for n in ("p", "q"))
+        may = (100 + percent) * overlap_bound(x, y) >= percent * (x.sum(axis=1) + y.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(may)) for n in ("set_id", "center", "shared")], ["set_id", "center", "shared"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -264,27 +287,28 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     1. Equal sets are one class. Each class's shingles are hashed into groups, more of them the larger the set, so
        that linked sets agree on some whole groups; a group's number and content is a key. Sets that share a key
        form a bucket; no pairs are made within it: each set is tied to the bucket's first set, its centre.
-    2. Pairs of a set and a centre are verified on the sets themselves, first the centre with most keys in common,
-       then centres that are still in another component.
+    2. Pairs of a set and a centre that their group counts do not rule out are verified on the sets themselves,
+       first the centre with most keys in common, then centres that are still in another component.
     3. Buckets that hold several components get an R-tree of their members' group counts, whose boxes bound the
        overlap by summed minima; surviving pairs of different components are verified too. So every linked pair is
        found or already connected. Shingles are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_docs = keep(narrow.mapInArrow(partial(_describe, width=width, percent=percent), "doc_id long, n long, set_id long, point binary, keys array<long>"))
+    wide = keep(narrow.mapInArrow(partial(_describe, width=width, percent=percent), "doc_id long, n long, set_id long, point binary, keys array<long>"))
+    all_docs = keep(wide.select("doc_id", "n", "set_id", "point"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    classes = all_docs.filter("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("doc_id"))
-    chosen = all_docs.filter("n > 0").select("set_id", "doc_id", "keys", "point")
-    first = cut(chosen.join(classes, [chosen.set_id == classes.set_id, chosen.doc_id.eqNullSafe(classes.doc_id)], "left_semi").dropDuplicates(["set_id"]))
-    rows = first.select(F.explode("keys").alias("key"), "set_id")
+    rows = wide.select(F.explode("keys").alias("key"), "set_id")
     members = keep(rows.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(_stars, "key long, set_id long, center long"))
+    discard(wide)
     release(spark)
-    pairs = cut(members.filter("set_id <> center").groupBy("set_id", "center").agg(F.count("*").alias("shared")))
-    asked = members.select("set_id").distinct()
-    asked = asked.join(first.select("set_id", "doc_id"), "set_id")
-    named = narrow.join(asked, narrow.doc_id.eqNullSafe(asked.doc_id)).select("set_id", "text")
-    sets = keep(named.mapInArrow(partial(_sets, width=width), "set_id long, members binary").dropDuplicates(["set_id"]))
+    classes = all_docs.filter("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("doc_id"))
+    points = all_docs.select("set_id", "point").dropDuplicates(["set_id"])
+    pairs = members.filter("set_id <> center").groupBy("set_id", "center").agg(F.count("*").alias("shared"))
+    pairs = pairs.join(points.withColumnRenamed("point", "p"), "set_id").join(points.select(F.col("set_id").alias("center"), F.col("point").alias("q")), "center")
+    pairs = cut(pairs.select("set_id", "center", "shared", "p", "q").mapInArrow(partial(_bounded, percent=percent), "set_id long, center long, shared long"))
+    known = members.select("set_id").distinct()
+    sets = keep(narrow.join(known.join(classes, "set_id").withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text").mapInArrow(partial(_sets, width=width), "set_id long, members binary").dropDuplicates(["set_id"]))
     release(spark)
     best = pairs.groupBy("set_id").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
     edges = cut(_linked(best, sets, percent, parts))
@@ -304,7 +328,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     held = members.select("key", "set_id").join(comp.select(F.col("node").alias("set_id"), F.col("component").alias("comp")), "set_id", "left")
     held = held.withColumn("comp", F.coalesce("comp", "set_id"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key")
-    held = held.join(mixed, "key").join(first.select("set_id", "point"), "set_id")
+    held = held.join(mixed, "key").join(points, "set_id")
     cross = held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_cross, percent=percent), "set_id long, center long").distinct()
     cross = cut(cross.join(pairs.select("set_id", "center"), ["set_id", "center"], "left_anti").join(pairs.select(F.col("set_id").alias("center"), F.col("center").alias("set_id")), ["set_id", "center"], "left_anti"))
     if cross.limit(1).count():
