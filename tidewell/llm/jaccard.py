@@ -307,11 +307,19 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     pairs = members.filter("set_id <> center").groupBy("set_id", "center").agg(F.count("*").alias("shared"))
     pairs = pairs.join(points.withColumnRenamed("point", "p"), "set_id").join(points.select(F.col("set_id").alias("center"), F.col("point").alias("q")), "center")
     pairs = cut(pairs.select("set_id", "center", "shared", "p", "q").mapInArrow(partial(_bounded, percent=percent), "set_id long, center long, shared long"))
-    known = members.select("set_id").distinct()
-    sets = keep(narrow.join(known.join(classes, "set_id").withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text").mapInArrow(partial(_sets, width=width), "set_id long, members binary").dropDuplicates(["set_id"]))
-    release(spark)
+
+    def fetch(p: DataFrame) -> DataFrame:
+        """The sets that pairs name, from their texts."""
+        wanted = p.select("set_id").unionAll(p.select("center")).distinct().join(classes, "set_id").withColumnRenamed("doc_id", "_d")
+        texts = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text")
+        out = keep(texts.mapInArrow(partial(_sets, width=width), "set_id long, members binary").dropDuplicates(["set_id"]))
+        release(spark)
+        return out
+
+    sets = fetch(pairs)
     best = pairs.groupBy("set_id").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
     edges = cut(_linked(best, sets, percent, parts))
+    release(spark)
     comp = cut(components(edges))
 
     def apart(p: DataFrame) -> DataFrame:
@@ -324,7 +332,9 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     more = cut(apart(pairs.select("set_id", "center")).join(best, ["set_id", "center"], "left_anti"))
     if more.limit(1).count():
         edges = cut(edges.unionAll(_linked(more, sets, percent, parts)))
+        release(spark)
         comp = cut(components(edges))
+    discard(sets)
     held = members.select("key", "set_id").join(comp.select(F.col("node").alias("set_id"), F.col("component").alias("comp")), "set_id", "left")
     held = held.withColumn("comp", F.coalesce("comp", "set_id"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key")
@@ -332,12 +342,14 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     cross = held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_cross, percent=percent), "set_id long, center long").distinct()
     cross = cut(cross.join(pairs.select("set_id", "center"), ["set_id", "center"], "left_anti").join(pairs.select(F.col("set_id").alias("center"), F.col("center").alias("set_id")), ["set_id", "center"], "left_anti"))
     if cross.limit(1).count():
+        sets = fetch(cross)
         edges = cut(edges.unionAll(_linked(cross, sets, percent, parts)))
+        discard(sets)
         comp = cut(components(edges))
     named = classes.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = named.join(least, "component").select("set_id", "component_id")
     out = all_docs.select("doc_id", "n", "set_id").join(known, "set_id", "left")
     out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
-    discard(all_docs, members, sets)
+    discard(all_docs, members)
     return out
