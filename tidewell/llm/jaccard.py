@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, keep, release, slices
@@ -19,6 +19,8 @@ GROUPS = 128
 LIGHT = 1
 #: Members of a leaf of the R-tree.
 LEAF = 32
+#: Keys just before a key that are looked at, to make a pair that shares several keys from few of them.
+BEFORE = 8
 #: Members that one task compares with a copy of the centre's set.
 STAR = 2000
 
@@ -241,26 +243,39 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], ["a", "b"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs of one key's members in different components that the R-tree can't rule out."""
+def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key: pairs of one key's members in different components that the R-tree can't rule out.
 
-    def join(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    A pair that also shares one of the keys just before this one is left to that key. With `best`, of the pairs of two
+    components only the one with the largest bound.
+    """
+
+    def join(rows: list[tuple[int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
         s, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        tree = CountRTree(np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(-1, GROUPS), percent)
-        for u, v in tree.pairs():
+        points = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(-1, GROUPS)
+        before = [frozenset(r[3]) for r in rows]
+        for u, v in CountRTree(points, percent).pairs():
             apart = comp[u] != comp[v]
-            if apart.any():
-                a, b = s[u[apart]], s[v[apart]]
+            u, v = u[apart], v[apart]
+            new = np.array([before[x].isdisjoint(before[y]) for x, y in zip(u.tolist(), v.tolist(), strict=True)], dtype=bool)
+            u, v = u[new], v[new]
+            if best and len(u):
+                low, high = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
+                order = np.argsort(-overlap_bound(points[u], points[v]).astype(np.int64), kind="stable")
+                one = order[np.unique(np.column_stack([low, high])[order], axis=0, return_index=True)[1]]
+                u, v = u[one], v[one]
+            if len(u):
+                a, b = s[u], s[v]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["set_id", "center"])
 
     key, held = None, []
     for batch in batches:
-        for k, s, c, p in zip(*(batch.column(n).to_pylist() for n in ("key", "set_id", "comp", "point")), strict=True):
+        for k, *row in zip(*(batch.column(n).to_pylist() for n in ("key", "set_id", "comp", "point", "before")), strict=True):
             if k != key and held:
                 yield from join(held)
                 held = []
             key = k
-            held.append((s, c, p))
+            held.append(row)
     if held:
         yield from join(held)
 
@@ -290,8 +305,9 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     2. Pairs of a set and a centre that their group counts do not rule out are verified on the sets themselves,
        first the centre with most keys in common, then centres that are still in another component.
     3. Buckets that hold several components get an R-tree of their members' group counts, whose boxes bound the
-       overlap by summed minima; surviving pairs of different components are verified too. So every linked pair is
-       found or already connected. Shingles are compared as 64-bit hashes.
+       overlap by summed minima; surviving pairs of different components are verified too, first the likeliest pair
+       of any two components, then all that are left. So every linked pair is found or already connected. Shingles
+       are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -335,17 +351,23 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
         release(spark)
         comp = cut(components(edges))
     discard(sets)
-    held = members.select("key", "set_id").join(comp.select(F.col("node").alias("set_id"), F.col("component").alias("comp")), "set_id", "left")
-    held = held.withColumn("comp", F.coalesce("comp", "set_id"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key")
-    held = held.join(mixed, "key").join(points, "set_id")
-    cross = held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_cross, percent=percent), "set_id long, center long").distinct()
-    cross = cut(cross.join(pairs.select("set_id", "center"), ["set_id", "center"], "left_anti").join(pairs.select(F.col("set_id").alias("center"), F.col("center").alias("set_id")), ["set_id", "center"], "left_anti"))
-    if cross.limit(1).count():
-        sets = fetch(cross)
-        edges = cut(edges.unionAll(_linked(cross, sets, percent, parts)))
-        discard(sets)
-        comp = cut(components(edges))
+    recent = Window.partitionBy("set_id").orderBy("key").rowsBetween(-BEFORE, -1)
+    asked = pairs.select("set_id", "center")
+    asked = asked.unionAll(asked.select(F.col("center").alias("set_id"), F.col("set_id").alias("center")))
+    for best_only in (True, False):
+        held = members.select("key", "set_id").join(comp.select(F.col("node").alias("set_id"), F.col("component").alias("comp")), "set_id", "left")
+        held = held.withColumn("comp", F.coalesce("comp", "set_id"))
+        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key")
+        held = held.join(mixed, "key").withColumn("before", F.collect_list("key").over(recent)).join(points, "set_id")
+        cross = held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_cross, percent=percent, best=best_only), "set_id long, center long").distinct()
+        cross = cut(cross.join(asked, ["set_id", "center"], "left_anti"))
+        if cross.limit(1).count():
+            sets = fetch(cross)
+            edges = cut(edges.unionAll(_linked(cross, sets, percent, parts)))
+            discard(sets)
+            release(spark)
+            comp = cut(components(edges))
+            asked = asked.unionAll(cross)
     named = classes.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = named.join(least, "component").select("set_id", "component_id")
