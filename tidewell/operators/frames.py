@@ -98,27 +98,24 @@ class Frame:
     def _rolling(self) -> WindowSpec:
         return self.order.window().rowsBetween(-(self.span.rows - 1), 0) if self.span.kind == "rows" else self.order.running()
 
-    def _expired(self) -> WindowSpec:
+    def expired(self, call: str) -> Column:
+        """An aggregate, as SQL over the table's columns, of the rows that have left the time span."""
         tick = next((c for c in self.added if c.startswith("__tick")), None)
+        w = as_size(self.span.time)
         if tick is None:
             tick = f"__tick{next(_names)}"
-            self.df = self.df.withColumn(tick, self.order.tick(self.df))
+            key = self.order.tick(self.df)
+            self.df = self.df.withColumn(tick, key if isinstance(w, int) else key.cast("double"))
             self.added.append(tick)
-        w = as_size(self.span.time)
-        spec = Window.partitionBy(*self.order.groups).orderBy(tick)
-        return spec.rangeBetween(Window.unboundedPreceding, -w) if isinstance(w, int) else self._range(tick, w)
-
-    def _range(self, tick: str, w: float) -> WindowSpec:
-        """Range frame whose bound has a fraction: the key is scaled so that the bound is whole."""
-        scaled = self.keep((F.col(tick) / F.lit(float(w))).cast("double"))
-        return Window.partitionBy(*self.order.groups).orderBy(scaled).rangeBetween(Window.unboundedPreceding, -1)
+        by = ", ".join(f"`{g}`" for g in self.order.groups)
+        return F.expr(f"{call} OVER (PARTITION BY {by} ORDER BY `{tick}` RANGE BETWEEN UNBOUNDED PRECEDING AND {w if isinstance(w, int) else f'{w!r}D'} PRECEDING)")
 
     def total(self, x: Column) -> Column:
         """Sum of x over the span."""
         if self.span.kind != "time":
             return self.keep(F.sum(x).over(self._rolling()))
         x = self.keep(x)
-        gone = F.coalesce(F.sum(x).over(self._expired()), F.lit(0.0))
+        gone = F.coalesce(self.expired(f"sum(`{self.added[-1]}`)"), F.lit(0.0))
         return self.keep(F.sum(x).over(self.order.running()) - gone)
 
     def count(self) -> Column:

@@ -110,10 +110,10 @@ def _lag(f: Frame, x: Column, fill: str = "nan") -> list[Column]:
         value = old["x"]
     else:
         x = f.keep(x)
-        seq = f.keep(f.order.seq())
-        spec = f._expired()
-        n = f.keep(F.count("*").over(spec))
-        value = f.keep(F.max_by(x, seq).over(spec))
+        name = f.added[-1]
+        seq = ", ".join(f"`{k}`" for k in f.order.keys)
+        n = f.keep(f.expired("count(*)"))
+        value = f.keep(f.expired(f"max_by(`{name}`, struct({seq}))"))
         gone = n > 0
         if fill == "last":  # the present x also where this very step let nothing go
             before = f.keep(F.coalesce(F.lag(n).over(w), F.lit(0)))
