@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: groups of tokens as exact keys, group counts as points of an R-tree."""
+"""Similarity join on word shingles: buckets of sets that share a rare shingle, group counts as points of R-trees."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, keep, release, slices
+from .common import components, cut, discard, keep, release, sieve, slices
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
 GROUPS = 128
-#: Groups with so few members or fewer are light: they are alike by chance too often to be keys.
-LIGHT = 1
+#: Texts, at most, that show which shingles are frequent, and shingles of each, the least by hash; this steers the
+#: order of shingles only, never the result.
+SAMPLE, SAMPLE_SHINGLES = 4000, 4000
+#: Sampled texts from which on a shingle is frequent.
+FREQUENT = 3
 #: Members of a leaf of the R-tree.
 LEAF = 32
 #: Keys just before a key that are looked at, to make a pair that shares several keys from few of them.
@@ -53,58 +56,33 @@ def links(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-class Levels:
-    """Numbers of groups by size of set. Linked sets of at most n members differ in at most differ(n) members."""
+def keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """First members of a set in the order that all sets share: by hash, those in `frequent` last.
 
-    def __init__(self, percent: int):
-        self.percent = percent
-
-    def differ(self, n: int) -> int:
-        p = self.percent
-        return 2 * n * (100 - p) // (100 + p)
-
-    def largest(self, n: int) -> int:
-        """Members of the largest set that one of n members can be linked with."""
-        return 100 * n // self.percent
-
-    def of(self, n: int) -> list[int]:
-        """Numbers of groups at which a set of n members has keys: those of its own size and of larger partners."""
-        if self.differ(self.largest(n)) == 0:
-            return []  # linked with equal sets only
-        low, high, k, out = self.differ(n), self.differ(self.largest(n)), 5, []
-        while True:
-            if k - self.spare(k) >= low:
-                out.append(k)
-            if k - self.spare(k) >= high:
-                return out
-            k = -(-5 * k // 4)
-
-    @staticmethod
-    def spare(k: int) -> int:
-        """Of k groups, so many at least are alike in two linked sets."""
-        return 4 + k // 10
-
-
-def keys(s: np.ndarray, levels: Levels) -> np.ndarray:
-    """Keys of a set: at each level, every group's number and content as one hash.
-
-    At a level of k groups two linked sets differ in at most k - spare(k) members, so they agree on at least
-    spare(k) whole groups. A set with fewer light groups than that need not give their keys: one of the groups on
-    which it agrees with a linked set is not light, and is as large there.
+    A partner has at least `percent` per cent of the set's members in common with it, so one of those is among the
+    first n - ceil(n percent / 100) + 1 of the set, and the least common one is among the first ones of both.
     """
-    out = []
-    for k in levels.of(len(s)):
-        group = ((s >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
-        total = np.zeros(k, dtype=np.uint64)
-        np.add.at(total, group, mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-        heavy = np.bincount(group, minlength=k) > LIGHT
-        key = mix(total ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(k << 32)))
-        out.append(key if k - heavy.sum() >= levels.spare(k) else key[heavy])
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    if not len(s):
+        return s
+    m = len(s) - -(-len(s) * percent // 100) + 1
+    if len(frequent):
+        i = np.searchsorted(frequent, s)
+        often = frequent[np.minimum(i, len(frequent) - 1)] == s
+        s = np.concatenate([s[~often], s[often]])
+    return s[:m]
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """A point as one byte a coordinate, or four where a count needs them."""
+    return p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(r, dtype=np.uint8 if len(r) == GROUPS else np.uint32) for r in rows]).astype(np.int64)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,7 +124,7 @@ class CountRTree:
             if (100 + p) * int(overlap_bound(x, y)) < p * (least_x + least_y):
                 continue
             if b - a <= LEAF and d - c <= LEAF:
-                u, v = np.nonzero((100 + p) * overlap_bound(self.points[a:b, None].astype(np.int64), self.points[None, c:d]) >= p * (self.size[a:b, None] + self.size[None, c:d]))
+                u, v = np.nonzero((100 + p) * overlap_bound(self.points[a:b, None], self.points[None, c:d]) >= p * (self.size[a:b, None] + self.size[None, c:d]))
                 one = u + a < v + c
                 if one.any():
                     yield self.order[u[one] + a], self.order[v[one] + c]
@@ -161,9 +139,22 @@ class CountRTree:
                 stack += [(a, b, c, m), (a, b, m, d)]
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [shingles(t, width)[:SAMPLE_SHINGLES] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["shingle"])
+
+
+def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several texts of a sample of bounded size hold, sorted."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").distinct().limit(SAMPLE)
+    n = some.mapInArrow(partial(_sampled, width=width), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    return np.sort(n.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Size, name, point and keys of each text's set; a set that a batch holds again has no keys there."""
-    levels = Levels(percent)
     for whole in batches:
         seen: set[int] = set()
         for batch in slices(whole, "text"):
@@ -171,10 +162,10 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
             names = [_name(s) for s in sets]
             got = []
             for s, name in zip(sets, names, strict=True):
-                got.append(np.empty(0, dtype=np.int64) if name in seen else keys(s, levels).view(np.int64))
+                got.append(np.empty(0, dtype=np.int64) if name in seen else keys(s, frequent, percent).view(np.int64))
                 seen.add(name)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "point", "keys"]
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([packed(point(s)) for s in sets], pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "point", "keys"]
             )
 
 
@@ -218,7 +209,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose summed smaller counts leave the similarity possible."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS).astype(np.int64) for n in ("p", "q"))
+        x, y = (unpacked(batch.column(n).to_pylist()) for n in ("p", "q"))
         may = (100 + percent) * overlap_bound(x, y) >= percent * (x.sum(axis=1) + y.sum(axis=1))
         yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(may)) for n in ("set_id", "center", "shared")], ["set_id", "center", "shared"])
 
@@ -252,7 +243,7 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
 
     def join(rows: list[tuple[int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
         s, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        points = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(-1, GROUPS)
+        points = unpacked([r[2] for r in rows])
         before = [frozenset(r[3]) for r in rows]
         for u, v in CountRTree(points, percent).pairs():
             apart = comp[u] != comp[v]
@@ -261,7 +252,7 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
             u, v = u[new], v[new]
             if best and len(u):
                 low, high = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
-                order = np.argsort(-overlap_bound(points[u], points[v]).astype(np.int64), kind="stable")
+                order = np.argsort(-overlap_bound(points[u], points[v]), kind="stable")
                 one = order[np.unique(np.column_stack([low, high])[order], axis=0, return_index=True)[1]]
                 u, v = u[one], v[one]
             if len(u):
@@ -299,9 +290,9 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     and are their own component; a null doc_id has links but is never a component's name unless all are null.
     Repeated rows are equal sets. Other columns are ignored.
 
-    1. Equal sets are one class. Each class's shingles are hashed into groups, more of them the larger the set, so
-       that linked sets agree on some whole groups; a group's number and content is a key. Sets that share a key
-       form a bucket; no pairs are made within it: each set is tied to the bucket's first set, its centre.
+    1. Equal sets are one class. A set's keys are its first shingles in one order for all sets, frequent ones last, so
+       many that linked sets share one. Sets that share a key form a bucket; no pairs are made within it: each set is
+       tied to the bucket's first set, its centre.
     2. Pairs of a set and a centre that their group counts do not rule out are verified on the sets themselves,
        first the centre with most keys in common, then centres that are still in another component.
     3. Buckets that hold several components get an R-tree of their members' group counts, whose boxes bound the
@@ -311,7 +302,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wide = keep(narrow.mapInArrow(partial(_describe, width=width, percent=percent), "doc_id long, n long, set_id long, point binary, keys array<long>"))
+    frequent = frequent_shingles(narrow, width)
+    wide = keep(narrow.mapInArrow(partial(_describe, width=width, percent=percent, frequent=frequent), "doc_id long, n long, set_id long, point binary, keys array<long>"))
     all_docs = keep(wide.select("doc_id", "n", "set_id", "point"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     rows = wide.select(F.explode("keys").alias("key"), "set_id")
@@ -327,7 +319,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     def fetch(p: DataFrame) -> DataFrame:
         """The sets that pairs name, from their texts."""
         wanted = p.select("set_id").unionAll(p.select("center")).distinct().join(classes, "set_id").withColumnRenamed("doc_id", "_d")
-        texts = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text")
+        wanted = cut(wanted)
+        texts = sieve(narrow, "doc_id", wanted, "_d").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text")
         out = keep(texts.mapInArrow(partial(_sets, width=width), "set_id long, members binary").dropDuplicates(["set_id"]))
         release(spark)
         return out
