@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import TINY
 from .frames import Order
@@ -438,7 +439,7 @@ def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
     """
     made = [n for node in nodes for n in node.names]
     groups, held = list(order.groups), [c for c in df.columns]
-    schema = df.schema
+    schema = StructType(list(df.schema.fields))
     for n in made:
         schema = schema.add(n, "double")
     partial_sort = df.repartition(*groups).sortWithinPartitions(*groups, *order.keys)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import aggs
 from ..operators.frames import Order
@@ -25,7 +26,7 @@ def stream_scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
     order. Null values reach kernels as NaN.
     """
     made = [n for node in nodes for n in node.names]
-    schema = df.schema
+    schema = StructType(list(df.schema.fields))
     for n in made:
         schema = schema.add(n, "double")
     groups, keys, held = list(order.groups), list(order.keys), list(df.columns)
