@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, jaccard, language, neardup, packing, quality_rules, repeats, sharding, warc
+from . import bpe, classifier, jaccard, language, neardup, oracles, packing, quality_rules, repeats, sharding, warc
 from .common import table
 
 
@@ -70,4 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_reassembly": warc.ORACLE_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op2_embedding_neardup": oracles.EMBEDDING_LINKS,
+        "op4_warc_reassembly": warc.ORACLE_SQL,
+        "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_ngram_jaccard": oracles.SHINGLE_LINKS,
+        "op10_suffix_repeats": oracles.REPEATED_BYTES,
+    }
