@@ -146,21 +146,23 @@ def discard(*kept: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sieve(df: DataFrame, column: str, wanted: DataFrame, named: str, words: int = 1 << 16) -> DataFrame:
-    """Leaves out rows of `df` whose `column` is surely not among `named` of `wanted`, before they are shuffled.
+def bit_table(wanted: DataFrame, column: str, words: int = 1 << 16) -> np.ndarray:
+    """Bytes of a map in which bit (value mod its size) is set for every value of a long column; nulls set none.
 
-    The wanted values set bits of a map of `words` 64-bit words, combined by a grouped aggregate and sent with the
-    plan; its size is the same for any input. A map that is nearly full lets all rows pass, which costs time only.
+    Bits are combined by a grouped aggregate, so the driver gets a map of the same size for any input.
     """
-    bits = words * 64
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    at = wanted.select(place(named).alias("p")).select(F.floor(F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    at = wanted.filter(F.col(column).isNotNull()).select(F.pmod(F.col(column), F.lit(words * 64)).alias("p"))
+    at = at.select(F.expr("cast(p div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
     rows = at.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table = np.zeros(words, dtype="<i8")
     table[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64)
-    p = place(column)
-    byte = F.conv(F.hex(F.substring(F.lit(table.tobytes()), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return df.filter(F.pmod(F.floor(byte / F.pow(F.lit(2.0), (p % 8).cast("double"))).cast("long"), F.lit(2)) == 1)
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in the map: all that are, and some others."""
+    p = values % (len(table) * 8)
+    return (table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
 def release(spark: SparkSession) -> None:

@@ -11,19 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, keep, release, sieve, slices
+from .common import bit_table, components, cut, discard, in_table, keep, release, slices
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
 GROUPS = 128
 #: Texts, at most, that show which shingles are frequent, and shingles of each, the least by hash; this steers the
 #: order of shingles only, never the result.
-SAMPLE, SAMPLE_SHINGLES = 4000, 4000
+SAMPLE, SAMPLE_SHINGLES = 20_000, 4000
 #: Sampled texts from which on a shingle is frequent.
-FREQUENT = 3
+FREQUENT = 2
 #: Members of a leaf of the R-tree.
 LEAF = 32
 #: Keys just before a key that are looked at, to make a pair that shares several keys from few of them.
-BEFORE = 8
+BEFORE = 6
 #: Members that one task compares with a copy of the centre's set.
 STAR = 2000
 
@@ -91,26 +91,32 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CountRTree:
-    """R-tree of group counts, packed by sorting; its boxes bound the overlap of everything below them."""
+    """R-tree of group counts, packed by sorting; its boxes bound the overlap of everything below them.
 
-    def __init__(self, points: np.ndarray, percent: int):
+    With labels, points of a frequent label are packed together, and only pairs of different labels are of interest: two nodes that
+    hold one label between them are not joined, so a label with many points costs no more than their number.
+    """
+
+    def __init__(self, points: np.ndarray, percent: int, labels: np.ndarray | None = None):
         self.percent = percent
-        self.size = points.sum(axis=1, dtype=np.int64)
-        self.order = np.lexsort((*points.T[::-1], self.size))
-        self.points = points[self.order]
-        self.size = self.size[self.order]
-        self.nodes: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
-
-    def _box(self, a: int, b: int) -> tuple[np.ndarray, int]:
-        """Largest counts and smallest size of a range of the sequence."""
+        self.labels = np.arange(len(points)) if labels is None else np.unique(labels, return_inverse=True)[1]
+        size = points.sum(axis=1, dtype=np.int64)
+        first = np.where(np.bincount(self.labels)[self.labels] >= LEAF, self.labels, -1) if len(points) else self.labels
+        self.order = np.lexsort((*points.T[::-1], size, first))
+        self.points, self.size, self.labels = points[self.order], size[self.order], self.labels[self.order]
+        self.nodes: dict[tuple[int, int], tuple[np.ndarray, int, int]] = {}
+
+    def _box(self, a: int, b: int) -> tuple[np.ndarray, int, int]:
+        """Largest counts, smallest size, and the label that all have, or -1, of a range of the sequence."""
         got = self.nodes.get((a, b))
         if got is None:
             if b - a <= LEAF:
-                got = self.points[a:b].max(axis=0), int(self.size[a:b].min())
+                one = self.labels[a:b]
+                got = self.points[a:b].max(axis=0), int(self.size[a:b].min()), int(one[0]) if (one == one[0]).all() else -1
             else:
                 m = (a + b) // 2
-                (x, p), (y, q) = self._box(a, m), self._box(m, b)
-                got = np.maximum(x, y), min(p, q)
+                (x, p, i), (y, q, j) = self._box(a, m), self._box(m, b)
+                got = np.maximum(x, y), min(p, q), i if i == j else -1
             self.nodes[a, b] = got
         return got
 
@@ -120,11 +126,12 @@ class CountRTree:
         stack = [(0, n, 0, n)] if n > 1 else []
         while stack:
             a, b, c, d = stack.pop()
-            (x, least_x), (y, least_y) = self._box(a, b), self._box(c, d)
-            if (100 + p) * int(overlap_bound(x, y)) < p * (least_x + least_y):
+            (x, least_x, i), (y, least_y, j) = self._box(a, b), self._box(c, d)
+            if i == j >= 0 or (100 + p) * int(overlap_bound(x, y)) < p * (least_x + least_y):
                 continue
             if b - a <= LEAF and d - c <= LEAF:
-                u, v = np.nonzero((100 + p) * overlap_bound(self.points[a:b, None], self.points[None, c:d]) >= p * (self.size[a:b, None] + self.size[None, c:d]))
+                may = (100 + p) * overlap_bound(self.points[a:b, None], self.points[None, c:d]) >= p * (self.size[a:b, None] + self.size[None, c:d])
+                u, v = np.nonzero(may & (self.labels[a:b, None] != self.labels[None, c:d]))
                 one = u + a < v + c
                 if one.any():
                     yield self.order[u[one] + a], self.order[v[one] + c]
@@ -141,7 +148,7 @@ class CountRTree:
 
 def _sampled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [shingles(t, width)[:SAMPLE_SHINGLES] for t in batch.column("text").to_pylist()]
+        got = [s[: min(SAMPLE_SHINGLES, len(s) // 2 + 1)] for s in (shingles(t, width) for t in batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["shingle"])
 
 
@@ -174,12 +181,14 @@ def _name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts whose doc_id may be wanted; a null doc_id always may."""
     for whole in batches:
-        for batch in slices(whole, "text"):
+        ids = whole.column("doc_id")
+        may = in_table(table, np.asarray(ids.fill_null(0))) | ~np.asarray(ids.is_valid())
+        for batch in slices(whole.filter(pa.array(may)), "text"):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-            same = [_name(s) == i for s, i in zip(sets, batch.column("set_id").to_pylist(), strict=True)]  # not another row of that doc_id
-            yield pa.RecordBatch.from_arrays([batch.column("set_id").filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(sets, same, strict=True) if ok], pa.binary())], ["set_id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "members"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +254,7 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
         s, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         points = unpacked([r[2] for r in rows])
         before = [frozenset(r[3]) for r in rows]
-        for u, v in CountRTree(points, percent).pairs():
-            apart = comp[u] != comp[v]
-            u, v = u[apart], v[apart]
+        for u, v in CountRTree(points, percent, comp).pairs():
             new = np.array([before[x].isdisjoint(before[y]) for x, y in zip(u.tolist(), v.tolist(), strict=True)], dtype=bool)
             u, v = u[new], v[new]
             if best and len(u):
@@ -317,11 +324,10 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     pairs = cut(pairs.select("set_id", "center", "shared", "p", "q").mapInArrow(partial(_bounded, percent=percent), "set_id long, center long, shared long"))
 
     def fetch(p: DataFrame) -> DataFrame:
-        """The sets that pairs name, from their texts."""
-        wanted = p.select("set_id").unionAll(p.select("center")).distinct().join(classes, "set_id").withColumnRenamed("doc_id", "_d")
-        wanted = cut(wanted)
-        texts = sieve(narrow, "doc_id", wanted, "_d").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text")
-        out = keep(texts.mapInArrow(partial(_sets, width=width), "set_id long, members binary").dropDuplicates(["set_id"]))
+        """The sets that pairs name, from their texts; other texts are left out before anything is shuffled."""
+        wanted = cut(p.select("set_id").unionAll(p.select("center")).distinct().join(classes, "set_id"))
+        found = narrow.mapInArrow(partial(_sets, width=width, table=bit_table(wanted, "doc_id")), "set_id long, members binary")
+        out = keep(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
         release(spark)
         return out
 
