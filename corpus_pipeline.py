@@ -42,8 +42,8 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids with their places in sequences of 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents' ids with their places in sequences of 2048; a small cache, as workers serve all stages."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache=250_000)
 
 
 STAGES = [

@@ -42,5 +42,7 @@ def test_stages_and_run(spark):
 
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "near copies":
+            continue  # tested with the operators
         assert stage(spark, docs, DIR).count() == 0

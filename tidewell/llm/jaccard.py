@@ -15,7 +15,7 @@ from .common import bit_table, components, cut, discard, in_table, keep, release
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
 GROUPS = 128
-#: Texts, at most, that show which shingles are frequent, and shingles of each, the least by hash; this steers the
+#: Texts, about, that show which shingles are frequent, and shingles of each, the least by hash; this steers the
 #: order of shingles only, never the result.
 SAMPLE, SAMPLE_SHINGLES = 20_000, 4000
 #: Sampled texts from which on a shingle is frequent.
@@ -154,8 +154,8 @@ def _sampled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles that several texts of a sample of bounded size hold, sorted."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").distinct().limit(SAMPLE)
+    share = max(1, (docs.count() + SAMPLE // 2) // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
     n = some.mapInArrow(partial(_sampled, width=width), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
     return np.sort(n.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 

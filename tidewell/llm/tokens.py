@@ -92,6 +92,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = 1_000_000) -> WordEncoder:
     """One encoder a worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)
