@@ -18,7 +18,7 @@ from .tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, cache: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, cache: int, forget: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path, cache).encode_many
     tail = np.array([end], dtype="<u4")
     for whole in batches:
@@ -31,11 +31,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, c
                     rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], PIECES.replace(" long", "").replace(" int", "").split(", "))
+    if forget:
+        encoder.cache_clear()
 
 
-def tokenize(docs: DataFrame, path: str, size: int = 2048, end: int = 0, cache: int = 1_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, size: int = 2048, end: int = 0, cache: int = 1_000_000, forget: bool = False) -> DataFrame:
     """Pieces of at most `size` ids of every text, `end` appended; a null text counts as empty (one piece: `end`)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_pieces, path=path, size=size, end=end, cache=cache), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_pieces, path=path, size=size, end=end, cache=cache, forget=forget), PIECES)
 
 
 def best_fit(items: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score: str = "norm") -> np.ndarray:
@@ -95,6 +97,7 @@ def pack(pieces: DataFrame, *, tokens: int = 2048, documents: int | None = None,
     return spread.groupBy("g").applyInPandas(partial(_pack, capacity=limits, weights=weights, score=score), f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 2048, cache: int = 1_000_000) -> DataFrame:
-    """Tokenizes and packs `docs` (doc_id, text); other columns are ignored. A worker remembers up to `cache` words."""
-    return pack(tokenize(docs, path, size, cache=cache), tokens=size)
+def pack_documents(docs: DataFrame, path: str, size: int = 2048, cache: int = 1_000_000, forget: bool = False) -> DataFrame:
+    """Tokenizes and packs `docs` (doc_id, text); other columns are ignored. A worker remembers up to `cache`
+    words, and with `forget` lets go of them when a task ends."""
+    return pack(tokenize(docs, path, size, cache=cache, forget=forget), tokens=size)
