@@ -156,6 +156,25 @@ def test_language(spark):
     assert language.train(docs.limit(0))[0] == ["und"]
 
 
+def test_declared_language_anywhere_in_the_page(spark):
+    far = {
+        "<!--" + "licence " * 700 + "--><html lang='de'>": "de",
+        "<!--<html lang='fr'>" + "x" * 5000 + "--><html lang='de'>": "de",
+        " \n" * 3000 + "<HTML class=a\nLANG = de-AT>": "de",
+        f"<html {'data-x=1 ' * 800}lang=de>": "de",
+        "<html lang=" + " " * 5000 + "'de'>": "de",
+        "<script>" + "x" * 5000 + "</script><html lang=de>": "de",
+        "<!--><html lang=de><!-- -->": "de",
+        "<html>" + "x" * 5000 + "<script>'<html lang=fr>'</script><!--<html lang=fr>-->": "",
+        "x" * 9000: "",
+    }
+    langs, table = language.train(spark.createDataFrame([("the house", "en"), ("das haus", "de")], "text string, lang string"))
+    pages = spark.createDataFrame([(i, "http://a.example/", x) for i, x in enumerate(far)], "page_id long, url string, html string")
+    assert {r.page_id: r.declared for r in language.identify(pages, langs, table).collect()} == dict(enumerate(far.values()))
+    for piece in ("<html ", "<!--", "<script ", "<html lang=" + " " * 1000, "lang "):  # linear, or these take minutes
+        assert language.declared_language("<html " + piece * (1_000_000 // len(piece))) == ""
+
+
 def test_warc(spark):
     rng = random.Random(4)
     texts = [prose(rng, n) for n in (1, 30, 400, 9000)]

@@ -25,7 +25,9 @@ TEXT_SHARE = 0.25
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I | re.S)
+#: The html tag, anywhere outside comments and elements that hold no markup; each branch takes in what it reads, so a search is linear.
+_HTML = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template)\b.*?(?:</\1\b|\Z)|<html\b(?P<tag>[^>]*)", re.S | re.I)
+_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})", re.I)
 
 
 def page_text(markup: str | None) -> str:
@@ -33,6 +35,14 @@ def page_text(markup: str | None) -> str:
     return html.unescape(_TAG.sub(" ", _DROP.sub(" ", markup or "")))
 
 
+def declared_language(markup: str | None) -> str:
+    """Language that the page's html tag declares, wherever the tag stands; the first of several, empty if there is none."""
+    for tag in _HTML.finditer(markup or ""):
+        if m := _LANG.search(tag["tag"] or ""):
+            return m[1].lower()[:2]
+    return ""
+
+
 def triples(text: str) -> np.ndarray:
     """Buckets of the lower-case text's triples of code points, runs of non-letters as one space."""
     kept = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
@@ -77,8 +87,7 @@ def _describe(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[
         for batch in slices(whole, "html"):
             scores, declared = [], []
             for markup in batch.column("html").to_pylist():
-                m = _LANG.search(markup or "", 0, 4096)
-                declared.append(m[1].lower()[:2] if m else "")
+                declared.append(declared_language(markup))
                 s = table[:, triples(page_text(markup))].sum(axis=1) * TEXT_SHARE
                 scores.append(s - s.max())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(declared), pa.array(scores, pa.list_(pa.float64()))], ["page_id", "host", "declared", "text"])
@@ -97,7 +106,8 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     The posterior of a page is the product of its text's likelihood (tempered), the probability of its declared
     language and of its address suffix given each language, and its host's prior. These come from grouped sums of the
     pages' text posteriors: a host's prior leans on its domain's, and that on the prior of all pages, the more the
-    fewer pages there are; a page's own posterior is taken out of its host's and domain's sums. Null or empty html
+    fewer pages there are; a page's own posterior is taken out of its host's and domain's sums. The declared language is
+    that of the html tag anywhere in the page, outside comments, scripts, styles and templates. Null or empty html
     has the same likelihood in every language; a null or odd url has the empty host, suffix and domain; ties go to
     the first language by name. Repeated rows count each; other columns are ignored; no pages give no rows.
     """
