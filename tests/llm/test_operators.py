@@ -209,6 +209,32 @@ def test_missing_segment_is_an_error(spark, tmp_path):
         warc.read_warc(spark, f"file://{tmp_path}").collect()
 
 
+def test_archive_of_many_members(spark, tmp_path):
+    def record(kind, n, more, body):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <u{n}>\r\n{more}Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+    rng = random.Random(14)
+    bodies = {n: prose(rng, rng.randint(1, 60)) for n in range(40)} | {40: rng.randbytes(100_000).hex()}
+    records = [record("response", n, f"WARC-Page-ID: {n}\r\n", f"HTTP/1.1 200 OK\r\n\r\n{b}") for n, b in bodies.items()]
+    head = record("response", 50, "WARC-Page-ID: 50\r\nWARC-Segment-Number: 1\r\n", "HTTP/1.1 200 OK\r\n\r\nab")
+    tail = record("continuation", 51, "WARC-Segment-Number: 2\r\nWARC-Segment-Origin-ID: <u50>\r\nWARC-Segment-Total-Length: 24\r\n", "cde")
+    data = b"".join([head, *records, tail])
+    split = sorted(rng.sample(range(1, len(data)), 30))
+    gz = lambda parts: b"".join(zlib.compress(p, wbits=31) for p in parts)
+    for k, packed in enumerate([gz([head, *records, tail]), gz([data[a:b] for a, b in zip([0, *split], [*split, len(data)])]), gz([b"", data, b""])]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.warc.gz").write_bytes(packed)
+        got = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, f"file://{tmp_path}/{k}").collect()}
+        assert got == bodies | {50: "abcde"}
+        assert warc.unpack(packed, 7) == data
+        for bad in (packed + b"garbage", packed[:-1], packed + packed[:5], b""):
+            with pytest.raises((ValueError, zlib.error)):
+                warc.unpack(bad)
+    (tmp_path / "0" / "a.warc.gz").write_bytes(gz(records) + b"garbage")
+    with pytest.raises(Exception, match="incorrect header"):
+        warc.read_warc(spark, f"file://{tmp_path}/0").collect()
+
+
 def test_rules(spark):
     rows = corpus() + [(900, "a b c d e f g h a b c d e f g h"), (901, "line\nline\n\nline\n x"), (902, "one two three four five six seven eight nine " * 3), (903, "# * $ % & | < >")]
     got = Counter(tuple(r)[:8] for r in quality_rules.check(frame(spark, rows)).collect())

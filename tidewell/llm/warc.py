@@ -85,6 +85,20 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, chunk: int = 81
     p.select(record.alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
+def unpack(content: bytes, step: int = 1 << 16) -> bytes:
+    """Bytes of a gzip file of one or more members, joined; raises an error where one is cut short or anything else follows."""
+    view, at, out = memoryview(content), 0, []
+    while at < len(view) or not out:
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError(f"archive is cut short at byte {at}")
+            piece = view[at : at + step]  # what follows a member is copied, so no more than this is handed over
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of an archive; raises ValueError where the framing is broken."""
     at = 0
@@ -107,7 +121,7 @@ def _parse(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.Re
         for content in batch.column("content"):
             rows: list[tuple] = []
             held = 0
-            for f, block in parse_records(zlib.decompress(content.as_py(), 47)):
+            for f, block in parse_records(unpack(content.as_py())):
                 if ("warc-segment-number" in f) != segmented:
                     continue
                 rid = f.get("warc-record-id")
@@ -155,7 +169,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives in `path`: record_type, page_id, refers_to, target_uri, declared_digest, payload.
 
-    Segments are grouped by their origin's identifier, ordered by number and joined; a missing or repeated number
+    Archives are gzip files of any number of members, such as one a record. Segments are grouped by their origin's identifier, ordered by number and joined; a missing or repeated number
     or a total length that the last segment does not declare so raises an error. Only segmented records are
     shuffled. Chunked framing is decoded. A revisit has a null payload. No archives give no rows.
     """
