@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +24,20 @@ def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8, directly or through others, the one with the
-    smallest doc_id. Rows that share doc_id and text are copies; one of them stays."""
-    links = keep(jaccard.link_documents(docs))
-    first = links.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    if links.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    """Of documents linked by five-word shingles at a similarity of 0.8, directly or through others, one.
+
+    A row is known by its doc_id and text, so a doc_id that occurs again with another text is another document. The one
+    with the smallest doc_id stays, a null doc_id being the largest; of those with the same doc_id the one whose text has
+    the smallest hash. Texts without a shingle are linked to none. Rows that share doc_id and text are copies; one stays.
+    """
+    links = keep(jaccard.link_documents(docs, rows=True))
+    row = ["doc_id", "h1", "h2"]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *row)).alias("row")
+    first = links.filter("n_shingles > 0").groupBy("component").agg(least).select(*(f"row.{c}" for c in row))
+    first = first.unionAll(links.filter("n_shingles = 0").select(row).distinct()).toDF(*(f"_{c}" for c in row))
+    own = {"doc_id": F.col("doc_id").cast("long"), **jaccard.text_hashes(F.col("text"))}
+    out = docs.join(first, reduce(and_, (own[c].eqNullSafe(F.col(f"_{c}")) for c in row)), "left_semi")
+    if links.groupBy(row).count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 

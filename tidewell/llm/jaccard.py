@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_table, components, cut, discard, in_table, keep, release, slices
@@ -160,8 +160,8 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(n.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Size, name, point and keys of each text's set; a set that a batch holds again has no keys there."""
+def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: np.ndarray, more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Size, name, point and keys of each text's set, and columns `more` as they are; a set that a batch holds again has no keys there."""
     for whole in batches:
         seen: set[int] = set()
         for batch in slices(whole, "text"):
@@ -171,9 +171,8 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequ
             for s, name in zip(sets, names, strict=True):
                 got.append(np.empty(0, dtype=np.int64) if name in seen else keys(s, frequent, percent).view(np.int64))
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([packed(point(s)) for s in sets], pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "point", "keys"]
-            )
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([packed(point(s)) for s in sets], pa.binary()), pa.array(got, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(n) for n in more)], ["doc_id", "n", "set_id", "point", "keys", *more])
 
 
 def _name(s: np.ndarray) -> int:
@@ -289,13 +288,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
     return dealt.select("center", "set_id", "members").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
 
-def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+def text_hashes(text: Column) -> dict[str, Column]:
+    """Two 64-bit hashes of a text, which stand for it in a row's identity; a null text differs from an empty one."""
+    text = text.cast("string")
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(17), text)}
+
+
+def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: bool = False) -> DataFrame:
     """Links `docs` (doc_id, text) whose shingle sets have a Jaccard similarity of `percent` or more.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links). Texts are lower-cased in A-Z
     and split at space and the controls 9 to 13. Null, empty and blank texts have an empty set, link with nothing
     and are their own component; a null doc_id has links but is never a component's name unless all are null.
-    Repeated rows are equal sets. Other columns are ignored.
+    Repeated rows are equal sets. Other columns are ignored. As a doc_id that occurs again can name several components,
+    `rows` adds text_hashes() of the row's text and `component`, which is one number for one component and null for empty
+    sets.
 
     1. Equal sets are one class. A set's keys are its first shingles in one order for all sets, frequent ones last, so
        many that linked sets share one. Sets that share a key form a bucket; no pairs are made within it: each set is
@@ -310,11 +317,13 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_shingles(narrow, width)
-    wide = keep(narrow.mapInArrow(partial(_describe, width=width, percent=percent, frequent=frequent), "doc_id long, n long, set_id long, point binary, keys array<long>"))
-    all_docs = keep(wide.select("doc_id", "n", "set_id", "point"))
+    extra = tuple(text_hashes(F.col("text"))) if rows else ()
+    named = narrow.withColumns(text_hashes(F.col("text"))) if rows else narrow
+    wide = keep(named.mapInArrow(partial(_describe, width=width, percent=percent, frequent=frequent, more=extra), ", ".join(["doc_id long, n long, set_id long, point binary, keys array<long>", *(f"{n} long" for n in extra)])))
+    all_docs = keep(wide.select("doc_id", "n", "set_id", "point", *extra))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = wide.select(F.explode("keys").alias("key"), "set_id")
-    members = keep(rows.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(_stars, "key long, set_id long, center long"))
+    held = wide.select(F.explode("keys").alias("key"), "set_id")
+    members = keep(held.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(_stars, "key long, set_id long, center long"))
     discard(wide)
     release(spark)
     classes = all_docs.filter("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("doc_id"))
@@ -369,8 +378,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
             asked = asked.unionAll(cross)
     named = classes.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = named.join(least, "component").select("set_id", "component_id")
-    out = all_docs.select("doc_id", "n", "set_id").join(known, "set_id", "left")
-    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    known = named.join(least, "component").select("set_id", "component_id", *(["component"] if rows else []))
+    out = all_docs.select("doc_id", "n", "set_id", *extra).join(known, "set_id", "left")
+    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *extra, *([F.when(F.col("n") > 0, F.col("component")).alias("component")] if rows else [])))
     discard(all_docs, members)
     return out
