@@ -175,6 +175,12 @@ def test_declared_language_anywhere_in_the_page(spark):
         assert language.declared_language("<html " + piece * (1_000_000 // len(piece))) == ""
 
 
+def test_declared_codes_of_three_letters():
+    want = {"fil": "fil", "fi": "fi", "fin": "fi", "haw": "haw", "hau": "ha", "eng": "en", "EN-us": "en", "deu": "de", "ger-AT": "de", "spa": "es", "zho": "zh", "chi": "zh", "gsw": "gsw", "x-odd": ""}
+    assert {x: language.declared_language(f"<html lang='{x}'>") for x in want} == want
+    assert len(language.TWO_LETTERS) == 205 and all(len(k) == 3 and len(v) == 2 for k, v in language.TWO_LETTERS.items())
+
+
 def test_warc(spark):
     rng = random.Random(4)
     texts = [prose(rng, n) for n in (1, 30, 400, 9000)]

@@ -27,7 +27,22 @@ _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1
 _TAG = re.compile(r"<[^>]*>")
 #: The html tag, anywhere outside comments and elements that hold no markup; each branch takes in what it reads, so a search is linear.
 _HTML = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template)\b.*?(?:</\1\b|\Z)|<html\b(?P<tag>[^>]*)", re.S | re.I)
-_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})", re.I)
+_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,})", re.I)
+#: ISO 639-2 codes (terminological and bibliographic) followed by the ISO 639-1 code of the same language.
+_CODES = """
+aaraa abkab afraf akaak albsq amham araar argan armhy asmas avaav aveae aymay azeaz bakba bambm baqeu belbe benbn
+bihbh bisbi bodbo bosbs brebr bulbg burmy catca cescs chach chece chizh chucu chvcv corkw cosco crecr cymcy czecs
+danda deude divdv dutnl dzodz ellel engen epoeo estet euseu eweee faofo fasfa fijfj finfi frafr frefr fryfy fulff
+geoka gerde glagd glega glggl glvgv greel grngn gujgu hatht hauha hebhe herhz hinhi hmoho hrvhr hunhu hyehy iboig
+iceis idoio iiiii ikuiu ileie inaia indid ipkik islis itait javjv jpnja kalkl kankn kasks katka kaukr kazkk khmkm
+kikki kinrw kirky komkv konkg korko kuakj kurku laolo latla lavlv limli linln litlt ltzlb lublu luglg macmk mahmh
+malml maomi marmr mayms mkdmk mlgmg mltmt molmo monmn mrimi msams myamy nauna navnv nblnr ndend ndong nepne nldnl
+nnonn nobnb norno nyany ocioc ojioj orior ormom ossos panpa perfa plipi polpl porpt pusps quequ rohrm ronro rumro
+runrn rusru sagsg sansa sinsi slksk slosk slvsl smese smosm snasn sndsd somso sotst spaes sqisq srdsc srpsr sswss
+sunsu swasw swesv tahty tamta tattt telte tgktg tgltl thath tibbo tirti tonto tsntn tsots tuktk turtr twitw uigug
+ukruk urdur uzbuz venve vievi volvo welcy wlnwa wolwo xhoxh yidyi yoryo zhaza zhozh zulzu
+"""
+TWO_LETTERS = {x[:3]: x[3:] for x in _CODES.split()}
 
 
 def page_text(markup: str | None) -> str:
@@ -36,10 +51,14 @@ def page_text(markup: str | None) -> str:
 
 
 def declared_language(markup: str | None) -> str:
-    """Language that the page's html tag declares, wherever the tag stands; the first of several, empty if there is none."""
+    """Language that the page's html tag declares, wherever the tag stands; the first of several, empty if there is none.
+
+    It is the whole primary subtag in lower case; a code of three letters that has one of two letters becomes that.
+    """
     for tag in _HTML.finditer(markup or ""):
         if m := _LANG.search(tag["tag"] or ""):
-            return m[1].lower()[:2]
+            code = m[1].lower()
+            return TWO_LETTERS.get(code, code)
     return ""
 
 
