@@ -181,6 +181,51 @@ def test_declared_codes_of_three_letters():
     assert len(language.TWO_LETTERS) == 205 and all(len(k) == 3 and len(v) == 2 for k, v in language.TWO_LETTERS.items())
 
 
+def posteriors(pages, langs, table, without=""):
+    """Plain recomputation of identify() for pages (host, declared, html); `without` leaves out one piece of evidence."""
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    text = [table[:, language.triples(language.page_text(h))].sum(axis=1) * language.TEXT_SHARE for _, _, h in pages]
+    post = [soft(t) for t in text]
+    total = 1 + sum(post)
+    base = total / total.sum()
+    labels = [{"host": h, "domain": ".".join(h.split(".")[-2:]), "suffix": h.split(".")[-1], "declared": d} for h, d, _ in pages]
+    out = []
+    for i, own in enumerate(labels):
+        others = {by: sum((post[j] for j in range(len(pages)) if j != i and labels[j][by] == v), np.zeros(len(langs))) for by, v in own.items()}
+        domain = base if without == "domain" else (others["domain"] + 8 * base) / (others["domain"].sum() + 8)
+        host = domain if without == "host" else (others["host"] + 4 * domain) / (others["host"].sum() + 4)
+        log = text[i] + np.log(host)
+        for by in {"suffix", "declared"} - {without}:
+            log = log + np.log((others[by] + 0.5) / (total + 1))
+        p = soft(log)
+        out.append((langs[int(post[i].argmax())], langs[int(p.argmax())], float(p.max())))
+    return out
+
+
+def test_language_posterior(spark):
+    rng = random.Random(22)
+    texts = {"en": "the house and the river are here", "de": "das haus und der fluss sind hier", "fr": "la maison et la riviere sont ici"}
+    langs, table = language.train(spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, lang string"))
+    hosts = ["a.one.de", "b.one.de", "c.two.de", "a.three.fr", "b.three.fr", "x.four.com", "y.four.com", "z.five.com", "localhost", ""]
+    pages, rows = [], []
+    for i in range(90):
+        host, said = rng.choice(hosts), rng.choice(["de", "fr", "en", "fil", ""])
+        mine = {"de": "de", "fr": "fr", "one": "de"}.get(host.split(".")[-1], rng.choice([said, "en"]))
+        words = texts.get(mine, texts["en"]).split()
+        html = rng.choice([None, ""]) if not said and i % 3 == 0 else (f"<html lang='{said}'>" if said else "<html>") + " ".join(rng.sample(words, rng.randint(0, 4)))
+        pages.append((host, said, html))
+        rows.append((i, f"https://u:p@{host.upper()}:8080/p/{i}?q#f" if host else rng.choice([None, "::"]), html))
+    want = posteriors(pages, langs, table)
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), langs, table).collect()}
+    assert len(got) == len(rows)
+    for i, (first, best, confidence) in enumerate(want):
+        r = got[i]
+        assert (r.host, r.declared, r.text_lang, r.lang) == (*pages[i][:2], first, best)
+        assert abs(r.confidence - confidence) < 2e-6
+    for piece in ("host", "domain", "suffix", "declared"):  # each one is seen by the comparison
+        assert max(abs(a[2] - b[2]) for a, b in zip(want, posteriors(pages, langs, table, piece))) > 1e-3, piece
+
+
 def test_warc(spark):
     rng = random.Random(4)
     texts = [prose(rng, n) for n in (1, 30, 400, 9000)]
