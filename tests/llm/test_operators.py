@@ -100,6 +100,15 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), WORD).count() == 0
 
 
+def test_packing_in_several_groups(spark):
+    rng = random.Random(23)
+    rows = [(i, 0, 0, rng.randint(1, 600), i) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), group_rows=500).toPandas()
+    assert len(got) == 3000 and 1 < len(set(got.sequence_id // (1 << 32))) <= 6
+    assert (got.groupby("sequence_id").length.sum() <= 2048).all()
+    assert got.sequence_id.nunique() <= -(-sum(r[3] for r in rows) // 2048) + 6
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_every_capacity_holds(score):
     rng = np.random.default_rng(5)
