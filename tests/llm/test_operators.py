@@ -398,21 +398,62 @@ def test_count_tree_loses_no_pair():
     base = rng.poisson(3, size=(30, jaccard.GROUPS))
     points = np.concatenate([base, np.maximum(base + rng.integers(-1, 2, size=base.shape), 0), rng.poisson(1, size=(100, jaccard.GROUPS))]).astype(np.uint32)
     got = {tuple(sorted(p)) for u, v in jaccard.CountRTree(points, 80).pairs() for p in zip(u.tolist(), v.tolist())}
-    size = points.sum(axis=1)
+    size = points.sum(axis=1, dtype=np.int64)
     want = {(i, j) for j in range(len(points)) for i in range(j) if 180 * np.minimum(points[i], points[j]).sum() >= 80 * (size[i] + size[j])}
     assert got == want
 
 
-def test_linked_sets_share_a_key():
+def test_linked_sets_share_the_keys_that_their_sizes_ask_for():
     rng = np.random.default_rng(9)
-    for n in [*range(1, 60), 150, 400, 1500]:
-        for _ in range(6):
-            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            b = a.copy()
-            while len(b) > 1 and jaccard.links(len(a), len(b) - 1, len(b) - 1, 85):
-                b = np.delete(b, rng.integers(len(b)))
-            often = np.sort(rng.choice(a, size=len(a) // 3, replace=False))
-            assert len(np.intersect1d(jaccard.keys(a, often, 85), jaccard.keys(b, often, 85)))
+    for percent in (60, 80, 85):
+        for n in [*range(1, 60), 150, 400, 1500]:
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                b, drop = a.copy(), rng.random()
+                while True:
+                    c = np.delete(b, rng.integers(len(b))) if rng.random() < drop else np.union1d(b, rng.integers(0, 1 << 63, 1, dtype=np.uint64))
+                    if not len(c) or not jaccard.links(len(a), len(c), len(np.intersect1d(a, c)), percent):
+                        break
+                    b = c
+                x, y = (s[: len(s) - int(jaccard.left_out(np.int64(len(s)), percent))] for s in (a, b))
+                assert len(np.intersect1d(x, y)) >= jaccard.needed(np.int64(len(a)), np.int64(len(b)), percent) >= 1
+
+
+def test_least_keys_needed(spark):
+    for percent in (60, 80, 85):
+        rows = spark.range(1, 400).withColumn("f", jaccard.needed_of(F.col("id"), percent)).collect()
+        for r in rows:
+            n = np.int64(r.id)
+            partners = np.arange(-(-n * percent // 100), n * 100 // percent + 1)
+            assert 1 <= r.f <= jaccard.needed(n, partners, percent).min()
+
+
+def test_shingles_that_are_longest_come_first():
+    s = jaccard.shingles("a bb ccc " + "d" * 300 + " e", 2)
+    assert (255 - (s >> np.uint64(56)).astype(int)).tolist() == [255, 255, 5, 3]
+    assert len(jaccard.shingles("A b a B a b", 2)) == 2 and len(jaccard.shingles("one two", 4)) == 1
+
+
+@pytest.mark.parametrize("light, medium, node", [(16, 64, 256), (2, 3, 4), (2, 8, 2)])
+def test_jaccard_with_crowded_keys(spark, monkeypatch, light, medium, node):
+    """Families of near copies, and a passage that many texts share, through every tier."""
+    for name, value in (("LIGHT", light), ("MEDIUM", medium), ("NODE", node), ("SALTED", 9), ("STAR", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(31)
+    passage, texts = prose(rng, 40), []
+    for _ in range(3):
+        w = prose(rng, 60).split()
+        for _ in range(14):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(1000)}"
+            texts.append(" ".join(v))
+    texts += [f"{passage} {prose(rng, rng.randint(1, 8))}" for _ in range(25)] + [passage]
+    rows = list(enumerate(texts))
+    got = jaccard.link_documents(frame(spark, rows)).collect()
+    sets = shingle_sets(rows, 5)
+    want = lowest([(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])], range(len(rows)))
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter(want.items())
 
 
 def test_shards(spark):

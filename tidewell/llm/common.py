@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bits of a map that is sent to every executor (8 MB).
+BITS_AT_MOST = 1 << 26
 #: Word separators of the shared contract: space and the ASCII controls 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -91,8 +93,12 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         rows += batch.num_rows
         if rows >= 1 << 20:
-            held, rows = [one := stars()], 0
-            rows = one.num_rows // 2
+            one = stars()
+            if one.num_rows > 1 << 19:  # little is gained by holding it
+                yield one
+                held, rows = [], 0
+            else:
+                held, rows = [one], one.num_rows
     if held:
         yield stars()
 
@@ -146,13 +152,15 @@ def discard(*kept: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bit_table(wanted: DataFrame, column: str, words: int = 1 << 16) -> np.ndarray:
-    """Bytes of a map in which bit (value mod its size) is set for every value of a long column; nulls set none.
+def bit_table(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bytes of a map of `bits` or more in which bit (value mod its size) is set for every value of a long column; nulls set none.
 
-    Bits are combined by a grouped aggregate, so the driver gets a map of the same size for any input.
+    Bits are combined by a grouped aggregate before the driver gets them; the caller sees to it that `bits` is at most
+    BITS_AT_MOST.
     """
+    words = -(-max(bits, 1 << 16) // 64)
     at = wanted.filter(F.col(column).isNotNull()).select(F.pmod(F.col(column), F.lit(words * 64)).alias("p"))
-    at = at.select(F.expr("cast(p div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    at = at.select(F.expr("p div 64").cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
     rows = at.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table = np.zeros(words, dtype="<i8")
     table[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64)

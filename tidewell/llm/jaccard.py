@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: buckets of sets that share a rare shingle, group counts as points of R-trees."""
+"""Similarity join on word shingles: group counts as points, leaf nodes and trees whose boxes bound the overlap, exact verification."""
 
 from __future__ import annotations
 
@@ -11,21 +11,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, cut, discard, in_table, keep, release, slices
+from .common import BITS_AT_MOST, bit_table, components, cut, discard, in_table, keep, release, slices
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
 GROUPS = 128
-#: Texts, about, that show which shingles are frequent, and shingles of each, the least by hash; this steers the
-#: order of shingles only, never the result.
-SAMPLE, SAMPLE_SHINGLES = 20_000, 4000
-#: Sampled texts from which on a shingle is frequent.
-FREQUENT = 2
-#: Members of a leaf of the R-tree.
-LEAF = 32
+#: A set's keys are as many as linked sets need to share one of, and one more for so many of its members.
+SLACK = 20
+#: Sets with a key in common up to which all their pairs are counted: at first, and among sets with many heavier keys.
+LIGHT, MEDIUM = 16, 64
+#: Members of a leaf of a tree, and of a leaf node that is kept as a row.
+LEAF, NODE = 32, 256
 #: Keys just before a key that are looked at, to make a pair that shares several keys from few of them.
-BEFORE = 6
-#: Members that one task compares with a copy of the centre's set.
-STAR = 2000
+BEFORE = 8
+#: Rows of one key that one task orders, and members that one task compares with a copy of the centre's set.
+SALTED, STAR = 4096, 2000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.array([(i * 0x9E3779B97F4A7C15) % (1 << 64) for i in range(1, 9)], dtype=np.uint64)
@@ -39,16 +38,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's `width`-word shingles; fewer words: the whole sequence as one."""
+    """The text's distinct `width`-word shingles, fewer words: the whole sequence as one, in the order that all sets share.
+
+    A shingle is a 64-bit integer: 255 less its words' bytes, at most 255, above 56 bits of its hash. So the longest come
+    first, which are the rarest: neither a statistic nor a sample of the corpus is needed to tell.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII only
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     k = min(width, len(words))
-    out = np.full(len(words) - k + 1, k * (k < width), dtype=np.uint64)
+    n = len(words) - k + 1
+    out = np.full(n, k * (k < width), dtype=np.uint64)
     for i in range(k):
-        out = mix(out + h[i : len(words) - k + 1 + i] + _STEP[i % 8])
-    return np.unique(out)
+        out = mix(out + h[i : n + i] + _STEP[i % 8])
+    total = np.cumsum(np.concatenate([[0], size]))
+    short = 255 - np.minimum(total[k:] - total[:n], 255)
+    return np.unique(out >> np.uint64(8) | short.astype(np.uint64) << np.uint64(56))
 
 
 def links(a: int, b: int, both: int, percent: int) -> bool:
@@ -56,24 +63,29 @@ def links(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """First members of a set in the order that all sets share: by hash, those in `frequent` last.
+def left_out(n: np.ndarray, percent: int) -> np.ndarray:
+    """Members of a set of n that are not among its keys."""
+    return np.maximum(0, -(-n * percent // 100) - 1 - n // SLACK)
+
+
+def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Keys that linked sets of a and b members have in common at least.
 
-    A partner has at least `percent` per cent of the set's members in common with it, so one of those is among the
-    first n - ceil(n percent / 100) + 1 of the set, and the least common one is among the first ones of both.
+    Linked sets have percent (a + b) / (100 + percent) members in common. Let A be the set whose last key comes first:
+    members in common that are keys of A are keys of both, so only those that A leaves out can be missing.
     """
-    if not len(s):
-        return s
-    m = len(s) - -(-len(s) * percent // 100) + 1
-    if len(frequent):
-        i = np.searchsorted(frequent, s)
-        often = frequent[np.minimum(i, len(frequent) - 1)] == s
-        s = np.concatenate([s[~often], s[often]])
-    return s[:m]
+    return np.maximum(1, -(-percent * (a + b) // (100 + percent)) - np.maximum(left_out(a, percent), left_out(b, percent)))
+
+
+def needed_of(n: Column, percent: int) -> Column:
+    """The least that needed() gives for a set of n members and any that can be linked with it."""
+    share = lambda x: F.floor((x * percent + 99) / 100)
+    least = share(n)
+    return F.least(share(least), 1 + F.floor(least / SLACK)).cast("long")
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
 
 
 def packed(p: np.ndarray) -> bytes:
@@ -82,28 +94,35 @@ def packed(p: np.ndarray) -> bytes:
 
 
 def unpacked(rows: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, dtype=np.uint8 if len(r) == GROUPS else np.uint32) for r in rows]).astype(np.int64)
+    """Points as rows, in one byte a coordinate if all fit."""
+    if all(len(r) == GROUPS for r in rows):
+        return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, dtype=np.uint8 if len(r) == GROUPS else np.uint32).astype(np.uint32) for r in rows])
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """No more members than the summed smaller counts can be in common."""
-    return np.minimum(a, b).sum(axis=-1)
+    return np.minimum(a, b).sum(axis=-1, dtype=np.int64)
 
 
 class CountRTree:
     """R-tree of group counts, packed by sorting; its boxes bound the overlap of everything below them.
 
-    With labels, points of a frequent label are packed together, and only pairs of different labels are of interest: two nodes that
-    hold one label between them are not joined, so a label with many points costs no more than their number.
+    With labels, points of a frequent label are packed together, and only pairs of different labels are of interest: two
+    nodes that hold one label between them are not joined, so a label with many points costs no more than their number.
+    A label below 0 is like no other. The points may themselves be boxes, with the least size below each in `least`;
+    then a box is also joined with itself. `visited` counts the pairs of nodes looked at.
     """
 
-    def __init__(self, points: np.ndarray, percent: int, labels: np.ndarray | None = None):
-        self.percent = percent
-        self.labels = np.arange(len(points)) if labels is None else np.unique(labels, return_inverse=True)[1]
-        size = points.sum(axis=1, dtype=np.int64)
-        first = np.where(np.bincount(self.labels)[self.labels] >= LEAF, self.labels, -1) if len(points) else self.labels
+    def __init__(self, points: np.ndarray, percent: int, labels: np.ndarray | None = None, least: np.ndarray | None = None):
+        self.percent, self.boxes, self.visited = percent, least is not None, 0
+        one = np.arange(len(points)) if labels is None else np.unique(labels, return_inverse=True)[1]
+        if labels is not None:
+            one = np.where(labels < 0, -1, one)
+        size = points.sum(axis=1, dtype=np.int64) if least is None else least
+        first = np.where((np.bincount(one[one >= 0], minlength=1)[one] >= LEAF) & (one >= 0), one, -1) if len(points) else one
         self.order = np.lexsort((*points.T[::-1], size, first))
-        self.points, self.size, self.labels = points[self.order], size[self.order], self.labels[self.order]
+        self.points, self.size, self.labels = points[self.order], size[self.order], one[self.order]
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, int, int]] = {}
 
     def _box(self, a: int, b: int) -> tuple[np.ndarray, int, int]:
@@ -123,16 +142,17 @@ class CountRTree:
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of members that may be linked, each pair once, found by joining the tree with itself."""
         n, p = len(self.size), self.percent
-        stack = [(0, n, 0, n)] if n > 1 else []
+        stack = [(0, n, 0, n)] if n > 1 or n and self.boxes else []
         while stack:
             a, b, c, d = stack.pop()
+            self.visited += 1
             (x, least_x, i), (y, least_y, j) = self._box(a, b), self._box(c, d)
             if i == j >= 0 or (100 + p) * int(overlap_bound(x, y)) < p * (least_x + least_y):
                 continue
             if b - a <= LEAF and d - c <= LEAF:
                 may = (100 + p) * overlap_bound(self.points[a:b, None], self.points[None, c:d]) >= p * (self.size[a:b, None] + self.size[None, c:d])
-                u, v = np.nonzero(may & (self.labels[a:b, None] != self.labels[None, c:d]))
-                one = u + a < v + c
+                u, v = np.nonzero(may & ((self.labels[a:b, None] != self.labels[None, c:d]) | (self.labels[a:b, None] < 0)))
+                one = u + a <= v + c if self.boxes else u + a < v + c
                 if one.any():
                     yield self.order[u[one] + a], self.order[v[one] + c]
             elif (a, b) == (c, d):
@@ -146,80 +166,127 @@ class CountRTree:
                 stack += [(a, b, c, m), (a, b, m, d)]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [s[: min(SAMPLE_SHINGLES, len(s) // 2 + 1)] for s in (shingles(t, width) for t in batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["shingle"])
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.asarray(batch.column(n)) for n in names]
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several texts of a sample of bounded size hold, sorted."""
-    share = max(1, (docs.count() + SAMPLE // 2) // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
-    n = some.mapInArrow(partial(_sampled, width=width), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
-    return np.sort(n.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: np.ndarray, more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
-    """Size, name, point and keys of each text's set, and columns `more` as they are; a set that a batch holds again has no keys there."""
+def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Size, digest, point and keys of each text's set, and columns `more` as they are; a set that a batch holds again has no keys there."""
     for whole in batches:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in slices(whole, "text"):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-            names = [_name(s) for s in sets]
+            digests = [_digest(s) for s in sets]
             got = []
-            for s, name in zip(sets, names, strict=True):
-                got.append(np.empty(0, dtype=np.int64) if name in seen else keys(s, frequent, percent).view(np.int64))
-                seen.add(name)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([packed(point(s)) for s in sets], pa.binary()), pa.array(got, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(n) for n in more)], ["doc_id", "n", "set_id", "point", "keys", *more])
+            for s, d in zip(sets, digests, strict=True):
+                got.append(np.empty(0, dtype=np.int64) if d in seen else s[: len(s) - int(left_out(np.int64(len(s)), percent))].view(np.int64))
+                seen.add(d)
+            s1, s2 = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).T
+            columns = {"n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array(s1), "s2": pa.array(s2), "point": pa.array([packed(point(s)) for s in sets], pa.binary()), "keys": pa.array(got, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns.values(), *(batch.column(n) for n in more)], ["doc_id", "row", *columns, *more])
 
 
-def _name(s: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _digest(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sets of the texts whose doc_id may be wanted; a null doc_id always may."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int, table: object) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts whose doc_id may be wanted; a null doc_id always may. Without a table, of all texts."""
     for whole in batches:
-        ids = whole.column("doc_id")
-        may = in_table(table, np.asarray(ids.fill_null(0))) | ~np.asarray(ids.is_valid())
-        for batch in slices(whole.filter(pa.array(may)), "text"):
+        if table is not None:
+            ids = whole.column("doc_id")
+            whole = whole.filter(pa.array(in_table(table.value, np.asarray(ids.fill_null(0))) | ~np.asarray(ids.is_valid())))
+        for batch in slices(whole, "text"):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "members"])
+            s1, s2 = np.frombuffer(b"".join(map(_digest, sets)), dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array([s.tobytes() for s in sets], pa.binary())], ["s1", "s2", "members"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key, size and row: all pairs of a key's sets whose sizes allow a link (kind 0: a, b), and of a key
+    with more than `most` sets the sets themselves (kind 1: a is the key). What is held of a key is bounded."""
+    k, r, n = (np.empty(0, dtype=np.int64) for _ in range(3))
+    heavy = None  # the open key, once it is known to have many sets
+
+    def done(k: np.ndarray, r: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(start, len(k)))
+        a, b = [], []
+        for q in range(2, most + 1):
+            at = start[size == q]
+            if len(at):
+                at = at[:, None] + np.arange(q)
+                i, j = np.triu_indices(q, 1)
+                near = 100 * n[at][:, i] >= percent * n[at][:, j]
+                a.append(r[at][:, i][near])
+                b.append(r[at][:, j][near])
+        one, two = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (a, b))
+        many = np.repeat(size > most, size)
+        return _batch(kind=np.repeat(np.array([0, 1], dtype=np.int32), [len(one), many.sum()]), a=np.concatenate([np.minimum(one, two), k[many]]), b=np.concatenate([np.maximum(one, two), r[many]]))
+
+    def again(k: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        return _batch(kind=np.ones(len(k), dtype=np.int32), a=k, b=r)
 
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and set: those of keys with two sets or more, with the first set as the centre."""
-    key = last = center = None
-    held = False  # whether the last row is the only one of its key so far
     for batch in batches:
-        k, s = np.asarray(batch.column("key")), np.asarray(batch.column("set_id"))
-        again = np.concatenate([[key is not None and k[0] == key and s[0] == last], (k[1:] == k[:-1]) & (s[1:] == s[:-1])])
-        k, s = k[~again], s[~again]
+        k, r, n = (np.concatenate(x) for x in zip((k, r, n), _columns(batch, ("key", "row", "n")), strict=True))
+        if heavy is not None and len(k):
+            end = int(np.searchsorted(k != heavy, True)) if k[0] == heavy else 0
+            if end:
+                yield again(k[:end], r[:end])
+                k, r, n = k[end:], r[end:], n[end:]
+            if len(k):
+                heavy = None
         if not len(k):
             continue
-        new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        c = np.where(at >= 0, s[np.maximum(at, 0)], 0 if center is None else center)
-        first = np.concatenate([new[:-1] & ~new[1:], [False]])  # first rows whose key goes on in this batch
-        rows = first | ~new
-        before = held and not new[0]
-        if rows.any():
-            cols = [k[rows], s[rows], c[rows]]
-            if before:
-                cols = [np.concatenate([np.array([x], dtype=np.int64), y]) for x, y in zip((key, last, last), cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "set_id", "center"])
-        held, key, last, center = bool(new[-1]), k[-1], s[-1], c[-1]
+        last = len(k) - int(np.searchsorted((k != k[-1])[::-1], True))
+        if last:
+            yield done(k[:last], r[:last], n[:last])
+            k, r, n = k[last:], r[last:], n[last:]
+        if len(k) > most:
+            heavy = k[0]
+            yield again(k, r)
+            k, r, n = k[:0], r[:0], n[:0]
+    if len(k):
+        yield done(k, r, n)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key, salt, size and row: each set with the first one before it that its size allows a link with."""
+    key: tuple | None = None
+    center = least = 0
+    for batch in batches:
+        a, b = [], []
+        for k, salt, r, n in zip(*(x.tolist() for x in _columns(batch, ("key", "salt", "row", "n"))), strict=True):
+            if (k, salt) != key or 100 * least < percent * n:
+                key, center, least = (k, salt), r, n
+            else:
+                a.append(min(r, center))
+                b.append(max(r, center))
+        if a:
+            yield _batch(a=np.array(a), b=np.array(b))
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose summed smaller counts leave the similarity possible."""
+    """Pairs with keys enough in common, whose summed smaller counts leave the similarity possible.
+
+    `count` is null where the keys in common were not counted. Keys that sets of many heavier keys share and that were
+    not counted are at most `heavy` of either, for other sets `wide`.
+    """
     for batch in batches:
-        x, y = (unpacked(batch.column(n).to_pylist()) for n in ("p", "q"))
-        may = (100 + percent) * overlap_bound(x, y) >= percent * (x.sum(axis=1) + y.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(may)) for n in ("set_id", "center", "shared")], ["set_id", "center", "shared"])
+        na, nb, wa, wb, ha, hb = _columns(batch, ("na", "nb", "wa", "wb", "ha", "hb"))
+        count = np.asarray(batch.column("count").fill_null(1 << 40))
+        missed = np.where((ha >= 0) & (hb >= 0), np.minimum(ha, hb), np.minimum(wa, wb))
+        may = count + missed >= needed(na, nb, percent)
+        if may.any():
+            at = pa.array(np.flatnonzero(may))
+            x, y = (unpacked(batch.column(c).take(at).to_pylist()) for c in ("pa", "pb"))
+            may[may] = (100 + percent) * overlap_bound(x, y) >= percent * (na + nb)[may]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(may)) for c in ("a", "b")], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -227,65 +294,141 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     center, own = None, np.empty(0, dtype=np.uint64)
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for c, s, members in zip(*(batch.column(n).to_pylist() for n in ("center", "set_id", "members")), strict=True):
+        for c, s, role, members in zip(*(batch.column(n).to_pylist() for n in ("center", "row", "role", "members")), strict=True):
             x = np.frombuffer(members, dtype=np.uint64)
-            if s == c:
+            if not role:
                 center, own = c, x
-                count = point(own)
-            elif c == center and 100 * min(len(x), len(own)) >= percent * max(len(x), len(own)):
-                if (100 + percent) * int(overlap_bound(point(x), count)) >= percent * (len(x) + len(own)):
-                    i = np.searchsorted(own, x)
-                    both = int((own[np.minimum(i, len(own) - 1)] == x).sum())
-                    if links(len(x), len(own), both, percent):
-                        out.append((s, c))
+            elif c == center:
+                i = np.searchsorted(own, x)
+                if links(len(x), len(own), int((own[np.minimum(i, len(own) - 1)] == x).sum()), percent):
+                    out.append((s, c))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], ["a", "b"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs of one key's members in different components that the R-tree can't rule out.
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) that are linked. A set that is b of many pairs is copied for every STAR of them."""
+    sizes = pairs.groupBy(F.col("b").alias("center")).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")).drop("n")
+    p = pairs.toDF("row", "center").join(sizes, "center").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    members = p.join(sets, "row").select("center", "salt", "row", "members", F.lit(1).alias("role"))
+    centers = sizes.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("row", "center"), "center")
+    both = members.unionAll(centers.select("center", "salt", F.col("center").alias("row"), "members", F.lit(0).alias("role")))
+    dealt = both.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "role")
+    return dealt.select("center", "row", "role", "members").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
-    A pair that also shares one of the keys just before this one is left to that key. With `best`, of the pairs of two
-    components only the one with the largest bound.
-    """
 
-    def join(rows: list[tuple[int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
-        s, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        points = unpacked([r[2] for r in rows])
-        before = [frozenset(r[3]) for r in rows]
-        for u, v in CountRTree(points, percent, comp).pairs():
-            new = np.array([before[x].isdisjoint(before[y]) for x, y in zip(u.tolist(), v.tolist(), strict=True)], dtype=bool)
-            u, v = u[new], v[new]
-            if best and len(u):
-                low, high = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
-                order = np.argsort(-overlap_bound(points[u], points[v]), kind="stable")
-                one = order[np.unique(np.column_stack([low, high])[order], axis=0, return_index=True)[1]]
-                u, v = u[one], v[one]
-            if len(u):
-                a, b = s[u], s[v]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["set_id", "center"])
+_NODE = "key long, node long, top binary, least long, label long, n int, rows binary, comps binary, points binary, before binary"
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key and component: leaf nodes of a key's sets as rows, with their box and members."""
+    from pyspark import TaskContext
+
+    made, held, part = 0, [], TaskContext.get().partitionId()
+    key = None
+
+    def node() -> list:
+        points = unpacked([h[2] for h in held])
+        comps = np.array([h[1] for h in held])
+        before = np.zeros((len(held), BEFORE), dtype=np.int64)
+        for i, h in enumerate(held):
+            before[i, : len(h[3])] = h[3]
+        size = points.sum(axis=1, dtype=np.int64)
+        label = int(comps[0]) if (comps == comps[0]).all() else -1
+        return [key, part << 32 | made, packed(points.max(axis=0)), int(size.min()), label, len(held), np.array([h[0] for h in held]).tobytes(), comps.tobytes(), points.tobytes(), before.tobytes()]
+
+    def ready(rows: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _NODE.split(", ")])
+
+    rows: list = []
+    for batch in batches:
+        for k, *row in zip(*(batch.column(n).to_pylist() for n in ("key", "row", "comp", "point", "before")), strict=True):
+            if held and (k != key or len(held) >= NODE):
+                rows.append(node())
+                made, held = made + 1, []
+            key = k
+            held.append(row)
+        if len(rows) >= 64:
+            yield ready(rows)
+            rows = []
+    if held:
+        rows.append(node())
+    if rows:
+        yield ready(rows)
+
+
+def _join_nodes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From nodes sorted by key: pairs of one key's nodes that its R-tree can't rule out."""
+
+    def join(rows: list) -> pa.RecordBatch | None:
+        name = np.array([r[0] for r in rows])
+        tree = CountRTree(unpacked([r[1] for r in rows]), percent, np.array([r[3] for r in rows]), np.array([r[2] for r in rows]))
+        got = list(tree.pairs())
+        return _batch(i=name[np.concatenate([u for u, _ in got])], j=name[np.concatenate([v for _, v in got])]) if got else None
 
     key, held = None, []
     for batch in batches:
-        for k, *row in zip(*(batch.column(n).to_pylist() for n in ("key", "set_id", "comp", "point", "before")), strict=True):
-            if k != key and held:
-                yield from join(held)
+        for k, *row in zip(*(batch.column(n).to_pylist() for n in ("key", "node", "top", "least", "label")), strict=True):
+            if held and k != key:
+                if (got := join(held)) is not None:
+                    yield got
                 held = []
             key = k
             held.append(row)
-    if held:
-        yield from join(held)
+    if held and (got := join(held)) is not None:
+        yield got
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (set_id, center) that are linked, as (a, b). A centre with many members is copied for every STAR of them."""
-    sizes = pairs.groupBy("center").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")).drop("n")
-    p = pairs.join(sizes, "center").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int"))
-    members = p.join(sets, "set_id").select("center", "salt", "set_id", "members", F.lit(1).alias("role"))
-    centers = sizes.select(F.col("center"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("set_id", "center"), "center")
-    both = members.unionAll(centers.select("center", "salt", F.col("center").alias("set_id"), "members", F.lit(0).alias("role")))
-    dealt = both.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "role")
-    return dealt.select("center", "set_id", "members").mapInArrow(partial(_verify, percent=percent), "a long, b long")
+def _earlier(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the 16 most frequent earlier keys each member of two nodes has, as bits."""
+    values, n = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_counts=True)
+    n[values == 0] = 0
+    top = values[np.argsort(-n, kind="stable")[:16]]
+    bits = [np.zeros(len(z), dtype=np.uint32) for z in (x, y)]
+    for k, v in enumerate(top.tolist()):
+        if v:
+            for out, z in zip(bits, (x, y), strict=True):
+                out |= (z == v).any(axis=1).astype(np.uint32) << np.uint32(k)
+    return bits[0], bits[1]
+
+
+def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """From pairs of nodes: pairs of members in different components that their group counts do not rule out.
+
+    A pair that also shares one of the keys just before this one is left to that key. With `best`, of the pairs of two
+    components only the one with the largest bound.
+    """
+    for batch in batches:
+        out: list[np.ndarray] = []
+        for r in batch.to_pylist():
+            side = []
+            for s in ("x", "y"):
+                p = r[f"{s}points"]
+                points = np.frombuffer(p, dtype=np.uint8 if len(p) == GROUPS * r[f"{s}n"] else np.uint32).reshape(-1, GROUPS)
+                side.append((np.frombuffer(r[f"{s}rows"], dtype=np.int64), np.frombuffer(r[f"{s}comps"], dtype=np.int64), points, np.frombuffer(r[f"{s}before"], dtype=np.int64).reshape(-1, BEFORE)))
+            (rx, cx, px, bx), (ry, cy, py, by) = side
+            mx, my = _earlier(bx, by)
+            new = ((mx[:, None] & my[None]) == 0) & (cx[:, None] != cy[None])
+            if r["i"] == r["j"]:
+                new &= np.triu(np.ones(new.shape, dtype=bool), 1)
+            u, v = np.nonzero(new)
+            size = px.sum(axis=1, dtype=np.int64), py.sum(axis=1, dtype=np.int64)
+            for at in range(0, len(u), 1 << 15):
+                i, j = u[at : at + (1 << 15)], v[at : at + (1 << 15)]
+                bound = overlap_bound(px[i], py[j])
+                may = (100 + percent) * bound >= percent * (size[0][i] + size[1][j])
+                i, j, bound = i[may], j[may], bound[may]
+                if best and len(i):
+                    low, high = np.minimum(cx[i], cy[j]), np.maximum(cx[i], cy[j])
+                    order = np.argsort(-bound, kind="stable")
+                    one = order[np.unique(np.column_stack([low, high])[order], axis=0, return_index=True)[1]]
+                    i, j = i[one], j[one]
+                if len(i):
+                    out.append(np.stack([np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])]))
+        if out:
+            a, b = np.concatenate(out, axis=1)
+            yield _batch(a=a, b=b)
 
 
 def text_hashes(text: Column) -> dict[str, Column]:
@@ -304,82 +447,99 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     `rows` adds text_hashes() of the row's text and `component`, which is one number for one component and null for empty
     sets.
 
-    1. Equal sets are one class. A set's keys are its first shingles in one order for all sets, frequent ones last, so
-       many that linked sets share one. Sets that share a key form a bucket; no pairs are made within it: each set is
-       tied to the bucket's first set, its centre.
-    2. Pairs of a set and a centre that their group counts do not rule out are verified on the sets themselves,
-       first the centre with most keys in common, then centres that are still in another component.
-    3. Buckets that hold several components get an R-tree of their members' group counts, whose boxes bound the
-       overlap by summed minima; surviving pairs of different components are verified too, first the likeliest pair
-       of any two components, then all that are left. So every linked pair is found or already connected. Shingles
-       are compared as 64-bit hashes.
+    1. Equal sets (by 128 bits) are one class, known by one of its rows. A set's keys are its first shingles in an order
+       that all sets share. How many keys linked sets have in common at least is known from their sizes: see needed().
+    2. All pairs of sets that share a key of few sets are counted by key. A pair is a candidate if its count, and what
+       the two can share besides, reaches what is needed, and if their group counts allow the similarity.
+    3. Sets with many keys of many sets are few: copies of one another in the main, or made of common passages. Each is
+       first tied to one centre a key. Then leaf nodes of such a key's sets are made and joined by an R-tree, whose boxes
+       bound the overlap by summed minima and skip nodes of one component; pairs of different components that survive are
+       candidates, first the likeliest pair of any two components, then all that are left.
+    4. Candidates are verified on the sets themselves. So every linked pair is found or already connected.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_shingles(narrow, width)
     extra = tuple(text_hashes(F.col("text"))) if rows else ()
-    named = narrow.withColumns(text_hashes(F.col("text"))) if rows else narrow
-    wide = keep(named.mapInArrow(partial(_describe, width=width, percent=percent, frequent=frequent, more=extra), ", ".join(["doc_id long, n long, set_id long, point binary, keys array<long>", *(f"{n} long" for n in extra)])))
-    all_docs = keep(wide.select("doc_id", "n", "set_id", "point", *extra))
+    named = narrow.withColumn("row", F.monotonically_increasing_id())  # fixed by writing them down
+    named = named.withColumns(text_hashes(F.col("text"))) if rows else named
+    wide = keep(named.mapInArrow(partial(_describe, width=width, percent=percent, more=extra), ", ".join(["doc_id long, row long, n long, s1 long, s2 long, point binary, keys array<long>", *(f"{n} long" for n in extra)])))
+    all_docs = keep(wide.select("doc_id", "row", "n", "s1", "s2", *extra))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    held = wide.select(F.explode("keys").alias("key"), "set_id")
-    members = keep(held.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(_stars, "key long, set_id long, center long"))
+    classes = keep(all_docs.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("doc_id")))
+    own = keep(wide.join(classes.select("row"), "row", "left_semi").select("row", "n", "point", "keys"))
     discard(wide)
+
+    def by_key(held: DataFrame, *order: str) -> DataFrame:
+        return held.repartition(parts, "key", *order[:-2]).sortWithinPartitions("key", *order)
+
+    tiers = "kind int, a long, b long"
+    first = keep(by_key(own.select(F.explode("keys").alias("key"), "row", "n"), "n", "row").mapInArrow(partial(_count_pairs, most=LIGHT, percent=percent), tiers))
+    own_points = keep(own.select("row", "n", "point"))
+    discard(own)
     release(spark)
-    classes = all_docs.filter("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id").alias("doc_id"))
-    points = all_docs.select("set_id", "point").dropDuplicates(["set_id"])
-    pairs = members.filter("set_id <> center").groupBy("set_id", "center").agg(F.count("*").alias("shared"))
-    pairs = pairs.join(points.withColumnRenamed("point", "p"), "set_id").join(points.select(F.col("set_id").alias("center"), F.col("point").alias("q")), "center")
-    pairs = cut(pairs.select("set_id", "center", "shared", "p", "q").mapInArrow(partial(_bounded, percent=percent), "set_id long, center long, shared long"))
-
-    def fetch(p: DataFrame) -> DataFrame:
-        """The sets that pairs name, from their texts; other texts are left out before anything is shuffled."""
-        wanted = cut(p.select("set_id").unionAll(p.select("center")).distinct().join(classes, "set_id"))
-        found = narrow.mapInArrow(partial(_sets, width=width, table=bit_table(wanted, "doc_id")), "set_id long, members binary")
-        out = keep(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    size = own_points.select("row", "n")
+    heavier = lambda tier: tier.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("row"))
+    many = lambda held: held.groupBy("row").agg(F.count("*").alias("k")).join(size, "row").withColumn("inside", F.col("k") >= needed_of(F.col("n"), percent))
+    wide_keys = keep(many(heavier(first)))
+    inside = wide_keys.filter("inside").select("row", "n")
+    second = keep(by_key(heavier(first).join(inside, "row"), "n", "row").mapInArrow(partial(_count_pairs, most=MEDIUM, percent=percent), tiers))
+    heavy_keys = keep(many(heavier(second)))
+    heavy = heavier(second).join(heavy_keys.filter("inside").select("row", "n"), "row")
+    heavy = heavy.join(heavy.groupBy("key").agg(F.ceil(F.count("*") / SALTED).alias("salts")), "key")
+    heavy = keep(heavy.select("key", "row", "n", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt")))
+    stars = by_key(heavy, "salt", "n", "row").mapInArrow(partial(_stars, percent=percent), "a long, b long").distinct().select("a", "b", F.lit(None).cast("long").alias("count"))
+    counted = first.filter("kind = 0").unionAll(second.filter("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("count"))
+    known = own_points.join(wide_keys.select("row", F.col("k").alias("w"), "inside"), "row", "left").join(heavy_keys.select("row", F.col("k").alias("h")), "row", "left")
+    known = known.select("row", "n", F.coalesce("w", F.lit(0)).alias("w"), F.when(F.col("inside"), F.coalesce("h", F.lit(0))).otherwise(-1).alias("h"), F.col("point").alias("p"))
+
+    def side(x: str) -> DataFrame:
+        return known.select(F.col("row").alias(x), *(F.col(c).alias(c + x) for c in ("n", "w", "h", "p")))
+
+    pairs = cut(counted.unionAll(stars).join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_bounded, percent=percent), "a long, b long").distinct())
+    discard(first, second, wide_keys, heavy_keys)
+    release(spark)
+
+    def linked(p: DataFrame) -> DataFrame:
+        """The pairs that are linked; their sets come from the texts, and other texts are left out before anything is shuffled."""
+        wanted = cut(p.select(F.col("a").alias("row")).unionAll(p.select("b")).distinct().join(classes, "row"))
+        n = wanted.count()
+        if not n:
+            return p
+        small = n * 16 <= BITS_AT_MOST
+        table = spark.sparkContext.broadcast(bit_table(wanted, "doc_id", n * 16)) if small else None
+        texts = narrow if small else narrow.join(wanted.select("doc_id").distinct(), narrow.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
+        found = texts.mapInArrow(partial(_sets, width=width, table=table), "s1 long, s2 long, members binary")
+        sets = keep(found.join(wanted.select("row", "s1", "s2"), ["s1", "s2"]).select("row", "members").dropDuplicates(["row"]))
+        out = cut(_linked(p, sets, percent, parts))
+        discard(sets)
+        if table is not None:
+            table.unpersist()
         release(spark)
         return out
 
-    sets = fetch(pairs)
-    best = pairs.groupBy("set_id").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
-    edges = cut(_linked(best, sets, percent, parts))
-    release(spark)
+    edges = linked(pairs)
     comp = cut(components(edges))
-
-    def apart(p: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        a = comp.select(F.col("node").alias("set_id"), F.col("component").alias("_a"))
-        b = comp.select(F.col("node").alias("center"), F.col("component").alias("_b"))
-        p = p.join(a, "set_id", "left").join(b, "center", "left")
-        return p.filter(F.coalesce("_a", "set_id") != F.coalesce("_b", "center")).select("set_id", "center")
-
-    more = cut(apart(pairs.select("set_id", "center")).join(best, ["set_id", "center"], "left_anti"))
-    if more.limit(1).count():
-        edges = cut(edges.unionAll(_linked(more, sets, percent, parts)))
-        release(spark)
+    recent = Window.partitionBy("row").orderBy("key").rowsBetween(-BEFORE, -1)
+    for best in (True, False) if heavy.limit(1).count() else ():
+        held = heavy.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        held = held.withColumn("before", F.collect_list("key").over(recent)).join(mixed, "key").join(own_points.select("row", "point"), "row")
+        nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE))
+        boxes = nodes.select("key", "node", "top", "least", "label").repartition(parts, "key").sortWithinPartitions("key", "node")
+        asked = boxes.mapInArrow(partial(_join_nodes, percent=percent), "i long, j long").repartition(parts)
+        end = lambda s, name: nodes.select(F.col("node").alias(name), *(F.col(c).alias(s + c) for c in ("n", "rows", "comps", "points", "before")))  # noqa: E731, B023
+        cross = asked.join(end("x", "i"), "i").join(end("y", "j"), "j").mapInArrow(partial(_cross, percent=percent, best=best), "a long, b long").distinct()
+        cross = cut(cross.join(pairs, ["a", "b"], "left_anti"))
+        discard(nodes)
+        if not cross.limit(1).count():
+            break
+        edges = cut(edges.unionAll(linked(cross)))
+        pairs = pairs.unionAll(cross)
         comp = cut(components(edges))
-    discard(sets)
-    recent = Window.partitionBy("set_id").orderBy("key").rowsBetween(-BEFORE, -1)
-    asked = pairs.select("set_id", "center")
-    asked = asked.unionAll(asked.select(F.col("center").alias("set_id"), F.col("set_id").alias("center")))
-    for best_only in (True, False):
-        held = members.select("key", "set_id").join(comp.select(F.col("node").alias("set_id"), F.col("component").alias("comp")), "set_id", "left")
-        held = held.withColumn("comp", F.coalesce("comp", "set_id"))
-        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("key")
-        held = held.join(mixed, "key").withColumn("before", F.collect_list("key").over(recent)).join(points, "set_id")
-        cross = held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_cross, percent=percent, best=best_only), "set_id long, center long").distinct()
-        cross = cut(cross.join(asked, ["set_id", "center"], "left_anti"))
-        if cross.limit(1).count():
-            sets = fetch(cross)
-            edges = cut(edges.unionAll(_linked(cross, sets, percent, parts)))
-            discard(sets)
-            release(spark)
-            comp = cut(components(edges))
-            asked = asked.unionAll(cross)
-    named = classes.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = classes.join(comp.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = named.join(least, "component").select("set_id", "component_id", *(["component"] if rows else []))
-    out = all_docs.select("doc_id", "n", "set_id", *extra).join(known, "set_id", "left")
+    whole = named.join(least, "component").select("s1", "s2", "component_id", *(["component"] if rows else []))
+    out = all_docs.select("doc_id", "n", "s1", "s2", *extra).join(whole, ["s1", "s2"], "left")
     out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *extra, *([F.when(F.col("n") > 0, F.col("component")).alias("component")] if rows else [])))
-    discard(all_docs, members)
+    discard(all_docs, classes, own_points, heavy)
     return out
