@@ -50,7 +50,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, texts=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
