@@ -518,29 +518,43 @@ def covered(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length, gram, bucket", [(400, 128, 20_000), (60, 20, 20_000), (60, 20, 3), (40, 8, 5)])
-def test_repeats(spark, monkeypatch, length, gram, bucket):
-    monkeypatch.setattr(repeats, "BUCKET", bucket)
+@pytest.mark.parametrize("length, pieces, crowd, block", [(400, 20_000, 64, 4_000_000), (60, 20_000, 64, 4_000_000), (60, 3, 2, 50), (40, 5, 1, 10), (7, 20_000, 2, 200)])
+def test_repeats(spark, monkeypatch, length, pieces, crowd, block):
+    for name, value in (("PIECES", pieces), ("CROWD", crowd), ("BLOCK", block)):
+        monkeypatch.setattr(repeats, name, value)
     rows = corpus()
+    if length < 40:
+        rows = [(i, (t or "")[:1500]) for i, t in rows]
     data = [(t or "").encode() for _, t in rows]
     want = Counter()
     for (d, _), b, f in zip(rows, data, covered(data, length)):
         kept = np.frombuffer(b, dtype=np.uint8)[~f].tobytes()
         want[d, len(b), int(f.sum()), int((np.diff(np.concatenate([[0], f.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    got = repeats.remove_repeats(frame(spark, rows), length=length, gram=gram)
+    got = repeats.remove_repeats(frame(spark, rows), length=length)
     assert Counter(tuple(r) for r in got.collect()) == want
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
-def test_cover_depends_on_content_alone():
-    rng = random.Random(13)
-    body = prose(rng, 60).encode()
-    places = set()
-    for _ in range(20):
-        data = prose(rng, rng.randint(1, 50)).encode() + body + prose(rng, 9).encode()
-        at = data.index(body)
-        first, last, place = repeats.cover(repeats.Prints(data).every(30), 71)
-        i = np.searchsorted(first, at, side="right") - 1
-        assert first[i] <= at <= last[i]
-        places.add(int(place[i]) - at)
-    assert len(places) == 1
+def test_repeats_within_periodic_texts(spark):
+    """Places of one text that are near each other have one start; a string met twice at one place is no repeat."""
+    rng = random.Random(19)
+    once = prose(rng, 200)
+    texts = ["ab" * 400, "a" * 900, "xyz" * 40 + once, once[:150] + "q" * 61, "0123456789" * 7, once[40:180] + once[40:180], "k" * 60, "k" * 59]
+    data = [t.encode() for t in texts]
+    got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, list(enumerate(texts))), length=60, texts=True).collect()}
+    for i, (b, f) in enumerate(zip(data, covered(data, 60))):
+        assert got[i].n_removed == int(f.sum())
+        assert got[i].kept_text.encode() == np.frombuffer(b, dtype=np.uint8)[~f].tobytes()
+
+
+def test_difference_covers():
+    for q in (2, 3, 5, 7, 11, 13, 17):
+        d, p = repeats.singer(q), q * q + q + 1
+        assert len(d) == q + 1 and {(i - j) % p for i in d for j in d} == set(range(p))
+    assert repeats.cover_of(400)[0] == 307 and repeats.cover_of(240)[0] == 183 and repeats.cover_of(5) == (1, (0,))
+    period, residues = repeats.cover_of(60)
+    gram = 60 - period + 1
+    at = set(repeats.sampled(200, gram, period, residues).tolist())
+    for i in range(0, 140):
+        for j in range(0, 140):
+            assert any(i + k in at and j + k in at for k in range(period))
