@@ -48,7 +48,7 @@ PASSAGE = 240
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of PASSAGE bytes that occur twice or more; those of which nothing is left are gone."""
-    r = repeats.remove_repeats(docs, length=PASSAGE, gram=72, texts=True, carry=True)
+    r = repeats.remove_repeats(docs, length=PASSAGE, texts=True, carry=True)
     cut = F.col("n_removed") > 0
     r = r.filter(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     n = F.when(cut, F.length("kept_text").cast("long"))
