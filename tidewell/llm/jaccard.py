@@ -393,11 +393,10 @@ def _earlier(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits[0], bits[1]
 
 
-def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From pairs of nodes: pairs of members in different components that their group counts do not rule out.
 
-    A pair that also shares one of the keys just before this one is left to that key. With `best`, of the pairs of two
-    components only the one with the largest bound.
+    A pair that also shares one of the keys just before this one is left to that key.
     """
     for batch in batches:
         out: list[np.ndarray] = []
@@ -416,14 +415,8 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
             size = px.sum(axis=1, dtype=np.int64), py.sum(axis=1, dtype=np.int64)
             for at in range(0, len(u), 1 << 15):
                 i, j = u[at : at + (1 << 15)], v[at : at + (1 << 15)]
-                bound = overlap_bound(px[i], py[j])
-                may = (100 + percent) * bound >= percent * (size[0][i] + size[1][j])
-                i, j, bound = i[may], j[may], bound[may]
-                if best and len(i):
-                    low, high = np.minimum(cx[i], cy[j]), np.maximum(cx[i], cy[j])
-                    order = np.argsort(-bound, kind="stable")
-                    one = order[np.unique(np.column_stack([low, high])[order], axis=0, return_index=True)[1]]
-                    i, j = i[one], j[one]
+                may = (100 + percent) * overlap_bound(px[i], py[j]) >= percent * (size[0][i] + size[1][j])
+                i, j = i[may], j[may]
                 if len(i):
                     out.append(np.stack([np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])]))
         if out:
@@ -454,7 +447,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     3. Sets with many keys of many sets are few: copies of one another in the main, or made of common passages. Each is
        first tied to one centre a key. Then leaf nodes of such a key's sets are made and joined by an R-tree, whose boxes
        bound the overlap by summed minima and skip nodes of one component; pairs of different components that survive are
-       candidates, first the likeliest pair of any two components, then all that are left.
+       candidates.
     4. Candidates are verified on the sets themselves. So every linked pair is found or already connected.
     """
     spark = docs.sparkSession
@@ -485,8 +478,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     second = keep(by_key(heavier(first).join(inside, "row"), "n", "row").mapInArrow(partial(_count_pairs, most=MEDIUM, percent=percent), tiers))
     heavy_keys = keep(many(heavier(second)))
     heavy = heavier(second).join(heavy_keys.filter("inside").select("row", "n"), "row")
-    heavy = heavy.join(heavy.groupBy("key").agg(F.ceil(F.count("*") / SALTED).alias("salts")), "key")
-    heavy = keep(heavy.select("key", "row", "n", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt")))
+    crowds = heavy.groupBy("key").agg(F.ceil(F.count("*") / SALTED).alias("salts")).filter("salts > 1")
+    heavy = keep(heavy.join(crowds, "key", "left").select("key", "row", "n", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")))
     stars = by_key(heavy, "salt", "n", "row").mapInArrow(partial(_stars, percent=percent), "a long, b long").distinct().select("a", "b", F.lit(None).cast("long").alias("count"))
     counted = first.filter("kind = 0").unionAll(second.filter("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("count"))
     known = own_points.join(wide_keys.select("row", F.col("k").alias("w"), "inside"), "row", "left").join(heavy_keys.select("row", F.col("k").alias("h")), "row", "left")
@@ -519,22 +512,19 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
 
     edges = linked(pairs)
     comp = cut(components(edges))
+    held = heavy.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     recent = Window.partitionBy("row").orderBy("key").rowsBetween(-BEFORE, -1)
-    for best in (True, False) if heavy.limit(1).count() else ():
-        held = heavy.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        held = held.withColumn("before", F.collect_list("key").over(recent)).join(mixed, "key").join(own_points.select("row", "point"), "row")
-        nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE))
-        boxes = nodes.select("key", "node", "top", "least", "label").repartition(parts, "key").sortWithinPartitions("key", "node")
-        asked = boxes.mapInArrow(partial(_join_nodes, percent=percent), "i long, j long").repartition(parts)
-        end = lambda s, name: nodes.select(F.col("node").alias(name), *(F.col(c).alias(s + c) for c in ("n", "rows", "comps", "points", "before")))  # noqa: E731, B023
-        cross = asked.join(end("x", "i"), "i").join(end("y", "j"), "j").mapInArrow(partial(_cross, percent=percent, best=best), "a long, b long").distinct()
-        cross = cut(cross.join(pairs, ["a", "b"], "left_anti"))
-        discard(nodes)
-        if not cross.limit(1).count():
-            break
+    held = held.withColumn("before", F.collect_list("key").over(recent)).join(mixed, "key", "left_semi").join(own_points.select("row", "point"), "row")
+    nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE))
+    boxes = nodes.select("key", "node", "top", "least", "label").repartition(parts, "key").sortWithinPartitions("key", "node")
+    asked = boxes.mapInArrow(partial(_join_nodes, percent=percent), "i long, j long").repartition(parts)
+    end = lambda s, name: nodes.select(F.col("node").alias(name), *(F.col(c).alias(s + c) for c in ("n", "rows", "comps", "points", "before")))
+    cross = asked.join(end("x", "i"), "i").join(end("y", "j"), "j").mapInArrow(partial(_cross, percent=percent), "a long, b long").distinct()
+    cross = cut(cross.join(pairs, ["a", "b"], "left_anti"))
+    discard(nodes)
+    if cross.limit(1).count():
         edges = cut(edges.unionAll(linked(cross)))
-        pairs = pairs.unionAll(cross)
         comp = cut(components(edges))
     named = classes.join(comp.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
