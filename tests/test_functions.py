@@ -54,3 +54,17 @@ def test_durations():
         Duration.parse("soon")
     with pytest.raises(ValueError):
         Duration(1, "fortnight")
+
+
+def test_arrays_agree_with_columns(spark):
+    """The array form of every function, used between kernels of a stream."""
+    import numpy as np
+
+    x = np.array([-2.5, -1.0, -0.5, 0.0, 0.3, 0.5, 1.0, 1.5, 2.5, 40.0, float("inf"), float("nan")])
+    df = spark.createDataFrame([(k, float(v), float(w)) for k, (v, w) in enumerate(zip(x, x[::-1]))], "k int, x double, y double").coalesce(1)
+    names = sorted(S.UNARY) + sorted(S.BINARY)
+    got = df.select("k", *(S.UNARY[n](F.col("x")).alias(n) for n in sorted(S.UNARY)), *(S.BINARY[n](F.col("x"), F.col("y")).alias(n) for n in sorted(S.BINARY))).orderBy("k").toPandas()
+    with np.errstate(all="ignore"):
+        for n in names:
+            want = S.on_array(n, x) if n in S.UNARY else S.BINARY_ARRAYS[n](x, x[::-1])
+            np.testing.assert_allclose(got[n].to_numpy(dtype=float), want, rtol=1e-9, atol=1e-12, err_msg=n)

@@ -9,20 +9,25 @@ from tidewell.plans import graph as G
 
 
 def example():
+    """Two prices: their spread is smoothed and scaled, one of them is also taken by itself, and both meet again."""
     g = G.Graph()
-    g.root("Root", 3)
-    for n, e in {"A": "Root.0", "B": "Root.1", "C": "Root.2", "D": "A", "E": "A", "F": "B", "G": "C", "H": "D"}.items():
-        g.add(n, G.unary("neg"), e)
-    return g.set_output("E", "F", "G", "H")
+    g.root("quotes", 2)
+    g.add("spread", G.binary("sub"), "quotes.1", "quotes.0")
+    g.add("log", G.unary("log"), "quotes.0")
+    g.add("half", G.lerp(0.5), "quotes.0", "quotes.1")
+    g.add("share", G.binary("div"), "spread", "half")
+    g.add("level", G.unary("abs"), "share")
+    return g.set_output("level", "log")
 
 
 def test_structure():
     g = example()
-    assert g.size == 9 and not g.empty and "A" in g and "Z" not in g
-    assert g.pred_of("H") == ["D"] and g.succ_of("A") == ["D", "E"] and g.args_of("B") == [G.Edge("Root", 1)]
-    assert g.roots() == ["Root"] and g.leaves() == ["E", "F", "G", "H"] and g.is_root("Root") and g.is_leaf("H")
+    assert g.size == 6 and not g.empty and "half" in g and "whole" not in g
+    assert g.pred_of("share") == ["spread", "half"] and g.succ_of("quotes") == ["spread", "log", "half"]
+    assert g.args_of("spread") == [G.Edge("quotes", 1), G.Edge("quotes", 0)]
+    assert g.roots() == ["quotes"] and set(g.leaves()) == {"log", "level"} and g.is_root("quotes") and not g.is_leaf("half")
     order = g.order()
-    assert order.index("A") < order.index("D") < order.index("H")
+    assert max(order.index("spread"), order.index("half")) < order.index("share") < order.index("level")
     g.validate()
     g.clear()
     assert g.empty
@@ -37,18 +42,18 @@ def test_edges():
 
 @pytest.mark.parametrize("build", [
     lambda g: g.root("again"),
-    lambda g: g.add("A", G.unary("neg"), "Root.0"),
-    lambda g: g.add("", G.unary("neg"), "Root.0"),
-    lambda g: g.add("x.y", G.unary("neg"), "Root.0"),
-    lambda g: (g.add("N", G.unary("neg"), "Root.9"), g.validate()),
+    lambda g: g.add("half", G.unary("neg"), "quotes.0"),
+    lambda g: g.add("", G.unary("neg"), "quotes.0"),
+    lambda g: g.add("x.y", G.unary("neg"), "quotes.0"),
+    lambda g: (g.add("N", G.unary("neg"), "quotes.9"), g.validate()),
     lambda g: (g.add("N", G.unary("neg"), "Missing"), g.validate()),
-    lambda g: (g.add("N", G.binary("add"), "A"), g.validate()),
+    lambda g: (g.add("N", G.binary("add"), "half"), g.validate()),
     lambda g: (g.add_output("Missing"), g.validate()),
     lambda g: (g.add("P", G.unary("neg"), "Q"), g.add("Q", G.unary("neg"), "P"), g.validate()),
-    lambda g: (g.supp_root("S", ["p"]), g.supp_link("A", alpha="p")),
+    lambda g: (g.supp_root("S", ["p"]), g.supp_link("half", alpha="p")),
     lambda g: (g.aux("T", W.counter(2)), g.aux("U", W.counter(2))),
     lambda g: (g.aux("T", W.counter(2)), g.add("N", G.unary("neg"), "T")),
-    lambda g: g.aux("T", W.counter(2), "A"),
+    lambda g: g.aux("T", W.counter(2), "half"),
 ])
 def test_errors(build):
     with pytest.raises(ValueError):
@@ -93,3 +98,41 @@ def test_sequential_nodes_share_one_pass(spark):
     df = spark.createDataFrame([(1, 1, 10.0)], "k int, t int, x double")
     plan = g.set_output("m.2").run(df, Order("k", "t"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+def test_parameters_reach_rolling_operators(spark):
+    """A group's own span, and a span that changes with the rows."""
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.supp_root("p", ["n"])
+    g.add("s", G.rolling("sum", rows=1), "x")
+    g.supp_link("s", rows="n").set_output("s")
+    df = spark.createDataFrame([(k, t, float(t)) for k in (1, 2) for t in range(1, 6)], "k int, t int, x double")
+    own = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, n double")
+    got = {k: [r.s for r in g.run(df, Order("k", "t"), parameters=own).orderBy("t").collect() if r.k == k] for k in (1, 2)}
+    assert got == {1: [1, 3, 5, 7, 9], 2: [1, 3, 6, 9, 12]}
+    changing = df.filter("k = 1").withColumn("n", F.when(F.col("t") < 4, 2.0).otherwise(1.0))
+    assert [r.s for r in g.run(changing, Order("k", "t"), live=True).orderBy("t").collect()] == [1, 3, 5, 4, 5]
+
+
+def test_users_operator_over_a_span(spark):
+    class Range:
+        def __init__(self):
+            self.x = []
+
+        def add(self, x):
+            self.x.append(x)
+
+        def evict(self, x):
+            self.x.remove(x)
+
+        def value(self):
+            return max(self.x) - min(self.x)
+
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("r", G.windowed_operator(Range, 1, rows=3), "x")
+    g.add("d", G.windowed_operator(Range, 1, time=2), "x")
+    df = spark.createDataFrame([(1, t, float(x)) for t, x in enumerate([5, 1, 4, 4, 9])], "k int, t int, x double")
+    got = g.set_output("r", "d").run(df, Order("k", "t")).orderBy("t").collect()
+    assert [(r.r, r.d) for r in got] == [(0, 0), (4, 4), (4, 3), (3, 0), (5, 5)]

@@ -106,9 +106,38 @@ def test_time_extremes_follow_row_order(spark):
         times.append(t)
     xs = [rng.randint(0, 50) for _ in times]
     df = series(spark, {0: xs}, times)
-    out = scan(df, ORDER, [Node(KERNELS["time_extreme"], ["x", "ts"], ["lo"], {"time": 4.0, "largest": False})])
-    want = [min(x for s, x in zip(times[: i + 1], xs[: i + 1]) if s > t - 4) for i, t in enumerate(times)]
-    assert [v[0] for v in values(out, "lo")] == want
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("lo", G.rolling("min", time=4.0), "x")
+    g.add("hi", G.rolling("max", time=4.0), "x")
+    out = g.set_output("lo", "hi").run(df, ORDER)
+    spans = [[x for s, x in zip(times[: i + 1], xs[: i + 1]) if s > t - 4] for i, t in enumerate(times)]
+    assert values(out, "lo", "hi") == [(min(s), max(s)) for s in spans]
+
+
+@pytest.mark.parametrize("extent", [{"rows": 3}, {"time": 3.0}, {}])
+def test_nulls_do_not_count(spark, extent):
+    """The same rule for all spans: a row with a null in any input is as if it were not there."""
+    rows = [(1, 1.0, 10.0, 1.0), (1, 2.0, None, 1.0), (1, 3.0, 20.0, None), (1, 4.0, 40.0, 3.0), (1, 5.0, 80.0, 5.0), (2, 1.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "grp int, ts double, x double, y double")
+    g = G.Graph()
+    g.root("in", ["x", "y"])
+    for name in ("avg", "sum", "moment2", "max"):
+        g.add(name, G.rolling(name, **(extent or {"rows": 9} if name == "max" else extent)), "x")
+    g.add("cov", G.rolling("cov", **extent), "x", "y")
+    out = g.set_output("avg", "sum", "moment2.1", "max", "cov.0", "cov.2").run(df, Order("grp", "ts")).orderBy("grp", "ts").collect()
+    got = [tuple(r)[2:] for r in out]
+    width = 3 if extent else 9
+    for i, r in enumerate(got[:5]):
+        span = rows[max(0, i - width + 1) : i + 1]
+        x = [v for _, _, v, _ in span if v is not None]
+        both = [(v, w) for _, _, v, w in span if v is not None and w is not None]
+        mean = sum(x) / len(x)
+        want = [mean, sum(x), sum((v - mean) ** 2 for v in x), max(x)]
+        mx, my = (sum(c) / len(both) for c in zip(*both)) if both else (None, None)
+        want += [mx, None if not both else sum((v - mx) * (w - my) for v, w in both) / (len(both) - 1) if len(both) > 1 else 0.0]
+        assert [None if v is None else pytest.approx(v) for v in want] == list(r)
+    assert got[5] == (None,) * 6
 
 
 def bars(spark, times, size, partial=True):

@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from tidewell.operators import windows as W
 from tidewell.operators.frames import Order
 from tidewell.operators.scan import KERNELS, Node, scan
-from tidewell.streaming.runner import stream_bars, stream_scan
+from tidewell.plans import graph as G
+from tidewell.streaming.runner import stream_bars, stream_scan, stream_windows
 
 ORDER = Order("g", "ts")
 SCHEMA = "g int, ts timestamp, x double"
@@ -48,3 +51,60 @@ def test_bars_close_with_the_watermark(spark, tmp_path):
     assert len(got) >= len(want) - 3
     for r in got.itertuples():
         assert (r.bar_open, r.bar_high, r.bar_low, r.bar_close, r.n) == tuple(want.loc[(r.g, r.window_ts)])
+
+
+def test_graph_over_a_stream(spark, tmp_path):
+    """Rolling over rows, time and all rows, columns, kernels and running functors: the same as the batch."""
+    data = rows(60)
+    data.loc[[7, 20, 41], "x"] = np.nan
+    data["x"] = data["x"].astype(object).where(data["x"].notna(), None)
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("rows", G.rolling("stddev", rows=5), "x")
+    g.add("hour", G.rolling("avg", time="1 hour"), "x")
+    g.add("low", G.rolling("min", time="1 hour"), "x")
+    g.add("all", G.rolling("var"), "x")
+    g.add("lag", G.rolling("lag", rows=2), "hour")
+    g.add("mean", G.lerp(0.3), "hour", "low")
+    g.add("root", G.unary("sqrt"), "mean")
+    g.add("smooth", G.kernel("ema", alpha=5), "root")
+    g.add("twice", G.functor(lambda a, b: a * 2 + b, 2), "hour", "smooth")
+    g.add("n", G.running("count"))
+    g.set_output("rows.1", "hour", "low", "all.1", "lag", "smooth", "twice", "n")
+    drain(g.run(feed(spark, tmp_path, [data[:25], data[25:44], data[44:]]), ORDER), "graph")
+    sort = lambda df: df.toPandas().sort_values(["g", "ts"]).reset_index(drop=True)
+    got, want = sort(spark.table("graph")), sort(g.run(spark.createDataFrame(data, SCHEMA), ORDER))
+    assert len(got) == 60
+    for c in want.columns[2:]:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9)
+
+
+def test_columns_between_kernels_of_a_stream_are_an_error(spark, tmp_path):
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("a", G.kernel("ema", alpha=5), "x")
+    g.add("b", G.functor(lambda x: x * 2, 1), "a")
+    g.add("c", G.kernel("ema", alpha=5), "b")
+    with pytest.raises(ValueError, match="one pass"):
+        g.set_output("c").run(feed(spark, tmp_path, [rows(3)]), ORDER)
+
+
+@pytest.mark.parametrize("kind, size, assign", [("counter", 7, W.counter(7)), ("session", "30 minutes", W.session("30 minutes")), ("cusum", (0.03, "x"), W.cusum(0.03, "x")), ("tumbling", "1 hour", W.tumbling("1 hour"))])
+def test_windows_close_on_a_stream(spark, tmp_path, kind, size, assign):
+    """Every window that the batch closes, once, with the same aggregates."""
+    data = rows(90)
+    data["ts"] += pd.to_timedelta(np.arange(90) // 25 * 45, unit="min")
+    spec = {"bar": ("ohlc", ["x"]), "n": ("count", []), "sd": ("stddev", ["x"]), "r": ("log_return", ["x"]), "w": ("vwap", ["x", "x"])}
+    drain(stream_windows(feed(spark, tmp_path, [data[:31], data[31:33], data[33:]]), ORDER, (kind, size), spec), f"win_{kind}")
+    a = G.AggGraph().input("x").window(assign)
+    for name, cols in spec.values():
+        a.add(name, cols)
+    names = ["g", "window_ts", "bar_open", "bar_high", "bar_low", "bar_close", "n", "sd", "r", "w"]
+    want = a.run(spark.createDataFrame(data, SCHEMA), ORDER, emit_partial=False).toPandas()
+    got = spark.table(f"win_{kind}").toPandas()
+    want.columns = got.columns = names
+    sort = lambda df: df.sort_values(["g", "window_ts"]).reset_index(drop=True)
+    got, want = sort(got), sort(want)
+    assert len(got) == len(want) > 3 and (got["window_ts"] == want["window_ts"]).all()
+    for c in names[2:]:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ def _whole(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return rounded
 
 
-def _special(f: Callable[[float], float]) -> Callable[[Column], Column]:
-    """A function that Spark lacks, in Arrow batches."""
+def _guarded(f: Callable[[float], float]) -> Callable[[float], float]:
+    """A function of Python's math with IEEE results outside its domain."""
 
     def one(v: float) -> float:
         if v is None or v != v:
@@ -58,6 +59,13 @@ def _special(f: Callable[[float], float]) -> Callable[[Column], Column]:
         except (ValueError, OverflowError):
             return INF if v > 0 or f is math.lgamma else NAN
 
+    return one
+
+
+def _special(f: Callable[[float], float]) -> Callable[[Column], Column]:
+    """A function that Spark lacks, in Arrow batches."""
+    one = _guarded(f)
+
     def column(x: Column) -> Column:
         @F.pandas_udf("double")
         def apply(s: pd.Series) -> pd.Series:
@@ -139,3 +147,33 @@ def lerp(a: Column, b: Column, t: float) -> Column:
 def safe_ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     """a / b, or `otherwise` where b is nearly zero."""
     return F.when(F.abs(b) < TINY, F.lit(float(otherwise))).otherwise(a / b)
+
+
+#: The functions of two columns, of arrays.
+BINARY_ARRAYS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"add": np.add, "sub": np.subtract, "mul": np.multiply, "div": lambda a, b: np.divide(a, b + 0.0), "fmod": np.fmod}
+
+def _each(f: Callable[[float], float], x: np.ndarray) -> np.ndarray:
+    return np.array(list(map(_guarded(f), x.tolist())), dtype=np.float64)
+
+
+#: Functions of one column whose name with numpy is another one, or that are of Python's math.
+_ARRAYS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "neg": np.negative,
+    "inv": np.reciprocal,
+    "asin": np.arcsin,
+    "acos": np.arccos,
+    "atan": np.arctan,
+    "asinh": np.arcsinh,
+    "acosh": np.arccosh,
+    "atanh": np.arctanh,
+    "round": lambda x: np.copysign(np.floor(np.abs(x) + 0.5), x),
+    "erf": lambda x: _each(math.erf, x),
+    "erfc": lambda x: _each(math.erfc, x),
+    "tgamma": lambda x: _each(math.gamma, x),
+    "lgamma": lambda x: _each(math.lgamma, x),
+}
+
+
+def on_array(name: str, x: np.ndarray) -> np.ndarray:
+    """A function of UNARY of an array."""
+    return (_ARRAYS.get(name) or getattr(np, name))(x)

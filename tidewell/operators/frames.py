@@ -77,10 +77,7 @@ class Span:
 class Frame:
     """Statistics over a span at every row. Holds the table, to which it adds helper columns as needed.
 
-    Row spans and cumulative spans are Spark's own frames. A time span is half-open and follows the rows' order, also
-    among equal times, which a RANGE frame does not: its sums are those of all rows so far less those of the rows
-    that have expired, on values centred at their group's mean. Both of these frames only grow, so each row costs
-    the same however wide the span is.
+    Row spans and cumulative spans are Spark's own frames; spans of time are kernels (see spans).
     """
 
     df: DataFrame
@@ -98,55 +95,26 @@ class Frame:
     def _rolling(self) -> WindowSpec:
         return self.order.window().rowsBetween(-(self.span.rows - 1), 0) if self.span.kind == "rows" else self.order.running()
 
-    def expired(self, call: str) -> Column:
-        """An aggregate, as SQL over the table's columns, of the rows that have left the time span."""
-        tick = next((c for c in self.added if c.startswith("__tick")), None)
-        w = as_size(self.span.time)
-        if tick is None:
-            tick = f"__tick{next(_names)}"
-            key = self.order.tick(self.df)
-            self.df = self.df.withColumn(tick, key if isinstance(w, int) else key.cast("double"))
-            self.added.append(tick)
-        by = ", ".join(f"`{g}`" for g in self.order.groups)
-        return F.expr(f"{call} OVER (PARTITION BY {by} ORDER BY `{tick}` RANGE BETWEEN UNBOUNDED PRECEDING AND {w if isinstance(w, int) else f'{w!r}D'} PRECEDING)")
-
     def total(self, x: Column) -> Column:
         """Sum of x over the span."""
-        if self.span.kind != "time":
-            return self.keep(F.sum(x).over(self._rolling()))
-        x = self.keep(x)
-        gone = F.coalesce(self.expired(f"sum(`{self.added[-1]}`)"), F.lit(0.0))
-        return self.keep(F.sum(x).over(self.order.running()) - gone)
+        return self.keep(F.sum(x).over(self._rolling()))
 
-    def count(self) -> Column:
-        return self.total(F.lit(1.0))
+    def count(self, x: Column) -> Column:
+        return self.keep(F.count(x).over(self._rolling()).cast("double"))
 
     def centred(self, x: Column) -> tuple[Column, Column]:
-        """x less its group's mean, and that mean: sums of squares keep their digits."""
-        mean = self.keep(F.avg(x).over(Window.partitionBy(*self.order.groups)))
-        return self.keep(x - mean), mean
+        """x less the series' first value, and that value: sums of squares keep more of their digits."""
+        first = F.first(x, ignorenulls=True).over(self.order.running())
+        first = self.keep(F.when(F.abs(first) < float("inf"), first).otherwise(0.0))
+        return self.keep(x - first), first
 
     def mean(self, x: Column) -> Column:
-        if self.span.kind != "time":
-            return self.keep(F.avg(x).over(self._rolling()))
-        y, m = self.centred(x)
-        return self.keep(self.total(y) / self.count() + m)
+        return self.keep(F.avg(x).over(self._rolling()))
 
     def covariance(self, x: Column, y: Column, unbiased: bool = True) -> Column:
-        """Covariance (variance if y is x); 0 while the span has one row."""
-        same = x is y
-        if self.span.kind != "time":
-            f = (F.var_samp if unbiased else F.var_pop)(x) if same else (F.covar_samp if unbiased else F.covar_pop)(x, y)
-            return self.keep(F.coalesce(f.over(self._rolling()), F.lit(0.0)))
-        a, _ = self.centred(x)
-        b = a if same else self.centred(y)[0]
-        n, sa, sab = self.count(), self.total(a), self.total(a * b)
-        sb = sa if same else self.total(b)
-        m = sab - sa * sb / n
-        m = F.greatest(m, F.lit(0.0)) if same else m
-        return self.keep(F.when(n > 1, m / (n - 1)).otherwise(0.0) if unbiased else m / n)
+        """Covariance (variance if y is x); 0 while the span has one row, null while it has none."""
+        f = (F.var_samp if unbiased else F.var_pop)(x) if x is y else (F.covar_samp if unbiased else F.covar_pop)(x, y)
+        return self.keep(F.when(F.count(x).over(self._rolling()) > 0, F.coalesce(f.over(self._rolling()), F.lit(0.0))))
 
     def extreme(self, x: Column, largest: bool) -> Column:
-        if self.span.kind == "time":
-            raise ValueError("extremes over a time span are a sequential operator: use TimeExtreme")
         return self.keep((F.max if largest else F.min)(x).over(self._rolling()))

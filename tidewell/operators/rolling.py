@@ -1,4 +1,8 @@
-"""Rolling operators that Spark's window functions express: sums, moments, two-series statistics, lags, extremes."""
+"""Rolling operators: sums, moments, two-series statistics, lags, extremes.
+
+Over rows, and over all rows so far, they are Spark's window functions; over a time they are kernels (see spans), since a
+RANGE frame does not follow the rows' order among equal times. A row with a null in any input is not counted in either.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TINY
+from ..functions.timeunits import as_size
 from .frames import Frame, Span
+from .spans import SpanLag, SpanStatistic
 
 
 @dataclass(frozen=True)
@@ -24,8 +30,18 @@ class Rolling:
     options: dict = field(default_factory=dict)
 
     def columns(self, frame: Frame, args: list[Column]) -> list[Column]:
+        if len(args) > 1:  # pairs count as a whole
+            both = F.lit(True)
+            for a in args:
+                both = both & a.isNotNull()
+            args = [frame.keep(F.when(both, a)) for a in args]
         return self.make(frame, *args, **self.options)
 
+    def kernel(self) -> tuple[type, dict]:
+        """The same operator as a kernel, whose inputs are the operator's and the time as a number, and its options."""
+        extent = {self.span.kind: self.span.rows if self.span.kind == "rows" else float(as_size(self.span.time))} if self.span.kind != "all" else {}
+        return (SpanLag, extent | self.options) if self.name == "lag" else (SpanStatistic, {"name": self.name} | extent | self.options)
+
 
 def _sum(f: Frame, x: Column) -> list[Column]:
     return [f.total(x)]
@@ -41,7 +57,7 @@ def _avg_weighted(f: Frame, x: Column, w: Column) -> list[Column]:
 
 
 def _moment2(f: Frame, x: Column) -> list[Column]:
-    return [f.mean(x), f.covariance(x, x, unbiased=False) * f.count()]
+    return [f.mean(x), f.covariance(x, x, unbiased=False) * f.count(x)]
 
 
 def _var(f: Frame, x: Column, unbiased: bool = True) -> list[Column]:
@@ -54,7 +70,7 @@ def _stddev(f: Frame, x: Column, unbiased: bool = True) -> list[Column]:
 
 def _var_vw(f: Frame, x: Column, w: Column) -> list[Column]:
     y, m = f.centred(x)
-    n, sw, sww, swx, swxx = f.count(), f.total(w), f.total(w * w), f.total(w * y), f.total(w * y * y)
+    n, sw, sww, swx, swxx = f.count(x), f.total(w), f.total(w * w), f.total(w * y), f.total(w * y * y)
     mean = f.keep(F.when(sw != 0, swx / sw).otherwise(float("nan")))
     spread = F.greatest(swxx - 2 * mean * swx + mean * mean * sw, F.lit(0.0))
     below = f.keep(F.when(sw != 0, sw - sww / sw).otherwise(0.0))
@@ -95,29 +111,14 @@ def _max(f: Frame, x: Column) -> list[Column]:
 
 
 def _lag(f: Frame, x: Column, fill: str = "nan") -> list[Column]:
-    """Value that has just left the span: x of `rows` rows ago, or the latest x whose time is not later than t - time.
-
-    Before any has left: NaN, 0, the present x ("last") or the first x ("oldest").
-    """
+    """x of `rows` rows ago; before there is one: NaN, 0, the present x ("last") or the first x ("oldest")."""
     if fill not in ("nan", "zero", "last", "oldest"):
         raise ValueError(f"unknown fill {fill!r}")
     w = f.order.window()
     if f.span.kind == "all":
         raise ValueError("a lag needs rows or a time above 0")
-    if f.span.kind == "rows":
-        old = f.keep(F.lag(F.struct(x.alias("x")), f.span.rows).over(w))
-        gone = old.isNotNull()
-        value = old["x"]
-    else:
-        x = f.keep(x)
-        name = f.added[-1]
-        seq = ", ".join(f"`{k}`" for k in f.order.keys)
-        n = f.keep(f.expired("count(*)"))
-        value = f.keep(f.expired(f"max_by(`{name}`, struct({seq}))"))
-        gone = n > 0
-        if fill == "last":  # the present x also where this very step let nothing go
-            before = f.keep(F.coalesce(F.lag(n).over(w), F.lit(0)))
-            gone = gone & (n > before)
+    old = f.keep(F.lag(F.struct(x.alias("x")), f.span.rows).over(w))
+    gone, value = old.isNotNull(), old["x"]
     other = {"nan": lambda: F.lit(float("nan")), "zero": lambda: F.lit(0.0), "last": lambda: x, "oldest": lambda: F.first(x).over(f.order.running())}[fill]()
     return [F.when(gone, value).otherwise(f.keep(other))]
 

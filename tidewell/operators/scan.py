@@ -4,6 +4,11 @@ A kernel is an object with `outputs` and `step(*columns)`: it gets the next rows
 returns one array an output, keeping what it needs for the rows after them. All kernels of a graph run in the same
 pass: rows are dealt by group, sorted, and streamed in Arrow batches, so a group of any size needs the memory of a
 batch and of its kernels' states.
+
+Nulls: a row with a null in any input of a kernel is skipped by it. Its outputs are null, and the kernel goes on from the
+row before as if there were no such row. Kernels that treat nulls otherwise say so (takes_nulls). NaN and infinities are
+values and follow the arithmetic of doubles: a recurrence that has met a NaN stays NaN. Neither depends on where the rows
+are cut into batches.
 """
 
 from __future__ import annotations
@@ -42,27 +47,34 @@ class Smooth:
         self.alpha, self.m = alpha, seed
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, dtype=np.float64)
         if not len(x):
             return x
-        first = self.m is None
         if self.alpha >= 1:
-            y = np.asarray(x, dtype=np.float64)
-        elif len(x) < 8:
-            m, out = self.m, []
-            for v in x.tolist():
-                m = v if m is None else m + self.alpha * (v - m)
-                out.append(m)
-            y = np.array(out)
-        else:
-            z = x if first else np.concatenate([[self.m], x])
-            y = pd.Series(z).ewm(alpha=self.alpha, adjust=False, ignore_na=False).mean().to_numpy()[0 if first else 1 :]
-        self.m = float(y[-1])
-        return y
+            self.m = float(x[-1])
+            return x
+        out, at = np.empty(len(x)), 0
+        odd = np.flatnonzero(~np.isfinite(x))
+        fine = int(odd[0]) if len(odd) else len(x)
+        if fine >= 8 and (self.m is None or np.isfinite(self.m)):
+            z = x[:fine] if self.m is None else np.concatenate([[self.m], x[:fine]])
+            out[:fine] = pd.Series(z).ewm(alpha=self.alpha, adjust=False, ignore_na=False).mean().to_numpy()[0 if self.m is None else 1 :]
+            self.m, at = float(out[fine - 1]), fine
+        m = self.m
+        for k, v in enumerate(x[at:].tolist(), at):
+            m = v if m is None else m + self.alpha * (v - m)
+            out[k] = m
+        self.m = m
+        return out
 
 
 class Kernel:
+    """`step` may return masked arrays, whose masked values are null. With `takes_nulls` it gets all rows and `valid`, which
+    tells the rows without a null; else only these. on_param(), where a kernel has it, changes options in mid-run."""
+
     inputs = 1
     outputs: tuple[str, ...] = ("value",)
+    takes_nulls = False
 
     def step(self, *x: np.ndarray) -> tuple[np.ndarray, ...]:
         raise NotImplementedError
@@ -76,6 +88,9 @@ class Ema(Kernel):
     def __init__(self, alpha: float):
         self.s = Smooth(smoothing(alpha))
 
+    def on_param(self, alpha: float) -> None:
+        self.s.alpha = smoothing(alpha)
+
     def step(self, x):
         return (self.s(x),)
 
@@ -225,7 +240,7 @@ class Rsi(Kernel):
         d = np.diff(np.concatenate([[x[0] if self.prev is None else self.prev], x]))
         self.prev = float(x[-1])
         g, loss = self.g(np.maximum(d, 0)), self.l(np.maximum(-d, 0))
-        ratio = np.divide(g, loss, out=np.zeros(len(x)), where=loss >= TINY)
+        ratio = np.divide(g, loss, out=np.full(len(x), np.nan), where=loss >= TINY)
         return (np.where(loss < TINY, 100.0, 100 - 100 / (1 + ratio)),)
 
 
@@ -333,28 +348,6 @@ class DynwinAvg(Kernel):
         return (np.array(out),)
 
 
-class TimeExtreme(Kernel):
-    """Least or largest x over (t - time, t] in row order; inputs x, t."""
-
-    inputs = 2
-    outputs = ("extreme",)
-
-    def __init__(self, time: float, largest: bool):
-        self.time, self.sign = time, -1.0 if largest else 1.0
-        self.q: deque = deque()
-
-    def step(self, x, t):
-        q, out = self.q, []
-        for v, now in zip((self.sign * x).tolist(), t.tolist(), strict=True):
-            while q and q[-1][1] >= v:
-                q.pop()
-            q.append((now, v))
-            while q[0][0] <= now - self.time:
-                q.popleft()
-            out.append(q[0][1])
-        return (self.sign * np.array(out),)
-
-
 class Cusum(Kernel):
     """Number of the bar that each row belongs to: a bar ends with the row whose accumulated log-returns leave
     (-threshold, threshold) on one side; and whether the row ends a bar. Input x > 0."""
@@ -395,6 +388,17 @@ class Functor(Kernel):
         return tuple(np.array(c, dtype=np.float64) for c in (zip(*rows, strict=True) if len(self.outputs) > 1 else [rows]))
 
 
+class Arrays(Kernel):
+    """A function of arrays that looks at no other row."""
+
+    def __init__(self, f: Callable[..., list[np.ndarray]], inputs: int, outputs: tuple[str, ...]):
+        self.f, self.inputs, self.outputs = f, inputs, outputs
+
+    def step(self, *x):
+        with np.errstate(all="ignore"):
+            return tuple(self.f(*x))
+
+
 KERNELS: dict[str, type[Kernel]] = {
     "ema": Ema,
     "ema_unbiased": EmaUnbiased,
@@ -412,7 +416,6 @@ KERNELS: dict[str, type[Kernel]] = {
     "adosc": Adosc,
     "kdj": Kdj,
     "dynwin_avg": DynwinAvg,
-    "time_extreme": TimeExtreme,
     "cusum": Cusum,
 }
 
@@ -421,24 +424,81 @@ class Node:
     """A kernel in a pass: how to make it, the columns it reads, and the columns it adds.
 
     An option whose value is a string names a column: each group's first value of it is the option (a parameter
-    table joined to the rows gives every group its own).
+    table joined to the rows gives every group its own). With `live`, later values of these columns change the options
+    from their row on, by the kernel's on_param().
     """
 
-    def __init__(self, make: type[Kernel] | Callable[..., Kernel], args: list[str], names: list[str], options: dict[str, Any] | None = None):
-        self.make, self.args, self.names, self.options = make, args, names, dict(options or {})
-        self.columns = [v for v in self.options.values() if isinstance(v, str)]
+    def __init__(self, make: type[Kernel] | Callable[..., Kernel], args: list[str], names: list[str], options: dict[str, Any] | None = None, live: bool = False):
+        self.make, self.args, self.names, self.options, self.live = make, args, names, dict(options or {}), live
+        self.asked = {k: v for k, v in self.options.items() if isinstance(v, str) and k not in ("name", "fill")}
+        self.columns = list(self.asked.values())
 
     def start(self, value: Callable[[str], float]) -> Kernel:
-        return self.make(**{k: value(v) if isinstance(v, str) else v for k, v in self.options.items()})
+        return self.make(**{k: value(v) if k in self.asked else v for k, v in self.options.items()})
+
+
+Columns = dict[str, tuple[np.ndarray, np.ndarray | None]]  #: values and, where there are nulls, which are none
+
+
+def start(nodes: list[Node], data: Columns) -> list[Kernel]:
+    return [n.start(lambda c: float(data[c][0][0])) for n in nodes]
+
+
+def _run(kernel: Kernel, cols: list[np.ndarray], valid: np.ndarray | None, n: int, outputs: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    split = lambda y: (np.ma.getdata(y), ~np.ma.getmaskarray(y)) if isinstance(y, np.ma.MaskedArray) else (y, None)
+    if getattr(kernel, "takes_nulls", False):
+        return [split(y) for y in kernel.step(*cols, valid=np.ones(n, dtype=bool) if valid is None else valid)]
+    if valid is None or valid.all():
+        return [split(y) for y in kernel.step(*cols)]
+    out = [(np.zeros(n), valid.copy()) for _ in range(outputs)]
+    if valid.any():
+        for (y, ok), (z, fine) in zip(out, map(split, kernel.step(*(c[valid] for c in cols))), strict=True):
+            y[valid] = z
+            if fine is not None:
+                ok[valid] = fine
+    return out
+
+
+def advance(nodes: list[Node], kernels: list[Kernel], data: Columns, n: int) -> None:
+    """Runs the next n rows of one group through its kernels; `data` gets their outputs."""
+    for node, kernel in zip(nodes, kernels, strict=True):
+        cols, oks = zip(*(data[c] for c in node.args), strict=True)
+        oks = [ok for ok in oks if ok is not None]
+        valid = np.logical_and.reduce(oks) if oks else None
+        cuts = [0, n]
+        if node.live and node.columns:
+            changed = np.zeros(n, dtype=bool)
+            changed[0] = True
+            for c in node.columns:
+                v = data[c][0]
+                changed[1:] |= (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+            cuts = [*np.flatnonzero(changed).tolist(), n]
+        parts = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if node.live and node.columns:
+                kernel.on_param(**{k: float(data[c][0][a]) for k, c in node.asked.items()})
+            parts.append(_run(kernel, [c[a:b] for c in cols], None if valid is None else valid[a:b], b - a, len(node.names)))
+        for k, name in enumerate(node.names):
+            ok = None if all(p[k][1] is None for p in parts) else np.concatenate([np.ones(len(p[k][0]), dtype=bool) if p[k][1] is None else p[k][1] for p in parts])
+            data[name] = (parts[0][k][0] if len(parts) == 1 else np.concatenate([p[k][0] for p in parts])), ok
+
+
+def read_columns(nodes: list[Node]) -> list[str]:
+    """Columns of the table that kernels read."""
+    made = {n for node in nodes for n in node.names}
+    return sorted({a for n in nodes for a in (*n.args, *n.columns)} - made)
 
 
 def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
     """Adds the outputs of all nodes, in one pass over each group's rows in order. Nodes may read earlier nodes' outputs.
 
-    Nulls reach kernels as NaN. An empty table stays empty; a null group is a group.
+    An empty table stays empty; a null group is a group. A node must not name an output like a column of the table or like
+    another output.
     """
     made = [n for node in nodes for n in node.names]
-    groups, held = list(order.groups), [c for c in df.columns]
+    if len(set(made)) < len(made) or set(made) & set(df.columns):
+        raise ValueError(f"output names are taken: {sorted(n for n in made if n in df.columns or made.count(n) > 1)}")
+    groups, held, read = list(order.groups), [c for c in df.columns], read_columns(nodes)
     schema = StructType(list(df.schema.fields))
     for n in made:
         schema = schema.add(n, "double")
@@ -448,24 +508,30 @@ def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
         last: tuple | None = None
         kernels: list[Kernel] = []
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            change = np.zeros(batch.num_rows, dtype=bool)
+            change = np.zeros(n, dtype=bool)
             for g in groups:
                 codes = np.asarray(batch.column(g).dictionary_encode("encode").indices)
                 change[1:] |= codes[1:] != codes[:-1]
             starts = [0, *np.flatnonzero(change).tolist()]
-            data = {c: np.asarray(batch.column(c).cast(pa.float64(), safe=False).fill_null(float("nan"))) for c in {a for n in nodes for a in (*n.args, *n.columns)} - set(made)}
-            out = {c: np.empty(batch.num_rows) for c in made}
-            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            whole: Columns = {}
+            for c in read:
+                x = batch.column(c).cast(pa.float64(), safe=False)
+                whole[c] = np.asarray(x.fill_null(float("nan"))), np.asarray(x.is_valid()) if x.null_count else None
+            out, fine = {c: np.empty(n) for c in made}, {c: np.ones(n, dtype=bool) for c in made}
+            for a, b in zip(starts, [*starts[1:], n], strict=True):
+                data = {c: (x[a:b], None if ok is None else ok[a:b]) for c, (x, ok) in whole.items()}
                 key = tuple(batch.column(g)[a].as_py() for g in groups)
                 if key != last:
-                    last, kernels = key, [n.start(lambda c, a=a: float(data[c][a])) for n in nodes]
-                for node, kernel in zip(nodes, kernels, strict=True):
-                    got = kernel.step(*((out if c in out else data)[c][a:b] for c in node.args))
-                    for name, y in zip(node.names, got, strict=True):
-                        out[name][a:b] = y
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(out[c]) for c in made)], [*held, *made])
+                    last, kernels = key, start(nodes, data)
+                advance(nodes, kernels, data, b - a)
+                for c in made:
+                    out[c][a:b] = data[c][0]
+                    if data[c][1] is not None:
+                        fine[c][a:b] = data[c][1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(out[c], mask=None if fine[c].all() else ~fine[c]) for c in made)], [*held, *made])
 
     return partial_sort.mapInArrow(run, schema)
 

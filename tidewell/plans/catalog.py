@@ -146,7 +146,7 @@ def _rolling() -> None:
     frames = {"rows": ({"rows": 20}, "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"), "time": ({"time": DAY}, "RANGE BETWEEN INTERVAL 1 DAY - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW"), "cum": ({}, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")}
     for op, (n, outs) in _ROLL_SQL.items():
         for kind, (span, frame) in frames.items():
-            if op in ("min", "max") and kind != "rows":
+            if op in ("min", "max") and kind == "cum":
                 continue
             two = n == 2
 
@@ -192,13 +192,6 @@ def _rolling() -> None:
                 body = f"SELECT event_type, event_id, CASE WHEN {test} THEN old ELSE other END AS lag FROM (SELECT *, coalesce(lag(gone) OVER ({w}), 0) AS before FROM ({inner}))"
             _add(f"roll_lag_{fill}_{kind}", lagged, f"SELECT event_type, event_id, {_sql_round({'lag': 'lag'})} FROM ({body})")
 
-    def extremes(spark: SparkSession, d: str) -> DataFrame:
-        df = read(spark, d, "events").select(*BY_TYPE.columns, F.col("value").cast("double").alias("x"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"))
-        nodes = [Node(KERNELS["time_extreme"], ["x", "t"], [n], {"time": float(DAY.micros()), "largest": big}) for n, big in (("min_day", False), ("max_day", True))]
-        return rounded(scan(df, BY_TYPE, nodes).select("event_type", "event_id", "min_day", "max_day"), ["event_type", "event_id"])
-
-    _add("roll_extremes_time", extremes, f"SELECT event_type, event_id, {_sql_round({'min_day': 'min(x) OVER w', 'max_day': 'max(x) OVER w'})} FROM ({_EVENT_SQL}) WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW)")
-
     def rolling_min(spark: SparkSession, d: str) -> DataFrame:
         g = G.Graph()
         g.root("in", ["value"])

@@ -8,27 +8,31 @@ from dataclasses import dataclass, field
 from itertools import count
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.timeunits import as_size
 from ..operators import aggs
 from ..operators.frames import Frame, Order, Span
 from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
-from ..operators.scan import KERNELS, Functor, Kernel, Node, scan
+from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, scan
+from ..operators.spans import Since, SpanStatistic, Windowed
 from ..operators.windows import WID, Windows, last_of
 
 
 @dataclass(frozen=True)
 class Projection:
-    """An operator that is a column expression of its inputs."""
+    """An operator that is a column expression of its inputs; `arrays` computes the same of arrays, between kernels of a stream."""
 
     name: str
     inputs: int | None
     outputs: tuple[str, ...]
     make: Callable[..., list[Column]]
+    arrays: Callable[..., list[np.ndarray]] | None = None
 
     def columns(self, frame: Frame, args: list[Column]) -> list[Column]:
         return self.make(*args)
@@ -43,6 +47,7 @@ class Sequential:
     outputs: tuple[str, ...]
     make: Callable[..., Kernel]
     options: dict = field(default_factory=dict)
+    ticks: bool = False  #: whether the kernel's last input is the time
 
 
 @dataclass(frozen=True)
@@ -65,21 +70,21 @@ Op = Projection | Sequential | Running | Rolling
 def unary(name: str, n: int = 1) -> Projection:
     """A scalar function applied to each of n ports."""
     f = S.UNARY[name]
-    return Projection(name, n, tuple(f"{name}{k}" if n > 1 else name for k in range(n)), lambda *a: [f(x) for x in a])
+    return Projection(name, n, tuple(f"{name}{k}" if n > 1 else name for k in range(n)), lambda *a: [f(x) for x in a], lambda *a: [S.on_array(name, x) for x in a])
 
 
 def binary(name: str) -> Projection:
-    return Projection(name, 2, (name,), lambda a, b: [S.BINARY[name](a, b)])
+    return Projection(name, 2, (name,), lambda a, b: [S.BINARY[name](a, b)], lambda a, b: [S.BINARY_ARRAYS[name](a, b)])
 
 
 def clamp(low: float, high: float, n: int = 1) -> Projection:
     if low > high:
         raise ValueError("low is above high")
-    return Projection("clamp", n, tuple(f"clamp{k}" if n > 1 else "clamp" for k in range(n)), lambda *a: [S.clamp(x, low, high) for x in a])
+    return Projection("clamp", n, tuple(f"clamp{k}" if n > 1 else "clamp" for k in range(n)), lambda *a: [S.clamp(x, low, high) for x in a], lambda *a: [np.clip(x, low, high) for x in a])
 
 
 def lerp(t: float) -> Projection:
-    return Projection("lerp", 2, ("lerp",), lambda a, b: [S.lerp(a, b, t)])
+    return Projection("lerp", 2, ("lerp",), lambda a, b: [S.lerp(a, b, t)], lambda a, b: [a + t * (b - a)])
 
 
 def functor(f: Callable[..., Column | tuple[Column, ...]], inputs: int, outputs: int | tuple[str, ...] = 1) -> Projection:
@@ -110,7 +115,11 @@ def batch_functor(f: Callable[..., pd.Series | tuple[pd.Series, ...]], inputs: i
         one = run(F.struct(*(x.alias(f"c{k}") for k, x in enumerate(a))))
         return [one[n] for n in names]
 
-    return Projection("batch_functor", inputs, names, make)
+    def arrays(*a: np.ndarray) -> list[np.ndarray]:
+        got = f(*(pd.Series(x) for x in a))
+        return [np.asarray(y, dtype=np.float64) for y in (got if isinstance(got, tuple) else (got,))]
+
+    return Projection("batch_functor", inputs, names, make, arrays)
 
 
 def stateful(make: Callable[[], Callable], inputs: int, outputs: tuple[str, ...] = ("value",)) -> Sequential:
@@ -124,6 +133,14 @@ def kernel(name: str, **options: Any) -> Sequential:
     return Sequential(name, k.inputs, k.outputs, k, options)
 
 
+def windowed_operator(make: Callable[[], object], inputs: int, outputs: tuple[str, ...] = ("value",), *, rows: int | None = None, time: object = None) -> Sequential:
+    """A user's operator over the last rows or the last time, with add(), evict() and value(), and size() for a span that
+    changes as it goes: see spans.Windowed."""
+    span = Span(rows=rows, time=time)
+    extent = {"rows": span.rows} if span.kind == "rows" else {"time": float(as_size(time))} if span.kind == "time" else {}
+    return Sequential("windowed", inputs, outputs, lambda **e: Windowed(make, inputs, outputs, **e), extent, ticks=True)
+
+
 def money_flow() -> Projection:
     return Projection("mfm", 3, ("mfm",), lambda h, lo, c: [F.when(h != lo, ((c - lo) - (h - c)) / (h - lo)).otherwise(0.0)])
 
@@ -326,9 +343,9 @@ class Graph:
         return Ref(self, name)
 
     def supp_link(self, node: str | Ref, **options: EdgeLike) -> Graph:
-        """Takes options of a sequential node from ports of the parameters."""
+        """Takes options of a sequential or rolling node (there: rows or time) from ports of the parameters."""
         name = node.name if isinstance(node, Ref) else node
-        if self._supp is None or not isinstance(self._ops.get(name), Sequential):
+        if self._supp is None or not isinstance(self._ops.get(name), Sequential | Rolling):
             raise ValueError(f"no parameters for {name!r}")
         for k, e in options.items():
             edge = self._edges([e])[0]
@@ -455,17 +472,42 @@ class Graph:
                 todo += self.pred_of(n)
         return need
 
-    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None) -> DataFrame:
+    def _kernel(self, name: str, stream: bool) -> Sequential | None:
+        """The node as a kernel, where it is or must be one: on a stream, over a time, or with parameters."""
+        op = self._ops[name]
+        if isinstance(op, Sequential):
+            return op
+        if isinstance(op, Rolling) and (stream or op.span.kind == "time" or name in self._links):
+            make, options = op.kernel()
+            if name in self._links:
+                options = {k: v for k, v in options.items() if k not in ("rows", "time")}
+            return Sequential(op.name, op.inputs, op.outputs, make, options, ticks=True)
+        if isinstance(op, Projection) and stream and op.arrays is not None and any(self._kernel(p, True) for p in self.pred_of(name) if p in self._ops):
+            return Sequential(op.name, len(self._args[name]), op.outputs, lambda: Arrays(op.arrays, len(self._args[name]), op.outputs))
+        if isinstance(op, Running) and stream:
+            if op.name in ("sum", "avg", "avg_weighted"):
+                return Sequential(op.name, op.inputs, op.outputs, SpanStatistic, {"name": op.name}, ticks=True)
+            return Sequential(op.name, op.inputs, op.outputs, Since, {"name": op.name})
+        return None
+
+    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False) -> DataFrame:
         """One row out for each row in: groups, order keys, and the outputs under names().
 
         Nodes that no output needs are left out. Column operators become projections and windows over one sorted
-        shuffle of the groups; all sequential nodes that are ready run in one pass.
+        shuffle of the groups; all sequential nodes that are ready run in one pass. On a stream every operator that looks
+        at other rows is a kernel of one pass, whose state is kept by group between micro-batches; see stream_scan(). `parameters` has a
+        row a group. With `live` the table's own columns hold the parameters, and a change takes effect from its row on.
         """
         self.validate()
+        stream = df.isStreaming
+        advance = scan
+        if stream:
+            from ..streaming.runner import stream_scan as advance
         columns = {p: (inputs or {}).get(p, p) for p in self._ports[self._root]}
         if parameters is not None:
             df = df.join(parameters, list(order.groups), "left")
         need = self._needed()
+        kernels = {n: k for n in self._args if n in need and (k := self._kernel(n, stream)) is not None}
         at: dict[Edge, str] = {}
         taken = dict.fromkeys(order.columns)
         base = [F.col(c) for c in taken]
@@ -476,13 +518,15 @@ class Graph:
             for k, p in enumerate(self._ports[self._supp]):
                 at[Edge(self._supp, k)] = f"__p{k}"
                 base.append(F.col(p).cast("double").alias(f"__p{k}"))
+        if any(k.ticks for k in kernels.values()):
+            base.append(order.tick(df).cast("double").alias("__tick"))
         df = df.select(*base)
-        todo = [n for n in self.order() if n in need]
+        todo, passed = [n for n in self.order() if n in need], False
         while todo:
             rest: list[str] = []
             for n in todo:  # columns first
                 op = self._ops[n]
-                if isinstance(op, Sequential) or any(a not in at for a in self._args[n]):
+                if n in kernels or any(a not in at for a in self._args[n]):
                     rest.append(n)
                     continue
                 frame = Frame(df, order, op.span if isinstance(op, Rolling) else Span())
@@ -495,16 +539,19 @@ class Graph:
             nodes: list[Node] = []
             later: list[str] = []
             for n in rest:  # then every sequential node that is ready or reads one of this pass
-                op = self._ops[n]
-                if not isinstance(op, Sequential) or any(a not in at for a in self._args[n]):
+                op = kernels.get(n)
+                if op is None or any(a not in at for a in self._args[n]):
                     later.append(n)
                     continue
                 names = [f"__{n}_{k}" for k in range(len(op.outputs))]
-                options = dict(op.options) | {k: at[e] for k, e in self._links.get(n, {}).items()}
-                nodes.append(Node(op.make, [at[a] for a in self._args[n]], names, options))
+                links = {k: at[e] for k, e in self._links.get(n, {}).items()}
+                args = [at[a] for a in self._args[n]] or ["__in0"]
+                nodes.append(Node(op.make, [*args, *(["__tick"] if op.ticks else [])], names, dict(op.options) | links, live and bool(links)))
                 at |= {Edge(n, k): x for k, x in enumerate(names)}
             if nodes:
-                df = scan(df, order, nodes)
+                if stream and passed:
+                    raise ValueError("a stream has one pass of kernels; a user's function of columns can't stand between two of them")
+                df, passed = advance(df, order, nodes), True
             todo = later
         return df.select(*taken, *(F.col(at[e]).alias(name) for e, name in zip(self._outputs, self.names(), strict=True)))
 

@@ -1,4 +1,4 @@
-"""The same kernels and windows over Structured Streaming."""
+"""The same kernels, graphs and windows over Structured Streaming."""
 
 from __future__ import annotations
 
@@ -8,41 +8,123 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..functions.scalar import TINY
+from ..functions.timeunits import as_size
 from ..operators import aggs
 from ..operators.frames import Order
-from ..operators.scan import Node
+from ..operators.scan import Cusum, Node, advance, read_columns, start
 
 
 def stream_scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
     """Adds the outputs of kernels to a stream; each group's kernels live in its state between micro-batches.
 
-    Within a micro-batch a group's rows are taken in the order's sequence, chunk by chunk as they come from the
-    shuffle; rows of a later micro-batch come after those of an earlier one, so the source must deliver groups in
-    order. Null values reach kernels as NaN.
+    Within a micro-batch a group's rows are taken in the order's sequence; rows of a later micro-batch come after those of
+    an earlier one, so the source must deliver groups in order. A group's rows of one micro-batch are held at once: bound
+    them by the source's options, such as maxFilesPerTrigger. Nulls are as in scan(), but a NaN among the outputs comes out
+    as null. Where the query stops and starts again, kernels go on from the state in its checkpoint.
     """
     made = [n for node in nodes for n in node.names]
+    read = read_columns(nodes)
+    if len(set(made)) < len(made) or set(made) & set(df.columns):
+        raise ValueError("output names are taken")
     schema = StructType(list(df.schema.fields))
     for n in made:
         schema = schema.add(n, "double")
     groups, keys, held = list(order.groups), list(order.keys), list(df.columns)
+    flags = {f"__ok{k}": F.col(c).isNotNull() for k, c in enumerate(read)}
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(chunks)).sort_values(keys, kind="stable")
-        data = {c: pd.to_numeric(rows[c], errors="coerce").to_numpy(dtype=np.float64) for c in {a for n in nodes for a in (*n.args, *n.columns)} - set(made)}
-        kernels: list[Any] = pickle.loads(state.get[0]) if state.exists else [n.start(lambda c: float(data[c][0])) for n in nodes]
-        out: dict[str, np.ndarray] = {}
-        for node, kernel in zip(nodes, kernels, strict=True):
-            got = kernel.step(*((out if c in out else data)[c] for c in node.args))
-            out |= dict(zip(node.names, got, strict=True))
-        state.update((pickle.dumps(kernels),))
+        data = {}
+        for k, c in enumerate(read):
+            ok = rows[f"__ok{k}"].to_numpy(dtype=bool)
+            data[c] = pd.to_numeric(rows[c], errors="coerce").to_numpy(dtype=np.float64), None if ok.all() else ok
+        kernels: list[Any] = pickle.loads(state.get[0]) if state.exists else start(nodes, data)
+        advance(nodes, kernels, data, len(rows))
+        out = {c: data[c][0] if data[c][1] is None else np.where(data[c][1], data[c][0], np.nan) for c in made}
+        state.update((cloudpickle.dumps(kernels),))
         yield rows[held].assign(**out)
 
-    return df.groupBy(*groups).applyInPandasWithState(run, schema, "kernels binary", "append", GroupStateTimeout.NoTimeout)
+    return df.withColumns(flags).groupBy(*groups).applyInPandasWithState(run, schema, "kernels binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def _summaries(rows: pd.DataFrame, name: str, cols: list[str]) -> list[float]:
+    """An aggregate of one window's rows in order, as the grouped aggregates of a batch give it."""
+    x = [rows[c].to_numpy(dtype=np.float64) for c in cols]
+    n = len(rows)
+    with np.errstate(all="ignore"):
+        if name == "count":
+            return [float(n)]
+        if name in ("sum", "avg"):
+            return [float(c.sum() / (n if name == "avg" else 1)) for c in x]
+        if name == "stddev":
+            return [float(c.std(ddof=1)) if n > 1 else 0.0 for c in x]
+        if name == "ohlc":
+            return [float(v) for v in (x[0][0], x[0].max(), x[0].min(), x[0][-1])]
+        first, last = (x[0][0], x[0][-1])
+        if name in ("simple_return", "log_return"):
+            return [0.0 if abs(first) < TINY else float((last - first) / first if name == "simple_return" else np.log(last / first))]
+        a, b = x[0].sum(), x[1].sum()
+        if name in ("order_flow", "book_imba"):
+            return [float(a - b if name == "order_flow" else (a - b) / (a + b))]
+        none = 0.0 if name == "vwap" else float("nan")
+        return [none if abs(b) < (TINY if name == "vwap" else 5e-324) else float((x[0] * x[1]).sum() / b)]
+
+
+def stream_windows(df: DataFrame, order: Order, window: tuple[str, Any], spec: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Closed windows of a stream, whatever ends them: ("counter", rows), ("session", gap), ("cusum", (threshold, column)) or
+    ("tumbling", size). `spec` is {output prefix: (aggregator, columns)}.
+
+    Windows are those of the assigners of the same name, a window's time included; an open one waits in its group's state,
+    with its rows, for the row that ends it. Rows must come in order, as for stream_scan().
+    """
+    kind, size = window
+    outputs = {p: aggs.outputs(name, cols) for p, (name, cols) in spec.items()}
+    made = [p if len(names) == 1 else f"{p}_{n}" for p, names in outputs.items() for n in names]
+    fields = {f.name: f for f in df.schema.fields}
+    schema = StructType([fields[g] for g in order.groups]).add("window_ts", fields[order.time].dataType)
+    for n in made:
+        schema = schema.add(n, "double")
+    groups, keys = list(order.groups), list(order.keys)
+    read = list(dict.fromkeys([*(c for _, cols in spec.values() for c in cols), *([size[1]] if kind == "cusum" else [])]))
+    width = size[0] if kind == "cusum" else size if kind == "counter" else as_size(size)
+    timed = fields[order.time].dataType.typeName() in ("timestamp", "timestamp_ntz")
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kernel, rows = pickle.loads(state.get[0]) if state.exists else (Cusum(width) if kind == "cusum" else None, None)
+        new = pd.concat(list(chunks)).sort_values(keys, kind="stable")[[*dict.fromkeys([order.time, "__tick", *read])]]
+        if kind == "cusum":
+            new["__fired"] = kernel.step(new[size[1]].to_numpy(dtype=np.float64))[1]
+        rows = new if rows is None else pd.concat([rows, new])
+        tick = rows["__tick"].to_numpy()
+        if kind == "counter":
+            ids = np.arange(len(rows)) // width
+            ended = len(rows) // width
+        elif kind == "cusum":
+            fired = rows["__fired"].to_numpy() > 0
+            ids = np.concatenate([[0], np.cumsum(fired)[:-1]])
+            ended = int(fired.sum())
+        else:
+            ids = np.cumsum(np.concatenate([[0], np.diff(tick) >= width])) if kind == "session" else np.unique(tick // width, return_inverse=True)[1]
+            ended = int(ids[-1])
+        out = []
+        for k in range(ended):
+            part = rows[ids == k]
+            end = part[order.time].iloc[-1]
+            if kind == "tumbling":
+                end = int(part["__tick"].iloc[0] // width + 1) * width
+                end = pd.Timestamp(end, unit="us") if timed else end
+            out.append([*key, end, *(v for name, cols in spec.values() for v in _summaries(part, name, cols))])
+        state.update((cloudpickle.dumps((kernel, rows[ids >= ended])),))
+        yield pd.DataFrame(out, columns=[*groups, "window_ts", *made])
+
+    return df.withColumn("__tick", order.tick(df)).groupBy(*groups).applyInPandasWithState(run, schema, "open binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_bars(df: DataFrame, order: Order, size: str, late: str, spec: dict[str, tuple[str, list[str]]]) -> DataFrame:
