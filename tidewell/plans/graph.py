@@ -487,7 +487,7 @@ class Graph:
         if isinstance(op, Running) and stream:
             if op.name in ("sum", "avg", "avg_weighted"):
                 return Sequential(op.name, op.inputs, op.outputs, SpanStatistic, {"name": op.name}, ticks=True)
-            return Sequential(op.name, op.inputs, op.outputs, Since, {"name": op.name})
+            return Sequential(op.name, op.inputs, op.outputs, Since, {"name": op.name}, ticks=op.name == "count")
         return None
 
     def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False) -> DataFrame:
@@ -545,7 +545,7 @@ class Graph:
                     continue
                 names = [f"__{n}_{k}" for k in range(len(op.outputs))]
                 links = {k: at[e] for k, e in self._links.get(n, {}).items()}
-                args = [at[a] for a in self._args[n]] or ["__in0"]
+                args = [at[a] for a in self._args[n]][: op.inputs]
                 nodes.append(Node(op.make, [*args, *(["__tick"] if op.ticks else [])], names, dict(op.options) | links, live and bool(links)))
                 at |= {Edge(n, k): x for k, x in enumerate(names)}
             if nodes:
