@@ -139,6 +139,24 @@ def test_embeddings(spark):
     assert neardup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_magnitude_and_length(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_FITTED", 2)
+    monkeypatch.setattr(neardup, "MOST_PARTS", 3)
+    monkeypatch.setattr(neardup, "PARTNERS", 1)
+    rng = np.random.default_rng(17)
+    rows = [(0, [1e-200, 2e-200]), (1, [1.0, 0.01]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [5e-324, 1e-323]), (5, [1.7e308, 0.0])]
+    for d in (1, 3, 4, 12):
+        base = rng.normal(size=(25, d))
+        rows += [(len(rows) + k, v.tolist()) for k, v in enumerate([*base, *(base[:8] * 1e-170), *(base[:9] + rng.normal(size=(9, d)) * 0.1)])]
+    got = {r.vec_id: r for r in neardup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), interval_rows=4).collect()}
+    unit = [neardup.scaled(np.array([v]))[0] for _, v in rows]
+    unit = [u / np.linalg.norm(u) for u in unit]
+    hit = np.array([[i != j and len(u) == len(v) and float(u @ v) >= 0.95 for j, v in enumerate(unit)] for i, u in enumerate(unit)])
+    want = lowest(list(zip(*np.nonzero(hit))), range(len(rows)))
+    assert want[0] == want[2] == want[3] == want[4] == 0 and want[1] == want[5] == 1
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(rows))] == [(hit[i].sum(), want[i]) for i in range(len(rows))]
+
+
 def test_boxes_never_lose_a_link():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 6))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, forest
@@ -17,34 +18,45 @@ from .common import components, cut, forest
 LEAF = 256
 #: Most rows from which the principal directions are fitted; they only steer the order, never the result.
 FIT_ROWS = 4096
-#: Most intervals of the sequence, so that their boxes stay small on the driver at any size of the input.
-MOST_INTERVALS = 2048
+#: Most parts of the sequence, the upper level of intervals, and most lengths of vectors with fitted directions.
+MOST_PARTS, MOST_FITTED = 2048, 256
+#: Partners of an interval that one task compares with a copy of it.
+PARTNERS = 8
 
 
-def _unit(batch_vectors: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(batch_vectors.flatten(), dtype=np.float64).reshape(-1, dim)
-    return x
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector by the power of two that brings its largest component to between 1/2 and 1: no square is lost or infinite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _vectors(batch_vectors: pa.Array, dim: int) -> np.ndarray:
+    return scaled(np.asarray(batch_vectors.flatten(), dtype=np.float64).reshape(-1, dim))
+
+
+def _directions(basis: dict[int, np.ndarray], dim: int, most: int) -> np.ndarray:
+    """Columns to project on: the fitted ones, or the first axes."""
+    return basis[dim] if dim in basis else np.eye(dim, min(dim, most))
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def _place(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], eps: float) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], most: int, eps: float) -> Iterator[pa.RecordBatch]:
     """Adds the grid cell on the principal directions, as an array that sorts in epsilon grid order."""
     for batch in batches:
         dims = np.asarray(batch.column("dim"))
         cells: list = [None] * batch.num_rows
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
-            x = _unit(batch.column("v").take(pa.array(rows)), int(d))
-            at = np.floor((x / _norms(x)[:, None]) @ basis[int(d)] / eps).astype(np.int32)
+            x = _vectors(batch.column("v").take(pa.array(rows)), int(d))
+            at = np.floor((x / _norms(x)[:, None]) @ _directions(basis, int(d), most) / eps).astype(np.int32)
             for r, c in zip(rows, at, strict=True):
                 cells[r] = c
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cell"])
 
 
-def _intervals(batches: Iterator[pa.RecordBatch], rows: int, basis: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _intervals(batches: Iterator[pa.RecordBatch], rows: int, basis: dict[int, np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of one dimension as one packed row: the interval's box, ids, copies and vectors."""
     from pyspark import TaskContext
 
@@ -55,7 +67,7 @@ def _intervals(batches: Iterator[pa.RecordBatch], rows: int, basis: dict[int, np
         ids = np.concatenate([h[0] for h in held])
         copies = np.concatenate([h[1] for h in held])
         x = np.concatenate([h[2] for h in held])
-        at = (x / _norms(x)[:, None]) @ basis[dim]
+        at = (x / _norms(x)[:, None]) @ _directions(basis, dim, most)
         row = {"i": [(part << 24) + made], "dim": [dim], "lo": [at.min(axis=0)], "hi": [at.max(axis=0)], "ids": [ids.tobytes()], "copies": [copies.tobytes()], "x": [x.tobytes()]}
         return pa.RecordBatch.from_arrays([pa.array(row["i"], pa.int64()), pa.array([dim], pa.int32()), pa.array(row["lo"], pa.list_(pa.float64())), pa.array(row["hi"], pa.list_(pa.float64())), pa.array(row["ids"], pa.binary()), pa.array(row["copies"], pa.binary()), pa.array(row["x"], pa.binary())], list(row))
 
@@ -70,7 +82,7 @@ def _intervals(batches: Iterator[pa.RecordBatch], rows: int, basis: dict[int, np
                 dim = int(dims[a])
                 n = min(b - a, rows - count)
                 piece = batch.slice(a, n)
-                held.append((np.asarray(piece.column("id"), dtype=np.int64), np.asarray(piece.column("copies"), dtype=np.int64), _unit(piece.column("v"), dim)))
+                held.append((np.asarray(piece.column("id"), dtype=np.int64), np.asarray(piece.column("copies"), dtype=np.int64), _vectors(piece.column("v"), dim)))
                 count, a = count + n, a + n
     if held:
         yield pack()
@@ -82,30 +94,24 @@ def _gap(lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) ->
     return (away**2).sum(axis=-1)
 
 
-def _pairs_of_intervals(boxes: list, eps: float) -> list[tuple[int, int]]:
-    """Pairs of intervals of the sequence that may hold linked vectors, by recursion over halves of the sequence."""
-    out: list[tuple[int, int]] = []
-    for dim in sorted({b["dim"] for b in boxes}):
-        own = sorted((b for b in boxes if b["dim"] == dim), key=lambda b: b["i"])
-        name = [b["i"] for b in own]
-        lo, hi = np.array([b["lo"] for b in own]), np.array([b["hi"] for b in own])
-        stack = [(0, len(own), 0, len(own))]
-        while stack:
-            a, b, c, d = stack.pop()
-            if _gap(lo[a:b].min(axis=0), hi[a:b].max(axis=0), lo[c:d].min(axis=0), hi[c:d].max(axis=0)) > eps**2:
-                continue
-            if b - a == 1 and d - c == 1:
-                out.append((name[a], name[c]))
-            elif (a, b) == (c, d):
-                m = (a + b) // 2
-                stack += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
-            elif b - a >= d - c:
-                m = (a + b) // 2
-                stack += [(a, m, c, d), (m, b, c, d)]
-            else:
-                m = (c + d) // 2
-                stack += [(a, b, c, m), (a, b, m, d)]
-    return out
+def _apart(lo1: str, hi1: str, lo2: str, hi2: str) -> Column:
+    """_gap() of boxes in columns."""
+    return F.expr(f"aggregate(transform(sequence(0, size({lo1}) - 1), k -> pow(greatest(0D, {lo1}[k] - {hi2}[k], {lo2}[k] - {hi1}[k]), 2)), 0D, (a, x) -> a + x)")
+
+
+def pairs_of_intervals(boxes: DataFrame, eps: float, directions: int) -> DataFrame:
+    """Pairs (i <= j) of intervals (i, dim, lo, hi) that may hold linked vectors: of the parts of the sequence that may, first.
+
+    The parts are MOST_PARTS at most, so their pairs are bounded; everything is a join on the part.
+    """
+    boxes = boxes.withColumn("part", F.shiftright("i", 24))
+    some = lambda f, c: F.filter(F.array(*(f(F.get(c, F.lit(k))) for k in range(directions))), lambda x: x.isNotNull())
+    parts = boxes.groupBy("part", "dim").agg(some(F.min, "lo").alias("lo"), some(F.max, "hi").alias("hi"))
+    far = parts.toDF("part2", "dim", "lo2", "hi2")
+    near = parts.join(far, "dim").filter((F.col("part") <= F.col("part2")) & (_apart("lo", "hi", "lo2", "hi2") <= eps**2)).select("dim", "part", "part2")
+    second = boxes.select(F.col("part").alias("part2"), "dim", F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = near.join(boxes, ["dim", "part"]).join(second, ["dim", "part2"])
+    return both.filter((F.col("i") <= F.col("j")) & (_apart("lo", "hi", "lo2", "hi2") <= eps**2)).select("i", "j")
 
 
 def _leaves(at1: np.ndarray, at2: np.ndarray, same: bool, eps: float) -> Iterator[tuple[int, int, int, int]]:
@@ -123,45 +129,54 @@ def _leaves(at1: np.ndarray, at2: np.ndarray, same: bool, eps: float) -> Iterato
         stack += [(*x, *y) for x in p for y in q]
 
 
-def _join(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], eps: float, least: float) -> Iterator[pa.RecordBatch]:
+def _linked(r: dict, own: dict, basis: dict[int, np.ndarray], most: int, eps: float, least: float) -> pa.RecordBatch | None:
     """Links between two intervals: (id, copies linked) with b null, and a spanning forest as edges (a, b)."""
+    same, dim = r["i"] == own["i"], r["dim"]
+    ids, copies = ([np.frombuffer(x[k], dtype=np.int64) for x in (own, r)] for k in ("ids", "copies"))
+    raw = [np.frombuffer(x["x"], dtype=np.float64).reshape(-1, dim) for x in (own, r)]
+    unit = [x / _norms(x)[:, None] for x in raw]
+    at = [u @ _directions(basis, dim, most) for u in unit]
+    n = [np.zeros(len(i), dtype=np.int64) for i in ids]
+    ea: list[np.ndarray] = []
+    eb: list[np.ndarray] = []
+    for a, b, c, d in _leaves(at[0], at[1], same, eps):
+        cos = unit[0][a:b] @ unit[1][c:d].T
+        hit = cos >= least
+        for p, q in zip(*np.nonzero(np.abs(cos - least) < 1e-12), strict=True):  # too near for a sum in any order
+            u, v = raw[0][a + p], raw[1][c + q]
+            hit[p, q] = math.fsum(u * v) >= least * math.sqrt(math.fsum(u * u) * math.fsum(v * v))
+        if same and a == c:
+            hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
+        if not hit.any():
+            continue
+        n[0][a:b] += hit @ copies[1][c:d]
+        (n[0] if same else n[1])[c:d] += hit.T @ copies[0][a:b]
+        p, q = np.nonzero(hit)
+        nodes, low = forest(ids[0][a + p], ids[1][c + q])
+        ea.append(nodes[nodes != low])
+        eb.append(low[nodes != low])
+    if not ea:
+        return None
+    nodes, low = forest(np.concatenate(ea), np.concatenate(eb))
+    edge = nodes != low
+    counted = [(i[k > 0], k[k > 0]) for i, k in zip(ids[: 2 - same], n[: 2 - same], strict=True)]
+    a = np.concatenate([*(i for i, _ in counted), nodes[edge]])
+    m = sum(len(i) for i, _ in counted)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(np.concatenate([*(k for _, k in counted), np.zeros(edge.sum(), dtype=np.int64)])), pa.array(np.concatenate([np.zeros(m, dtype=np.int64), low[edge]]), mask=np.arange(len(a)) < m)], ["a", "n", "b"]
+    )
+
+
+def _join(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], most: int, eps: float, least: float) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by owner, the owner's own interval first: its links with each partner; one pair is held at a time."""
+    own: dict = {}
     for batch in batches:
-        for r in batch.to_pylist():
-            same, dim = r["i"] == r["j"], r["dim"]
-            ids = [np.frombuffer(r[k], dtype=np.int64) for k in ("ids", "ids2")]
-            copies = [np.frombuffer(r[k], dtype=np.int64) for k in ("copies", "copies2")]
-            raw = [np.frombuffer(r[k], dtype=np.float64).reshape(-1, dim) for k in ("x", "x2")]
-            unit = [x / _norms(x)[:, None] for x in raw]
-            at = [u @ basis[dim] for u in unit]
-            n = [np.zeros(len(i), dtype=np.int64) for i in ids]
-            ea: list[np.ndarray] = []
-            eb: list[np.ndarray] = []
-            for a, b, c, d in _leaves(at[0], at[1], same, eps):
-                cos = unit[0][a:b] @ unit[1][c:d].T
-                hit = cos >= least
-                for p, q in zip(*np.nonzero(np.abs(cos - least) < 1e-12), strict=True):  # too near for a sum in any order
-                    u, v = raw[0][a + p], raw[1][c + q]
-                    hit[p, q] = math.fsum(u * v) >= least * math.sqrt(math.fsum(u * u) * math.fsum(v * v))
-                if same and a == c:
-                    hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
-                if not hit.any():
-                    continue
-                n[0][a:b] += hit @ copies[1][c:d]
-                (n[0] if same else n[1])[c:d] += hit.T @ copies[0][a:b]
-                p, q = np.nonzero(hit)
-                nodes, low = forest(ids[0][a + p], ids[1][c + q])
-                ea.append(nodes[nodes != low])
-                eb.append(low[nodes != low])
-            if not ea:
-                continue
-            nodes, low = forest(np.concatenate(ea), np.concatenate(eb))
-            edge = nodes != low
-            counted = [(i[k > 0], k[k > 0]) for i, k in zip(ids[: 2 - same], n[: 2 - same], strict=True)]
-            a = np.concatenate([*(i for i, _ in counted), nodes[edge]])
-            m = sum(len(i) for i, _ in counted)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(np.concatenate([*(k for _, k in counted), np.zeros(edge.sum(), dtype=np.int64)])), pa.array(np.concatenate([np.zeros(m, dtype=np.int64), low[edge]]), mask=np.arange(len(a)) < m)], ["a", "n", "b"]
-            )
+        for k in range(batch.num_rows):
+            r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+            if not r["role"]:
+                own = r
+            elif (got := _linked(r, own, basis, most, eps, least)) is not None:
+                yield got
 
 
 def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int = 8, interval_rows: int = 2048) -> DataFrame:
@@ -170,8 +185,9 @@ def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int
     Equal vectors are one representative with a count. Representatives are sorted by grid cells of side epsilon
     on the leading principal directions (epsilon: the distance of unit vectors at that cosine), cut into
     intervals, and intervals are joined by recursion that skips those whose boxes lie more than epsilon apart:
-    an orthonormal projection never lengthens a distance, so no link is lost. Each joint gives link counts and a
-    spanning forest, never all pairs. Vectors that are null, empty, zero, or hold null or non-finite components
+    an orthonormal projection never lengthens a distance, so no link is lost. Parts of the sequence are joined before
+    their intervals, and these before their leaves. Each joint gives link counts and a spanning forest, never all pairs.
+    A vector is scaled by a power of two before anything is squared, so no finite one is too small or too large. Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, nor do vectors of different lengths; a null vec_id links with nothing and has a null
     component. Repeated rows count as further vectors. Other columns are ignored.
     """
@@ -185,26 +201,27 @@ def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     sample = classes.select("dim", "v").orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()
     basis = {}
-    for d in [r["dim"] for r in classes.select("dim").distinct().limit(MOST_INTERVALS).collect()]:
-        x = np.array([r["v"] for r in sample if r["dim"] == d], dtype=np.float64).reshape(-1, d)
-        x = x / _norms(x)[:, None] if len(x) else x
+    for d in [d for d, _ in Counter(r["dim"] for r in sample).most_common(MOST_FITTED)]:
+        x = scaled(np.array([r["v"] for r in sample if r["dim"] == d], dtype=np.float64).reshape(-1, d))
+        x = x / _norms(x)[:, None]
         basis[d] = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(d, d) if len(x) > 1 else np.eye(d))[1][:, ::-1][:, :directions]
-    rows = max(interval_rows, -(-total // MOST_INTERVALS))
-    placed = classes.select("id", "copies", "v", "dim").mapInArrow(partial(_place, basis=basis, eps=eps), "id long, copies long, v array<double>, dim int, cell array<int>")
-    parts = max(1, -(-total // rows))
+    how = {"basis": basis, "most": directions}
+    placed = classes.select("id", "copies", "v", "dim").mapInArrow(partial(_place, eps=eps, **how), "id long, copies long, v array<double>, dim int, cell array<int>")
+    parts = min(max(1, -(-total // interval_rows)), MOST_PARTS)
     ordered = placed.repartitionByRange(parts, "dim", "cell", "id").sortWithinPartitions("dim", "cell", "id")
-    blocks = cut(ordered.select("id", "copies", "v", "dim").mapInArrow(partial(_intervals, rows=rows, basis=basis), "i long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"))
-    pairs = _pairs_of_intervals(blocks.select("i", "dim", "lo", "hi").collect(), eps)
-    first = blocks.select("i", "dim", "ids", "copies", "x")
-    second = blocks.select(F.col("i").alias("j"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("x").alias("x2"))
-    asked = spark.createDataFrame(pairs, "i long, j long").repartition(min(len(pairs) // 4 + 1, 4 * parts + 1), "i", "j")
-    key, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(key, 4)  # each row holds two whole intervals
-    try:
-        joined = asked.join(first, "i").join(second, "j")
-        found = cut(joined.mapInArrow(partial(_join, basis=basis, eps=eps, least=least), "a long, n long, b long"))
-    finally:
-        spark.conf.set(key, was)
+    blocks = cut(ordered.select("id", "copies", "v", "dim").mapInArrow(partial(_intervals, rows=interval_rows, **how), "i long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"))
+    pairs = pairs_of_intervals(blocks.select("i", "dim", "lo", "hi"), eps, directions)
+    turned = (F.col("i") + F.col("j")) % 2 == 0  # so that no interval has all the work
+    pairs = cut(pairs.select(F.when(turned, F.col("i")).otherwise(F.col("j")).alias("owner"), F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i")))
+    salts = pairs.groupBy("owner").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    held = blocks.select("i", "dim", "ids", "copies", "x")
+    partners = pairs.join(salts, "owner").select("owner", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int").alias("salt"), "i", F.lit(1).alias("role")).join(held, "i")
+    owners = salts.select(F.col("owner").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(held, "i")
+    columns = ["owner", "salt", "role", "i", "dim", "ids", "copies", "x"]
+    both = partners.select(columns).unionAll(owners.withColumns({"owner": F.col("i"), "role": F.lit(0)}).select(columns))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
+    dealt = both.repartition(tasks, "owner", "salt").sortWithinPartitions("owner", "salt", "role")
+    found = cut(dealt.drop("owner", "salt").mapInArrow(partial(_join, eps=eps, least=least, **how), "a long, n long, b long"))
     n = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("b is not null").select("a", "b"))
     known = classes.select("k1", "k2", "id", "copies").join(n, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
