@@ -55,6 +55,15 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], f: Callable[..., pa.Table], schema: str, **given: object) -> DataFrame:
+    """f(rows of a group as a table, **given) for each group, in Arrow."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        return f(rows, **given)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in row ranges whose texts hold about `most` bytes; a single longer text stays whole."""
     sizes = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column))])

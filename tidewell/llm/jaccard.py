@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITS_AT_MOST, bit_table, components, cut, discard, in_table, keep, release, slices
+from .common import BITS_AT_MOST, bit_table, by_group, components, cut, discard, in_table, keep, release, slices
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
-GROUPS = 128
+GROUPS = 256
 #: A set's keys are as many as linked sets need to share one of, and one more for so many of its members.
 SLACK = 20
 #: Sets with a key in common up to which all their pairs are counted: at first, and among sets with many heavier keys.
@@ -23,8 +23,11 @@ LIGHT, MEDIUM = 16, 64
 LEAF, NODE = 32, 256
 #: Keys just before a key that are looked at, to make a pair that shares several keys from few of them.
 BEFORE = 8
-#: Rows of one key that one task orders, and members that one task compares with a copy of the centre's set.
-SALTED, STAR = 4096, 2000
+#: Rows of one key that one task orders, members that one task compares with a copy of the centre's set, and nodes that it
+#: joins with a copy of a node.
+SALTED, STAR, PARTNERS = 4096, 2000, 8
+#: Pairs for each member of joined nodes, up to which all pairs are candidates at once.
+CROWDED = 4
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.array([(i * 0x9E3779B97F4A7C15) % (1 << 64) for i in range(1, 9)], dtype=np.uint64)
@@ -308,8 +311,9 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) that are linked. A set that is b of many pairs is copied for every STAR of them."""
-    sizes = pairs.groupBy(F.col("b").alias("center")).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")).drop("n")
-    p = pairs.toDF("row", "center").join(sizes, "center").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    sizes = pairs.groupBy(F.col("b").alias("center")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    crowds = sizes.filter("salts > 1")
+    p = pairs.toDF("row", "center").join(crowds, "center", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int"))
     members = p.join(sets, "row").select("center", "salt", "row", "members", F.lit(1).alias("role"))
     centers = sizes.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("row", "center"), "center")
     both = members.unionAll(centers.select("center", "salt", F.col("center").alias("row"), "members", F.lit(0).alias("role")))
@@ -317,6 +321,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
     return dealt.select("center", "row", "role", "members").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
 
+def _owned(i: str, j: str) -> list[Column]:
+    """A pair as its owner and the other, so that no end has all the pairs."""
+    turned = F.pmod(F.xxhash64(i, j), F.lit(2)) == 0
+    return [F.when(turned, F.col(i)).otherwise(F.col(j)).alias("owner"), F.when(turned, F.col(j)).otherwise(F.col(i)).alias("i")]
+
+
 _NODE = "key long, node long, top binary, least long, label long, n int, rows binary, comps binary, points binary, before binary"
 
 
@@ -393,35 +403,50 @@ def _earlier(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits[0], bits[1]
 
 
-def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From pairs of nodes: pairs of members in different components that their group counts do not rule out.
+def _cross(nodes: pa.Table, percent: int, full: bool) -> pa.Table:
+    """From a node and the nodes to join it with: pairs of members in different components that their group counts do not
+    rule out, with the bound of what they have in common.
 
-    A pair that also shares one of the keys just before this one is left to that key.
+    A pair that also shares one of the keys just before this one is left to that key. Where there are more than CROWDED
+    pairs for each member and not `full`, only each member's likeliest pair is given, marked as a choice.
     """
-    for batch in batches:
-        out: list[np.ndarray] = []
-        for r in batch.to_pylist():
-            side = []
-            for s in ("x", "y"):
-                p = r[f"{s}points"]
-                points = np.frombuffer(p, dtype=np.uint8 if len(p) == GROUPS * r[f"{s}n"] else np.uint32).reshape(-1, GROUPS)
-                side.append((np.frombuffer(r[f"{s}rows"], dtype=np.int64), np.frombuffer(r[f"{s}comps"], dtype=np.int64), points, np.frombuffer(r[f"{s}before"], dtype=np.int64).reshape(-1, BEFORE)))
-            (rx, cx, px, bx), (ry, cy, py, by) = side
-            mx, my = _earlier(bx, by)
-            new = ((mx[:, None] & my[None]) == 0) & (cx[:, None] != cy[None])
-            if r["i"] == r["j"]:
-                new &= np.triu(np.ones(new.shape, dtype=bool), 1)
-            u, v = np.nonzero(new)
-            size = px.sum(axis=1, dtype=np.int64), py.sum(axis=1, dtype=np.int64)
-            for at in range(0, len(u), 1 << 15):
-                i, j = u[at : at + (1 << 15)], v[at : at + (1 << 15)]
-                may = (100 + percent) * overlap_bound(px[i], py[j]) >= percent * (size[0][i] + size[1][j])
-                i, j = i[may], j[may]
-                if len(i):
-                    out.append(np.stack([np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])]))
-        if out:
-            a, b = np.concatenate(out, axis=1)
-            yield _batch(a=a, b=b)
+
+    def side(r: dict) -> tuple[np.ndarray, ...]:
+        points = np.frombuffer(r["points"], dtype=np.uint8 if len(r["points"]) == GROUPS * r["n"] else np.uint32).reshape(-1, GROUPS)
+        return np.frombuffer(r["rows"], dtype=np.int64), np.frombuffer(r["comps"], dtype=np.int64), points, np.frombuffer(r["before"], dtype=np.int64).reshape(-1, BEFORE)
+
+    place = {(r, i): k for k, (r, i) in enumerate(zip(nodes.column("role").to_pylist(), nodes.column("i").to_pylist(), strict=True))}
+    row = lambda k: {c: nodes.column(c)[k].as_py() for c in ("rows", "comps", "points", "before", "n")}
+    (own,) = (i for r, i in place if not r)
+    rx, cx, px, bx = side(row(place[0, own]))
+    found: list[np.ndarray] = []
+    members = len(rx)
+    for (role, i), k in place.items():
+        if not role:
+            continue
+        ry, cy, py, by = side(row(k))
+        members += len(ry)
+        mx, my = _earlier(bx, by)
+        new = ((mx[:, None] & my[None]) == 0) & (cx[:, None] != cy[None])
+        if i == own:
+            new &= np.triu(np.ones(new.shape, dtype=bool), 1)
+        u, v = np.nonzero(new)
+        size = px.sum(axis=1, dtype=np.int64), py.sum(axis=1, dtype=np.int64)
+        for at in range(0, len(u), 1 << 14):
+            p, q = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
+            bound = overlap_bound(px[p], py[q])
+            share = size[0][p] + size[1][q]
+            may = (100 + percent) * bound >= percent * share
+            if may.any():
+                found.append(np.stack([rx[p[may]], ry[q[may]], 1_000_000 * bound[may] // share[may]]))
+    a, b, bound = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+    choice = not full and len(a) > CROWDED * members
+    if choice:
+        a, b, bound = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bound, bound])
+        order = np.lexsort((b, -bound, a))
+        order = order[np.unique(a[order], return_index=True)[1]]
+        a, b, bound = a[order], b[order], bound[order]
+    return pa.table({"a": a, "b": b, "bound": bound, "choice": np.full(len(a), choice)})
 
 
 def text_hashes(text: Column) -> dict[str, Column]:
@@ -447,7 +472,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     3. Sets with many keys of many sets are few: copies of one another in the main, or made of common passages. Each is
        first tied to one centre a key. Then leaf nodes of such a key's sets are made and joined by an R-tree, whose boxes
        bound the overlap by summed minima and skip nodes of one component; pairs of different components that survive are
-       candidates.
+       candidates. Where these are many, each member's likeliest one is tried first, as long as that finds links, and the
+       trees are joined anew.
     4. Candidates are verified on the sets themselves. So every linked pair is found or already connected.
     """
     spark = docs.sparkSession
@@ -512,20 +538,34 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
 
     edges = linked(pairs)
     comp = cut(components(edges))
-    held = heavy.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     recent = Window.partitionBy("row").orderBy("key").rowsBetween(-BEFORE, -1)
-    held = held.withColumn("before", F.collect_list("key").over(recent)).join(mixed, "key", "left_semi").join(own_points.select("row", "point"), "row")
-    nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE))
-    boxes = nodes.select("key", "node", "top", "least", "label").repartition(parts, "key").sortWithinPartitions("key", "node")
-    asked = boxes.mapInArrow(partial(_join_nodes, percent=percent), "i long, j long").repartition(parts)
-    end = lambda s, name: nodes.select(F.col("node").alias(name), *(F.col(c).alias(s + c) for c in ("n", "rows", "comps", "points", "before")))
-    cross = asked.join(end("x", "i"), "i").join(end("y", "j"), "j").mapInArrow(partial(_cross, percent=percent), "a long, b long").distinct()
-    cross = cut(cross.join(pairs, ["a", "b"], "left_anti"))
-    discard(nodes)
-    if cross.limit(1).count():
-        edges = cut(edges.unionAll(linked(cross)))
-        comp = cut(components(edges))
+    before = keep(heavy.withColumn("before", F.collect_list("key").over(recent)).join(own_points.select("row", "point"), "row"))
+    full = False
+    while heavy.limit(1).count():
+        held = before.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+        nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE))
+        boxes = nodes.select("key", "node", "top", "least", "label").repartition(parts, "key").sortWithinPartitions("key", "node")
+        asked = cut(boxes.mapInArrow(partial(_join_nodes, percent=percent), "i long, j long").select(*_owned("i", "j")))
+        salts = asked.groupBy("owner").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+        payload = nodes.select(F.col("node").alias("i"), "n", "rows", "comps", "points", "before")
+        others = asked.join(salts, "owner").select("owner", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "i").join(payload, "i")
+        owners = salts.select(F.col("owner").alias("i"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(payload, "i").withColumns({"owner": F.col("i"), "role": F.lit(0)})
+        both = others.unionByName(owners).repartition(parts, "owner", "salt")
+        cross = cut(by_group(both, ["owner", "salt"], _cross, "a long, b long, bound long, choice boolean", percent=percent, full=full))
+        discard(nodes)
+        likeliest = cross.filter("choice").groupBy("a").agg(F.max_by("b", F.struct("bound", F.col("b"))).alias("b"))
+        more = cross.filter("not choice").select("a", "b").unionAll(likeliest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        some = cross.filter("choice").limit(1).count() > 0
+        known_edges = edges.count()
+        if more.limit(1).count():
+            edges = cut(edges.unionAll(linked(more)))
+            pairs = cut(pairs.unionAll(more))
+            comp = cut(components(edges))
+        if not some:
+            break
+        full = edges.count() == known_edges
+    discard(before)
     named = classes.join(comp.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     whole = named.join(least, "component").select("s1", "s2", "component_id", *(["component"] if rows else []))

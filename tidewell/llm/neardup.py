@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest
+from .common import by_group, components, cut, forest
 
 #: Rows of a leaf of the recursion, compared by one matrix product.
 LEAF = 256
@@ -167,16 +167,13 @@ def _linked(r: dict, own: dict, basis: dict[int, np.ndarray], most: int, eps: fl
     )
 
 
-def _join(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], most: int, eps: float, least: float) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by owner, the owner's own interval first: its links with each partner; one pair is held at a time."""
-    own: dict = {}
-    for batch in batches:
-        for k in range(batch.num_rows):
-            r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-            if not r["role"]:
-                own = r
-            elif (got := _linked(r, own, basis, most, eps, least)) is not None:
-                yield got
+def _join(intervals: pa.Table, basis: dict[int, np.ndarray], most: int, eps: float, least: float) -> pa.Table:
+    """From an interval (role 0) and its partners: its links with each of them."""
+    roles = intervals.column("role").to_pylist()
+    row = lambda k: {c: intervals.column(c)[k].as_py() for c in ("i", "dim", "ids", "copies", "x")}
+    own = row(roles.index(0))
+    got = (_linked(row(k), own, basis, most, eps, least) for k, r in enumerate(roles) if r)
+    return pa.Table.from_batches([g for g in got if g is not None], pa.schema([("a", pa.int64()), ("n", pa.int64()), ("b", pa.int64())]))
 
 
 def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int = 8, interval_rows: int = 2048) -> DataFrame:
@@ -220,8 +217,7 @@ def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int
     columns = ["owner", "salt", "role", "i", "dim", "ids", "copies", "x"]
     both = partners.select(columns).unionAll(owners.withColumns({"owner": F.col("i"), "role": F.lit(0)}).select(columns))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
-    dealt = both.repartition(tasks, "owner", "salt").sortWithinPartitions("owner", "salt", "role")
-    found = cut(dealt.drop("owner", "salt").mapInArrow(partial(_join, eps=eps, least=least, **how), "a long, n long, b long"))
+    found = cut(by_group(both.repartition(tasks, "owner", "salt"), ["owner", "salt"], _join, "a long, n long, b long", eps=eps, least=least, **how))
     n = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("b is not null").select("a", "b"))
     known = classes.select("k1", "k2", "id", "copies").join(n, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
