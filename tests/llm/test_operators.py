@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -354,6 +355,21 @@ def test_bpe(spark):
     assert Counter(tuple(r) for r in back.collect()) == Counter((d, x or "") for d, x in rows)
 
 
+def test_long_words_take_time_by_their_length():
+    a, t = bpe.codec(BYTE).automaton, Tokenizer.from_file(BYTE)
+    rng = random.Random(3)
+    for word in ("a" * 100_000, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "ab" * 50_000):
+        began = time.process_time()
+        got = a.encode(word.encode())
+        assert time.process_time() - began < 2
+        assert got == t.encode(word, add_special_tokens=False).ids
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.ByteCodec(WORD)
+
+
 def test_automaton_on_random_merges():
     """Merges learnt on random words; the path must equal what joining the first merge at a time gives."""
     rng = random.Random(6)

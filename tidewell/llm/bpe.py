@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -20,7 +21,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 def byte_names() -> dict[str, int]:
-    """Character that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next from 256."""
+    """Character that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next from 256.
+
+    Fixed values: these are the ranges of visible bytes that byte-level vocabularies are written with.
+    """
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in seen]
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
@@ -34,11 +38,12 @@ class MergeAutomaton:
     from the state behind u. So a state is known by the last token read, an arc (t, w) is born with the later of
     its tokens as a copy of an arc of that token's half at that time, and dies when a merge joins t and w. The
     gadgets are kept as arrays (both halves and the time of birth of each token, the time of death of each arc that
-    dies); a row of the transition table is filled from them when it is first asked for, so the table holds the
-    arcs that texts use and never all pairs of tokens.
+    dies), from which an arc is told when it is first asked for: all pairs of tokens would be far too many.
 
-    Through the states at hand, a word has one path. Every prefix of a word has one too, whose last arc is found
-    from the arcs of shorter prefixes, so encoding looks only at the table and the arcs' labels.
+    Through the states at hand, a word has one path, and every prefix of a word has one too. The labels are compiled into
+    a table of transitions by byte, whose states know the tokens that end there, the longest first. Encoding reads a word
+    through it once from left to right: at each byte, the prefix's last arc is the first of these tokens that leaves the
+    state which the rest of the prefix has reached. So the time follows the word's length, whatever the word.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
@@ -51,8 +56,10 @@ class MergeAutomaton:
         self.arcs: dict[int, bool] = {}
         for time, (u, v) in enumerate(merges):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max(map(len, self.token))
-        self.arcs.clear()
+        self.steps = ahocorasick.Automaton()
+        for label, w in self.token.items():
+            self.steps.add_word(label.decode("latin-1"), (w, len(label)))
+        self.steps.make_automaton()
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         key = u << 32 | v
@@ -83,35 +90,35 @@ class MergeAutomaton:
                 return True
 
     def encode(self, word: bytes) -> list[int]:
-        """Tokens of the word's path; the pre-split word is read once from left to right."""
+        """Tokens of the word's path."""
         got = self.token.get(word)
         if got is not None:
             return [got]
-        token, arcs, longest = self.token.get, self.arcs, self.longest
+        arcs = self.arcs
         last = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                w = token(word[start:end])
-                if w is None:
+        for end, (w, size) in self.steps.iter(word.decode("latin-1")):
+            end += 1
+            if last[end] >= 0:
+                continue
+            t = last[end - size] if end > size else -1
+            if t >= 0:
+                key = t << 32 | w
+                ok = arcs.get(key)
+                if ok is None:
+                    if len(arcs) > 2_000_000:
+                        arcs.clear()
+                    ok = arcs[key] = self._at(t, w, 1 << 60)
+                if not ok:
                     continue
-                if start:
-                    t = last[start]
-                    if t < 0:
-                        continue
-                    key = t << 32 | w
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) > 2_000_000:
-                            arcs.clear()
-                        ok = arcs[key] = self._at(t, w, 1 << 60)
-                    if not ok:
-                        continue
-                last[end] = w
-                break
-        out, at = [], len(word)
+            elif end > size:
+                continue
+            last[end] = w
+        out, at, label = [], len(word), self.label
         while at:
+            if last[at] < 0:
+                raise ValueError("the vocabulary lacks a byte of the word")
             out.append(last[at])
-            at -= len(self.label[last[at]])
+            at -= len(label[last[at]])
         return out[::-1]
 
 
@@ -121,6 +128,11 @@ class ByteCodec:
     def __init__(self, path: str, most: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        plain = all(not t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if model["type"] != "BPE" or odd or spec["normalizer"] or not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"not a plain byte-level tokenizer: {path}")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.automaton = MergeAutomaton(spec["model"]["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

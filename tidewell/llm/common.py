@@ -27,10 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors."""
+def few(df: DataFrame) -> DataFrame:
+    """The table in at most two partitions a core, so that no more files are written than serve the work; nothing is moved."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def cut(df: DataFrame, whole: bool = False) -> DataFrame:
+    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors. With `whole` partitions stay as
+    they are."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if whole else few(df)).checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def keep(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read back; discard() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few(df).write.option("parquet.block.size", 8 << 20).parquet(path)  # little is held before it is written
     return spark.read.parquet(path)
 
 

@@ -327,14 +327,12 @@ def _owned(i: str, j: str) -> list[Column]:
     return [F.when(turned, F.col(i)).otherwise(F.col(j)).alias("owner"), F.when(turned, F.col(j)).otherwise(F.col(i)).alias("i")]
 
 
-_NODE = "key long, node long, top binary, least long, label long, n int, rows binary, comps binary, points binary, before binary"
+_NODE = "key long, top binary, least long, label long, n int, rows binary, comps binary, points binary, before binary"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and component: leaf nodes of a key's sets as rows, with their box and members."""
-    from pyspark import TaskContext
-
-    made, held, part = 0, [], TaskContext.get().partitionId()
+    held: list = []
     key = None
 
     def node() -> list:
@@ -345,10 +343,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before[i, : len(h[3])] = h[3]
         size = points.sum(axis=1, dtype=np.int64)
         label = int(comps[0]) if (comps == comps[0]).all() else -1
-        return [key, part << 32 | made, packed(points.max(axis=0)), int(size.min()), label, len(held), np.array([h[0] for h in held]).tobytes(), comps.tobytes(), points.tobytes(), before.tobytes()]
+        return [key, packed(points.max(axis=0)), int(size.min()), label, len(held), np.array([h[0] for h in held]).tobytes(), comps.tobytes(), points.tobytes(), before.tobytes()]
 
     def ready(rows: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _NODE.split(", ")])
 
     rows: list = []
@@ -356,7 +354,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, *row in zip(*(batch.column(n).to_pylist() for n in ("key", "row", "comp", "point", "before")), strict=True):
             if held and (k != key or len(held) >= NODE):
                 rows.append(node())
-                made, held = made + 1, []
+                held = []
             key = k
             held.append(row)
         if len(rows) >= 64:
@@ -543,7 +541,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     full = False
     while heavy.limit(1).count():
         held = before.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-        nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE))
+        nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE).withColumn("node", F.monotonically_increasing_id()))
         boxes = nodes.select("key", "node", "top", "least", "label").repartition(parts, "key").sortWithinPartitions("key", "node")
         asked = cut(boxes.mapInArrow(partial(_join_nodes, percent=percent), "i long, j long").select(*_owned("i", "j")))
         salts = asked.groupBy("owner").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))

@@ -206,7 +206,7 @@ def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int
     placed = classes.select("id", "copies", "v", "dim").mapInArrow(partial(_place, eps=eps, **how), "id long, copies long, v array<double>, dim int, cell array<int>")
     parts = min(max(1, -(-total // interval_rows)), MOST_PARTS)
     ordered = placed.repartitionByRange(parts, "dim", "cell", "id").sortWithinPartitions("dim", "cell", "id")
-    blocks = cut(ordered.select("id", "copies", "v", "dim").mapInArrow(partial(_intervals, rows=interval_rows, **how), "i long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"))
+    blocks = cut(ordered.select("id", "copies", "v", "dim").mapInArrow(partial(_intervals, rows=interval_rows, **how), "i long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"), whole=True)
     pairs = pairs_of_intervals(blocks.select("i", "dim", "lo", "hi"), eps, directions)
     turned = (F.col("i") + F.col("j")) % 2 == 0  # so that no interval has all the work
     pairs = cut(pairs.select(F.when(turned, F.col("i")).otherwise(F.col("j")).alias("owner"), F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i")))

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, keep, release, slices, spread
+from .common import discard, few, keep, release, slices, spread
 from .jaccard import mix
 
 #: Suffixes of the cover in a bucket, about, and in what of a bucket is sorted at once.
-BUCKET, BLOCK = 1_000_000, 4_000_000
+BUCKET, BLOCK = 1_000_000, 2_000_000
 #: Suffixes with one start in a block from which on they are told at once and one of them is held.
 CROWD = 64
 #: Pieces with one start that a task compares at once; those of more are spread by their strings.
-PIECES = 8_000
+PIECES = 2_000
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,7 +168,8 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], period: int, first: int) -
         return told(rank[tell], row[tell], place[tell]) if tell.any() else None
 
     for batch in batches:
-        for b, high, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "high", "packed")), strict=True):
+        for b, high, packed in zip(*(batch.column(c) for c in ("bucket", "high", "packed")), strict=True):
+            b, high, data = b.as_py(), high.as_py(), packed.as_buffer()
             if held and b != bucket:
                 if (got := groups(True)) is not None:
                     yield got
@@ -216,8 +217,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         for batch in slices(whole, "text", 4 << 20):
             rows: list[tuple] = []
             for row, text, asked in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes()
-                rows += [(r["rank"], row, r["first"], data[r["first"] : r["last"] + length]) for r in asked]
+                data = text.as_buffer()
+                rows += [(r["rank"], row, r["first"], data.slice(r["first"], r["last"] + length - r["first"]).to_pybytes()) for r in asked]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["rank", "row", "first", "piece"])
 
 
@@ -227,7 +228,7 @@ def _window_prints(pieces: list[bytes], length: int) -> list[np.ndarray]:
     at = np.concatenate([[0], np.cumsum(sizes)])
     n = sizes - length + 1
     out: list[np.ndarray] = []
-    step = 2_000
+    step = 500
     for lo in range(0, len(pieces), step):  # powers stay short
         hi = min(lo + step, len(pieces))
         prints = Prints(b"".join(pieces[lo:hi]))
@@ -273,13 +274,15 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         at = np.flatnonzero(apart)
         return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(start[at]), pa.array(start[np.append(at[1:], len(own)) - 1] + length)], ["row", "start", "end"])
 
-    for batch in batches:
-        for r in zip(*(batch.column(n).to_pylist() for n in ("rank", "row", "first", "piece")), strict=True):
-            if len(held) >= 2048 and r[0] != held[-1][0]:
-                if (got := solve(held)) is not None:
-                    yield got
-                held = []
-            held.append(r)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            for r in zip(*(batch.column(n).to_pylist() for n in ("rank", "row", "first", "piece")), strict=True):
+                if len(held) >= 512 and r[0] != held[-1][0]:
+                    if (got := solve(held)) is not None:
+                        yield got
+                    held = []
+                held.append(r)
     if held and (got := solve(held)) is not None:
         yield got
 
@@ -395,4 +398,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, texts: bool = False, c
     carried = ["_row"] if carry else []
     if carry:
         schema = schema.add(source.schema["_row"])
-    return source.join(by_row, "row", "left").select("doc_id", "text", "marks", *carried).mapInArrow(partial(_apply, texts=texts, carried=carried), schema)
+    return few(source.join(by_row, "row", "left").select("doc_id", "text", "marks", *carried).mapInArrow(partial(_apply, texts=texts, carried=carried), schema))
