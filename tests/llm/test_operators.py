@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -506,14 +507,35 @@ def test_shards(spark):
     fewer = sharding.fill(names[:-1], 1009)
     kept = table != 6
     assert (fewer[kept] == table[kept]).mean() > 0.85
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "doc_id long, shard string")
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d"), (2, "d")], "doc_id long, shard string")
     got = sharding.place(df, "doc_id", names, slots=1009).collect()
-    assert got[0].shard == got[1].shard and all(r.shard == table[r.slot] for r in got)
+    where = lambda d: xxhash.xxh64_intdigest(b"" if d is None else str(d).encode(), seed=42) % (1 << 64)
+    assert len(got) == 5
+    for r in got:
+        h = where(r.doc_id)
+        assert r.slot == (h - (1 << 64) if h >> 63 else h) % 1009 and r.shard == table[r.slot]
+    assert sharding.place(df.limit(0), "doc_id", names, slots=1009).columns == ["doc_id", "slot", "shard"]
     for bad in ([], ["a"] * 3):
         with pytest.raises(ValueError):
             sharding.fill(bad, 1000)
 
 
+def test_written_shards(spark, tmp_path):
+    rows = corpus()
+    names = [f"s{k}" for k in range(5)]
+    got = Counter(tuple(r) for r in sharding.shard_documents(frame(spark, rows), names).collect())
+    placed = {r.doc_id: (r.slot, r.shard) for r in sharding.place(frame(spark, rows), "doc_id", names).collect()}
+    want = Counter((d, *placed[d], None if t is None else len(t.encode()), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for d, t in rows)
+    assert got == want
+    assert sharding.shard_documents(frame(spark, []), names).count() == 0
+    sharding.write_shards(frame(spark, rows), "key", names, f"{tmp_path}/x", files=4)  # one key has all rows
+    back = sharding.read_shards(spark, f"{tmp_path}/x")
+    assert back.count() == len(rows) and set(back.columns) == {*frame(spark, rows).columns, "slot", "shard"}
+    (one,) = {r.shard for r in back.select("shard").distinct().collect()}
+    assert 1 < len(list((tmp_path / "x" / f"shard={one}").glob("*.parquet"))) <= 4
+    assert sharding.read_shards(spark, f"{tmp_path}/x", (one + 1) % 5).count() == 0
+
+
 def test_classifier(spark, tmp_path):
     rng = random.Random(12)
     rows, labels = [], []

@@ -19,10 +19,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
+    """Folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder
+    of its own; on a cluster that is an error, since executors elsewhere could not read it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
     return named or sc.getCheckpointDir()
 
@@ -163,14 +166,17 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*kept: DataFrame) -> None:
     """Deletes the files of tables made by keep() once nothing reads them any more."""
     for df in kept:
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
             if "/kept-" in f:
-                jvm = df.sparkSession.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                delete(df.sparkSession, f)
 
 
 def bit_table(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -195,6 +201,7 @@ def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def release(spark: SparkSession) -> None:
-    """Asks the driver to collect garbage, so that shuffle files and checkpoints that nothing refers to are deleted."""
+    """Asks the driver to collect garbage, so that shuffle files that nothing refers to are deleted; checkpoints are too where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, and stay until the session's folder goes where it is not."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -41,8 +41,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return sharding.place(docs, "doc_id", [f"shard-{k:03d}" for k in range(64)])
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), [f"shard-{k:03d}" for k in range(64)])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, delete, shared_dir
+
 #: A prime well above a hundred times the number of shards.
 SLOTS = 65537
 
@@ -53,19 +58,47 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], *, slots: int = SLOTS) -> DataFrame:
-    """Adds slot and shard (place among the sorted names) to each row by `key`, without a shuffle.
+    """Adds slot and shard (place among the sorted names) to each row by `key`; no row of `df` is moved.
+
+    The table has one row a slot, a prime number that is given, so it is broadcast whatever the size of `df`, and a row's
+    shard is one look into its hash map. Equal keys share a shard; a null key has the shard of an empty string. Columns of
+    `df` named slot or shard are replaced; an empty table stays empty; repeated rows stay.
+    """
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"slot": np.arange(slots, dtype=np.int32), "shard": fill(shards, slots).astype(np.int32)}), "slot int, shard int")
+    return df.drop("shard").withColumn("slot", slot(F.col(key), slots)).join(F.broadcast(table), "slot").select(*(c for c in df.columns if c not in ("slot", "shard")), "slot", "shard")
+
 
-    The table, two bytes a slot, goes to the tasks as a constant of the plan and is read in constant time. Equal keys
-    share a shard. Columns of `df` named slot or shard are replaced; an empty table stays empty.
+def write_shards(df: DataFrame, key: str, shards: list[str], path: str, *, files: int = 1, slots: int = SLOTS) -> None:
+    """Writes each shard of `df` to a folder of its own under `path` (shard=k), in `files` files, with all columns and slot.
+
+    Rows are dealt by shard and by a hash of the whole row, so with more files a shard that holds a third of all rows is not
+    one task's work, and a task that runs again deals its rows as before. Keys and clashing columns are as in place(); an
+    empty table writes no shard; `df` must not have columns that can't be hashed, such as maps.
     """
-    table = fill(shards, slots).astype(">u2").tobytes()
-    df = df.withColumn("slot", slot(F.col(key), slots))
-    two = F.substring(F.lit(table), F.col("slot") * 2 + 1, F.lit(2))
-    return df.withColumn("shard", F.conv(F.hex(two), 16, 10).cast("int"))
+    placed = place(df, key, shards, slots=slots)
+    salt = F.pmod(F.xxhash64(*(c for c in placed.columns)), F.lit(files)).cast("int")
+    dealt = placed.withColumn("__salt", salt).repartition(len(set(shards)) * files, "shard", "__salt").drop("__salt")
+    dealt.write.option("parquet.block.size", 8 << 20).partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, shard: int | None = None) -> DataFrame:
+    """Rows of all shards, or of one, whose other files are not touched."""
+    df = spark.read.parquet(path)
+    return df if shard is None else df.filter(F.col("shard") == shard)
 
 
-def write_shards(df: DataFrame, key: str, shards: list[str], path: str, *, files: int = 1) -> None:
-    """Writes each shard to a folder of its own, in `files` files: rows are dealt by shard and a salt, so a shard that
-    holds a third of all rows is not one task's work if `files` is above 1."""
-    placed = place(df, key, shards).withColumn("_salt", F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(files)).cast("int"))
-    placed.repartition(len(set(shards)) * files, "shard", "_salt").drop("_salt", "slot").write.partitionBy("shard").parquet(path)
+def shard_documents(docs: DataFrame, shards: list[str], *, files: int = 1) -> DataFrame:
+    """Writes `docs` (doc_id, text) as shards in the shared folder, reads them back and tells where each row is.
+
+    Returns doc_id, slot, shard, and n_bytes and text_sha256 of the text as it was read (null: null). The shards are deleted
+    once this is known.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    write_shards(rows, "doc_id", shards, path, files=files)
+    schema = "doc_id long, text string, slot int, shard int"
+    back = spark.read.schema(schema).parquet(path)
+    out = cut(back.select("doc_id", "slot", "shard", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")))
+    delete(spark, path)
+    return out

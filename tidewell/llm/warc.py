@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, delete, shared_dir
 
 END = "\r\n"
 RECORD = "record_id string, origin_id string, segment int, total long, record_type string, page_id long, refers_to long, target_uri string, declared_digest string, block binary"
@@ -189,19 +189,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(keep).unionAll(joined.select(keep)).mapInArrow(_decode, schema)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes `pages` to an archive in the shared folder, reads it back and describes each record's full payload.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is that of the
     response it refers to, looked up by page_id; the digest found must equal the declared one, else it is an error.
     """
-    from .common import cut
-
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
