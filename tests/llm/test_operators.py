@@ -271,6 +271,23 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_revisits_name_their_response(spark, tmp_path):
+    """Standard fields of revisits; records of foreign types are skipped unless asked for."""
+    body = "x" * 150
+    df = spark.createDataFrame([(3, "http://a/3", body), (1, "http://a/1", body), (2, "http://a/2", "y")], "page_id long, url string, html string")
+    warc.write_warc(df, f"file://{tmp_path}/a")
+    foreign = "".join(f"WARC/1.1\r\nWARC-Type: {t}\r\nWARC-Record-ID: <{t}>\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n" for t, b in (("warcinfo", "software: x\r\n\r\nmore"), ("request", "GET / HTTP/1.1\r\n\r\nq"), ("resource", "plain\r\n\r\ntext")))
+    (tmp_path / "a" / "b.warc.gz").write_bytes(zlib.compress(foreign.encode(), wbits=31))
+    fields = [f for p in (tmp_path / "a").glob("*.gz") for f, _ in warc.parse_records(warc.unpack(p.read_bytes()))]
+    of = {f.get("warc-page-id"): f for f in fields}
+    assert of["3"]["warc-type"] == "revisit" and of["3"]["warc-refers-to"] == of["1"]["warc-record-id"]
+    assert of["3"]["warc-refers-to-target-uri"] == "http://a/1" and of["3"]["warc-profile"] == warc.SAME_PAYLOAD and "warc-refers-to" not in of["1"]
+    got = sorted((r.record_type, bytes(r.payload or b"")) for r in warc.read_warc(spark, f"file://{tmp_path}/a").collect())
+    assert got == [("resource", b"plain\r\n\r\ntext"), ("response", body.encode()), ("response", b"y"), ("revisit", b"")]
+    every = {r.record_type: bytes(r.payload or b"") for r in warc.read_warc(spark, f"file://{tmp_path}/a", types=None).collect()}
+    assert every["warcinfo"] == b"software: x\r\n\r\nmore" and every["request"] == b"q"
+
+
 def test_warc_framing():
     assert warc.dechunk(b"3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n") == b"abcde"
     for bad in (b"3\r\nab", b"zz\r\n", b"3\r\nabcX"):

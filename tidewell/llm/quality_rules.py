@@ -152,3 +152,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS rule_bits
 FROM b
 """
+
+
+#: The ablations of the newest policy, from the measurements above: each rule's bit in every document's pattern.
+ABLATIONS_SQL = f"""
+WITH book AS ({ORACLE_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{n}', {1 << k})" for k, n in enumerate(POLICIES['v2']))})
+SELECT rule, CAST(count(*) FILTER (WHERE rule_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE rule_bits = bit) AS BIGINT) AS n_only
+FROM book, r GROUP BY rule
+"""

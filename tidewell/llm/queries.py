@@ -32,6 +32,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.check(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of operator 5: what each rule of the newest policy drops, and what it alone drops."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_shard_table,
         op9_quality_classifier,
         op10_suffix_repeats,
+        quality_ablations,
     )
     return {f.__name__: f for f in named}
 
@@ -73,6 +79,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_neardup": oracles.EMBEDDING_LINKS,
         "op4_warc_reassembly": warc.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "quality_ablations": quality_rules.ABLATIONS_SQL,
         "op7_ngram_jaccard": oracles.SHINGLE_LINKS,
         "op10_suffix_repeats": oracles.REPEATED_BYTES,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from .common import cut, delete, shared_dir
 
 END = "\r\n"
+#: Fixed value: the profile of revisits of equal payloads.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Types of records that hold a page; others, such as warcinfo, request and metadata, are not read unless asked for.
+PAGES = ("response", "revisit", "resource")
 RECORD = "record_id string, origin_id string, segment int, total long, record_type string, page_id long, refers_to long, target_uri string, declared_digest string, block binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
@@ -36,14 +41,16 @@ def _chunked(payload: Column, size: int) -> Column:
 
 
 def with_revisits(pages: DataFrame, least: int) -> DataFrame:
-    """pages (page_id, url, html) with payload, digest, first: the smallest page_id of equal payloads of `least` bytes or more.
+    """pages (page_id, url, html) with payload, digest, record identifier rid, and first: the smallest page_id of equal payloads
+    of `least` bytes or more, with first_rid and first_url, its record's identifier and address.
 
     The digest's groups are counted before the shuffle; only digests that occur twice are joined back, on a side
     with one row a digest, so a payload that a third of the pages share can be split.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("digest", F.sha2("payload", 256))
-    twice = p.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    p = p.withColumns({"digest": F.sha2("payload", 256), "rid": F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))})
+    of_first = lambda c: F.min_by(c, "page_id").alias(f"first_{c}")
+    twice = p.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), of_first("rid"), of_first("url"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return p.join(twice, "digest", "left")
 
 
@@ -56,7 +63,7 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, chunk: int = 81
     smallest page_id are all responses. A null page_id or url leaves out its header field; a null page_id is never
     the one referred to unless all are null. An empty table writes an empty archive. Other columns are ignored.
     """
-    p = with_revisits(pages, least).withColumn("rid", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
+    p = with_revisits(pages, least)
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull() & F.col("page_id").isNull())
     head = F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}")
     body = F.concat(head, F.lit(f"Transfer-Encoding: chunked{END}{END}"), _chunked(F.col("payload"), chunk), F.lit(f"0{END}{END}"))
@@ -64,6 +71,7 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, chunk: int = 81
     length = F.octet_length("block")
     p = p.withColumn("parts", F.greatest(F.lit(1), F.ceil(length / segment)).cast("int"))
     p = p.select("*", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("k"))
+    again = {"WARC-Refers-To": F.col("first_rid"), "WARC-Refers-To-Target-URI": F.regexp_replace("first_url", r"[\r\n]+", " "), "WARC-Refers-To-Date": F.lit(date), "WARC-Profile": F.lit(SAME_PAYLOAD)}
     part = F.substring(F.col("block"), (F.col("k") - 1) * segment + 1, F.lit(segment))
     record = F.concat(
         F.lit(f"WARC/1.1{END}"),
@@ -74,6 +82,7 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, chunk: int = 81
         _field("WARC-Payload-Digest", F.when(F.col("k") == 1, F.concat(F.lit("sha256:"), F.col("digest")))),
         _field("WARC-Page-ID", F.when(F.col("k") == 1, F.col("page_id"))),
         _field("WARC-Refers-To-Page-ID", F.when(F.col("revisit") & (F.col("k") == 1), F.col("first"))),
+        *(_field(name, F.when(F.col("revisit") & (F.col("k") == 1), value)) for name, value in again.items()),
         _field("WARC-Segment-Number", F.when(F.col("parts") > 1, F.col("k"))),
         _field("WARC-Segment-Origin-ID", F.when(F.col("k") > 1, F.col("rid"))),
         _field("WARC-Segment-Total-Length", F.when((F.col("k") > 1) & (F.col("k") == F.col("parts")), length)),
@@ -115,14 +124,14 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def _parse(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], segmented: bool, types: tuple[str, ...] | None) -> Iterator[pa.RecordBatch]:
     number = lambda x: None if x is None else int(x)
     for batch in batches:
         for content in batch.column("content"):
             rows: list[tuple] = []
             held = 0
             for f, block in parse_records(unpack(content.as_py())):
-                if ("warc-segment-number" in f) != segmented:
+                if ("warc-segment-number" in f) != segmented or not segmented and types is not None and f["warc-type"] not in types:
                     continue
                 rid = f.get("warc-record-id")
                 rows.append((rid, f.get("warc-segment-origin-id", rid), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("warc-page-id")), number(f.get("warc-refers-to-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), block))
@@ -159,27 +168,30 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         payloads = []
         for kind, block in zip(batch.column("record_type").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            head, _, body = block.partition(b"\r\n\r\n")
+            head, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") or re.match(rb"[A-Z]+ \S+ HTTP/", block) else (b"", b"", block)
             framed = any(x.partition(b":")[0].strip().lower() == b"transfer-encoding" and b"chunked" in x.lower() for x in head.split(b"\r\n"))
             payloads.append(None if kind == "revisit" else dechunk(body) if framed else body)
         keep = [n for n in batch.schema.names if n != "block"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(payloads, pa.binary())], [*keep, "payload"])
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = PAGES) -> DataFrame:
     """Records of the archives in `path`: record_type, page_id, refers_to, target_uri, declared_digest, payload.
 
     Archives are gzip files of any number of members, such as one a record. Segments are grouped by their origin's identifier, ordered by number and joined; a missing or repeated number
     or a total length that the last segment does not declare so raises an error. Only segmented records are
-    shuffled. Chunked framing is decoded. A revisit has a null payload. No archives give no rows.
+    shuffled. Chunked framing is decoded. A revisit has a null payload. Records of other `types` are skipped (None: all are
+    read; a block that is no HTTP message is its own payload). No archives give no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    whole = files.mapInArrow(partial(_parse, segmented=False), RECORD)
-    pieces = files.mapInArrow(partial(_parse, segmented=True), RECORD)
+    whole = files.mapInArrow(partial(_parse, segmented=False, types=types), RECORD)
+    pieces = files.mapInArrow(partial(_parse, segmented=True, types=types), RECORD)
     head = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     joined = pieces.groupBy("origin_id").agg(
         *(head(c) for c in ("record_type", "page_id", "refers_to", "target_uri", "declared_digest")), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts")
     )
+    if types is not None:  # a missing first segment is still an error
+        joined = joined.filter(F.col("record_type").isNull() | F.col("record_type").isin(*types))
     block = F.array_join(F.transform("parts", lambda x: _text(x.block)), "").cast("binary")
     joined = joined.withColumn("block", block)
     right = (F.octet_length("block") == F.col("total")) & (F.transform("parts", lambda x: x.segment) == F.sequence(F.lit(1), F.size("parts")))
