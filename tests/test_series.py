@@ -212,3 +212,22 @@ def test_spans_are_checked():
     with pytest.raises(ValueError):
         G.rolling("min")
     assert G.rolling("sum", rows=0).span.kind == "all"
+
+
+def test_time_spans_are_cut_into_slices(spark):
+    """One group gives many tasks' work; spans reach over the slices' edges; the same as one pass."""
+    rng = random.Random(12)
+    t, rows = -400, []
+    for _ in range(900):
+        t += rng.choice([0, 0, 1, 2, 9])
+        rows.append((1, t, float(rng.randint(0, 99)), len(rows)))
+    df = spark.createDataFrame(rows, "grp int, ts int, x double, k int")
+    order = Order("grp", "ts", "k")
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("s", G.rolling("sum", time=5), "x")
+    g.add("m", G.rolling("max", time=2), "x")
+    out = g.set_output("s", "m").run(df, order)
+    assert "__slice" in out._jdf.queryExecution().optimizedPlan().toString() and "__slice" not in out.columns
+    got = [(r.s, r.m) for r in out.orderBy("k").collect()]
+    assert got == [(sum(x for _, s, x, _ in rows[: k + 1] if s > t - 5), max(x for _, s, x, _ in rows[: k + 1] if s > t - 2)) for _, t, _, k in rows]

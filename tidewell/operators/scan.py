@@ -489,12 +489,26 @@ def read_columns(nodes: list[Node]) -> list[str]:
     return sorted({a for n in nodes for a in (*n.args, *n.columns)} - made)
 
 
-def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
+#: Length of a slice of time, in widths of the widest span; a slice also reads one such width before it.
+SLICE = 32
+
+
+def scan(df: DataFrame, order: Order, nodes: list[Node], look_back: tuple[str, float] | None = None) -> DataFrame:
     """Adds the outputs of all nodes, in one pass over each group's rows in order. Nodes may read earlier nodes' outputs.
 
     An empty table stays empty; a null group is a group. A node must not name an output like a column of the table or like
-    another output.
+    another output. Where no kernel reads rows that are `look_back` (a column of the time as a number, a width) or more
+    before its own, groups are cut into slices of time, each of which also reads so much of the one before it: few groups
+    then keep all cores busy.
     """
+    if look_back is not None:
+        tick, width = look_back
+        size = SLICE * width
+        own = F.floor(F.col(tick) / size)
+        near = F.col(tick) > (own + 1) * F.lit(size) - width
+        df = df.withColumn("__own", own).withColumn("__slice", F.explode(F.when(near, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+        out = scan(df, Order((*order.groups, "__slice"), order.time, order.ties), nodes)
+        return out.filter(F.col("__slice").eqNullSafe(F.col("__own"))).drop("__slice", "__own")
     made = [n for node in nodes for n in node.names]
     if len(set(made)) < len(made) or set(made) & set(df.columns):
         raise ValueError(f"output names are taken: {sorted(n for n in made if n in df.columns or made.count(n) > 1)}")

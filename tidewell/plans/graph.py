@@ -551,7 +551,9 @@ class Graph:
             if nodes:
                 if stream and passed:
                     raise ValueError("a stream has one pass of kernels; a user's function of columns can't stand between two of them")
-                df, passed = advance(df, order, nodes), True
+                spans = [n.options.get("time") if n.make is SpanStatistic else None for n in nodes]
+                sliced = not stream and all(isinstance(w, float) for w in spans)
+                df, passed = advance(df, order, nodes, **({"look_back": ("__tick", max(spans))} if sliced else {})), True
             todo = later
         return df.select(*taken, *(F.col(at[e]).alias(name) for e, name in zip(self._outputs, self.names(), strict=True)))
 
