@@ -122,6 +122,29 @@ def test_every_capacity_holds(score):
     assert (total <= cap + 1e-6).all() and len(packing.best_fit(items[:0], cap, np.ones(3))) == 0
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_by_definition(score):
+    """Each item, largest first, against all bins one by one; the three capacities all bind somewhere."""
+    rng = np.random.default_rng(15)
+    for _ in range(6):
+        n = rng.integers(1, 100, 120).astype(float)
+        items, cap, w = np.column_stack([n, np.ones(120), n**2]), np.array([220.0, 4.0, 9000.0]), np.array([1.0, 0.4, 0.7])
+        part = items / cap
+        order = sorted(range(120), key=lambda i: (-part[i, 0], -float(part[i] ** 2 @ w), i))
+        free, want = [], {}
+        for i in order:
+            open_bins = [k for k, room in enumerate(free) if all(room[d] >= part[i, d] - 1e-12 for d in range(3))]
+            if open_bins:
+                value = lambda k: -sum(w[d] * (free[k][d] - part[i, d]) ** 2 for d in range(3)) if score == "norm" else sum(w[d] * free[k][d] * part[i, d] for d in range(3))  # noqa: E731, B023
+                best = max(open_bins, key=lambda k: (round(value(k), 12), -k))
+            else:
+                best = len(free)
+                free.append([1.0] * 3)
+            free[best] = [free[best][d] - part[i, d] for d in range(3)]
+            want[i] = best
+        assert packing.best_fit(items, cap, w, score).tolist() == [want[i] for i in range(120)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 12))
@@ -579,6 +602,23 @@ def test_classifier(spark, tmp_path):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_classifier_on_held_out_documents(spark):
+    """Accuracy and ranking on labelled rows that the fit has not seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = classifier.classify(docs, labels).filter("held_out").join(labels.filter("quality is not null"), "doc_id").select("score", "predicted", "quality").toPandas()
+    assert len(got) > 300 and (got.predicted == got.quality).mean() > 0.98
+    good, bad = (got.score[got.quality == q].to_numpy() for q in (1, 0))
+    assert ((good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2) > 0.97
+
+
+@pytest.mark.parametrize("keep", [lambda d: quality_rules.keep_good(d), lambda d: classifier.keep_good(d, classifier.RuleModel(0.1, [((("symbols", True, 0.2), ("n_words", False, 9.0)), -3.0), ((("marks", True, 0.1),), -1.0)]))])
+def test_filters_stay_above_what_they_test(spark, keep):
+    """Measurements are not computed anew inside the filter's condition."""
+    plan = keep(frame(spark, corpus()))._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [x for x in plan.split("\n") if re.match(r"[\s:+-]*Filter ", x)]
+    assert conditions and not any("split(" in x or "regexp_replace" in x for x in conditions)
+
+
 def covered(texts, n):
     starts = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
     out = []
