@@ -31,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """The table in at most two partitions a core, so that no more files are written than serve the work; nothing is moved."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """The table in at most two partitions a core, or a sixteenth of the shuffle partitions where that is more, so that no more
+    files are written than serve the work, and a task's share stays bounded by the partitions' size; nothing is moved."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
 
 
 def cut(df: DataFrame, whole: bool = False) -> DataFrame:
@@ -43,8 +45,11 @@ def cut(df: DataFrame, whole: bool = False) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The table in as many partitions as there are cores at least; where it has them, as on large inputs, nothing is moved."""
+    """The table in as many partitions as there are cores at least; where it has them, as on large inputs, nothing is moved,
+    nor behind a shuffle, whose partitions are chosen when it runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

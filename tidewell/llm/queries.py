@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, classifier, jaccard, language, neardup, oracles, packing, quality_rules, repeats, sharding, warc
-from .common import table
+from .common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +24,7 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs, model = language.train(table(spark, sf_dir, "documents"))
+    langs, model = language.train(documents(spark, sf_dir))
     return language.identify(table(spark, sf_dir, "pages"), langs, model)
 
 
@@ -29,32 +33,32 @@ def op4_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.check(table(spark, sf_dir, "documents"))
+    return quality_rules.check(documents(spark, sf_dir))
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part of operator 5: what each rule of the newest policy drops, and what it alone drops."""
-    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return quality_rules.ablations(quality_rules.ledger(documents(spark, sf_dir)))
 
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return jaccard.link_documents(documents(spark, sf_dir), width=4, percent=85)
 
 
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), [f"shard-{k:03d}" for k in range(64)])
+    return sharding.shard_documents(documents(spark, sf_dir), [f"shard-{k:03d}" for k in range(64)])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, texts=True)
+    return repeats.remove_repeats(documents(spark, sf_dir), length=400, texts=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
