@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.timeunits import Duration, floor_time, since_epoch
+from ..functions.timeunits import Duration, floor_time, from_epoch, posix, since_epoch
 from ..operators import aggs
 from ..operators import windows as W
 from ..operators.frames import Order
@@ -654,9 +654,69 @@ def _graphs() -> None:
 
     _add("time_units", times, "SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 3600000000 AS h, epoch_us(ts) // 86400000000 AS d, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter FROM events")
 
+    def arithmetic(spark: SparkSession, d: str) -> DataFrame:
+        """A time moved by a sum of durations, counted in units that are rounded down, up and to the even side, and back."""
+        step = Duration(90_000, "ms") + Duration(1, "h") - Duration(250, "ms")  # the left one gives the unit
+        e = read(spark, d, "events")
+        moved = since_epoch(F.col("ts"), "us") + F.lit(step.micros())
+        whole = (step.floor("min"), step.ceil("min"), step.round("min"), Duration(2500, "ms").round("s"), Duration(3500, "ms").round("s"))
+        back = from_epoch(F.floor(moved / 1_000_000), "s")
+        return e.select("event_id", moved.alias("moved"), F.round(posix(F.col("ts")), 3).alias("posix"), F.unix_micros(back.cast("timestamp")).alias("back"), *(F.lit(w.micros()).cast("long").alias(f"d{k}") for k, w in enumerate(whole)))
+
+    _add("time_arithmetic", arithmetic, "SELECT event_id, epoch_us(ts) + 3689750000 AS moved, round(epoch_us(ts) / 1e6, 3) AS posix, (epoch_us(ts) + 3689750000) // 1000000 * 1000000 AS back, 3660000000::BIGINT AS d0, 3720000000::BIGINT AS d1, 3660000000::BIGINT AS d2, 2000000::BIGINT AS d3, 4000000::BIGINT AS d4 FROM events")
+
+
+class _Distinct:
+    """A user's operator: how many whole values its span holds."""
+
+    def __init__(self) -> None:
+        self.n: dict[float, int] = {}
+
+    def add(self, x: float) -> None:
+        self.n[x] = self.n.get(x, 0) + 1
+
+    def evict(self, x: float) -> None:
+        self.n[x] -= 1
+        if not self.n[x]:
+            del self.n[x]
+
+    def value(self) -> float:
+        return float(len(self.n))
+
+
+def _spans() -> None:
+    events = "SELECT event_type, event_id, ts, CAST(value AS DOUBLE) AS x FROM events"
+    by = "PARTITION BY event_type ORDER BY ts, event_id"
+
+    def own_rows(spark: SparkSession, d: str) -> DataFrame:
+        """A rolling sum whose rows are a parameter of each group."""
+        e = read(spark, d, "events").withColumn("x", F.col("value").cast("double"))
+        own = e.select("event_type").distinct().withColumn("rows", (F.length("event_type") % 4 + 2).cast("double"))
+        g = G.Graph()
+        g.root("in", ["x"])
+        g.supp_root("p", ["rows"])
+        g.add("s", G.rolling("sum", rows=1), "x")
+        g.supp_link("s", rows="rows").set_output("s")
+        return rounded(g.run(e, BY_TYPE, parameters=own).drop("ts"), ["event_type", "event_id"])
+
+    _add("graph_span_by_group", own_rows, f"SELECT event_type, event_id, {_sql_round({'s': 'sum(x) OVER w'})} FROM (SELECT *, length(event_type) % 4 + 1 AS k FROM ({events})) WINDOW w AS ({by} ROWS BETWEEN k PRECEDING AND CURRENT ROW)")
+
+    def evicting(spark: SparkSession, d: str) -> DataFrame:
+        """A user's operator over rows and over a time."""
+        e = read(spark, d, "events").withColumn("x", F.floor(F.col("value") / 20).cast("double"))
+        g = G.Graph()
+        g.root("in", ["x"])
+        g.add("rows", G.windowed_operator(_Distinct, 1, rows=12), "x")
+        g.add("day", G.windowed_operator(_Distinct, 1, time=DAY), "x")
+        return rounded(g.set_output("rows", "day").run(e, BY_TYPE).drop("ts"), ["event_type", "event_id"])
+
+    whole = "SELECT event_type, event_id, ts, floor(value / 20) AS x FROM events"
+    _add("udf_windowed", evicting, f"SELECT event_type, event_id, {_sql_round({'rows': f'count(DISTINCT x) OVER ({by} ROWS 11 PRECEDING)', 'day': 'count(DISTINCT x) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW)'})} FROM ({whole})")
+
 
 _scalar()
 _rolling()
+_spans()
 _aggregates()
 _tumbles()
 _scans()
