@@ -26,8 +26,8 @@ BEFORE = 8
 #: Rows of one key that one task orders, members that one task compares with a copy of the centre's set, and nodes that it
 #: joins with a copy of a node.
 SALTED, STAR, PARTNERS = 4096, 2000, 8
-#: Pairs for each member of joined nodes, up to which all pairs are candidates at once.
-CROWDED = 4
+#: Pairs for each member of joined nodes, up to which all pairs are candidates at once, and how often less than all are tried.
+CROWDED, TRIES = 4, 6
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.array([(i * 0x9E3779B97F4A7C15) % (1 << 64) for i in range(1, 9)], dtype=np.uint64)
@@ -538,7 +538,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     comp = cut(components(edges))
     recent = Window.partitionBy("row").orderBy("key").rowsBetween(-BEFORE, -1)
     before = keep(heavy.withColumn("before", F.collect_list("key").over(recent)).join(own_points.select("row", "point"), "row"))
-    full = False
+    full, tries = False, 0
     while heavy.limit(1).count():
         held = before.join(comp.select(F.col("node").alias("row"), F.col("component").alias("comp")), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
         nodes = keep(by_key(held, "salt", "comp", "n").mapInArrow(_nodes, _NODE).withColumn("node", F.monotonically_increasing_id()))
@@ -562,7 +562,8 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
             comp = cut(components(edges))
         if not some:
             break
-        full = edges.count() == known_edges
+        tries += 1
+        full = tries == TRIES or edges.count() == known_edges
     discard(before)
     named = classes.join(comp.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
