@@ -20,6 +20,8 @@ LEAF = 256
 FIT_ROWS = 4096
 #: Most parts of the sequence, the upper level of intervals, and most lengths of vectors with fitted directions.
 MOST_PARTS, MOST_FITTED = 2048, 256
+#: Bytes of an interval's vectors.
+INTERVAL_BYTES = 4 << 20
 #: Partners of an interval that one task compares with a copy of it.
 PARTNERS = 8
 
@@ -56,7 +58,7 @@ def _place(batches: Iterator[pa.RecordBatch], basis: dict[int, np.ndarray], most
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cell"])
 
 
-def _intervals(batches: Iterator[pa.RecordBatch], rows: int, basis: dict[int, np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+def _intervals(batches: Iterator[pa.RecordBatch], most_rows: int, basis: dict[int, np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of one dimension as one packed row: the interval's box, ids, copies and vectors."""
     from pyspark import TaskContext
 
@@ -76,6 +78,7 @@ def _intervals(batches: Iterator[pa.RecordBatch], rows: int, basis: dict[int, np
         cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1), len(dims)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             while a < b:
+                rows = min(most_rows, max(1, INTERVAL_BYTES // (8 * int(dims[a]))))
                 if held and (count >= rows or dim != int(dims[a])):
                     yield pack()
                     made, held, count = made + 1, [], 0
@@ -176,7 +179,7 @@ def _join(intervals: pa.Table, basis: dict[int, np.ndarray], most: int, eps: flo
     return pa.Table.from_batches([g for g in got if g is not None], pa.schema([("a", pa.int64()), ("n", pa.int64()), ("b", pa.int64())]))
 
 
-def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int = 8, interval_rows: int = 2048) -> DataFrame:
+def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int = 8, interval_rows: int = 8192) -> DataFrame:
     """Links `vectors` (vec_id, embedding) whose cosine is `least` or more; returns vec_id, n_links, component_id, kept.
 
     Equal vectors are one representative with a count. Representatives are sorted by grid cells of side epsilon
@@ -194,7 +197,7 @@ def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int
     v = v.withColumn("fine", fine)
     good = v.filter("fine").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(17), "v")})
     classes = cut(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min(F.struct("vec_id", "v")).getField("v").alias("v")).withColumn("dim", F.size("v")))
-    total = classes.count()
+    total, values = classes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     sample = classes.select("dim", "v").orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()
     basis = {}
@@ -204,9 +207,9 @@ def link_embeddings(vectors: DataFrame, *, least: float = 0.95, directions: int
         basis[d] = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(d, d) if len(x) > 1 else np.eye(d))[1][:, ::-1][:, :directions]
     how = {"basis": basis, "most": directions}
     placed = classes.select("id", "copies", "v", "dim").mapInArrow(partial(_place, eps=eps, **how), "id long, copies long, v array<double>, dim int, cell array<int>")
-    parts = min(max(1, -(-total // interval_rows)), MOST_PARTS)
+    parts = min(max(1, -(-total // interval_rows), -(-8 * values // INTERVAL_BYTES)), MOST_PARTS)
     ordered = placed.repartitionByRange(parts, "dim", "cell", "id").sortWithinPartitions("dim", "cell", "id")
-    blocks = cut(ordered.select("id", "copies", "v", "dim").mapInArrow(partial(_intervals, rows=interval_rows, **how), "i long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"), whole=True)
+    blocks = cut(ordered.select("id", "copies", "v", "dim").mapInArrow(partial(_intervals, most_rows=interval_rows, **how), "i long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"), whole=True)
     pairs = pairs_of_intervals(blocks.select("i", "dim", "lo", "hi"), eps, directions)
     turned = (F.col("i") + F.col("j")) % 2 == 0  # so that no interval has all the work
     pairs = cut(pairs.select(F.when(turned, F.col("i")).otherwise(F.col("j")).alias("owner"), F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i")))
