@@ -230,6 +230,9 @@ class SpanStatistic(Kernel):
                 got = fold(state, start, np.arange(held, len(both)) + 1, parts.merge)
                 cut = self.extent.needed(both)
                 self.state, self.t = state[:, cut:].copy(), both[cut:].copy()
+            if parts is Moments:  # what rounding alone can make of a series that does not move is none
+                for k in range(1, len(got) - 1, 2):
+                    got[k + 1] = np.where(got[k + 1] <= 1e-30 * got[0] * _ratio(got[k], got[0]) ** 2, 0.0, got[k + 1])
             out = finish(got, x[0]) if self.name == "zscore" else finish(got, **self.options)
         none = got[0] == 0
         return tuple(np.ma.masked_array(y, none | ~valid if self.name == "zscore" and k else none) for k, y in enumerate(out))

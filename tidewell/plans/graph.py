@@ -473,11 +473,12 @@ class Graph:
         return need
 
     def _kernel(self, name: str, stream: bool) -> Sequential | None:
-        """The node as a kernel, where it is or must be one: on a stream, over a time, or with parameters."""
+        """The node as a kernel, where it is or must be one: on a stream, over a time, or with parameters; and of two series
+        over rows, where a sliding frame would go through the span's rows anew for each of several statistics."""
         op = self._ops[name]
         if isinstance(op, Sequential):
             return op
-        if isinstance(op, Rolling) and (stream or op.span.kind == "time" or name in self._links):
+        if isinstance(op, Rolling) and (stream or op.span.kind == "time" or name in self._links or op.span.kind == "rows" and op.inputs == 2):
             make, options = op.kernel()
             if name in self._links:
                 options = {k: v for k, v in options.items() if k not in ("rows", "time")}
