@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, jaccard, language, neardup, oracles, packing, quality_rules, repeats, sharding, warc
+from . import bpe, classifier, clustering, jaccard, language, lexical, lines, neardup, oracles, packing, quality_rules, repeats, sharding, warc
 from .common import spread, table
 
 
@@ -61,6 +61,18 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir), length=400, texts=True)
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_best_fit_packing,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_shard_table,
         op9_quality_classifier,
         op10_suffix_repeats,
+        op11_annulus_clusters,
+        op12_lexical_search,
+        op13_line_dedup,
         quality_ablations,
     )
     return {f.__name__: f for f in named}
@@ -86,4 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "quality_ablations": quality_rules.ABLATIONS_SQL,
         "op7_ngram_jaccard": oracles.SHINGLE_LINKS,
         "op10_suffix_repeats": oracles.REPEATED_BYTES,
+        "op11_annulus_clusters": clustering.oracle_sql(),
+        "op12_lexical_search": lexical.ORACLE_SQL,
+        "op13_line_dedup": lines.ORACLE_SQL,
     }
