@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import TINY
+from .carry import Guessed, Last, Part, Smooth, Tail, Total
 from .frames import Order
 
 LARGEST = float(np.finfo(np.float64).max)
@@ -40,37 +41,13 @@ def slow_smoothing(a: float) -> float:
     return 1.0 / (a + 1) if a >= 1 else a
 
 
-class Smooth:
-    """m <- m + alpha (x - m), from a seed or from the first value, over arrays."""
-
-    def __init__(self, alpha: float, seed: float | None = None):
-        self.alpha, self.m = alpha, seed
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        x = np.asarray(x, dtype=np.float64)
-        if not len(x):
-            return x
-        if self.alpha >= 1:
-            self.m = float(x[-1])
-            return x
-        out, at = np.empty(len(x)), 0
-        odd = np.flatnonzero(~np.isfinite(x))
-        fine = int(odd[0]) if len(odd) else len(x)
-        if fine >= 8 and (self.m is None or np.isfinite(self.m)):
-            z = x[:fine] if self.m is None else np.concatenate([[self.m], x[:fine]])
-            out[:fine] = pd.Series(z).ewm(alpha=self.alpha, adjust=False, ignore_na=False).mean().to_numpy()[0 if self.m is None else 1 :]
-            self.m, at = float(out[fine - 1]), fine
-        m = self.m
-        for k, v in enumerate(x[at:].tolist(), at):
-            m = v if m is None else m + self.alpha * (v - m)
-            out[k] = m
-        self.m = m
-        return out
-
-
 class Kernel:
     """`step` may return masked arrays, whose masked values are null. With `takes_nulls` it gets all rows and `valid`, which
-    tells the rows without a null; else only these. on_param(), where a kernel has it, changes options in mid-run."""
+    tells the rows without a null; else only these. on_param(), where a kernel has it, changes options in mid-run.
+
+    parts() names the pieces of its state, each with a level: what a piece makes of rows may depend on pieces of lower levels. A
+    kernel that names all of them can go on from a cut in its group's rows (see ranges); None: it can't.
+    """
 
     inputs = 1
     outputs: tuple[str, ...] = ("value",)
@@ -79,6 +56,9 @@ class Kernel:
     def step(self, *x: np.ndarray) -> tuple[np.ndarray, ...]:
         raise NotImplementedError
 
+    def parts(self) -> list[tuple[int, Part]] | None:
+        return None
+
 
 class Ema(Kernel):
     """Exponential average that starts at the first value."""
@@ -94,6 +74,9 @@ class Ema(Kernel):
     def step(self, x):
         return (self.s(x),)
 
+    def parts(self):
+        return [(1, self.s)]
+
 
 class EmaUnbiased(Kernel):
     """Exponential average from 0, divided by the weight given so far."""
@@ -102,13 +85,19 @@ class EmaUnbiased(Kernel):
 
     def __init__(self, alpha: float):
         self.a = smoothing(alpha)
-        self.s, self.n = Smooth(self.a, 0.0), 0
+        self.s, self.n = Smooth(self.a, 0.0), Total()
+
+    def on_param(self, alpha: float) -> None:
+        self.a = self.s.alpha = smoothing(alpha)
 
     def step(self, x):
-        n = self.n + np.arange(1, len(x) + 1)
-        self.n += len(x)
+        n = self.n.value + np.arange(1, len(x) + 1)
+        self.n.value += len(x)
         return (self.s(x) / (1 - (1 - self.a) ** n),)
 
+    def parts(self):
+        return [(1, self.s), (1, self.n)]
+
 
 class Ewma(EmaUnbiased):
     """Average with weights (1 - alpha)^k of the value k rows ago: the same weights as the unbiased form."""
@@ -123,15 +112,16 @@ class EmaTime(Kernel):
     outputs = ("ema",)
 
     def __init__(self, tau: float):
-        self.tau, self.m = tau, None
+        self.tau, self.s = tau, Smooth(0.0)
+
+    def on_param(self, tau: float) -> None:
+        self.tau = tau
 
     def step(self, x, dt):
-        a, m, out = -np.expm1(-np.asarray(dt) / self.tau), self.m, []
-        for v, k in zip(x.tolist(), a.tolist(), strict=True):
-            m = v if m is None else m + k * (v - m)
-            out.append(m)
-        self.m = m
-        return (np.array(out),)
+        return (self.s.weigh(x, -np.expm1(-np.asarray(dt) / self.tau)),)
+
+    def parts(self):
+        return [(1, self.s)]
 
 
 class VarEw(Kernel):
@@ -149,6 +139,12 @@ class VarEw(Kernel):
         d = x - np.concatenate([[x[0] if before is None else before], m[:-1]])
         return m, self.v(d * (x - m))
 
+    def on_param(self, alpha: float) -> None:
+        self.a = self.m.alpha = self.v.alpha = smoothing(alpha)
+
+    def parts(self):
+        return [(1, self.m), (2, self.v)]
+
 
 class StdEw(VarEw):
     outputs = ("mean", "std")
@@ -173,6 +169,12 @@ class CovEw(Kernel):
         dy = y - np.concatenate([[y[0] if by is None else by], my[:-1]])
         return mx, my, self.c((1 - self.a) * dx * dy)
 
+    def on_param(self, alpha: float) -> None:
+        self.a = self.x.alpha = self.y.alpha = self.c.alpha = smoothing(alpha)
+
+    def parts(self):
+        return [(1, self.x), (1, self.y), (2, self.c)]
+
 
 class ZscoreEw(StdEw):
     """Distance from the exponentially weighted mean in deviations; 0 while there is none."""
@@ -195,6 +197,10 @@ class Zband(Kernel):
         self.m: float | None = None
         self.v, self.last, self.sd = 0.0, 0.0, LARGEST
 
+    def on_param(self, **options: float) -> None:
+        self.a = smoothing(options["alpha"]) if "alpha" in options else self.a
+        self.threshold, self.influence = options.get("threshold", self.threshold), options.get("influence", self.influence)
+
     def step(self, x):
         ms, sds = [], []
         for v in x.tolist():
@@ -226,6 +232,12 @@ class Macd(Kernel):
         sig = self.s(cd)
         return cd, sig, cd - sig
 
+    def on_param(self, alpha: float) -> None:
+        self.s.alpha = smoothing(alpha)
+
+    def parts(self):
+        return [(1, self.s)]
+
 
 class Rsi(Kernel):
     """Relative strength from smoothed gains and losses that start at 0 (weight 1 / (p + 1)); 100 without losses."""
@@ -234,11 +246,17 @@ class Rsi(Kernel):
 
     def __init__(self, period: float = 14):
         a = slow_smoothing(period)
-        self.g, self.l, self.prev = Smooth(a, 0.0), Smooth(a, 0.0), None
+        self.g, self.l, self.prev = Smooth(a, 0.0), Smooth(a, 0.0), Last()
+
+    def on_param(self, period: float) -> None:
+        self.g.alpha = self.l.alpha = slow_smoothing(period)
+
+    def parts(self):
+        return [(1, self.prev), (2, self.g), (2, self.l)]
 
     def step(self, x):
-        d = np.diff(np.concatenate([[x[0] if self.prev is None else self.prev], x]))
-        self.prev = float(x[-1])
+        d = np.diff(np.concatenate([[x[0] if self.prev.value is None else self.prev.value], x]))
+        self.prev.value = float(x[-1])
         g, loss = self.g(np.maximum(d, 0)), self.l(np.maximum(-d, 0))
         ratio = np.divide(g, loss, out=np.full(len(x), np.nan), where=loss >= TINY)
         return (np.where(loss < TINY, 100.0, 100 - 100 / (1 + ratio)),)
@@ -251,11 +269,17 @@ class Atr(Kernel):
     outputs = ("atr",)
 
     def __init__(self, period: float = 14):
-        self.s, self.c = Smooth(smoothing(period), 0.0), None
+        self.s, self.c = Smooth(smoothing(period), 0.0), Last()
+
+    def on_param(self, period: float) -> None:
+        self.s.alpha = smoothing(period)
+
+    def parts(self):
+        return [(1, self.c), (2, self.s)]
 
     def step(self, h, lo, c):
-        before = np.concatenate([[np.nan if self.c is None else self.c], c[:-1]])
-        self.c = float(c[-1])
+        before = np.concatenate([[np.nan if self.c.value is None else self.c.value], c[:-1]])
+        self.c.value = float(c[-1])
         return (self.s(np.fmax(h - lo, np.fmax(np.abs(h - before), np.abs(lo - before)))),)
 
 
@@ -267,11 +291,17 @@ class Dm(Kernel):
 
     def __init__(self, period: float = 14):
         a = slow_smoothing(period)
-        self.u, self.d, self.prev = Smooth(a, 0.0), Smooth(a, 0.0), None
+        self.u, self.d, self.prev = Smooth(a, 0.0), Smooth(a, 0.0), Last()
+
+    def on_param(self, period: float) -> None:
+        self.u.alpha = self.d.alpha = slow_smoothing(period)
+
+    def parts(self):
+        return [(1, self.prev), (2, self.u), (2, self.d)]
 
     def step(self, h, lo):
-        ph, pl = self.prev or (float(h[0]), float(lo[0]))
-        self.prev = float(h[-1]), float(lo[-1])
+        ph, pl = self.prev.value or (float(h[0]), float(lo[0]))
+        self.prev.value = float(h[-1]), float(lo[-1])
         up = h - np.concatenate([[ph], h[:-1]])
         down = np.concatenate([[pl], lo[:-1]]) - lo
         return self.u(np.where((up > 0) & (up > down), up, 0.0)), self.d(np.where((down > 0) & (down > up), down, 0.0))
@@ -289,11 +319,18 @@ class Adosc(Kernel):
     outputs = ("adosc",)
 
     def __init__(self, fast: float = 3, slow: float = 10):
-        self.f, self.s, self.ad = Smooth(smoothing(fast)), Smooth(smoothing(slow)), 0.0
+        self.f, self.s, self.ad = Smooth(smoothing(fast)), Smooth(smoothing(slow)), Total()
+
+    def on_param(self, **periods: float) -> None:
+        for k, s in (("fast", self.f), ("slow", self.s)):
+            s.alpha = smoothing(periods[k]) if k in periods else s.alpha
+
+    def parts(self):
+        return [(1, self.ad), (2, self.f), (2, self.s)]
 
     def step(self, h, lo, c, v):
-        ad = np.cumsum(np.concatenate([[self.ad], mfm(h, lo, c) * v]))[1:]
-        self.ad = float(ad[-1])
+        ad = np.cumsum(np.concatenate([[self.ad.value], mfm(h, lo, c) * v]))[1:]
+        self.ad.value = float(ad[-1])
         return (self.f(ad) - self.s(ad),)
 
 
@@ -306,13 +343,19 @@ class Kdj(Kernel):
 
     def __init__(self, rows: int = 9, k: float = 3, d: float = 3):
         self.rows, self.k, self.d = rows, Smooth(smoothing(k)), Smooth(smoothing(d))
-        self.h, self.l = np.empty(0), np.empty(0)
+        self.held = Tail(rows - 1, 2)
+
+    def on_param(self, **periods: float) -> None:
+        for k, s in (("k", self.k), ("d", self.d)):
+            s.alpha = smoothing(periods[k]) if k in periods else s.alpha
+
+    def parts(self):
+        return [(1, self.held), (2, self.k), (3, self.d)]
 
     def step(self, h, lo, c):
-        hs, ls = np.concatenate([self.h, h]), np.concatenate([self.l, lo])
-        hh = pd.Series(hs).rolling(self.rows, min_periods=1).max().to_numpy()[len(self.h) :]
-        ll = pd.Series(ls).rolling(self.rows, min_periods=1).min().to_numpy()[len(self.l) :]
-        self.h, self.l = (hs[-(self.rows - 1) :], ls[-(self.rows - 1) :]) if self.rows > 1 else (hs[:0], ls[:0])
+        hs, ls = self.held.push(h, lo)
+        hh = pd.Series(hs).rolling(self.rows, min_periods=1).max().to_numpy()[len(hs) - len(h) :]
+        ll = pd.Series(ls).rolling(self.rows, min_periods=1).min().to_numpy()[len(ls) - len(lo) :]
         wide = np.abs(hh - ll) >= TINY
         fast = np.where(wide, 100 * np.divide(c - ll, hh - ll, out=np.zeros(len(c)), where=wide), 50.0)
         k = self.k(fast)
@@ -330,6 +373,9 @@ class DynwinAvg(Kernel):
         self.x: deque = deque()
         self.mean = self.m2 = 0.0
 
+    def on_param(self, threshold: float) -> None:
+        self.limit = threshold**2
+
     def step(self, x):
         out = []
         for v in x.tolist():
@@ -356,27 +402,70 @@ class Cusum(Kernel):
 
     def __init__(self, threshold: float):
         self.threshold = abs(threshold)
-        self.last: float | None = None
-        self.up = self.down = 0.0
-        self.bar = 0
+        self.last, self.run = Last(), Guessed((0.0, 0.0))
+
+    def on_param(self, threshold: float) -> None:
+        self.threshold = abs(threshold)
+
+    def parts(self):
+        return [(1, self.last), (2, self.run)]
 
     def step(self, x):
         bars, fired = [], []
+        (up, down), bar = self.run.value
         with np.errstate(all="ignore"):
             logs = np.log(x).tolist()
+        last = self.last.value
         for v in logs:
-            g = 0.0 if self.last is None else v - self.last
-            self.last = v
-            self.up, self.down = max(0.0, self.up + g), min(0.0, self.down + g)
-            on = self.up > self.threshold or self.down < -self.threshold
-            bars.append(self.bar)
+            g, last = 0.0 if last is None else v - last, v
+            up, down = max(0.0, up + g), min(0.0, down + g)
+            on = up > self.threshold or down < -self.threshold
+            bars.append(bar)
             fired.append(float(on))
             if on:
-                self.up = self.down = 0.0
-                self.bar += 1
+                up = down = 0.0
+                bar += 1
+        self.last.value, self.run.value = last, ((up, down), bar)
         return np.array(bars, dtype=np.float64), np.array(fired)
 
 
+class RowNumber(Kernel):
+    """Number of the row in its group, from 0."""
+
+    inputs = 0
+    outputs = ("row",)
+    takes_nulls = True
+
+    def __init__(self) -> None:
+        self.n = Total()
+
+    def parts(self):
+        return [(1, self.n)]
+
+    def step(self, *x, valid):
+        n = self.n.value + np.arange(len(valid))
+        self.n.value += len(valid)
+        return (n.astype(np.float64),)
+
+
+class Sessions(Kernel):
+    """Number of the session of each row: another begins where a row comes `gap` or more after the one before. Input: the time."""
+
+    outputs = ("session",)
+
+    def __init__(self, gap: float):
+        self.gap, self.last, self.n = gap, Last(), Total()
+
+    def parts(self):
+        return [(1, self.last), (2, self.n)]
+
+    def step(self, t):
+        breaks = np.diff(np.concatenate([[t[0] if self.last.value is None else self.last.value], t])) >= self.gap
+        n = self.n.value + np.cumsum(breaks)
+        self.last.value, self.n.value = float(t[-1]), int(n[-1])
+        return (n.astype(np.float64),)
+
+
 class Functor(Kernel):
     """A user's stateful callable, row by row: a number or a tuple of numbers for each row."""
 
@@ -398,6 +487,9 @@ class Arrays(Kernel):
         with np.errstate(all="ignore"):
             return tuple(self.f(*x))
 
+    def parts(self):
+        return []
+
 
 KERNELS: dict[str, type[Kernel]] = {
     "ema": Ema,
@@ -462,8 +554,8 @@ def _run(kernel: Kernel, cols: list[np.ndarray], valid: np.ndarray | None, n: in
 def advance(nodes: list[Node], kernels: list[Kernel], data: Columns, n: int) -> None:
     """Runs the next n rows of one group through its kernels; `data` gets their outputs."""
     for node, kernel in zip(nodes, kernels, strict=True):
-        cols, oks = zip(*(data[c] for c in node.args), strict=True)
-        oks = [ok for ok in oks if ok is not None]
+        cols = [data[c][0] for c in node.args]
+        oks = [data[c][1] for c in node.args if data[c][1] is not None]
         valid = np.logical_and.reduce(oks) if oks else None
         cuts = [0, n]
         if node.live and node.columns:
@@ -489,65 +581,83 @@ def read_columns(nodes: list[Node]) -> list[str]:
     return sorted({a for n in nodes for a in (*n.args, *n.columns)} - made)
 
 
-#: Length of a slice of time, in widths of the widest span; a slice also reads one such width before it.
-SLICE = 32
+def group_key(batch: pa.RecordBatch, groups: list[str], row: int) -> tuple:
+    """The row's group; NaN equals itself."""
+    return tuple("nan" if isinstance(v, float) and v != v else v for v in (batch.column(g)[row].as_py() for g in groups))
 
 
-def scan(df: DataFrame, order: Order, nodes: list[Node], look_back: tuple[str, float] | None = None) -> DataFrame:
-    """Adds the outputs of all nodes, in one pass over each group's rows in order. Nodes may read earlier nodes' outputs.
+def runs(batch: pa.RecordBatch, groups: list[str]) -> Iterator[tuple[int, int]]:
+    """Where the batch's rows of one group begin and end."""
+    change = np.zeros(batch.num_rows, dtype=bool)
+    for g in groups:
+        codes = np.asarray(batch.column(g).dictionary_encode("encode").indices)
+        change[1:] |= codes[1:] != codes[:-1]
+    starts = [0, *np.flatnonzero(change).tolist()]
+    return zip(starts, [*starts[1:], batch.num_rows], strict=True)
 
-    An empty table stays empty; a null group is a group. A node must not name an output like a column of the table or like
-    another output. Where no kernel reads rows that are `look_back` (a column of the time as a number, a width) or more
-    before its own, groups are cut into slices of time, each of which also reads so much of the one before it: few groups
-    then keep all cores busy.
-    """
-    if look_back is not None:
-        tick, width = look_back
-        size = SLICE * width
-        own = F.floor(F.col(tick) / size)
-        near = F.col(tick) > (own + 1) * F.lit(size) - width
-        df = df.withColumn("__own", own).withColumn("__slice", F.explode(F.when(near, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
-        out = scan(df, Order((*order.groups, "__slice"), order.time, order.ties), nodes)
-        return out.filter(F.col("__slice").eqNullSafe(F.col("__own"))).drop("__slice", "__own")
+
+def values(batch: pa.RecordBatch, read: list[str]) -> Columns:
+    """The columns as doubles."""
+    out: Columns = {}
+    for c in read:
+        x = batch.column(c).cast(pa.float64(), safe=False)
+        out[c] = np.asarray(x.fill_null(float("nan"))), np.asarray(x.is_valid()) if x.null_count else None
+    return out
+
+
+def part_of(data: Columns, a: int, b: int) -> Columns:
+    return {c: (x[a:b], None if ok is None else ok[a:b]) for c, (x, ok) in data.items()}
+
+
+def outputs_of(nodes: list[Node], df: DataFrame) -> tuple[list[str], StructType]:
+    """Names of the columns that nodes add, and the schema with them; ValueError if a name is taken."""
     made = [n for node in nodes for n in node.names]
     if len(set(made)) < len(made) or set(made) & set(df.columns):
         raise ValueError(f"output names are taken: {sorted(n for n in made if n in df.columns or made.count(n) > 1)}")
-    groups, held, read = list(order.groups), [c for c in df.columns], read_columns(nodes)
     schema = StructType(list(df.schema.fields))
     for n in made:
         schema = schema.add(n, "double")
-    partial_sort = df.repartition(*groups).sortWithinPartitions(*groups, *order.keys)
+    return made, schema
+
+
+def replay(batches: Iterator[pa.RecordBatch], nodes: list[Node], groups: list[str], held: list[str], begin: Callable[[pa.RecordBatch, Columns, bool], list[Kernel]]) -> Iterator[pa.RecordBatch]:
+    """The batches with the nodes' outputs; begin(batch, a group's first values, whether it is the first group) makes kernels."""
+    made, read = [n for node in nodes for n in node.names], read_columns(nodes)
+    last: tuple | None = None
+    kernels: list[Kernel] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        whole = values(batch, read)
+        out, fine = {c: np.empty(n) for c in made}, {c: np.ones(n, dtype=bool) for c in made}
+        for a, b in runs(batch, groups):
+            data = part_of(whole, a, b)
+            key = group_key(batch, groups, a)
+            if key != last:
+                kernels = begin(batch, data, last is None)
+                last = key
+            advance(nodes, kernels, data, b - a)
+            for c in made:
+                out[c][a:b] = data[c][0]
+                if data[c][1] is not None:
+                    fine[c][a:b] = data[c][1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(out[c], mask=None if fine[c].all() else ~fine[c]) for c in made)], [*held, *made])
+
+
+def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
+    """Adds the outputs of all nodes, in one pass over each group's rows in order. Nodes may read earlier nodes' outputs.
+
+    An empty table stays empty; a null group is a group. A node must not name an output like a column of the table or like
+    another output. A group is one task's work; see ranges for groups that are cut.
+    """
+    _, schema = outputs_of(nodes, df)
+    groups, held = list(order.groups), list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
-        kernels: list[Kernel] = []
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            change = np.zeros(n, dtype=bool)
-            for g in groups:
-                codes = np.asarray(batch.column(g).dictionary_encode("encode").indices)
-                change[1:] |= codes[1:] != codes[:-1]
-            starts = [0, *np.flatnonzero(change).tolist()]
-            whole: Columns = {}
-            for c in read:
-                x = batch.column(c).cast(pa.float64(), safe=False)
-                whole[c] = np.asarray(x.fill_null(float("nan"))), np.asarray(x.is_valid()) if x.null_count else None
-            out, fine = {c: np.empty(n) for c in made}, {c: np.ones(n, dtype=bool) for c in made}
-            for a, b in zip(starts, [*starts[1:], n], strict=True):
-                data = {c: (x[a:b], None if ok is None else ok[a:b]) for c, (x, ok) in whole.items()}
-                key = tuple(batch.column(g)[a].as_py() for g in groups)
-                if key != last:
-                    last, kernels = key, start(nodes, data)
-                advance(nodes, kernels, data, b - a)
-                for c in made:
-                    out[c][a:b] = data[c][0]
-                    if data[c][1] is not None:
-                        fine[c][a:b] = data[c][1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(out[c], mask=None if fine[c].all() else ~fine[c]) for c in made)], [*held, *made])
-
-    return partial_sort.mapInArrow(run, schema)
+        return replay(batches, nodes, groups, held, lambda batch, data, first: start(nodes, data))
+
+    return df.repartition(*groups).sortWithinPartitions(*groups, *order.keys).mapInArrow(run, schema)
 
 
 def with_parameters(df: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Statistics over spans as kernels: each row's span is put together from partial results, never by taking away.
 
-A span's rows are cut into runs of 1, 2, 4, ... rows whose partial results are merged, so a row costs the logarithm of the
-span's rows, and what has left a span leaves no trace: after an infinity, a NaN or a value of another magnitude has gone,
-results are those of the rows that remain. The rows held are those of one span.
+A span that fits a batch is merged from runs of 1, 2, 4, ... rows. A longer one is two pieces: results from each row to a
+middle, made once when spans pass the middle before, and the rows since, merged as they come; a row is added to each once,
+so its cost does not grow with the span but for the logarithm in merging arrays. What has left a span leaves no trace:
+after an infinity, a NaN or a value of another magnitude has gone, results are those of the rows that remain. The rows held
+are those of one span.
 
 Nulls: a row with a null in any input does not count, as if it were not there; its own result is that of the other rows of
 its span, and null if there is none. NaN and infinities follow the arithmetic of doubles while they are in the span; an
@@ -17,6 +19,7 @@ from collections.abc import Callable
 import numpy as np
 
 from ..functions.scalar import TINY
+from .carry import Extreme, First, Merged, Total
 from .scan import Kernel
 
 State = np.ndarray  #: partial results by row: (parts, rows)
@@ -50,6 +53,89 @@ def cumulate(state: State, merge: Callable[[State, State], State]) -> State:
     return state
 
 
+def cumulate_back(state: State, merge: Callable[[State, State], State]) -> State:
+    """Merged parts of each row and all behind it."""
+    step = 1
+    while step < state.shape[1]:
+        state = np.concatenate([merge(state[:, :-step], state[:, step:]), state[:, -step:]], axis=1)
+        step *= 2
+    return state
+
+
+#: Spans of less than a batch's rows divided by this are merged from runs.
+TURNS = 8
+
+
+class Held:
+    """Rows that later spans can reach, and the two pieces of long spans. Rows are named by their number since the first one."""
+
+    def __init__(self, merge: Callable[[State, State], State]):
+        self.merge = merge
+        self.state: State | None = None
+        self.t = np.empty(0)
+        self.base = self.low = self.high = 0  #: number of the first place in the arrays, of the first row held, of the next row
+        self.back: State | None = None  #: results from each row of [back_low, middle) to the middle
+        self.front: State | None = None  #: results of the rows from the middle on
+        self.back_low = self.middle = 0
+
+    def times(self) -> np.ndarray:
+        return self.t[self.low - self.base : self.high - self.base]
+
+    def push(self, new: State, t: np.ndarray) -> None:
+        n, live = new.shape[1], self.high - self.low
+        if self.state is None or self.high - self.base + n > self.state.shape[1]:
+            room = np.empty((len(new), 2 * (live + n)))
+            times = np.empty(2 * (live + n))
+            if self.state is not None:
+                room[:, :live] = self.state[:, self.low - self.base : self.high - self.base]
+                times[:live] = self.times()
+            self.state, self.t, self.base = room, times, self.low
+        at = self.high - self.base
+        self.state[:, at : at + n], self.t[at : at + n] = new, t
+        self.high += n
+
+    def rows(self, a: int, b: int) -> State:
+        return self.state[:, a - self.base : b - self.base]
+
+    def ranges(self, start: np.ndarray, n: int) -> State:
+        """Merged parts from start to each of the last n rows; starts never go back, and each is that row at most."""
+        first = self.high - n
+        if TURNS * (first - int(start[0])) <= n:
+            self.back = self.front = None
+            return self._fold(start, first)
+        out, at = np.empty((len(self.state), n)), 0
+        if self.back is None:
+            self._turn(int(start[0]), first)
+        while at < n:
+            end = int(np.searchsorted(start, self.middle, side="right"))
+            if end > at:
+                front = cumulate(self.rows(first + at, first + end) if self.front is None else np.concatenate([self.front, self.rows(first + at, first + end)], axis=1), self.merge)[:, -(end - at) :]
+                self.front = front[:, -1:].copy()
+                old = start[at:end] < self.middle
+                out[:, at:end] = front
+                out[:, at:end][:, old] = self.merge(self.back[:, start[at:end][old] - self.back_low], front[:, old])
+                at = end
+            if at < n:
+                if TURNS * (first + at - int(start[at])) <= n:  # spans have become short
+                    self.back = self.front = None
+                    out[:, at:] = self._fold(start[at:], first + at)
+                    return out
+                self._turn(int(start[at]), first + at)
+        return out
+
+    def _fold(self, start: np.ndarray, first: int) -> State:
+        low = int(start[0])
+        return fold(self.rows(low, self.high), start - low, np.arange(first, self.high) + 1 - low, self.merge)
+
+    def _turn(self, low: int, middle: int) -> None:
+        self.back, self.front = cumulate_back(self.rows(low, middle), self.merge), None
+        self.back_low, self.middle = low, middle
+
+    def let_go(self, low: int) -> None:
+        """No later span reaches a row before `low`."""
+        self.low = max(self.low, low)
+
+
 def _ratio(a: np.ndarray, b: np.ndarray, none: float = 0.0) -> np.ndarray:
     return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, none), where=b != 0)
 
@@ -197,16 +283,26 @@ class Extent:
 
 
 class SpanStatistic(Kernel):
-    """A statistic of STATISTICS over an extent; inputs are its series and the time."""
+    """A statistic of STATISTICS over an extent; inputs are its series and the time.
+
+    With `sized` ("rows" or "time") another series behind them says at each row how far its span goes back. Of what a smaller
+    size has let go nothing comes back when it grows: a span begins where the one before did, or later. A size of 0 or
+    less leaves no row, and the result is null; a NaN leaves the beginning where it was, and so does a null, whose row does not count.
+    """
 
     takes_nulls = True
 
-    def __init__(self, name: str, rows: float | None = None, time: float | None = None, **options: object):
+    def __init__(self, name: str, rows: float | None = None, time: float | None = None, sized: str | None = None, **options: object):
         n, self.outputs, *_ = STATISTICS[name]
-        self.name, self.inputs, self.options = name, n + 1, options
+        if sized not in (None, "rows", "time") or sized and (rows or time):
+            raise ValueError("a span has rows, a time, or a series of either")
+        self.name, self.inputs, self.options, self.sized = name, n + 1 + bool(sized), options, sized
         self.extent = Extent(rows, time)
-        self.state: State | None = None
-        self.t = np.empty(0)
+        merge = STATISTICS[name][2].merge
+        self.total, self.held, self.start = Merged(merge), Held(merge), 0
+
+    def parts(self):
+        return [(1, self.total)] if self.extent.all and not self.sized else None
 
     def on_param(self, rows: float | None = None, time: float | None = None) -> None:
         """Another extent from the next row on; a wider one fills up with the rows to come."""
@@ -214,27 +310,52 @@ class SpanStatistic(Kernel):
             raise ValueError("only the size of a span can change")
         self.extent = Extent(rows, time)
 
+    def _starts(self, t: np.ndarray, size: np.ndarray | None, valid: np.ndarray) -> np.ndarray:
+        """Number of the first row of each span, for the last len(t) rows."""
+        held = self.held
+        own = np.arange(held.high - len(t), held.high)
+        if self.sized is None:
+            first = np.searchsorted(held.times(), t - self.extent.time, side="right") + held.low if self.extent.time is not None else own - self.extent.rows + 1
+            return np.maximum(first, held.low)
+        size = np.where(valid & ~np.isnan(size), size, np.inf)
+        if self.sized == "rows":
+            first = own + 1 - np.minimum(np.floor(np.maximum(size, 0)), own + 1.0).astype(np.int64)
+        else:
+            first = np.where(size > 0, np.searchsorted(held.times(), t - np.where(size > 0, size, 0), side="right") + held.low, own + 1)
+        first = np.maximum.accumulate(np.maximum(first, self.start))
+        self.start = int(first[-1])
+        return np.maximum(first, held.low)
+
     def step(self, *columns: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         *x, t = columns
+        size = x.pop() if self.sized else None
         _, _, parts, finish = STATISTICS[self.name]
         with np.errstate(all="ignore"):
             new = parts.lift(valid, *x)
-            if self.extent.all:
-                got = cumulate(new if self.state is None else np.concatenate([self.state, new], axis=1), parts.merge)
-                got, self.state = got[:, got.shape[1] - len(t) :], got[:, -1:]
+            empty = np.zeros(len(t), dtype=bool)
+            if self.extent.all and not self.sized:
+                state = self.total.value
+                got = cumulate(new if state is None else np.concatenate([state, new], axis=1), parts.merge)
+                got = got[:, got.shape[1] - len(t) :]
+                self.total.value = got[:, -1:].copy()
             else:
-                held = len(self.t)
-                state = new if self.state is None else np.concatenate([self.state, new], axis=1)
-                both = np.concatenate([self.t, t])
-                start = self.extent.starts(both, held)
-                got = fold(state, start, np.arange(held, len(both)) + 1, parts.merge)
-                cut = self.extent.needed(both)
-                self.state, self.t = state[:, cut:].copy(), both[cut:].copy()
+                held = self.held
+                held.push(new, t)
+                own = np.arange(held.high - len(t), held.high)
+                start = self._starts(t, size, valid)
+                empty = start > own
+                got = held.ranges(np.minimum(start, own), len(t))
+                if self.sized:
+                    held.let_go(self.start)
+                elif self.extent.time is not None:
+                    held.let_go(held.low + int(np.searchsorted(held.times(), t[-1] - self.extent.time, side="right")))
+                else:
+                    held.let_go(held.high - self.extent.rows + 1)
             if parts is Moments:  # what rounding alone can make of a series that does not move is none
                 for k in range(1, len(got) - 1, 2):
                     got[k + 1] = np.where(got[k + 1] <= 1e-30 * got[0] * _ratio(got[k], got[0]) ** 2, 0.0, got[k + 1])
             out = finish(got, x[0]) if self.name == "zscore" else finish(got, **self.options)
-        none = got[0] == 0
+        none = (got[0] == 0) | empty
         return tuple(np.ma.masked_array(y, none | ~valid if self.name == "zscore" and k else none) for k, y in enumerate(out))
 
 
@@ -322,27 +443,30 @@ class Since(Kernel):
     def __init__(self, name: str):
         self.name = name
         self.inputs, self.outputs = {"count": (0, ("count",)), "ohlc": (1, ("open", "high", "low", "close")), "simple_return": (1, (name,)), "log_return": (1, (name,)), "order_flow": (2, (name,)), "book_imba": (2, (name,))}[name]
-        self.n, self.first, self.high, self.low = 0, None, -np.inf, np.inf
-        self.a = self.b = 0.0
+        self.n, self.first, self.high, self.low = Total(), First(), Extreme(np.maximum, -np.inf), Extreme(np.minimum, np.inf)
+        self.a, self.b = Total(), Total()
+
+    def parts(self):
+        return [(1, p) for p in (self.n, self.first, self.high, self.low, self.a, self.b)]
 
     def step(self, *x: np.ndarray) -> tuple[np.ndarray, ...]:
         rows = len(x[0])
-        seen = self.n + np.arange(1, rows + 1)
-        self.n += rows
+        seen = self.n.value + np.arange(1, rows + 1)
+        self.n.value += rows
         if self.name == "count":
             return (seen.astype(np.float64),)
         if self.name in ("order_flow", "book_imba"):
-            a, b = (np.cumsum(np.concatenate([[s], c]))[1:] for s, c in zip((self.a, self.b), x, strict=True))
-            self.a, self.b = float(a[-1]), float(b[-1])
+            a, b = (np.cumsum(np.concatenate([[s.value], c]))[1:] for s, c in zip((self.a, self.b), x, strict=True))
+            self.a.value, self.b.value = float(a[-1]), float(b[-1])
             with np.errstate(all="ignore"):
                 return (a - b if self.name == "order_flow" else (a - b) / (a + b),)
         x = x[0]
-        first = self.first = float(x[0]) if self.first is None else self.first
+        first = self.first.value = float(x[0]) if self.first.value is None else self.first.value
         with np.errstate(all="ignore"):
             if self.name == "simple_return":
                 return (np.where((seen == 1) | (abs(first) < TINY), 0.0, (x - first) / first),)
             if self.name == "log_return":
                 return (np.where(seen == 1, 0.0, np.log(x) - np.log(first)),)
-        high, low = np.maximum.accumulate(np.concatenate([[self.high], x]))[1:], np.minimum.accumulate(np.concatenate([[self.low], x]))[1:]
-        self.high, self.low = float(high[-1]), float(low[-1])
+        high, low = np.maximum.accumulate(np.concatenate([[self.high.value], x]))[1:], np.minimum.accumulate(np.concatenate([[self.low.value], x]))[1:]
+        self.high.value, self.low.value = float(high[-1]), float(low[-1])
         return np.full(rows, first), high, low, x

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.timeunits import Duration, as_size
 from .frames import Order
-from .scan import KERNELS, Kernel, Node, scan
+from .ranges import can_carry, scan_ranges, wanted
+from .scan import KERNELS, Kernel, Node, RowNumber, Sessions, scan
 
 WID = "__wid"
 
@@ -33,6 +34,13 @@ def _as_time(df: DataFrame, order: Order, tick: Column) -> Column:
     return tick
 
 
+def _numbered(df: DataFrame, order: Order, node: Node, ranges: int | None, report: dict | None = None) -> DataFrame:
+    """The node's outputs, the first as a whole number; with groups cut into ranges where that is asked for or needed."""
+    ranges = (wanted(df, order) if ranges is None else ranges) if can_carry(node) else 0
+    df = scan_ranges(df, order, [node], ranges, report) if ranges else scan(df, order, [node])
+    return df.withColumn(node.names[0], F.col(node.names[0]).cast("long"))
+
+
 def tumbling(size: int | float | str | Duration) -> Callable[[DataFrame, Order], Windows]:
     """[k size, (k + 1) size) since the epoch, also before it; a window's time is its end; empty windows are skipped."""
     w = as_size(size)
@@ -46,19 +54,23 @@ def tumbling(size: int | float | str | Duration) -> Callable[[DataFrame, Order],
     return assign
 
 
-def counter(n: int) -> Callable[[DataFrame, Order], Windows]:
-    """Every n rows of a group; a window's time is its last row's."""
+def counter(n: int, ranges: int | None = None) -> Callable[[DataFrame, Order], Windows]:
+    """Every n rows of a group; a window's time is its last row's. `ranges`, here and below, is that of Graph.run()."""
     if n <= 0:
         raise ValueError("n must be above 0")
 
     def assign(df: DataFrame, order: Order) -> Windows:
-        df = df.withColumn(WID, F.floor((F.row_number().over(order.window()) - 1) / F.lit(n)).cast("long"))
+        if wanted(df, order) if ranges is None else ranges:
+            df = _numbered(df, order, Node(RowNumber, [], [WID]), ranges)
+            df = df.withColumn(WID, F.floor(F.col(WID) / F.lit(n)).cast("long"))
+        else:
+            df = df.withColumn(WID, F.floor((F.row_number().over(order.window()) - 1) / F.lit(n)).cast("long"))
         return Windows(df, F.max(order.time), F.count("*") == n, True)
 
     return assign
 
 
-def session(gap: int | float | str | Duration) -> Callable[[DataFrame, Order], Windows]:
+def session(gap: int | float | str | Duration, ranges: int | None = None) -> Callable[[DataFrame, Order], Windows]:
     """A window ends where the next row comes `gap` or more after its last; a window's time is its last row's."""
     w = as_size(gap)
     if w <= 0:
@@ -66,30 +78,34 @@ def session(gap: int | float | str | Duration) -> Callable[[DataFrame, Order], W
 
     def assign(df: DataFrame, order: Order) -> Windows:
         df = df.withColumn("__tick", order.tick(df))
-        breaks = F.coalesce(F.col("__tick") - F.lag("__tick").over(order.window()) >= F.lit(w), F.lit(False))
-        df = df.withColumn("__break", breaks.cast("long"))
-        df = df.withColumn(WID, F.sum("__break").over(order.running())).drop("__tick", "__break")
+        if wanted(df, order) if ranges is None else ranges:
+            df = _numbered(df, order, Node(Sessions, ["__tick"], [WID], {"gap": float(w)}), ranges).drop("__tick")
+        else:
+            breaks = F.coalesce(F.col("__tick") - F.lag("__tick").over(order.window()) >= F.lit(w), F.lit(False))
+            df = df.withColumn("__break", breaks.cast("long"))
+            df = df.withColumn(WID, F.sum("__break").over(order.running())).drop("__tick", "__break")
         return Windows(df, F.max(order.time), None, False)
 
     return assign
 
 
-def cusum(threshold: float, column: str) -> Callable[[DataFrame, Order], Windows]:
-    """A window ends with the row whose accumulated log-returns of `column` go beyond the threshold on one side."""
+def cusum(threshold: float, column: str, ranges: int | None = None, report: dict | None = None) -> Callable[[DataFrame, Order], Windows]:
+    """A window ends with the row whose accumulated log-returns of `column` go beyond the threshold on one side. Where groups
+    are cut, `report` gets how many ranges and rows were run again (see scan_ranges)."""
 
     def assign(df: DataFrame, order: Order) -> Windows:
-        df = scan(df, order, [Node(KERNELS["cusum"], [column], [WID, "__fired"], {"threshold": threshold})])
-        df = df.withColumn(WID, F.col(WID).cast("long"))
+        df = _numbered(df, order, Node(KERNELS["cusum"], [column], [WID, "__fired"], {"threshold": threshold}), ranges, report)
         return Windows(df, F.max(order.time), F.max("__fired") > 0, True)
 
     return assign
 
 
-def custom(make: Callable[[], Kernel], columns: list[str]) -> Callable[[DataFrame, Order], Windows]:
-    """Windows numbered by a user's kernel, whose one output is each row's number; a window's time is its last row's."""
+def custom(make: Callable[[], Kernel], columns: list[str], ranges: int | None = None) -> Callable[[DataFrame, Order], Windows]:
+    """Windows numbered by a user's kernel, whose one output is each row's number; a window's time is its last row's. Groups
+    can be cut where the kernel names the parts of its state."""
 
     def assign(df: DataFrame, order: Order) -> Windows:
-        df = scan(df, order, [Node(make, columns, [WID])]).withColumn(WID, F.col(WID).cast("long"))
+        df = _numbered(df, order, Node(make, columns, [WID]), ranges)
         return Windows(df, F.max(order.time), None, False)
 
     return assign

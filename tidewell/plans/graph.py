@@ -19,8 +19,9 @@ from ..operators import aggs
 from ..operators.frames import Frame, Order, Span
 from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
+from ..operators.ranges import can_carry, reach, scan_ranges, scan_rows, scan_times, wanted
 from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, scan
-from ..operators.spans import Since, SpanStatistic, Windowed
+from ..operators.spans import Since, SpanLag, SpanStatistic, Windowed
 from ..operators.windows import WID, Windows, last_of
 
 
@@ -472,43 +473,47 @@ class Graph:
                 todo += self.pred_of(n)
         return need
 
-    def _kernel(self, name: str, stream: bool) -> Sequential | None:
-        """The node as a kernel, where it is or must be one: on a stream, over a time, or with parameters; and of two series
-        over rows, where a sliding frame would go through the span's rows anew for each of several statistics."""
+    def _kernel(self, name: str, stream: bool, cut: bool = False) -> Sequential | None:
+        """The node as a kernel, where it is or must be one: on a stream, over a time, with parameters, or where groups are cut;
+        and of two series over rows, where a sliding frame would go through the span's rows anew for each of several statistics."""
         op = self._ops[name]
         if isinstance(op, Sequential):
             return op
-        if isinstance(op, Rolling) and (stream or op.span.kind == "time" or name in self._links or op.span.kind == "rows" and op.inputs == 2):
+        if isinstance(op, Rolling) and (stream or cut or op.span.kind == "time" or name in self._links or op.span.kind == "rows" and op.inputs == 2):
             make, options = op.kernel()
             if name in self._links:
                 options = {k: v for k, v in options.items() if k not in ("rows", "time")}
             return Sequential(op.name, op.inputs, op.outputs, make, options, ticks=True)
         if isinstance(op, Projection) and stream and op.arrays is not None and any(self._kernel(p, True) for p in self.pred_of(name) if p in self._ops):
             return Sequential(op.name, len(self._args[name]), op.outputs, lambda: Arrays(op.arrays, len(self._args[name]), op.outputs))
-        if isinstance(op, Running) and stream:
+        if isinstance(op, Running) and (stream or cut):
             if op.name in ("sum", "avg", "avg_weighted"):
                 return Sequential(op.name, op.inputs, op.outputs, SpanStatistic, {"name": op.name}, ticks=True)
             return Sequential(op.name, op.inputs, op.outputs, Since, {"name": op.name}, ticks=op.name == "count")
         return None
 
-    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False) -> DataFrame:
+    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False, ranges: int | None = None) -> DataFrame:
         """One row out for each row in: groups, order keys, and the outputs under names().
 
         Nodes that no output needs are left out. Column operators become projections and windows over one sorted
         shuffle of the groups; all sequential nodes that are ready run in one pass. On a stream every operator that looks
         at other rows is a kernel of one pass, whose state is kept by group between micro-batches; see stream_scan(). `parameters` has a
         row a group. With `live` the table's own columns hold the parameters, and a change takes effect from its row on.
+
+        `ranges` says into how many ranges a table's groups are cut (see ranges), 0 for none; by default they are where the table
+        is large and a group is too large for a task. Where they are, every operator over other rows is a kernel, and only
+        kernels that can't be cut (users' own, bands, doubling windows, lags over a time) take a group a task.
         """
         self.validate()
         stream = df.isStreaming
-        advance = scan
         if stream:
-            from ..streaming.runner import stream_scan as advance
+            from ..streaming.runner import stream_scan
+        ranges = 0 if stream else wanted(df, order) if ranges is None else ranges
         columns = {p: (inputs or {}).get(p, p) for p in self._ports[self._root]}
         if parameters is not None:
             df = df.join(parameters, list(order.groups), "left")
         need = self._needed()
-        kernels = {n: k for n in self._args if n in need and (k := self._kernel(n, stream)) is not None}
+        kernels = {n: k for n in self._args if n in need and (k := self._kernel(n, stream, ranges > 0)) is not None}
         at: dict[Edge, str] = {}
         taken = dict.fromkeys(order.columns)
         base = [F.col(c) for c in taken]
@@ -539,7 +544,8 @@ class Graph:
                 at |= {Edge(n, k): x.replace(".", "_") for k, x in enumerate(names)}
             nodes: list[Node] = []
             later: list[str] = []
-            for n in rest:  # then every sequential node that is ready or reads one of this pass
+            kind: str | None = None
+            for n in rest:  # then every sequential node that is ready or reads one of this pass, of the kind of the first
                 op = kernels.get(n)
                 if op is None or any(a not in at for a in self._args[n]):
                     later.append(n)
@@ -547,18 +553,43 @@ class Graph:
                 names = [f"__{n}_{k}" for k in range(len(op.outputs))]
                 links = {k: at[e] for k, e in self._links.get(n, {}).items()}
                 args = [at[a] for a in self._args[n]][: op.inputs]
-                nodes.append(Node(op.make, [*args, *(["__tick"] if op.ticks else [])], names, dict(op.options) | links, live and bool(links)))
+                node = Node(op.make, [*args, *(["__tick"] if op.ticks else [])], names, dict(op.options) | links, live and bool(links))
+                own = _kind(node) if ranges else ""
+                if kind not in (None, own):
+                    later.append(n)
+                    continue
+                kind = own
+                nodes.append(node)
                 at |= {Edge(n, k): x for k, x in enumerate(names)}
             if nodes:
                 if stream and passed:
                     raise ValueError("a stream has one pass of kernels; a user's function of columns can't stand between two of them")
-                spans = [n.options.get("time") if n.make is SpanStatistic else None for n in nodes]
-                sliced = not stream and all(isinstance(w, float) for w in spans)
-                df, passed = advance(df, order, nodes, **({"look_back": ("__tick", max(spans))} if sliced else {})), True
+                passed = True
+                df = stream_scan(df, order, nodes) if stream else _pass(df, order, nodes, kind, ranges)
             todo = later
         return df.select(*taken, *(F.col(at[e]).alias(name) for e, name in zip(self._outputs, self.names(), strict=True)))
 
 
+def _kind(node: Node) -> str:
+    """How a node's groups can be cut: by what is carried over, in blocks of rows or of time, or not at all ("")."""
+    if node.make in (SpanStatistic, SpanLag) and not node.asked and not node.options.get("sized"):
+        for kind in ("rows", "time"):
+            if node.options.get(kind):
+                return "" if node.make is SpanLag and kind == "time" else kind
+    return "carry" if not node.live and can_carry(node) else ""
+
+
+def _pass(df: DataFrame, order: Order, nodes: list[Node], kind: str, ranges: int) -> DataFrame:
+    if kind == "carry":
+        return scan_ranges(df, order, nodes, ranges)
+    if kind == "rows":
+        back = reach(nodes, {n.names[0]: n.options["rows"] for n in nodes})
+        return scan_rows(df, order, nodes, int(back), ranges)
+    if kind == "time":
+        return scan_times(df, order, nodes, "__tick", reach(nodes, {n.names[0]: n.options["time"] for n in nodes}), ranges)
+    return scan(df, order, nodes)
+
+
 @dataclass
 class AggGraph:
     """Windowed aggregation: named input columns, one window, aggregators."""
