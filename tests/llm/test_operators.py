@@ -79,7 +79,7 @@ def test_components(spark):
 
 def test_word_encoder():
     t = Tokenizer.from_file(WORD)
-    e = WordEncoder(WORD, most=50)
+    e = WordEncoder(WORD, most=5000)
     for _, text in corpus():
         assert e.encode(text or "").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
@@ -671,3 +671,19 @@ def test_difference_covers():
     for i in range(0, 140):
         for j in range(0, 140):
             assert any(i + k in at and j + k in at for k in range(period))
+
+
+def test_word_encoder_on_odd_white_space_and_long_words():
+    t = Tokenizer.from_file(WORD)
+    e = WordEncoder(WORD, most=5000)
+    texts = ["a\x0bb\x85c\xa0d\x0ce", "it's IT'S 'tis we'll''s --'s 'd", "x" * 3000, "1234 5.6e-7 é ÉÀ ſ ŉ ß", "\xa0", "", "İstanbul ı", "a—b–c “q” €5"]
+    for found, text in zip(e.encode_many(texts), texts, strict=True):
+        assert found.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert max(map(len, e.known)) <= 256
+
+
+def test_packing_keeps_ids_exact_beside_a_null(spark):
+    ids = [9007199254740993, None, 9007199254740995, -(2**63), 2**63 - 1]
+    got = packing.pack_documents(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string"), WORD).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+    assert sorted(r.offset for r in got) == [k * got[0].length for k in range(5)]

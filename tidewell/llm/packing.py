@@ -7,35 +7,43 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import by_group, cut, slices
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+#: Bytes of what a worker remembers.
+CACHE = 192 << 20
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, cache: int, forget: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path, cache).encode_many
-    tail = np.array([end], dtype="<u4")
+    encode = encoder(path, cache).encode_flat
     for whole in batches:
-        for batch in slices(whole, "text"):
-            rows: list[tuple] = []
-            for doc, body in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids = np.concatenate([body, tail])
-                for k, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], PIECES.replace(" long", "").replace(" int", "").split(", "))
+        for batch in slices(whole, "text", 4 << 20):
+            ids, ends = encode(pc.fill_null(batch.column("text"), ""))
+            rows = np.arange(batch.num_rows)
+            ids, ends = np.insert(ids, ends[1:], end).astype("<u4"), ends + np.arange(len(ends))  # `end` behind every text
+            n = np.diff(ends)
+            pieces = -(-n // size)
+            row = np.repeat(rows, pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * size
+            length = np.minimum(n[row] - start, size)
+            at = ends[row] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = [batch.column("doc_id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip((piece, start, length, crc), kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, NAMES)
     if forget:
         encoder.cache_clear()
 
 
-def tokenize(docs: DataFrame, path: str, size: int = 2048, end: int = 0, cache: int = 1_000_000, forget: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, size: int = 2048, end: int = 0, cache: int = CACHE, forget: bool = False) -> DataFrame:
     """Pieces of at most `size` ids of every text, `end` appended; a null text counts as empty (one piece: `end`)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_pieces, path=path, size=size, end=end, cache=cache, forget=forget), PIECES)
 
@@ -72,14 +80,18 @@ def best_fit(items: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score
     return bins
 
 
-def _pack(group: pd.DataFrame, capacity: tuple, weights: tuple, score: str) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-    length = group["length"].to_numpy(dtype=np.float64)
-    items = np.column_stack([length, np.ones(len(group)), length**2])
+def _pack(group: pa.Table, capacity: tuple, weights: tuple, score: str) -> pa.Table:
+    group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")])
+    length = group.column("length").to_numpy()
+    items = np.column_stack([length, np.ones(len(length)), length.astype(np.float64) ** 2]).astype(np.float64)
     bins = best_fit(items, np.array(capacity, dtype=np.float64), np.array(weights), score)
-    group["sequence_id"] = (group.pop("g").to_numpy(dtype=np.int64) << 32) + bins
-    group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
-    return group
+    order = np.argsort(bins, kind="stable")
+    before = np.cumsum(length[order]) - length[order]
+    first = np.concatenate([[True], np.diff(bins[order]) > 0])
+    offset = np.empty(len(length), dtype=np.int64)
+    offset[order] = before - before[first][np.cumsum(first) - 1]
+    sequence = (group.column("g").to_numpy() << 32) + bins
+    return group.select(NAMES).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset))
 
 
 def pack(pieces: DataFrame, *, tokens: int = 2048, documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm", group_rows: int = 6000) -> DataFrame:
@@ -94,10 +106,10 @@ def pack(pieces: DataFrame, *, tokens: int = 2048, documents: int | None = None,
     n = max(1, -(-pieces.count() // group_rows))
     spread = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n)).cast("long"))
     limits = (tokens, documents or tokens, attention or float(tokens) ** 2)
-    return spread.groupBy("g").applyInPandas(partial(_pack, capacity=limits, weights=weights, score=score), f"{PIECES}, sequence_id long, offset long")
+    return by_group(spread, ["g"], _pack, f"{PIECES}, sequence_id long, offset long", capacity=limits, weights=weights, score=score)
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 2048, cache: int = 1_000_000, forget: bool = False) -> DataFrame:
-    """Tokenizes and packs `docs` (doc_id, text); other columns are ignored. A worker remembers up to `cache`
-    words, and with `forget` lets go of them when a task ends."""
+def pack_documents(docs: DataFrame, path: str, size: int = 2048, cache: int = CACHE, forget: bool = False) -> DataFrame:
+    """Tokenizes and packs `docs` (doc_id, text); other columns are ignored. A worker remembers parts of words in up to
+    `cache` bytes, and with `forget` lets go of them when a task ends."""
     return pack(tokenize(docs, path, size, cache=cache, forget=forget), tokens=size)
