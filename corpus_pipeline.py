@@ -58,7 +58,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids with their places in sequences of 2048; words are let go of, as workers serve all stages."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache=250_000, forget=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache=64 << 20, forget=True)
 
 
 STAGES = [
