@@ -1,4 +1,8 @@
-"""Aggregators of a window's rows; each is a grouped aggregate with a partial step before the shuffle."""
+"""Aggregators of a window's rows; each is a grouped aggregate with a partial step before the shuffle.
+
+A row with a null in any input that an output is made of is as if it were not there, for first and last values as for sums;
+rows alone are counted with their nulls. Where no row is left the output is null.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +16,17 @@ from pyspark.sql import functions as F
 from ..functions.scalar import TINY, ieee_div
 
 
+def together(*cols: str) -> list[Column]:
+    """The columns, null where any of them is."""
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    return [F.when(whole, F.col(c)) for c in cols]
+
+
 def _ends(p: str, seq: Column) -> tuple[Column, Column]:
-    return F.min_by(p, seq), F.max_by(p, seq)
+    at = F.when(F.col(p).isNotNull(), seq)
+    return F.min_by(p, at), F.max_by(p, at)
 
 
 def _ohlc(seq: Column, p: str) -> list[Column]:
@@ -25,19 +38,26 @@ def _stddev(seq: Column, *cols: str, ddof: int = 1) -> list[Column]:
     """Deviation dividing by n - ddof; 0 for one row."""
 
     def one(c: str) -> Column:
+        n = F.count(c)
         if ddof == 1:
-            return F.coalesce(F.stddev_samp(c), F.lit(0.0))
+            return F.when(n > 0, F.coalesce(F.stddev_samp(c), F.lit(0.0)))
         if ddof == 0:
             return F.stddev_pop(c)
-        n = F.count(c)
-        return F.when(n > max(1, ddof), F.sqrt(F.var_pop(c) * n / F.greatest(n - ddof, F.lit(1)))).otherwise(0.0)
+        return F.when(n > max(1, ddof), F.sqrt(F.var_pop(c) * n / F.greatest(n - ddof, F.lit(1)))).when(n > 0, 0.0)
 
     return [one(c) for c in cols]
 
 
 def _vwap(seq: Column, p: str, v: str) -> list[Column]:
-    s = F.sum(v)
-    return [F.when(F.abs(s) < TINY, F.lit(0.0)).otherwise(F.sum(F.col(p) * F.col(v)) / s)]
+    price, volume = together(p, v)
+    s = F.sum(volume)
+    return [F.when(F.abs(s) < TINY, F.lit(0.0)).otherwise(F.sum(price * volume) / s)]
+
+
+def _avg_weighted(seq: Column, x: str, w: str) -> list[Column]:
+    value, weight = together(x, w)
+    s = F.sum(weight)
+    return [F.when(s != 0, F.sum(value * weight) / s).when(s.isNotNull(), float("nan"))]
 
 
 def _simple_return(seq: Column, p: str) -> list[Column]:
@@ -51,11 +71,12 @@ def _log_return(seq: Column, p: str) -> list[Column]:
 
 
 def _order_flow(seq: Column, buy: str, sell: str) -> list[Column]:
-    return [F.sum(buy) - F.sum(sell)]
+    b, s = together(buy, sell)
+    return [F.sum(b) - F.sum(s)]
 
 
 def _book_imba(seq: Column, bid: str, ask: str) -> list[Column]:
-    b, a = F.sum(bid), F.sum(ask)
+    b, a = (F.sum(c) for c in together(bid, ask))
     return [ieee_div(b - a, b + a)]
 
 
@@ -71,7 +92,7 @@ AGGREGATORS: dict[str, tuple[int | None, tuple[str, ...] | None, Callable[..., l
     "log_return": (1, ("log_return",), _log_return),
     "order_flow": (2, ("order_flow",), _order_flow),
     "book_imba": (2, ("book_imba",), _book_imba),
-    "avg_weighted": (2, ("avg_weighted",), lambda seq, x, w: [F.when(F.sum(w) != 0, F.sum(F.col(x) * F.col(w)) / F.sum(w)).otherwise(float("nan"))]),
+    "avg_weighted": (2, ("avg_weighted",), _avg_weighted),
 }
 
 

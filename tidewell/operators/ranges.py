@@ -15,6 +15,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import count
 from typing import Any
 
@@ -31,6 +33,7 @@ from .scan import Columns, Kernel, Node, RowNumber, advance, group_key, outputs_
 LARGE_BYTES, LARGE_ROWS = 64 << 20, 1 << 20
 RANGE, BLOCK, OWN = "__range", "__block", "__own"
 _fresh = count()
+_asked: ContextVar[int | None] = ContextVar("ranges", default=None)
 
 Starts = dict[int, dict[tuple[int, int], Any]]  #: by range: value of each (node, part)
 
@@ -51,10 +54,22 @@ def width_of(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def cut_into(number: int | None) -> Iterator[None]:
+    """Within it, groups are cut into `number` ranges where nothing else is said; 0: never, None: where they are large."""
+    token = _asked.set(number)
+    try:
+        yield
+    finally:
+        _asked.reset(token)
+
+
 def wanted(df: DataFrame, order: Order) -> int:
     """Number of ranges where a group is too large for one task, else 0: where the table is estimated at LARGE_BYTES, rows are
-    counted by group, and some group has LARGE_ROWS and twice a core's share."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < LARGE_BYTES:
+    counted by group, and some group has LARGE_ROWS and twice a core's share; or what cut_into() says."""
+    if (asked := _asked.get()) is not None:
+        return asked
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < LARGE_BYTES:
         return 0
     most, rows = df.groupBy(*order.groups).count().agg(F.max("count"), F.sum("count")).first()
     return width_of(df.sparkSession) if most and most >= LARGE_ROWS and most * df.sparkSession.sparkContext.defaultParallelism > 2 * rows else 0

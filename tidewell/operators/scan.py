@@ -522,7 +522,7 @@ class Node:
 
     def __init__(self, make: type[Kernel] | Callable[..., Kernel], args: list[str], names: list[str], options: dict[str, Any] | None = None, live: bool = False):
         self.make, self.args, self.names, self.options, self.live = make, args, names, dict(options or {}), live
-        self.asked = {k: v for k, v in self.options.items() if isinstance(v, str) and k not in ("name", "fill")}
+        self.asked = {k: v for k, v in self.options.items() if isinstance(v, str) and k not in ("name", "fill", "sized")}
         self.columns = list(self.asked.values())
 
     def start(self, value: Callable[[str], float]) -> Kernel:

@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 
 from ..functions.scalar import TINY
-from .carry import Extreme, First, Merged, Total
+from .carry import Extreme, First, Last, Merged, Total
 from .scan import Kernel
 
 State = np.ndarray  #: partial results by row: (parts, rows)
@@ -438,23 +438,37 @@ class Windowed(Kernel):
 
 
 class Since(Kernel):
-    """The accumulating functors per row, for streams: what rolling statistics over all rows do not give."""
+    """The accumulating functors per row, as kernels: what rolling statistics over all rows do not give. A row with a null
+    leaves the functor as it was, and has its outputs so far; rows are counted with their nulls."""
+
+    takes_nulls = True
 
     def __init__(self, name: str):
         self.name = name
         self.inputs, self.outputs = {"count": (0, ("count",)), "ohlc": (1, ("open", "high", "low", "close")), "simple_return": (1, (name,)), "log_return": (1, (name,)), "order_flow": (2, (name,)), "book_imba": (2, (name,))}[name]
         self.n, self.first, self.high, self.low = Total(), First(), Extreme(np.maximum, -np.inf), Extreme(np.minimum, np.inf)
-        self.a, self.b = Total(), Total()
+        self.a, self.b, self.last = Total(), Total(), Last()
 
     def parts(self):
-        return [(1, p) for p in (self.n, self.first, self.high, self.low, self.a, self.b)]
+        return [(1, p) for p in (self.n, self.first, self.high, self.low, self.a, self.b)] + [(2, self.last)]
 
-    def step(self, *x: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, *x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+        if self.name == "count":
+            seen = self.n.value + np.arange(1, len(valid) + 1)
+            self.n.value += len(valid)
+            return (seen.astype(np.float64),)
+        before = self.last.value
+        got = np.stack(self._next(*(c[valid] for c in x))) if valid.any() else np.empty((len(self.outputs), 0))
+        if got.shape[1]:
+            self.last.value = tuple(got[:, -1].tolist())
+        at = np.cumsum(valid)  # rows before the first one with values have the outputs of what came before
+        held = np.column_stack([np.full((len(got), 1), np.nan) if before is None else np.array(before)[:, None], got])[:, at]
+        return tuple(np.ma.masked_array(y, (at == 0) & (before is None)) for y in held)
+
+    def _next(self, *x: np.ndarray) -> tuple[np.ndarray, ...]:
         rows = len(x[0])
         seen = self.n.value + np.arange(1, rows + 1)
         self.n.value += rows
-        if self.name == "count":
-            return (seen.astype(np.float64),)
         if self.name in ("order_flow", "book_imba"):
             a, b = (np.cumsum(np.concatenate([[s.value], c]))[1:] for s, c in zip((self.a, self.b), x, strict=True))
             self.a.value, self.b.value = float(a[-1]), float(b[-1])

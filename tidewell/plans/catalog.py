@@ -724,8 +724,12 @@ _graphs()
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from . import large
+
+    return _queries | large.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    from . import large
+
+    return _oracles | large.oracle_sql()

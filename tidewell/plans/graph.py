@@ -21,7 +21,7 @@ from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
 from ..operators.ranges import can_carry, reach, scan_ranges, scan_rows, scan_times, wanted
 from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, scan
-from ..operators.spans import Since, SpanLag, SpanStatistic, Windowed
+from ..operators.spans import STATISTICS, Since, SpanLag, SpanStatistic, Windowed
 from ..operators.windows import WID, Windows, last_of
 
 
@@ -134,6 +134,15 @@ def kernel(name: str, **options: Any) -> Sequential:
     return Sequential(name, k.inputs, k.outputs, k, options)
 
 
+def sized(name: str, by: str) -> Sequential:
+    """A rolling statistic whose span at each row goes as far back as its last input says, by "rows" or "time" (in units of the
+    order's time, microseconds for timestamps); of what has left nothing comes back: see spans.SpanStatistic."""
+    inputs, outputs, *_ = STATISTICS[name]
+    if by not in ("rows", "time"):
+        raise ValueError("a span is sized by rows or time")
+    return Sequential(name, inputs + 1, outputs, SpanStatistic, {"name": name, "sized": by}, ticks=True)
+
+
 def windowed_operator(make: Callable[[], object], inputs: int, outputs: tuple[str, ...] = ("value",), *, rows: int | None = None, time: object = None) -> Sequential:
     """A user's operator over the last rows or the last time, with add(), evict() and value(), and size() for a span that
     changes as it goes: see spans.Windowed."""
@@ -155,41 +164,64 @@ def directional() -> Projection:
     return Projection("directional", 3, ("plus_di", "minus_di", "dx"), make)
 
 
+# a row with a null in an input of an accumulating functor leaves it as it was
+
 def _first(f: Frame, x: Column) -> Column:
-    return f.keep(F.first(x).over(f.order.running()))
+    return f.keep(F.first(x, ignorenulls=True).over(f.order.running()))
+
+
+def _last(f: Frame, x: Column) -> Column:
+    return f.keep(F.last(x, ignorenulls=True).over(f.order.running()))
+
+
+def _pair(f: Frame, a: Column, b: Column) -> tuple[Column, Column]:
+    both = a.isNotNull() & b.isNotNull()
+    return f.keep(F.when(both, a)), f.keep(F.when(both, b))
 
 
 def _ratio_to_first(f: Frame, x: Column) -> list[Column]:
-    first = _first(f, x)
-    n = f.keep(F.row_number().over(f.order.window()))
-    return [F.when((n == 1) | (F.abs(first) < S.TINY), F.lit(0.0)).otherwise((x - first) / first)]
+    first, last = _first(f, x), _last(f, x)
+    n = f.keep(F.count(x).over(f.order.running()))
+    return [F.when(n == 0, F.lit(None)).when((n == 1) | (F.abs(first) < S.TINY), F.lit(0.0)).otherwise((last - first) / first)]
 
 
 def _log_to_first(f: Frame, x: Column) -> list[Column]:
-    first = _first(f, x)
-    n = f.keep(F.row_number().over(f.order.window()))
-    return [F.when(n == 1, F.lit(0.0)).otherwise(S.ieee_ln(x) - S.ieee_ln(first))]
+    first, last = _first(f, x), _last(f, x)
+    n = f.keep(F.count(x).over(f.order.running()))
+    return [F.when(n == 0, F.lit(None)).when(n == 1, F.lit(0.0)).otherwise(S.ieee_ln(last) - S.ieee_ln(first))]
 
 
 def _running_ohlc(f: Frame, x: Column) -> list[Column]:
     w = f.order.running()
-    return [_first(f, x), f.keep(F.max(x).over(w)), f.keep(F.min(x).over(w)), x]
+    return [_first(f, x), f.keep(F.max(x).over(w)), f.keep(F.min(x).over(w)), _last(f, x)]
+
+
+def _running_flow(f: Frame, b: Column, s: Column) -> list[Column]:
+    b, s = _pair(f, b, s)
+    return [f.total(b) - f.total(s)]
 
 
 def _running_imba(f: Frame, b: Column, a: Column) -> list[Column]:
+    b, a = _pair(f, b, a)
     sb, sa = f.total(b), f.total(a)
     return [S.ieee_div(sb - sa, sb + sa)]
 
 
+def _running_weighted(f: Frame, x: Column, w: Column) -> list[Column]:
+    x, w = _pair(f, x, w)
+    s = f.total(w)
+    return [F.when(s != 0, f.total(x * w) / s).when(s.isNotNull(), float("nan"))]
+
+
 _RUNNING: dict[str, tuple[int, tuple[str, ...], Callable, str]] = {
     "sum": (1, ("sum",), lambda f, x: [f.total(x)], "sum"),
     "avg": (1, ("avg",), lambda f, x: [f.mean(x)], "avg"),
-    "avg_weighted": (2, ("avg_weighted",), lambda f, x, w: [F.when(f.total(w) != 0, f.total(x * w) / f.total(w)).otherwise(float("nan"))], "avg_weighted"),
+    "avg_weighted": (2, ("avg_weighted",), _running_weighted, "avg_weighted"),
     "count": (0, ("count",), lambda f, *a: [f.keep(F.row_number().over(f.order.window()).cast("double"))], "count"),
     "ohlc": (1, ("open", "high", "low", "close"), _running_ohlc, "ohlc"),
     "simple_return": (1, ("simple_return",), _ratio_to_first, "simple_return"),
     "log_return": (1, ("log_return",), _log_to_first, "log_return"),
-    "order_flow": (2, ("order_flow",), lambda f, b, s: [f.total(b) - f.total(s)], "order_flow"),
+    "order_flow": (2, ("order_flow",), _running_flow, "order_flow"),
     "book_imba": (2, ("book_imba",), _running_imba, "book_imba"),
 }
 RUNNING = tuple(_RUNNING)
