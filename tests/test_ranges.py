@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.operators import aggs
 from tidewell.operators import windows as W
 from tidewell.operators.frames import Order
 from tidewell.operators.ranges import can_carry, numbered, scan_ranges, scan_rows, scan_times
@@ -110,3 +111,37 @@ def test_windows(table, make, partial):
 def test_no_rows(table):
     assert scan_ranges(table.limit(0), ORDER, [Node(KERNELS["rsi"], ["a"], ["r"], {})], 4).collect() == []
     assert scan_times(table.limit(0), ORDER, [Node(SpanStatistic, ["a", "t"], ["s"], {"name": "avg", "time": 4.0})], "t", 4.0, 4).collect() == []
+
+
+def spread():
+    class Range(aggs.Mergeable):
+        """Distance between the largest and the least value, and the last less the first one."""
+
+        outputs = ("width", "move")
+        ordered = True
+
+        def lift(self, x):
+            return x.min(), x.max(), x[0], x[-1]
+
+        def merge(self, a, b):
+            return min(a[0], b[0]), max(a[1], b[1]), a[2], b[3]
+
+        def finish(self, s):
+            return s[1] - s[0], s[3] - s[2]
+
+    return Range()
+
+
+@pytest.mark.parametrize("window", [W.tumbling(17), W.counter(11), W.tumbling(10**6)])
+def test_mergeable_aggregates(spark, table, window):
+    """By parts from rows in any partition: what the whole window gives; nulls, null groups, a window that holds all rows."""
+    a = G.AggGraph().input("a", "b", "d").window(window).add(spread(), ["a"], into=["width", "move"]).add("count")
+    for name, cols in (("sum", ["a"]), ("stddev", ["a"]), ("ohlc", ["a"]), ("vwap", ["a", "d"]), ("log_return", ["b"]), ("book_imba", ["a", "d"])):
+        a.add(name, cols).add(aggs.by_parts(name), cols, into=[f"p_{n}" for n in aggs.outputs(name, cols)])
+    got = a.run(table, ORDER).toPandas()
+    assert len(got) == len(G.AggGraph().window(window).add("count").run(table, ORDER).toPandas()) and got["count"].sum() == table.count()
+    for name in [c[2:] for c in got.columns if c.startswith("p_")]:
+        np.testing.assert_allclose(got[f"p_{name}"], got[name], rtol=1e-9, atol=1e-9, err_msg=name)
+    np.testing.assert_allclose(got.width, got.high - got.low)
+    np.testing.assert_allclose(got.move, got.close - got.open)
+    assert G.AggGraph().input("a").window(window).add(spread(), ["a"]).run(table.limit(0), ORDER).count() == 0

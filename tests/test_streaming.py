@@ -1,14 +1,19 @@
 """Streams give what a batch over the same rows gives."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from tidewell.operators import aggs
 from tidewell.operators import windows as W
 from tidewell.operators.frames import Order
 from tidewell.operators.scan import KERNELS, Node, scan
 from tidewell.plans import graph as G
+from tidewell.plans.pipeline import Pipeline
 from tidewell.streaming.runner import stream_bars, stream_scan, stream_windows
+from tidewell.streaming.stages import Aggregates, Trigger, Windows
 
 ORDER = Order("g", "ts")
 SCHEMA = "g int, ts timestamp, x double"
@@ -108,3 +113,108 @@ def test_windows_close_on_a_stream(spark, tmp_path, kind, size, assign):
     assert len(got) == len(want) > 3 and (got["window_ts"] == want["window_ts"]).all()
     for c in names[2:]:
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12)
+
+
+def shuffled(data, size, rng):
+    """The rows in parts, in another order within two parts' reach, and a last row far ahead that lets the watermark pass all."""
+    order = np.argsort(np.arange(len(data)) + rng.uniform(0, size, len(data)))
+    far = data.iloc[-1:].assign(g=99, ts=data.ts.max() + pd.Timedelta("30d"))
+    later = far.assign(ts=far.ts + pd.Timedelta("1d"))
+    return [data.iloc[order[k : k + size]] for k in range(0, len(data), size)] + [far, later]
+
+
+def both(spark, name, want, keys):
+    sort = lambda df: df[df.g != 99].sort_values(keys).reset_index(drop=True)
+    got, want = sort(spark.table(name).toPandas()), sort(want.toPandas())
+    assert len(got) == len(want) and list(got.columns) == list(want.columns)
+    for c in want.columns:
+        if got[c].dtype.kind == "f" or want[c].dtype.kind == "f":
+            np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
+        else:
+            assert (got[c] == want[c]).all(), c
+
+
+def holes(n):
+    data = rows(n)
+    data["x"] = data["x"].astype(object).where(np.random.default_rng(9).random(n) > 0.15, None)
+    return data
+
+
+def test_rows_in_any_order_within_the_watermark(spark, tmp_path):
+    data = holes(80)
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("m", G.kernel("ema", alpha=4), "x")
+    g.add("s", G.rolling("sum", time="2 hours"), "x")
+    g.add("o", G.running("ohlc"), "x")
+    g.set_output("m", "s", "o.0", "o.3")
+    drain(g.run(feed(spark, tmp_path, shuffled(data, 15, np.random.default_rng(2))), ORDER, late="5 hours"), "late_graph")
+    both(spark, "late_graph", g.run(spark.createDataFrame(data, SCHEMA), ORDER), ["g", "ts"])
+
+
+@pytest.mark.parametrize("kind", ["tumbling", "session", "counter", "cusum"])
+def test_windows_in_any_order_and_timers(spark, tmp_path, kind):
+    """Nulls, rows out of order, and last windows that no row ends but the watermark."""
+    data = holes(90)
+    data["ts"] += pd.to_timedelta(np.arange(90) // 25 * 45, unit="min")
+    window = {"tumbling": W.tumbling("1 hour"), "session": W.session("30 minutes"), "counter": W.counter(7), "cusum": W.cusum(0.03, "x")}[kind]
+    a = G.AggGraph().input("x").window(window).add("count")
+    for name in ("sum", "avg", "stddev", "ohlc", "simple_return", "log_return"):
+        a.add(name, ["x"])
+    a.add("vwap", ["x", "x"]).add("order_flow", ["x", "x"])
+    want = a.run(spark.createDataFrame(data, SCHEMA), ORDER, emit_partial=kind in ("tumbling", "session"))
+    drain(a.run(feed(spark, tmp_path, shuffled(data, 17, np.random.default_rng(4))), ORDER, late="6 hours"), f"late_{kind}")
+    both(spark, f"late_{kind}", want, ["g", "window_ts"])
+
+
+def test_tumbling_graphs_and_pipelines(spark, tmp_path):
+    data = holes(120)
+    bar = G.Graph()
+    bar.root("in", ["x"])
+    bar.aux("end", W.counter(4), "x")
+    bar.add("last", G.running("ohlc"), "x")
+    bar.add("up", G.unary("sqrt"), "last.1")
+    bar.add("ema", G.kernel("ema", alpha=3), "x")
+    bar.set_output("last.3", "up", "ema")
+    tumble = G.TumbleGraph(bar)
+    smooth = G.Graph()
+    smooth.root("in", ["a", "b", "c"])
+    smooth.add("m", G.rolling("avg", rows=3), "a")
+    smooth.add("d", G.binary("sub"), "b", "c")
+    smooth.set_output("m", "d")
+    hours = G.Graph()
+    hours.root("in", ["m", "d"])
+    hours.aux("end", W.tumbling("3 hours"), "m")
+    hours.add("sum", G.running("sum"), "d")
+    hours.add("n", G.running("count"))
+    hours.set_output("sum", "n")
+    batch = spark.createDataFrame(data, SCHEMA)
+    drain(tumble.run(feed(spark, tmp_path, [data[:50], data[50:]]), ORDER), "tumble")
+    both(spark, "tumble", tumble.run(batch, ORDER), ["g", "window_ts"])
+    three = Pipeline().add_stage(tumble).add_stage(smooth).add_stage(G.TumbleGraph(hours))
+    drain(three.run(feed(spark, tmp_path / "b", shuffled(data, 20, np.random.default_rng(5))), ORDER, late="8 hours"), "three")
+    got, want = (sorted((r.g, r.window_ts, round(r["sum"] or 0, 9), r.n) for r in df.collect() if r.g != 99) for df in (spark.table("three"), three.run(batch, ORDER)))
+    assert set(want) <= set(got) and len(got) - len(want) <= 3  # the watermark ends each group's last window too
+
+
+def test_whole_numbers_and_nan_are_exact(spark, tmp_path):
+    big = [9007199254740993, None, 9007199254740995, 7]
+    schema = "g int, ts timestamp, id long, flag boolean, x double, note string"
+    rows_ = [(1, (pd.Timestamp("2024-01-01") + pd.Timedelta(k, "min")).to_pydatetime(), v, None if k == 2 else True, [1.0, float("nan"), None, 2.0][k], "n") for k, v in enumerate(big)]
+    spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    node = [Node(KERNELS["macd"], ["x", "x"], ["m", "s", "h"], {})]
+    drain(stream_scan(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), Order("g", "ts", "id"), node), "exact")
+    got = sorted(spark.table("exact").collect(), key=lambda r: r.ts)
+    assert [r.id for r in got] == big and [r.flag for r in got] == [True, True, None, True]
+    assert got[0].m == 0 and np.isnan(got[1].m) and got[2].m is None and np.isnan(got[1].x) and got[2].x is None
+
+
+def test_an_open_window_is_a_few_numbers():
+    spec = [(["n"], aggs.by_parts("count"), []), (["sd"], aggs.by_parts("stddev"), ["x"])]
+    w = Windows(Trigger("tumbling", 10**9), Aggregates(spec), ["n", "sd"])
+    size = []
+    for k in range(3):
+        t = np.arange(100_000) + k * 100_000
+        assert len(w.feed({"__tick": (t, None), "x": (t * 1.0, None)})["n"][0]) == 0
+        size.append(len(pickle.dumps(w.body.states)))
+    assert max(size) < 200 and w.close(10**9)["n"][0].tolist() == [300_000.0] and w.due() is None

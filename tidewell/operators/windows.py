@@ -38,7 +38,7 @@ def _numbered(df: DataFrame, order: Order, node: Node, ranges: int | None, repor
     """The node's outputs, the first as a whole number; with groups cut into ranges where that is asked for or needed."""
     ranges = (wanted(df, order) if ranges is None else ranges) if can_carry(node) else 0
     df = scan_ranges(df, order, [node], ranges, report) if ranges else scan(df, order, [node])
-    return df.withColumn(node.names[0], F.col(node.names[0]).cast("long"))
+    return df.withColumn(node.names[0], F.col(node.names[0]).cast("long")).filter(F.col(node.names[0]).isNotNull())
 
 
 def tumbling(size: int | float | str | Duration) -> Callable[[DataFrame, Order], Windows]:
@@ -51,6 +51,7 @@ def tumbling(size: int | float | str | Duration) -> Callable[[DataFrame, Order],
         df = df.withColumn(WID, F.floor(order.tick(df) / F.lit(w)).cast("long"))
         return Windows(df, _as_time(df, order, (F.col(WID) + 1) * F.lit(w)), None, False)
 
+    assign.on_stream = ("tumbling", size)
     return assign
 
 
@@ -67,6 +68,7 @@ def counter(n: int, ranges: int | None = None) -> Callable[[DataFrame, Order], W
             df = df.withColumn(WID, F.floor((F.row_number().over(order.window()) - 1) / F.lit(n)).cast("long"))
         return Windows(df, F.max(order.time), F.count("*") == n, True)
 
+    assign.on_stream = ("counter", n)
     return assign
 
 
@@ -86,6 +88,7 @@ def session(gap: int | float | str | Duration, ranges: int | None = None) -> Cal
             df = df.withColumn(WID, F.sum("__break").over(order.running())).drop("__tick", "__break")
         return Windows(df, F.max(order.time), None, False)
 
+    assign.on_stream = ("session", gap)
     return assign
 
 
@@ -97,6 +100,7 @@ def cusum(threshold: float, column: str, ranges: int | None = None, report: dict
         df = _numbered(df, order, Node(KERNELS["cusum"], [column], [WID, "__fired"], {"threshold": threshold}), ranges, report)
         return Windows(df, F.max(order.time), F.max("__fired") > 0, True)
 
+    assign.on_stream = ("cusum", (threshold, column))
     return assign
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import count
 from typing import Any
 
@@ -20,7 +21,7 @@ from ..operators.frames import Frame, Order, Span
 from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
 from ..operators.ranges import can_carry, reach, scan_ranges, scan_rows, scan_times, wanted
-from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, scan
+from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, mfm, scan
 from ..operators.spans import STATISTICS, Since, SpanLag, SpanStatistic, Windowed
 from ..operators.windows import WID, Windows, last_of
 
@@ -152,7 +153,7 @@ def windowed_operator(make: Callable[[], object], inputs: int, outputs: tuple[st
 
 
 def money_flow() -> Projection:
-    return Projection("mfm", 3, ("mfm",), lambda h, lo, c: [F.when(h != lo, ((c - lo) - (h - c)) / (h - lo)).otherwise(0.0)])
+    return Projection("mfm", 3, ("mfm",), lambda h, lo, c: [F.when(h != lo, ((c - lo) - (h - c)) / (h - lo)).otherwise(0.0)], lambda h, lo, c: [mfm(h, lo, c)])
 
 
 def directional() -> Projection:
@@ -161,7 +162,11 @@ def directional() -> Projection:
     def make(p: Column, m: Column, a: Column) -> list[Column]:
         return [F.when(a != 0, p / a).otherwise(0.0), F.when(a != 0, m / a).otherwise(0.0), F.when(p + m != 0, F.abs(p - m) / (p + m) * 100).otherwise(0.0)]
 
-    return Projection("directional", 3, ("plus_di", "minus_di", "dx"), make)
+    def arrays(p: np.ndarray, m: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
+        part = lambda x, y: np.divide(x, y, out=np.zeros(len(x)), where=y != 0)
+        return [part(p, a), part(m, a), part(np.abs(p - m), p + m) * 100]
+
+    return Projection("directional", 3, ("plus_di", "minus_di", "dx"), make, arrays)
 
 
 # a row with a null in an input of an accumulating functor leaves it as it was
@@ -517,14 +522,38 @@ class Graph:
                 options = {k: v for k, v in options.items() if k not in ("rows", "time")}
             return Sequential(op.name, op.inputs, op.outputs, make, options, ticks=True)
         if isinstance(op, Projection) and stream and op.arrays is not None and any(self._kernel(p, True) for p in self.pred_of(name) if p in self._ops):
-            return Sequential(op.name, len(self._args[name]), op.outputs, lambda: Arrays(op.arrays, len(self._args[name]), op.outputs))
+            return Sequential(op.name, len(self._args[name]), op.outputs, partial(Arrays, op.arrays, len(self._args[name]), op.outputs))
         if isinstance(op, Running) and (stream or cut):
             if op.name in ("sum", "avg", "avg_weighted"):
                 return Sequential(op.name, op.inputs, op.outputs, SpanStatistic, {"name": op.name}, ticks=True)
             return Sequential(op.name, op.inputs, op.outputs, Since, {"name": op.name}, ticks=op.name == "count")
         return None
 
-    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False, ranges: int | None = None) -> DataFrame:
+    def nodes(self, columns: dict[str, str], prefix: str = "__") -> tuple[list[Node], dict[Edge, str]]:
+        """The whole graph as kernels of one pass, and the column of each edge: what a stream's stages run. `columns` says where
+        ports are found; a user's function of columns has no place in it."""
+        self.validate()
+        need = self._needed()
+        at = {Edge(self._root, k): columns[p] for k, p in enumerate(self._ports[self._root])}
+        out: list[Node] = []
+        if self._links:
+            raise ValueError("a stage of a stream has no parameters")
+        for n in self.order():
+            if n not in need:
+                continue
+            op = self._kernel(n, True)
+            if op is None:
+                whole: Projection = self._ops[n]
+                if whole.arrays is None or not self._args[n]:
+                    raise ValueError(f"{n!r} is a function of columns, which can't stand in a stage of a stream")
+                op = Sequential(whole.name, len(self._args[n]), whole.outputs, partial(Arrays, whole.arrays, len(self._args[n]), whole.outputs))
+            names = [f"{prefix}{n}_{k}" for k in range(len(op.outputs))]
+            args = [at[a] for a in self._args[n]][: op.inputs]
+            out.append(Node(op.make, [*args, *(["__tick"] if op.ticks else [])], names, dict(op.options)))
+            at |= {Edge(n, k): x for k, x in enumerate(names)}
+        return out, at
+
+    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False, ranges: int | None = None, late: str | None = None) -> DataFrame:
         """One row out for each row in: groups, order keys, and the outputs under names().
 
         Nodes that no output needs are left out. Column operators become projections and windows over one sorted
@@ -534,7 +563,8 @@ class Graph:
 
         `ranges` says into how many ranges a table's groups are cut (see ranges), 0 for none; by default they are where the table
         is large and a group is too large for a task. Where they are, every operator over other rows is a kernel, and only
-        kernels that can't be cut (users' own, bands, doubling windows, lags over a time) take a group a task.
+        kernels that can't be cut (users' own, bands, doubling windows, lags over a time) take a group a task. `late` is for
+        streams: see stream_scan().
         """
         self.validate()
         stream = df.isStreaming
@@ -597,7 +627,7 @@ class Graph:
                 if stream and passed:
                     raise ValueError("a stream has one pass of kernels; a user's function of columns can't stand between two of them")
                 passed = True
-                df = stream_scan(df, order, nodes) if stream else _pass(df, order, nodes, kind, ranges)
+                df = stream_scan(df, order, nodes, late) if stream else _pass(df, order, nodes, kind, ranges)
             todo = later
         return df.select(*taken, *(F.col(at[e]).alias(name) for e, name in zip(self._outputs, self.names(), strict=True)))
 
@@ -640,30 +670,61 @@ class AggGraph:
         self._window = assign
         return self
 
-    def add(self, name: str | Callable[..., list[Column]], columns: list[str] | tuple[str, ...] = (), *, into: list[str] | None = None, **options: Any) -> AggGraph:
-        """An aggregator of columns by name, or a user's function of the row order and columns that gives aggregate
-        columns; `into` names its outputs, and must for a user's function."""
+    def add(self, name: str | aggs.Mergeable | Callable[..., list[Column]], columns: list[str] | tuple[str, ...] = (), *, into: list[str] | None = None, **options: Any) -> AggGraph:
+        """An aggregator of columns by name, a user's one by parts (aggs.Mergeable), or a user's function of the row order and
+        columns that gives aggregate columns; `into` names its outputs, and must for a user's function."""
         for c in columns:
             if c not in self._inputs:
                 raise ValueError(f"unknown column {c!r}")
         if callable(name) and not into:
             raise ValueError("a user's aggregator needs names for its outputs")
-        names = into if callable(name) else aggs.outputs(name, list(columns))
+        names = list(name.outputs) if isinstance(name, aggs.Mergeable) else into if callable(name) else aggs.outputs(name, list(columns))
         if into is not None and len(into) != len(names):
             raise ValueError(f"{name} has {len(names)} outputs")
         self._aggs.append((name, list(columns), options, into or names))
         return self
 
-    def run(self, df: DataFrame, order: Order, *, emit_partial: bool = True, time_name: str = "window_ts") -> DataFrame:
+    def run(self, df: DataFrame, order: Order, *, emit_partial: bool = True, time_name: str = "window_ts", late: str | None = None) -> DataFrame:
         """One row a window: groups, the window's time, the aggregates. Without emit_partial each group's open last
-        window is left out; with it, it comes as at the end of input."""
+        window is left out; with it, it comes as at the end of input. On a stream windows come when they have ended: see
+        stream_windows()."""
         if self._window is None or not self._aggs:
             raise ValueError("the graph needs a window and an aggregator")
-        return windowed(df.select(*dict.fromkeys([*order.columns, *self._inputs])), order, self._window, lambda seq: {n: c.alias(n) for name, cols, options, into in self._aggs for n, c in zip(into, name(seq, *cols, **options) if callable(name) else aggs.columns(name, seq, cols, **options), strict=True)}, emit_partial, time_name)
-
-
-def windowed(df: DataFrame, order: Order, assign: Callable[[DataFrame, Order], Windows], make: Callable[[Column], dict[str, Column]], emit_partial: bool, time_name: str, arrival: str | None = None) -> DataFrame:
-    """Rows by window, aggregated; optionally with the time of the row that ended each window."""
+        if df.isStreaming:
+            from ..streaming.runner import stream_body
+
+            spec = []
+            for name, cols, options, into in self._aggs:
+                if isinstance(name, aggs.Mergeable):
+                    spec.append((into, name, cols))
+                elif isinstance(name, str):
+                    alone = aggs.AGGREGATORS[name][0] is None  # one output a column
+                    spec += [([n], aggs.by_parts(name, **options), [c]) for n, c in zip(into, cols, strict=True)] if alone else [(into, aggs.by_parts(name, **options), cols)]
+                else:
+                    raise ValueError("a function of columns can't aggregate on a stream; an aggregator by parts can")
+            return stream_body(df, order, self._window, spec, late, time_name)
+        df = df.select(*dict.fromkeys([*order.columns, *self._inputs]))
+        parts = {f"a{k}": (name, cols, into) for k, (name, cols, _, into) in enumerate(self._aggs) if isinstance(name, aggs.Mergeable)}
+
+        def make(seq: Column) -> dict[str, Column]:
+            out = {}
+            for name, cols, options, into in self._aggs:
+                if not isinstance(name, aggs.Mergeable):
+                    out |= dict(zip(into, name(seq, *cols, **options) if callable(name) else aggs.columns(name, seq, cols, **options), strict=True))
+            return out
+
+        if not parts:
+            return windowed(df, order, self._window, make, emit_partial, time_name)
+        w = self._window(df, order)
+        ids = [*order.groups, WID]
+        out = windowed(df, order, lambda *_: w, make, emit_partial, time_name, keep_id=True)
+        user = aggs.merged(w.df, order, ids, parts).withColumnsRenamed({c: f"__{c}" for c in ids})
+        out = out.join(user, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ids], "left")
+        return out.select(*order.groups, time_name, *(n for *_, into in self._aggs for n in into))
+
+
+def windowed(df: DataFrame, order: Order, assign: Callable[[DataFrame, Order], Windows], make: Callable[[Column], dict[str, Column]], emit_partial: bool, time_name: str, arrival: str | None = None, keep_id: bool = False) -> DataFrame:
+    """Rows by window, aggregated; optionally with the time of the row that ended each window, and the window's number."""
     w = assign(df, order)
     made = make(order.seq())
     by_rows = w.inclusive or not _uses_only_id(w.ends)
@@ -672,6 +733,7 @@ def windowed(df: DataFrame, order: Order, assign: Callable[[DataFrame, Order], W
         extra["__end"] = w.ends
     if arrival:
         extra |= {"__first": F.min(order.time), "__last": F.max(order.time)}
+    extra = extra or {"__rows": F.count("*")}
     out = w.df.groupBy(*order.groups, WID).agg(*(c.alias(n) for n, c in {**made, **extra}.items()))
     out = out.withColumn(time_name, F.col("__end") if by_rows else w.ends)
     if arrival:
@@ -680,7 +742,7 @@ def windowed(df: DataFrame, order: Order, assign: Callable[[DataFrame, Order], W
     if not emit_partial:
         out = out.withColumn("__top", last_of(order))
         out = out.filter(F.col("__shut") if w.shut is not None else F.col(WID) < F.col("__top"))
-    return out.select(*order.groups, time_name, *([arrival] if arrival else []), *made)
+    return out.select(*order.groups, time_name, *([arrival] if arrival else []), *made, *([WID] if keep_id else []))
 
 
 def _uses_only_id(ends: Column) -> bool:
@@ -713,11 +775,17 @@ class TumbleGraph:
         g = self.graph
         return all(isinstance(g._ops.get(e.node), Running) and all(a.node == g._root for a in g._args[e.node]) for e in g._outputs)
 
-    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, emit_partial: bool = False, time_name: str = "window_ts", arrival: str | None = None) -> DataFrame:
+    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, emit_partial: bool = False, time_name: str = "window_ts", arrival: str | None = None, late: str | None = None) -> DataFrame:
+        """One row a window that has ended: groups, the window's time, the outputs at its last row. On a stream a window ends with
+        the row or, given `late`, with the time that ends it: see stream_scan()."""
         g = self.graph
         ports = g._ports[g._root]
         columns = {p: (inputs or {}).get(p, p) for p in ports}
         df = df.select(*dict.fromkeys(order.columns), *(F.col(columns[p]).cast("double").alias(p) for p in dict.fromkeys(ports) if p not in order.columns))
+        if df.isStreaming:
+            from .pipeline import Pipeline
+
+            return Pipeline().add_stage(self).run(df, order, late=late, time_name=time_name).drop(*([] if arrival else [order.time])).withColumnsRenamed({order.time: arrival} if arrival else {})
         if self._direct():
 
             def make(seq: Column) -> dict[str, Column]:

@@ -34,9 +34,14 @@ class Pipeline:
         self.stages.append(stage)
         return self
 
-    def run(self, df: DataFrame, order: Order, *, emit_partial: bool = False) -> DataFrame:
+    def run(self, df: DataFrame, order: Order, *, emit_partial: bool = False, late: str | None = None, time_name: str = "window_ts") -> DataFrame:
+        """On a stream all stages are one stateful operator, and rows are taken in order as `late` says: see stream_scan()."""
         if not self.stages:
             raise ValueError("the pipeline has no stage")
+        if df.isStreaming:
+            from ..streaming.runner import stream_stages
+
+            return stream_stages(df, order, self.stages, late, time_name)
         names: list[str] | None = None
         for k, stage in enumerate(self.stages):
             ports = stage._ports[stage._root] if isinstance(stage, Graph) else stage.graph._ports[stage.graph._root]

@@ -1,9 +1,14 @@
-"""The same kernels, graphs and windows over Structured Streaming."""
+"""The same kernels, graphs, windows and pipelines over Structured Streaming.
+
+A group's rows go through a chain of stages (see stages) in one stateful operator, whose state is that of the kernels and of the
+open windows by parts, and never a window's rows. Rows are taken as they come, or, given how late they may come, held until
+the watermark has passed them and taken in order; timers then end windows that no row ends.
+"""
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -11,120 +16,254 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..functions.scalar import TINY
-from ..functions.timeunits import as_size
 from ..operators import aggs
 from ..operators.frames import Order
-from ..operators.scan import Cusum, Node, advance, read_columns, start
+from ..operators.scan import Columns, Node, outputs_of, read_columns
+from ..plans.graph import Graph, TumbleGraph
+from .stages import TICK, Aggregates, Chain, Functors, Rows, Trigger, Windows
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Columns that travel have names of their own, since others may not do as fields of a row in Python; this is the time.
+AT = "tw_at"
+#: Types whose nulls pandas would turn into floats; they travel as a value and a flag.
+GUARDED = ("byte", "short", "integer", "long", "float", "double", "boolean")
+
+
+class _Run(StatefulProcessor):
+    """Feeds a group's rows to its chain. `keys` are the columns to sort by, `carried` those to hand on with each row."""
+
+    def __init__(self, chain: Chain, read: list[str], keys: list[str], carried: list[str], outs: list[str], window: bool, groups: list[str], held: bool):
+        self.fresh = cloudpickle.dumps(chain)
+        self.read, self.keys, self.carried, self.outs, self.window, self.groups, self.held = read, keys, carried, outs, window, groups, held
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("chain", "chain binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        if not self.held:
+            chain = self._chain()
+            yield from self._feed(key, chain, frame)
+            self._keep(chain)
+            return
+        self.waiting.appendValue((pickle.dumps(frame),))
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def _chain(self) -> Chain:
+        return pickle.loads(self.state.get()[0] if self.state.exists() else self.fresh)
+
+    def _keep(self, chain: Chain) -> None:
+        self.state.update((cloudpickle.dumps(chain),))
+
+    def _release(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        """Takes the rows that the watermark has passed, ends the windows that it has passed, and asks to be called again."""
+        chain, now = self._chain(), watermark * 1000
+        held = [pickle.loads(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        rest = None
+        if held:
+            frame = pd.concat(held, ignore_index=True)
+            ready = frame[AT].to_numpy() <= now
+            rest = frame[~ready]
+            if ready.any():
+                yield from self._feed(key, chain, frame[ready])
+            if len(rest):
+                self.waiting.put([(pickle.dumps(rest),)])
+            else:
+                self.waiting.clear()
+        for data in chain.close(now):
+            if len(data[TICK][0]):
+                yield self._table(key, data)
+        self._keep(chain)
+        asked = {chain.due()} | ({int(rest[AT].min()), int(rest[AT].max())} if rest is not None and len(rest) else set())
+        for at in asked - {None}:
+            self.handle.registerTimer(max(int(-(-at // 1000)), watermark + 1))
+
+    def _feed(self, key: tuple, chain: Chain, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        frame = frame.sort_values(self.keys, kind="stable")
+        data: Columns = {TICK: (frame[AT].to_numpy(), None)}
+        for k, c in enumerate(self.read):
+            ok = frame[f"tw_ok{k}"].to_numpy(dtype=bool)
+            data[c] = frame[f"tw_x{k}"].to_numpy(dtype=np.float64), None if ok.all() else ok
+        out = chain.feed(data)
+        if len(out[TICK][0]):
+            yield self._table(key, out, frame)
+
+    def _table(self, key: tuple, data: Columns, frame: pd.DataFrame | None = None) -> pd.DataFrame:
+        columns: dict[str, Any] = {}
+        if self.carried:
+            columns = {c: frame[c].to_numpy() for c in self.carried}
+        else:
+            columns = {f"tw_g{k}": pd.Series([v] * len(data[TICK][0]), dtype=object if v is None else None) for k, v in enumerate(key)} | {AT: data[TICK][0]}
+            if self.window:
+                columns["tw_window"] = data["__window"][0]
+        for k, n in enumerate(self.outs):
+            x, ok = data[n]
+            flag = np.where(np.isnan(x), 2, 0) if ok is None else np.where(~ok, 1, np.where(np.isnan(x), 2, 0))
+            columns |= {f"tw_y{k}": np.where(flag == 0, x, 0.0), f"tw_f{k}": flag.astype(np.int32)}
+        return pd.DataFrame(columns)
+
+
+def _outputs(names: list[str]) -> list[Column]:
+    return [F.when(F.col(f"tw_f{k}") == 0, F.col(f"tw_y{k}")).when(F.col(f"tw_f{k}") == 2, F.lit(float("nan"))).alias(n) for k, n in enumerate(names)]
+
 
+def _ready(df: DataFrame, order: Order, read: list[str], late: str | None) -> tuple[DataFrame, list[str], str]:
+    """The stream with the time as a number, the columns to read as values and flags, and columns to sort by."""
+    spark = df.sparkSession
+    if spark.conf.get(PROVIDER) != ROCKS:
+        spark.conf.set(PROVIDER, ROCKS)
+    if late is not None:
+        df = df.withWatermark(order.time, late)
+    timed = df.schema[order.time].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    if late is not None and not timed:
+        raise ValueError("only a stream whose time is a timestamp has rows that are late")
+    tick = "long" if timed else "double"
+    new = {AT: order.tick(df).cast(tick)}
+    for k, c in enumerate(read):
+        if c != TICK:
+            new |= {f"tw_x{k}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)), f"tw_ok{k}": F.col(c).isNotNull()}
+    keys = [AT]
+    for k, c in enumerate(order.ties):
+        kind = df.schema[c].dataType
+        new |= {f"tw_has{k}": F.col(c).isNotNull(), f"tw_tie{k}": F.coalesce(F.col(c), F.lit(0).cast(kind)) if kind.typeName() in GUARDED else F.col(c)}
+        keys += [f"tw_has{k}", f"tw_tie{k}"]
+    new |= {f"tw_k{k}": F.col(g) for k, g in enumerate(order.groups)}
+    return df.withColumns(new), keys, tick
 
-def stream_scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
+
+def _run(df: DataFrame, order: Order, processor: _Run, schema: StructType, late: str | None) -> DataFrame:
+    """The processor over the columns it needs, and the time for the watermark."""
+    keys = [f"tw_k{k}" for k in range(len(order.groups))]
+    df = df.select(*keys, *dict.fromkeys([*(c for c in df.columns if c.startswith("tw_") and c not in keys), *([] if late is None or processor.carried else [order.time])]))
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if late is None else "EventTime")
+
+
+def stream_scan(df: DataFrame, order: Order, nodes: list[Node], late: str | None = None) -> DataFrame:
     """Adds the outputs of kernels to a stream; each group's kernels live in its state between micro-batches.
 
-    Within a micro-batch a group's rows are taken in the order's sequence; rows of a later micro-batch come after those of
-    an earlier one, so the source must deliver groups in order. A group's rows of one micro-batch are held at once: bound
-    them by the source's options, such as maxFilesPerTrigger. Nulls are as in scan(), but a NaN among the outputs comes out
-    as null. Where the query stops and starts again, kernels go on from the state in its checkpoint.
+    Without `late` a group's rows of a micro-batch are taken in the order's sequence, and those of a later micro-batch come
+    after those of an earlier one: the source must deliver groups in order. With `late`, how far behind the newest time a row
+    may come (a watermark; later rows are dropped by Spark), a group's rows wait in its state until the watermark has passed
+    them, and are taken in order whatever the order they came in. A group's rows of one micro-batch, or those that wait, are
+    held at once: bound them by the source's options, such as maxFilesPerTrigger, and by `late`.
+
+    All columns come out as they were, whole numbers exactly; times must lie between 1678 and 2261. Nulls and NaN are as in
+    scan(). Where the query stops and starts again, kernels go on from the state in its checkpoint. The session's state
+    store is set to RocksDB, which stateful processors need.
     """
-    made = [n for node in nodes for n in node.names]
-    read = read_columns(nodes)
-    if len(set(made)) < len(made) or set(made) & set(df.columns):
-        raise ValueError("output names are taken")
-    schema = StructType(list(df.schema.fields))
-    for n in made:
-        schema = schema.add(n, "double")
-    groups, keys, held = list(order.groups), list(order.keys), list(df.columns)
-    flags = {f"__ok{k}": F.col(c).isNotNull() for k, c in enumerate(read)}
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(keys, kind="stable")
-        data = {}
-        for k, c in enumerate(read):
-            ok = rows[f"__ok{k}"].to_numpy(dtype=bool)
-            data[c] = pd.to_numeric(rows[c], errors="coerce").to_numpy(dtype=np.float64), None if ok.all() else ok
-        kernels: list[Any] = pickle.loads(state.get[0]) if state.exists else start(nodes, data)
-        advance(nodes, kernels, data, len(rows))
-        out = {c: data[c][0] if data[c][1] is None else np.where(data[c][1], data[c][0], np.nan) for c in made}
-        state.update((cloudpickle.dumps(kernels),))
-        yield rows[held].assign(**out)
-
-    return df.withColumns(flags).groupBy(*groups).applyInPandasWithState(run, schema, "kernels binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def _summaries(rows: pd.DataFrame, name: str, cols: list[str]) -> list[float]:
-    """An aggregate of one window's rows in order, as the grouped aggregates of a batch give it."""
-    x = [rows[c].to_numpy(dtype=np.float64) for c in cols]
-    n = len(rows)
-    with np.errstate(all="ignore"):
-        if name == "count":
-            return [float(n)]
-        if name in ("sum", "avg"):
-            return [float(c.sum() / (n if name == "avg" else 1)) for c in x]
-        if name == "stddev":
-            return [float(c.std(ddof=1)) if n > 1 else 0.0 for c in x]
-        if name == "ohlc":
-            return [float(v) for v in (x[0][0], x[0].max(), x[0].min(), x[0][-1])]
-        first, last = (x[0][0], x[0][-1])
-        if name in ("simple_return", "log_return"):
-            return [0.0 if abs(first) < TINY else float((last - first) / first if name == "simple_return" else np.log(last / first))]
-        a, b = x[0].sum(), x[1].sum()
-        if name in ("order_flow", "book_imba"):
-            return [float(a - b if name == "order_flow" else (a - b) / (a + b))]
-        none = 0.0 if name == "vwap" else float("nan")
-        return [none if abs(b) < (TINY if name == "vwap" else 5e-324) else float((x[0] * x[1]).sum() / b)]
-
-
-def stream_windows(df: DataFrame, order: Order, window: tuple[str, Any], spec: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """Closed windows of a stream, whatever ends them: ("counter", rows), ("session", gap), ("cusum", (threshold, column)) or
+    made, schema = outputs_of(nodes, df)
+    read = [c for c in read_columns(nodes) if c != TICK]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    held = [c for c in df.columns if c != TICK]
+    guard = {c: f"tw_v{k}" for k, c in enumerate(held)}
+    ready, keys, _ = _ready(df, order, read, late)
+    out, flags = StructType(), {}
+    for k, c in enumerate(held):
+        out = out.add(guard[c], kinds[c])
+        if kinds[c].typeName() in GUARDED:
+            flags[c] = f"tw_n{k}"
+            out = out.add(flags[c], "boolean")
+    ready = ready.withColumns({guard[c]: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) if c in flags else F.col(c) for c in held} | {n: F.col(c).isNull() for c, n in flags.items()})
+    carried = [f.name for f in out.fields]
+    for k in range(len(made)):
+        out = out.add(f"tw_y{k}", "double").add(f"tw_f{k}", "integer")
+    rows = _run(ready, order, _Run(Chain([Rows(nodes)]), read, keys, carried, made, False, list(order.groups), late is not None), out, late)
+
+    def whole(c: str) -> Column:
+        v = F.col(guard[c])
+        if c in flags:
+            v = F.coalesce(v, F.lit(float("nan")).cast(kinds[c])) if kinds[c].typeName() in ("float", "double") else v
+            v = F.when(~F.col(flags[c]), v)
+        return v.alias(c)
+
+    out = rows.select(*(whole(c) for c in held), *_outputs(made))
+    return out.withColumn(TICK, order.tick(out).cast("double")) if TICK in df.columns else out
+
+
+def _windows(df: DataFrame, order: Order, chain: Chain, read: list[str], outs: list[str], names: list[str], late: str | None, time_name: str | None) -> DataFrame:
+    """A chain whose rows are no longer the stream's: groups, the time, the window's time (time_name) and the outputs."""
+    ready, keys, tick = _ready(df, order, read, late)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    out = StructType()
+    for k, g in enumerate(order.groups):
+        out = out.add(f"tw_g{k}", kinds[g])
+    out = out.add(AT, tick)
+    out = out.add("tw_window", tick) if time_name else out
+    for k in range(len(outs)):
+        out = out.add(f"tw_y{k}", "double").add(f"tw_f{k}", "integer")
+    processor = _Run(chain, read, keys, [], outs, time_name is not None, list(order.groups), late is not None)
+    rows = _run(ready, order, processor, out, late)
+    kind = kinds[order.time]
+    stamp = lambda c: F.timestamp_micros(F.col(c)).cast(kind) if tick == "long" else F.col(c).cast(kind)
+    return rows.select(*(F.col(f"tw_g{k}").alias(g) for k, g in enumerate(order.groups)), stamp(AT).alias(order.time), *([stamp("tw_window").alias(time_name)] if time_name else []), *_outputs(names))
+
+
+def _trigger(window: Callable) -> Trigger:
+    if not hasattr(window, "on_stream"):
+        raise ValueError("windows of a stream are tumbling, of a number of rows, sessions or cusum bars")
+    return Trigger(*window.on_stream)
+
+
+def stream_body(df: DataFrame, order: Order, window: Callable | tuple[str, Any], spec: list[tuple[list[str], aggs.Mergeable, list[str]]], late: str | None, time_name: str) -> DataFrame:
+    """Ended windows with aggregators by parts: (output names, aggregator, columns)."""
+    trigger = Trigger(*window) if isinstance(window, tuple) else _trigger(window)
+    names = [n for into, _, _ in spec for n in into]
+    read = list(dict.fromkeys([*(c for _, _, cols in spec for c in cols), *([trigger.column] if trigger.column else [])]))
+    chain = Chain([Windows(trigger, Aggregates(spec), names)])
+    return _windows(df, order, chain, read, names, names, late, time_name).drop(*([order.time] if order.time != time_name else []))
+
+
+def stream_windows(df: DataFrame, order: Order, window: tuple[str, Any], spec: dict[str, tuple[str, list[str]]], late: str | None = None) -> DataFrame:
+    """Ended windows of a stream, whatever ends them: ("counter", rows), ("session", gap), ("cusum", (threshold, column)) or
     ("tumbling", size). `spec` is {output prefix: (aggregator, columns)}.
 
-    Windows are those of the assigners of the same name, a window's time included; an open one waits in its group's state,
-    with its rows, for the row that ends it. Rows must come in order, as for stream_scan().
+    Windows and aggregates are those of the assigners and aggregators of the same name, nulls included. An open window is kept
+    by parts, a few numbers whatever its rows. Rows are taken as stream_scan() says; with `late`, a window whose end the
+    watermark has passed comes out though no later row has come.
     """
-    kind, size = window
-    outputs = {p: aggs.outputs(name, cols) for p, (name, cols) in spec.items()}
-    made = [p if len(names) == 1 else f"{p}_{n}" for p, names in outputs.items() for n in names]
-    fields = {f.name: f for f in df.schema.fields}
-    schema = StructType([fields[g] for g in order.groups]).add("window_ts", fields[order.time].dataType)
-    for n in made:
-        schema = schema.add(n, "double")
-    groups, keys = list(order.groups), list(order.keys)
-    read = list(dict.fromkeys([*(c for _, cols in spec.values() for c in cols), *([size[1]] if kind == "cusum" else [])]))
-    width = size[0] if kind == "cusum" else size if kind == "counter" else as_size(size)
-    timed = fields[order.time].dataType.typeName() in ("timestamp", "timestamp_ntz")
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel, rows = pickle.loads(state.get[0]) if state.exists else (Cusum(width) if kind == "cusum" else None, None)
-        new = pd.concat(list(chunks)).sort_values(keys, kind="stable")[[*dict.fromkeys([order.time, "__tick", *read])]]
-        if kind == "cusum":
-            new["__fired"] = kernel.step(new[size[1]].to_numpy(dtype=np.float64))[1]
-        rows = new if rows is None else pd.concat([rows, new])
-        tick = rows["__tick"].to_numpy()
-        if kind == "counter":
-            ids = np.arange(len(rows)) // width
-            ended = len(rows) // width
-        elif kind == "cusum":
-            fired = rows["__fired"].to_numpy() > 0
-            ids = np.concatenate([[0], np.cumsum(fired)[:-1]])
-            ended = int(fired.sum())
+    parts = []
+    for prefix, (name, cols) in spec.items():
+        names = aggs.outputs(name, cols)
+        into = [prefix if len(names) == 1 else f"{prefix}_{n}" for n in names]
+        alone = aggs.AGGREGATORS[name][0] is None
+        parts += [([n], aggs.by_parts(name), [c]) for n, c in zip(into, cols, strict=True)] if alone else [(into, aggs.by_parts(name), cols)]
+    return stream_body(df, order, window, parts, late, "window_ts")
+
+
+def stream_stages(df: DataFrame, order: Order, stages: list[Graph | TumbleGraph], late: str | None, time_name: str) -> DataFrame:
+    """A pipeline's stages on a stream: each has kernels of its own, and a tumbling one hands a row on only where a window ends."""
+    chain: list[Rows | Windows] = []
+    read: list[str] = []
+    names: list[str] | None = None
+    for k, stage in enumerate(stages):
+        g = stage if isinstance(stage, Graph) else stage.graph
+        ports = g._ports[g._root]
+        columns = {p: p for p in ports} if names is None else dict(zip(ports, names, strict=True))
+        nodes, at = g.nodes(columns, f"__s{k}_")
+        names = [f"__o{k}_{i}" for i in range(len(g._outputs))]
+        pick = dict(zip(names, (at[e] for e in g._outputs), strict=True))
+        if not k:
+            read = list(dict.fromkeys(ports))
+        if isinstance(stage, Graph):
+            chain.append(Rows(nodes, pick))
         else:
-            ids = np.cumsum(np.concatenate([[0], np.diff(tick) >= width])) if kind == "session" else np.unique(tick // width, return_inverse=True)[1]
-            ended = int(ids[-1])
-        out = []
-        for k in range(ended):
-            part = rows[ids == k]
-            end = part[order.time].iloc[-1]
-            if kind == "tumbling":
-                end = int(part["__tick"].iloc[0] // width + 1) * width
-                end = pd.Timestamp(end, unit="us") if timed else end
-            out.append([*key, end, *(v for name, cols in spec.values() for v in _summaries(part, name, cols))])
-        state.update((cloudpickle.dumps((kernel, rows[ids >= ended])),))
-        yield pd.DataFrame(out, columns=[*groups, "window_ts", *made])
-
-    return df.withColumn("__tick", order.tick(df)).groupBy(*groups).applyInPandasWithState(run, schema, "open binary", "append", GroupStateTimeout.NoTimeout)
+            trigger = _trigger(g._trigger)
+            trigger.column = columns.get(trigger.column)
+            chain.append(Windows(trigger, Functors(nodes, pick), names))
+    last = stages[-1]
+    return _windows(df, order, Chain(chain), read, names, last.names(), late, time_name if isinstance(last, TumbleGraph) else None)
 
 
 def stream_bars(df: DataFrame, order: Order, size: str, late: str, spec: dict[str, tuple[str, list[str]]]) -> DataFrame:
