@@ -23,7 +23,9 @@ HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 8.0
 #: Share of the text's log-likelihood that counts: neighbouring triples are not independent.
 TEXT_SHARE = 0.25
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+#: Where a comment or an element without visible text begins, and where such elements end.
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
 _TAG = re.compile(r"<[^>]*>")
 #: The html tag, anywhere outside comments and elements that hold no markup; each branch takes in what it reads, so a search is linear.
 _HTML = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template)\b.*?(?:</\1\b|\Z)|<html\b(?P<tag>[^>]*)", re.S | re.I)
@@ -46,8 +48,25 @@ TWO_LETTERS = {x[:3]: x[3:] for x in _CODES.split()}
 
 
 def page_text(markup: str | None) -> str:
-    """Visible text of a page: scripts, styles, comments and tags are left out, entities decoded."""
-    return html.unescape(_TAG.sub(" ", _DROP.sub(" ", markup or "")))
+    """Visible text of a page: scripts, styles, comments and tags are left out, entities decoded. What is opened and never closed
+    stays; that there is no end is found out once, so a page takes time in proportion to its length."""
+    page, kept, at, pos, endless = markup or "", [], 0, 0, set()
+    while m := _OPEN.search(page, pos):
+        name, end = (m[1] or "").lower(), -1
+        if name not in endless:
+            if not name:
+                end = page.find("-->", m.end()) + 3 if page.find("-->", m.end()) >= 0 else -1
+            elif (tag := page.find(">", m.end())) >= 0 and (close := _CLOSE[name].search(page, tag + 1)):
+                end = close.end()
+            if end < 0:
+                endless.add(name)
+        pos = m.end() if end < 0 else end
+        if end >= 0:
+            kept.append(page[at : m.start()])
+            at = end
+    page = " ".join([*kept, page[at:]])
+    last = page.rfind(">") + 1  # no tag ends behind it
+    return html.unescape(_TAG.sub(" ", page[:last]) + page[last:])
 
 
 def declared_language(markup: str | None) -> str:
