@@ -1,10 +1,13 @@
 """Groups that are cut into ranges against groups that are one task's work: the same rows for any number of cuts."""
 
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidewell.operators import aggs
+from tidewell.operators import aggs, overlap
 from tidewell.operators import windows as W
 from tidewell.operators.frames import Order
 from tidewell.operators.ranges import can_carry, numbered, scan_ranges, scan_rows, scan_times
@@ -12,6 +15,8 @@ from tidewell.operators.scan import KERNELS, Node, scan
 from tidewell.operators.spans import SpanLag, SpanStatistic
 from tidewell.plans import graph as G
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have this file
+
 ORDER = Order("g", "t", "k")
 OPTIONS = {
     "ema": {"alpha": 0.2}, "ema_unbiased": {"alpha": 0.05}, "ewma": {"alpha": 0.2}, "ema_time": {"tau": 3.0}, "var_ew": {"alpha": 0.2}, "std_ew": {"alpha": 9.0}, "cov_ew": {"alpha": 0.2},
@@ -145,3 +150,82 @@ def test_mergeable_aggregates(spark, table, window):
     np.testing.assert_allclose(got.width, got.high - got.low)
     np.testing.assert_allclose(got.move, got.close - got.open)
     assert G.AggGraph().input("a").window(window).add(spread(), ["a"]).run(table.limit(0), ORDER).count() == 0
+
+
+def by_hand(table, make, columns):
+    """Windows of an emitter, group by group, as (group, time, sum and count of a, last less first b)."""
+    out = []
+    rows = sorted(named(table).collect(), key=lambda r: (r.g, r.t, r.k))
+    for g in dict.fromkeys(r.g for r in rows):
+        queue, e = [], make()
+        for r in (r for r in rows if r.g == g):
+            x = [r[c] for c in columns]
+            if None in x:
+                continue
+            queue.append(r)
+            if (got := e.on_row(float(r.t), *x)) is not None:
+                offset, size, evict = got
+                w = queue[offset : offset + size]
+                a = [v.a for v in w if v.a is not None]
+                out.append((g, r.t, sum(a) if a else None, float(len(w)) if w else None, w[-1].b - w[0].b if w else None))
+                queue = queue[evict:]
+    return sorted(out, key=str)
+
+
+def alternating():
+    class E:
+        """Of four rows that wait three, by turns the first and the last ones; two leave, then all."""
+
+        def __init__(self):
+            self.n, self.odd = 0, False
+
+        def on_row(self, t):
+            self.n += 1
+            if self.n < 4:
+                return None
+            self.odd = not self.odd
+            self.n = 2 if self.odd else 0
+            return (0, 3, 2) if self.odd else (1, 3, 4)
+
+    return E()
+
+
+def every_row():
+    class E:
+        """The last 24 rows at every row; nothing at times."""
+
+        def __init__(self):
+            self.n = 0
+
+        def on_row(self, t, b):
+            self.n += 1
+            if self.n == 24:
+                self.n = 23
+                return 0, 24, 1
+            return (0, 0, 0) if self.n == 10 else None
+
+    return E()
+
+
+@pytest.mark.parametrize("make, columns", [(alternating, []), (every_row, ["b"])])
+def test_windows_of_an_emitter(table, make, columns, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 16)
+    move = aggs.Parts(("first", "last"), lambda x: (x[0], x[-1]), lambda a, b: (b - a,))
+    run = lambda df: G.AggGraph().input("a", "b").window(W.emitter(make, columns)).add("sum", ["a"]).add("count").add(move, ["b"], into=["move"]).run(named(df), ORDER)
+    got = sorted(((r.g, r.window_ts, r.sum_a, r["count"], r.move) for r in run(table).collect()), key=str)
+    want = by_hand(table, make, columns)
+    assert len(got) == len(want) and [x[:2] for x in got] == [x[:2] for x in want]
+    for x, y in zip(got, want, strict=True):
+        assert x[2:] == pytest.approx(y[2:])
+    assert run(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size, step", [(24, 1), (10, 2), (7, 1.5), (12, 3)])
+def test_hopping_windows_from_panes(table, size, step):
+    a = G.AggGraph().input("a", "d").window(W.hopping(size, step)).add("ohlc", ["a"]).add("stddev", ["a"]).add("vwap", ["a", "d"]).add("count")
+    rows = G.AggGraph().input("a", "d").window(W.hopping(size, step)).add("ohlc", ["a"]).add("stddev", ["a"]).add("vwap", ["a", "d"]).add(lambda seq: [F.count("*").cast("double")], into=["count"])
+    read = lambda g: named(g.run(table, ORDER)).toPandas().sort_values(["g", "window_ts"]).reset_index(drop=True)
+    got, want = read(a), read(rows)
+    assert len(got) == len(want) and (got.window_ts == want.window_ts).all()
+    for c in ("open", "high", "low", "close", "stddev_a", "vwap", "count"):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-9)

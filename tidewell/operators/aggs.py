@@ -185,57 +185,83 @@ def by_parts(name: str, **options: object) -> Mergeable:
     return out
 
 
-def merged(df: DataFrame, order: Order, ids: list[str], what: dict[str, tuple[Mergeable, list[str], list[str]]]) -> DataFrame:
-    """One row a window, by the columns `ids`, and the values of mergeable aggregators: {name: (aggregator, columns, outputs)}.
+What = dict[str, tuple[Mergeable, list[str], list[str]]]  #: by name: aggregator, columns, outputs
+
+
+def states(df: DataFrame, order: Order, ids: list[str], what: What) -> DataFrame:
+    """One row a window (by the columns `ids`) and partition: the order's keys of its first row and a state of each aggregator.
 
     Each partition is sorted by window and order and its rows become one state a window before anything is shuffled, so a window
     that holds all rows is a state a partition. Ordered aggregators need partitions that are ranges of the order.
-    A window in which an aggregator has no row without a null gets a null from it.
     """
     columns = list(dict.fromkeys(c for _, cols, _ in what.values() for c in cols))
     keys = [k for k in order.keys if k not in ids]
     df = df.select(*ids, *keys, *(F.col(c).cast("double").alias(f"__{c}") for c in columns))
     if any(a.ordered for a, _, _ in what.values()):
         df = df.repartitionByRange(*order.groups, *order.keys)
-    states = ", ".join(f"`__s{k}` array<double>" for k in range(len(what)))
+    named = list(what.values())
+
+    def lift(batch: pa.RecordBatch, a: int, b: int) -> list:
+        out = []
+        for agg, cols, _ in named:
+            x = [batch.column(f"__{c}").slice(a, b - a) for c in cols]
+            ok = np.logical_and.reduce([np.asarray(c.is_valid()) for c in x]) if x else np.ones(b - a, dtype=bool)
+            x = [np.asarray(c.fill_null(0.0))[ok] for c in x] or [np.empty(b - a)]
+            out.append(agg.lift(*x) if ok.any() else None)
+        return out
+
+    return df.sortWithinPartitions(*ids, *keys).mapInArrow(lambda batches: _fold_runs(batches, ids, keys, lift, named, [*ids, *keys]), _states_schema(df, [*ids, *keys], named))
+
+
+def _states_schema(df: DataFrame, head: list[str], named: list) -> StructType:
     kinds = {f.name: f for f in df.schema.fields}
-    head = StructType([kinds[c] for c in (*ids, *keys)])
-    schema = StructType([*head.fields, *StructType.fromDDL(states).fields])
+    return StructType([*(kinds[c] for c in head), *StructType.fromDDL(", ".join(f"`__s{k}` array<double>" for k in range(len(named)))).fields])
+
+
+def _read(named: list) -> Callable[[pa.RecordBatch, int, int], list]:
+    def read(batch: pa.RecordBatch, a: int, b: int) -> list:
+        out = []
+        for k, (agg, _, _) in enumerate(named):
+            state = None
+            for row in batch.column(f"__s{k}").slice(a, b - a).to_pylist():
+                state = _put(agg, state, None if row is None else tuple(row))
+            out.append(state)
+        return out
+
+    return read
+
+
+def combined(parts: DataFrame, ids: list[str], keys: list[str], what: What) -> DataFrame:
+    """States of the same window put together in the order of `keys`."""
     named = list(what.values())
+    dealt = parts.repartition(*ids).sortWithinPartitions(*ids, *keys)
+    return dealt.mapInArrow(lambda batches: _fold_runs(batches, ids, keys, _read(named), named, [*ids, *keys]), _states_schema(parts, [*ids, *keys], named))
 
-    def lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lift(batch: pa.RecordBatch, a: int, b: int) -> list:
-            out = []
-            for agg, cols, _ in named:
-                x = [batch.column(f"__{c}").slice(a, b - a) for c in cols]
-                ok = np.logical_and.reduce([np.asarray(c.is_valid()) for c in x]) if x else np.ones(b - a, dtype=bool)
-                x = [np.asarray(c.fill_null(0.0))[ok] for c in x] or [np.empty(b - a)]
-                out.append(agg.lift(*x) if ok.any() else None)
-            return out
-
-        yield from _fold_runs(batches, ids, keys, lift, named, [*(f.name for f in head.fields)])
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(batch: pa.RecordBatch, a: int, b: int) -> list:
-            out = []
-            for k, (agg, _, _) in enumerate(named):
-                state = None
-                for row in batch.column(f"__s{k}").slice(a, b - a).to_pylist():
-                    state = _put(agg, state, None if row is None else tuple(row))
-                out.append(state)
-            return out
-
-        for batch in _fold_runs(batches, ids, keys, read, named, list(ids)):
-            got: list[list] = [[] for _, _, names in named for _ in names]
+
+def finished(parts: DataFrame, ids: list[str], keys: list[str], what: What) -> DataFrame:
+    """One row a window: `ids` and the aggregators' values, of states put together in the order of `keys`. Where an aggregator
+    has no row without a null, its values are null."""
+    named = list(what.values())
+    outs = [n for _, _, names in named for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _fold_runs(batches, ids, keys, _read(named), named, list(ids)):
+            got: list[list] = [[] for _ in outs]
             for row in zip(*(batch.column(f"__s{k}").to_pylist() for k in range(len(named))), strict=True):
                 flat = [v for (agg, _, names), state in zip(named, row, strict=True) for v in (agg.finish(tuple(state)) if state is not None else [None] * len(names))]
                 for column, v in zip(got, flat, strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), *(pa.array(c, pa.float64()) for c in got)], [*ids, *(n for _, _, names in named for n in names)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), *(pa.array(c, pa.float64()) for c in got)], [*ids, *outs])
+
+    kinds = {f.name: f for f in parts.schema.fields}
+    schema = StructType([*(kinds[c] for c in ids), *StructType.fromDDL(", ".join(f"`{n}` double" for n in outs)).fields])
+    return parts.repartition(*ids).sortWithinPartitions(*ids, *keys).mapInArrow(run, schema)
 
-    parts = df.sortWithinPartitions(*ids, *keys).mapInArrow(lifted, schema)
-    out = StructType([*(kinds[c] for c in ids), *StructType.fromDDL(", ".join(f"`{n}` double" for _, _, names in named for n in names)).fields])
-    return parts.repartition(*ids).sortWithinPartitions(*ids, *keys).mapInArrow(finished, out)
+
+def merged(df: DataFrame, order: Order, ids: list[str], what: What) -> DataFrame:
+    """One row a window, by the columns `ids`, and the values of mergeable aggregators."""
+    keys = [k for k in order.keys if k not in ids]
+    return finished(states(df, order, ids, what), ids, keys, what)
 
 
 def _put(agg: Mergeable, a: tuple | None, b: tuple | None) -> tuple | None:

@@ -27,7 +27,7 @@ class Windows:
     inclusive: bool
 
 
-def _as_time(df: DataFrame, order: Order, tick: Column) -> Column:
+def as_time(df: DataFrame, order: Order, tick: Column) -> Column:
     kind = df.schema[order.time].dataType.simpleString()
     if kind.startswith("timestamp") or kind == "date":
         return F.timestamp_micros(tick.cast("long")).cast("timestamp" if kind == "date" else kind)
@@ -49,7 +49,7 @@ def tumbling(size: int | float | str | Duration) -> Callable[[DataFrame, Order],
 
     def assign(df: DataFrame, order: Order) -> Windows:
         df = df.withColumn(WID, F.floor(order.tick(df) / F.lit(w)).cast("long"))
-        return Windows(df, _as_time(df, order, (F.col(WID) + 1) * F.lit(w)), None, False)
+        return Windows(df, as_time(df, order, (F.col(WID) + 1) * F.lit(w)), None, False)
 
     assign.on_stream = ("tumbling", size)
     return assign
@@ -116,7 +116,8 @@ def custom(make: Callable[[], Kernel], columns: list[str], ranges: int | None =
 
 
 def hopping(size: int | float | str | Duration, step: int | float | str | Duration) -> Callable[[DataFrame, Order], Windows]:
-    """Windows of `size` that start every `step`; a row is in each window that covers it."""
+    """Windows of `size` that start every `step`; a row is in each window that covers it. A graph whose aggregators can be put together
+    from parts makes windows of four steps or more from panes, and copies no row (see overlap)."""
     w, s = as_size(size), as_size(step)
     if w <= 0 or s <= 0:
         raise ValueError("size and step must be above 0")
@@ -125,8 +126,20 @@ def hopping(size: int | float | str | Duration, step: int | float | str | Durati
         tick = order.tick(df)
         ids = F.sequence((F.floor((tick - F.lit(w)) / F.lit(s)) + 1).cast("long"), F.floor(tick / F.lit(s)).cast("long"))
         df = df.withColumn(WID, F.explode(ids))
-        return Windows(df, _as_time(df, order, F.col(WID) * F.lit(s) + F.lit(w)), None, False)
+        return Windows(df, as_time(df, order, F.col(WID) * F.lit(s) + F.lit(w)), None, False)
 
+    assign.hops = (w, s)
+    return assign
+
+
+def emitter(make: Callable[[], object], columns: list[str] | tuple[str, ...] = ()) -> Callable[[DataFrame, Order], Windows]:
+    """Windows of a user's emitter over the queue of rows, which may overlap and leave rows out: see overlap.Emitting. Aggregators
+    must be those that can be put together from parts; windows that the last row leaves in the queue are not emitted."""
+
+    def assign(df: DataFrame, order: Order) -> Windows:
+        raise ValueError("windows of an emitter have no number for each row; they are aggregated by a graph")
+
+    assign.emitter = (make, list(columns))
     return assign
 
 

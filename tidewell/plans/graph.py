@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.timeunits import as_size
-from ..operators import aggs
+from ..operators import aggs, overlap
 from ..operators.frames import Frame, Order, Span
 from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
 from ..operators.ranges import can_carry, reach, scan_ranges, scan_rows, scan_times, wanted
 from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, mfm, scan
 from ..operators.spans import STATISTICS, Since, SpanLag, SpanStatistic, Windowed
-from ..operators.windows import WID, Windows, last_of
+from ..operators.windows import WID, Windows, as_time, last_of
+
+#: Most panes of a hopping window: beyond, states of panes would be copied more often than rows.
+MOST_PANES = 4096
 
 
 @dataclass(frozen=True)
@@ -684,6 +687,19 @@ class AggGraph:
         self._aggs.append((name, list(columns), options, into or names))
         return self
 
+    def _by_parts(self) -> list[tuple[aggs.Mergeable, list[str], list[str]]]:
+        """Every aggregator as one that is put together from parts: (aggregator, columns, outputs)."""
+        out = []
+        for name, cols, options, into in self._aggs:
+            if isinstance(name, aggs.Mergeable):
+                out.append((name, cols, into))
+            elif isinstance(name, str):
+                alone = aggs.AGGREGATORS[name][0] is None  # one output a column
+                out += [(aggs.by_parts(name, **options), [c], [n]) for n, c in zip(into, cols, strict=True)] if alone else [(aggs.by_parts(name, **options), cols, into)]
+            else:
+                raise ValueError("a function of columns can't be put together from parts; an aggregator by parts can")
+        return out
+
     def run(self, df: DataFrame, order: Order, *, emit_partial: bool = True, time_name: str = "window_ts", late: str | None = None) -> DataFrame:
         """One row a window: groups, the window's time, the aggregates. Without emit_partial each group's open last
         window is left out; with it, it comes as at the end of input. On a stream windows come when they have ended: see
@@ -693,17 +709,19 @@ class AggGraph:
         if df.isStreaming:
             from ..streaming.runner import stream_body
 
-            spec = []
-            for name, cols, options, into in self._aggs:
-                if isinstance(name, aggs.Mergeable):
-                    spec.append((into, name, cols))
-                elif isinstance(name, str):
-                    alone = aggs.AGGREGATORS[name][0] is None  # one output a column
-                    spec += [([n], aggs.by_parts(name, **options), [c]) for n, c in zip(into, cols, strict=True)] if alone else [(into, aggs.by_parts(name, **options), cols)]
-                else:
-                    raise ValueError("a function of columns can't aggregate on a stream; an aggregator by parts can")
-            return stream_body(df, order, self._window, spec, late, time_name)
+            return stream_body(df, order, self._window, [(into, agg, cols) for agg, cols, into in self._by_parts()], late, time_name)
+        if hasattr(self._window, "emitter"):
+            make, read = self._window.emitter
+            what = {f"a{k}": x for k, x in enumerate(self._by_parts())}
+            return overlap.emitted(df, order, make, read, what, time_name).select(*order.groups, time_name, *(n for *_, into in self._aggs for n in into))
         df = df.select(*dict.fromkeys([*order.columns, *self._inputs]))
+        if hasattr(self._window, "hops") and emit_partial and all(isinstance(a[0], str | aggs.Mergeable) for a in self._aggs):
+            size, step = self._window.hops
+            pane = overlap.pane_of(size, step)
+            if pane is not None and size >= 4 * step and size / pane <= MOST_PANES:
+                out = overlap.paned(df, order, size, step, pane, WID, {f"a{k}": x for k, x in enumerate(self._by_parts())})
+                ends = as_time(df, order, F.col(WID) * F.lit(step) + F.lit(size))
+                return out.select(*order.groups, ends.alias(time_name), *(n for *_, into in self._aggs for n in into))
         parts = {f"a{k}": (name, cols, into) for k, (name, cols, _, into) in enumerate(self._aggs) if isinstance(name, aggs.Mergeable)}
 
         def make(seq: Column) -> dict[str, Column]:
