@@ -149,7 +149,7 @@ def test_options_that_change_in_mid_run():
     data = {"x": (x, None), "t": (t, None), "n": (np.array([2.0] * 4 + [3.0] * 4), None), "a": (np.array([0.5] * 4 + [1.0] * 4), None)}
     nodes = [Node(SpanStatistic, ["x", "t"], ["s"], {"name": "sum", "rows": "n"}, live=True), Node(KERNELS["ema"], ["x"], ["m"], {"alpha": "a"}, live=True)]
     advance(nodes, start(nodes, data), data, 8)
-    assert data["s"][0].tolist() == [1, 3, 5, 7, 9, 15, 18, 21]  # the fifth row holds what the smaller span has left
+    assert data["s"][0].tolist() == [1, 3, 5, 7, 12, 15, 18, 21]  # the fifth row still has the two rows of the smaller span before it
     assert data["m"][0].tolist() == [1, 1.5, 2.25, 3.125, 5, 6, 7, 8]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import aggs, overlap
 from tidewell.operators import windows as W
 from tidewell.operators.frames import Order
-from tidewell.operators.ranges import can_carry, numbered, scan_ranges, scan_rows, scan_times
+from tidewell.operators.ranges import can_carry, cut_into, numbered, scan_ranges, scan_rows, scan_times
 from tidewell.operators.scan import KERNELS, Node, scan
 from tidewell.operators.spans import SpanLag, SpanStatistic
 from tidewell.plans import graph as G
@@ -229,3 +229,37 @@ def test_hopping_windows_from_panes(table, size, step):
     assert len(got) == len(want) and (got.window_ts == want.window_ts).all()
     for c in ("open", "high", "low", "close", "stddev_a", "vwap", "count"):
         np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-9)
+
+
+def test_versions_of_parameters(table):
+    """The latest version not later than the row; rows before the first one are as if they were not there."""
+    versions = [(1.0, 20, 0.5, 3), (1.0, 100, 0.1, 9), (1.0, 101, 0.9, 2), (5.0, 0, 0.3, 4), (None, 5, 1.0, 1), (8.0, 0, 0.2, 2)]
+    v = table.sparkSession.createDataFrame(versions, "g double, begin int, alpha double, size int")
+    g = G.Graph()
+    g.root("in", ["b"])
+    g.add("m", G.kernel("ema", alpha=0.0), "b")
+    g.add("s", G.rolling("sum", rows=2), "b")
+    g.supp_root("given", ["alpha", "size"])
+    g.supp_link("m", alpha="alpha").supp_link("s", rows="size")
+    g.set_output("m", "s")
+    for number in (0, 13):
+        with cut_into(number):
+            got = {(r.g, r.t, r.k): (r.m, r.s) for r in named(g.run(table, ORDER, parameters=v, since="begin")).collect()}
+        assert len(got) == table.count()
+        state = {}
+        for r in sorted(named(table).collect(), key=lambda r: (r.g, r.t, r.k)):
+            fit = [x for x in versions if ("none" if x[0] is None else str(x[0])) == r.g and x[1] <= r.t]
+            if not fit:
+                assert got[r.g, r.t, r.k] == (None, None)
+                continue
+            _, _, alpha, size = max(fit, key=lambda x: x[1])
+            m, held = state.get(r.g, (None, []))
+            m = r.b if m is None else m + alpha * (r.b - m)
+            held = [*held, r.b][-size:]
+            state[r.g] = m, held
+            assert got[r.g, r.t, r.k] == pytest.approx((m, sum(held)))
+
+
+def test_options_that_can_not_change(table):
+    with pytest.raises(ValueError, match="on_param"):
+        Node(SpanLag, ["b", "t"], ["l"], {"rows": "d"}, live=True)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -448,6 +449,29 @@ class RowNumber(Kernel):
         return (n.astype(np.float64),)
 
 
+class Carry(Kernel):
+    """The latest value of each input that is no null, this row's included; null before there is one."""
+
+    takes_nulls = True
+
+    def __init__(self, inputs: int):
+        self.inputs, self.outputs = inputs, tuple(f"value{k}" for k in range(inputs))
+        self.held = [Last() for _ in range(inputs)]
+
+    def parts(self):
+        return [(1, p) for p in self.held]
+
+    def step_nulls(self, *x):
+        out = []
+        for last, (v, ok) in zip(self.held, x, strict=True):
+            ok = np.ones(len(v), dtype=bool) if ok is None else ok
+            at = np.cumsum(ok)
+            known = np.concatenate([[np.nan if last.value is None else last.value], v[ok]])
+            out.append(np.ma.masked_array(known[at], (at == 0) & (last.value is None)))
+            last.value = last.value if at[-1] == 0 else float(known[-1])
+        return tuple(out)
+
+
 class Sessions(Kernel):
     """Number of the session of each row: another begins where a row comes `gap` or more after the one before. Input: the time."""
 
@@ -517,13 +541,15 @@ class Node:
 
     An option whose value is a string names a column: each group's first value of it is the option (a parameter
     table joined to the rows gives every group its own). With `live`, later values of these columns change the options
-    from their row on, by the kernel's on_param().
+    from their row on, by the kernel's on_param(); rows without such a value, a null or NaN, count as if they were not there.
     """
 
     def __init__(self, make: type[Kernel] | Callable[..., Kernel], args: list[str], names: list[str], options: dict[str, Any] | None = None, live: bool = False):
         self.make, self.args, self.names, self.options, self.live = make, args, names, dict(options or {}), live
         self.asked = {k: v for k, v in self.options.items() if isinstance(v, str) and k not in ("name", "fill", "sized")}
         self.columns = list(self.asked.values())
+        if live and self.columns and not callable(getattr(self.start(lambda c: 1.0), "on_param", None)):
+            raise ValueError(f"the options of {self.names} can't change in mid-run: the kernel has no on_param()")
 
     def start(self, value: Callable[[str], float]) -> Kernel:
         return self.make(**{k: value(v) if k in self.asked else v for k, v in self.options.items()})
@@ -533,12 +559,21 @@ Columns = dict[str, tuple[np.ndarray, np.ndarray | None]]  #: values and, where
 
 
 def start(nodes: list[Node], data: Columns) -> list[Kernel]:
-    return [n.start(lambda c: float(data[c][0][0])) for n in nodes]
+    def first(c: str, live: bool) -> float:
+        x = data[c][0]
+        if not live:
+            return float(x[0])
+        known = np.flatnonzero(~np.isnan(x))
+        return float(x[known[0]]) if len(known) else 1.0  # to be changed before a row counts
+
+    return [n.start(partial(first, live=n.live)) for n in nodes]
 
 
 def _run(kernel: Kernel, cols: list[np.ndarray], valid: np.ndarray | None, n: int, outputs: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
     split = lambda y: (np.ma.getdata(y), ~np.ma.getmaskarray(y)) if isinstance(y, np.ma.MaskedArray) else (y, None)
     if getattr(kernel, "takes_nulls", False):
+        if isinstance(kernel, Carry):
+            raise ValueError("values that are carried come with their own nulls")
         return [split(y) for y in kernel.step(*cols, valid=np.ones(n, dtype=bool) if valid is None else valid)]
     if valid is None or valid.all():
         return [split(y) for y in kernel.step(*cols)]
@@ -557,8 +592,15 @@ def advance(nodes: list[Node], kernels: list[Kernel], data: Columns, n: int) ->
         cols = [data[c][0] for c in node.args]
         oks = [data[c][1] for c in node.args if data[c][1] is not None]
         valid = np.logical_and.reduce(oks) if oks else None
+        if isinstance(kernel, Carry):
+            for name, y in zip(node.names, kernel.step_nulls(*(data[c] for c in node.args)), strict=True):
+                data[name] = np.ma.getdata(y), None if not np.ma.getmaskarray(y).any() else ~np.ma.getmaskarray(y)
+            continue
         cuts = [0, n]
         if node.live and node.columns:
+            known = ~np.logical_or.reduce([np.isnan(data[c][0]) for c in node.columns])
+            if not known.all():  # as long as there is no option a row is as if it were not there
+                valid = known if valid is None else valid & known
             changed = np.zeros(n, dtype=bool)
             changed[0] = True
             for c in node.columns:
@@ -567,7 +609,7 @@ def advance(nodes: list[Node], kernels: list[Kernel], data: Columns, n: int) ->
             cuts = [*np.flatnonzero(changed).tolist(), n]
         parts = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if node.live and node.columns:
+            if node.live and node.columns and known[a]:
                 kernel.on_param(**{k: float(data[c][0][a]) for k, c in node.asked.items()})
             parts.append(_run(kernel, [c[a:b] for c in cols], None if valid is None else valid[a:b], b - a, len(node.names)))
         for k, name in enumerate(node.names):
@@ -660,6 +702,28 @@ def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
     return df.repartition(*groups).sortWithinPartitions(*groups, *order.keys).mapInArrow(run, schema)
 
 
+def with_versions(df: DataFrame, order: Order, versions: DataFrame, since: str) -> DataFrame:
+    """Adds to each row the parameters of the latest version of its group whose time `since` is not later than the row's.
+
+    Versions are put among the rows, each before the rows of its time, and their values carried on in one pass over both; with
+    several versions of one time any may count. Rows before the first version have nulls. Groups match by value, null by null;
+    other columns of `versions` must be numbers, and new ones.
+    """
+    from .ranges import scan_ranges, wanted
+
+    names = [c for c in versions.columns if c not in order.groups and c != since]
+    if set(names) & set(df.columns):
+        raise ValueError(f"columns are taken: {sorted(set(names) & set(df.columns))}")
+    kinds = dict(df.dtypes)
+    marks = versions.select(*order.groups, F.col(since).cast(kinds[order.time]).alias(order.time), *(F.col(c).cast("double").alias(f"__v_{c}") for c in names), F.lit(0).alias("__is_row"))
+    both = df.withColumn("__is_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    node = [Node(partial(Carry, len(names)), [f"__v_{c}" for c in names], names)]
+    inner = Order(order.groups, order.time, ("__is_row", *order.ties))
+    number = wanted(both, order)
+    out = scan_ranges(both, inner, node, number) if number else scan(both, inner, node)
+    return out.filter("__is_row = 1").select(*df.columns, *names)
+
+
 def with_parameters(df: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:
     """Joins a table of parameters by group; Spark broadcasts it only where its size allows."""
     return df.join(parameters, on, "left")

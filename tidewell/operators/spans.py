@@ -350,7 +350,7 @@ class SpanStatistic(Kernel):
                 elif self.extent.time is not None:
                     held.let_go(held.low + int(np.searchsorted(held.times(), t[-1] - self.extent.time, side="right")))
                 else:
-                    held.let_go(held.high - self.extent.rows + 1)
+                    held.let_go(held.high - self.extent.rows)  # the last row's span, should the next one be wider
             if parts is Moments:  # what rounding alone can make of a series that does not move is none
                 for k in range(1, len(got) - 1, 2):
                     got[k + 1] = np.where(got[k + 1] <= 1e-30 * got[0] * _ratio(got[k], got[0]) ** 2, 0.0, got[k + 1])

@@ -21,7 +21,7 @@ from ..operators.frames import Frame, Order, Span
 from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
 from ..operators.ranges import can_carry, reach, scan_ranges, scan_rows, scan_times, wanted
-from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, mfm, scan
+from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, mfm, scan, with_versions
 from ..operators.spans import STATISTICS, Since, SpanLag, SpanStatistic, Windowed
 from ..operators.windows import WID, Windows, as_time, last_of
 
@@ -556,13 +556,14 @@ class Graph:
             at |= {Edge(n, k): x for k, x in enumerate(names)}
         return out, at
 
-    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False, ranges: int | None = None, late: str | None = None) -> DataFrame:
+    def run(self, df: DataFrame, order: Order, *, inputs: dict[str, str] | None = None, parameters: DataFrame | None = None, live: bool = False, since: str | None = None, ranges: int | None = None, late: str | None = None) -> DataFrame:
         """One row out for each row in: groups, order keys, and the outputs under names().
 
         Nodes that no output needs are left out. Column operators become projections and windows over one sorted
         shuffle of the groups; all sequential nodes that are ready run in one pass. On a stream every operator that looks
         at other rows is a kernel of one pass, whose state is kept by group between micro-batches; see stream_scan(). `parameters` has a
-        row a group. With `live` the table's own columns hold the parameters, and a change takes effect from its row on.
+        row a group. With `live` the table's own columns hold the parameters, and a change takes effect from its row on; with
+        `since`, a time column of `parameters`, these are versions, and the latest one not later than a row holds for it.
 
         `ranges` says into how many ranges a table's groups are cut (see ranges), 0 for none; by default they are where the table
         is large and a group is too large for a task. Where they are, every operator over other rows is a kernel, and only
@@ -575,7 +576,9 @@ class Graph:
             from ..streaming.runner import stream_scan
         ranges = 0 if stream else wanted(df, order) if ranges is None else ranges
         columns = {p: (inputs or {}).get(p, p) for p in self._ports[self._root]}
-        if parameters is not None:
+        if parameters is not None and since is not None:
+            df, live = with_versions(df, order, parameters, since), True
+        elif parameters is not None:
             df = df.join(parameters, list(order.groups), "left")
         need = self._needed()
         kernels = {n: k for n in self._args if n in need and (k := self._kernel(n, stream, ranges > 0)) is not None}

@@ -18,10 +18,14 @@ class Pipeline:
 
     def __init__(self, groups: int | None = None):
         self.stages: list[Graph | TumbleGraph] = []
+        self.parameters: list[dict] = []
         self.groups = groups
 
-    def add_stage(self, stage: Graph | TumbleGraph, groups: int | None = None) -> Pipeline:
-        """Appends a stage; its number of inputs must be the number of outputs before it, and group counts must agree."""
+    def add_stage(self, stage: Graph | TumbleGraph, groups: int | None = None, *, parameters: DataFrame | None = None, since: str | None = None) -> Pipeline:
+        """Appends a stage; its number of inputs must be the number of outputs before it, and group counts must agree. A graph's
+        `parameters`, by group or by version, are those of Graph.run() for this stage alone."""
+        if parameters is not None and not isinstance(stage, Graph):
+            raise ValueError("only a graph has parameters")
         if not isinstance(stage, (Graph, TumbleGraph)):
             raise ValueError("a stage is a graph or a tumbling graph")
         if groups is not None and self.groups is not None and groups != self.groups:
@@ -32,6 +36,7 @@ class Pipeline:
             raise ValueError(f"the stage reads {stage.num_inputs()} inputs, not {self.stages[-1].num_outputs()}")
         self.groups = self.groups if groups is None else groups
         self.stages.append(stage)
+        self.parameters.append({} if parameters is None else {"parameters": parameters, "since": since})
         return self
 
     def run(self, df: DataFrame, order: Order, *, emit_partial: bool = False, late: str | None = None, time_name: str = "window_ts") -> DataFrame:
@@ -41,13 +46,15 @@ class Pipeline:
         if df.isStreaming:
             from ..streaming.runner import stream_stages
 
+            if any(self.parameters):
+                raise ValueError("a stage of a stream has no parameters")
             return stream_stages(df, order, self.stages, late, time_name)
         names: list[str] | None = None
         for k, stage in enumerate(self.stages):
             ports = stage._ports[stage._root] if isinstance(stage, Graph) else stage.graph._ports[stage.graph._root]
             inputs = dict(zip(ports, names, strict=True)) if names is not None else None
             if isinstance(stage, Graph):
-                df = stage.run(df, order, inputs=inputs)
+                df = stage.run(df, order, inputs=inputs, **self.parameters[k])
                 names = stage.names()
             else:
                 df = stage.run(df, order, inputs=inputs, emit_partial=emit_partial, arrival="__arrival")
