@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -19,9 +19,9 @@ END = "\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Types of records that hold a page; others, such as warcinfo, request and metadata, are not read unless asked for.
 PAGES = ("response", "revisit", "resource")
-RECORD = "record_id string, origin_id string, segment int, total long, record_type string, page_id long, refers_to long, target_uri string, declared_digest string, block binary"
+RECORD = "record_id string, origin_id string, segment int, total long, record_type string, page_id long, refers_to long, target_uri string, declared_digest string, refers_to_id string, block binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
-_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
 
 def _text(x: Column) -> Column:
@@ -94,34 +94,60 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, chunk: int = 81
     p.select(record.alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
-def unpack(content: bytes, step: int = 1 << 16) -> bytes:
-    """Bytes of a gzip file of one or more members, joined; raises an error where one is cut short or anything else follows."""
-    view, at, out = memoryview(content), 0, []
-    while at < len(view) or not out:
+def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """Bytes of a gzip file of one or more members, piece by piece; raises an error where one is cut short or anything else follows."""
+    view, at = memoryview(content), 0
+    while at < len(view) or not at:
         member = zlib.decompressobj(47)
         while not member.eof:
             if at >= len(view):
                 raise ValueError(f"archive is cut short at byte {at}")
             piece = view[at : at + step]  # what follows a member is copied, so no more than this is handed over
-            out.append(member.decompress(piece))
+            data = member.decompress(piece)
             at += len(piece) - len(member.unused_data)
-    return b"".join(out)
+            if data:
+                yield data
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive; raises ValueError where the framing is broken."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
+def unpack(content: bytes, step: int = 1 << 16) -> bytes:
+    """All of it at once."""
+    return b"".join(inflated(content, step))
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of an archive that comes in pieces, of which no more than a record is held; raises
+    ValueError where the framing is broken."""
+    held, at, more = bytearray(), 0, iter(pieces)
+
+    def reach(n: int) -> bool:
+        while len(held) < n:
+            if (piece := next(more, None)) is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while reach(1):
+        looked, end = 0, -1
+        while reach(min(looked + 1, 5)) and held.startswith(b"WARC/"[: len(held)]):
+            end = held.find(b"\r\n\r\n", max(0, looked - 3))
+            looked = len(held)
+            if end >= 0 or not reach(looked + 1):
+                break
+        if end < 0 or not held.startswith(b"WARC/"):
             raise ValueError(f"no record header at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split(END)[1:]
+        lines = held[:end].decode("utf-8", "replace").split(END)[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         start, size = end + 4, int(fields["content-length"])
-        if len(data) < start + size or data[start + size : start + size + 4] != b"\r\n\r\n":
+        if not reach(start + size + 4) or held[start + size : start + size + 4] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is cut short")
-        yield fields, data[start : start + size]
-        at = start + size + 4
+        yield fields, bytes(held[start : start + size])
+        at += start + size + 4
+        del held[: start + size + 4]
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of an archive; raises ValueError where the framing is broken."""
+    return records([data])
 
 
 def _parse(batches: Iterator[pa.RecordBatch], segmented: bool, types: tuple[str, ...] | None) -> Iterator[pa.RecordBatch]:
@@ -130,11 +156,11 @@ def _parse(batches: Iterator[pa.RecordBatch], segmented: bool, types: tuple[str,
         for content in batch.column("content"):
             rows: list[tuple] = []
             held = 0
-            for f, block in parse_records(unpack(content.as_py())):
+            for f, block in records(inflated(content.as_py())):
                 if ("warc-segment-number" in f) != segmented or not segmented and types is not None and f["warc-type"] not in types:
                     continue
                 rid = f.get("warc-record-id")
-                rows.append((rid, f.get("warc-segment-origin-id", rid), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("warc-page-id")), number(f.get("warc-refers-to-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), block))
+                rows.append((rid, f.get("warc-segment-origin-id", rid), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("warc-page-id")), number(f.get("warc-refers-to-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"), block))
                 held += len(block)
                 if held > 8 << 20:
                     yield _batch(rows)
@@ -176,10 +202,13 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = PAGES) -> DataFrame:
-    """Records of the archives in `path`: record_type, page_id, refers_to, target_uri, declared_digest, payload.
+    """Records of the archives in `path`: record_type, page_id, refers_to, target_uri, declared_digest, record_id, refers_to_id,
+    payload.
 
-    Archives are gzip files of any number of members, such as one a record. Segments are grouped by their origin's identifier, ordered by number and joined; a missing or repeated number
-    or a total length that the last segment does not declare so raises an error. Only segmented records are
+    Archives are gzip files of any number of members, such as one a record. record_id and refers_to_id are the standard fields of
+    a record's identifier and of the record that a revisit refers to; page_id and refers_to are those that write_warc()
+    adds, and null elsewhere: see responses_of(). Segments are grouped by their origin's identifier, ordered by number and
+    joined, and the origin's identifier is that of the whole; a missing or repeated number or a total length that the last segment does not declare so raises an error. Only segmented records are
     shuffled. Chunked framing is decoded. A revisit has a null payload. Records of other `types` are skipped (None: all are
     read; a block that is no HTTP message is its own payload). No archives give no rows.
     """
@@ -188,7 +217,7 @@ def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = PA
     pieces = files.mapInArrow(partial(_parse, segmented=True, types=types), RECORD)
     head = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     joined = pieces.groupBy("origin_id").agg(
-        *(head(c) for c in ("record_type", "page_id", "refers_to", "target_uri", "declared_digest")), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts")
+        *(head(c) for c in ("record_type", "page_id", "refers_to", "target_uri", "declared_digest", "record_id", "refers_to_id")), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts")
     )
     if types is not None:  # a missing first segment is still an error
         joined = joined.filter(F.col("record_type").isNull() | F.col("record_type").isin(*types))
@@ -196,11 +225,26 @@ def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = PA
     joined = joined.withColumn("block", block)
     right = (F.octet_length("block") == F.col("total")) & (F.transform("parts", lambda x: x.segment) == F.sequence(F.lit(1), F.size("parts")))
     joined = joined.withColumn("block", F.when(right, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not add up: "), "origin_id")).cast("binary")))
-    keep = ["record_type", "page_id", "refers_to", "target_uri", "declared_digest", "block"]
-    schema = "record_type string, page_id long, refers_to long, target_uri string, declared_digest string, payload binary"
+    keep = ["record_type", "page_id", "refers_to", "target_uri", "declared_digest", "record_id", "refers_to_id", "block"]
+    schema = "record_type string, page_id long, refers_to long, target_uri string, declared_digest string, record_id string, refers_to_id string, payload binary"
     return whole.select(keep).unionAll(joined.select(keep)).mapInArrow(_decode, schema)
 
 
+def responses_of(read: DataFrame) -> DataFrame:
+    """record_id of each revisit of read_warc() and response_id, the record that holds its payload: the one it refers to by identifier
+    or, where it names none that is there, one that declares the same payload digest (the smallest identifier); else null.
+
+    Works on any archive. Identifiers and digests alone are shuffled, and a response that many revisit is on the side with one row
+    a key. Revisits without an identifier come out with a null one; equal identifiers of several responses count once.
+    """
+    revisits = read.filter("record_type = 'revisit'").select("record_id", "refers_to_id", "declared_digest")
+    others = read.filter("record_type <> 'revisit' and record_id is not null")
+    named = others.select(F.col("record_id").alias("refers_to_id"), F.col("record_id").alias("by_id")).distinct()
+    equal = others.groupBy("declared_digest").agg(F.min("record_id").alias("by_digest"))
+    both = revisits.join(named, "refers_to_id", "left").join(equal, "declared_digest", "left")
+    return both.select("record_id", F.coalesce("by_id", "by_digest").alias("response_id"))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes `pages` to an archive in the shared folder, reads it back and describes each record's full payload.
 
