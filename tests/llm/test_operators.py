@@ -657,7 +657,7 @@ def test_repeats_within_periodic_texts(spark):
     got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, list(enumerate(texts))), length=60, texts=True).collect()}
     for i, (b, f) in enumerate(zip(data, covered(data, 60))):
         assert got[i].n_removed == int(f.sum())
-        assert got[i].kept_text.encode() == np.frombuffer(b, dtype=np.uint8)[~f].tobytes()
+        assert got[i].text.encode() == np.frombuffer(b, dtype=np.uint8)[~f].tobytes()
 
 
 def test_difference_covers():

@@ -227,7 +227,7 @@ def test_time_spans_are_cut_into_slices(spark):
     g.root("in", ["x"])
     g.add("s", G.rolling("sum", time=5), "x")
     g.add("m", G.rolling("max", time=2), "x")
-    out = g.set_output("s", "m").run(df, order)
-    assert "__slice" in out._jdf.queryExecution().optimizedPlan().toString() and "__slice" not in out.columns
+    out = g.set_output("s", "m").run(df, order, ranges=12)
+    assert "__block" in out._jdf.queryExecution().optimizedPlan().toString() and "__block" not in out.columns
     got = [(r.s, r.m) for r in out.orderBy("k").collect()]
     assert got == [(sum(x for _, s, x, _ in rows[: k + 1] if s > t - 5), max(x for _, s, x, _ in rows[: k + 1] if s > t - 2)) for _, t, _, k in rows]
