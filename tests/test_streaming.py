@@ -218,3 +218,22 @@ def test_an_open_window_is_a_few_numbers():
         assert len(w.feed({"__tick": (t, None), "x": (t * 1.0, None)})["n"][0]) == 0
         size.append(len(pickle.dumps(w.body.states)))
     assert max(size) < 200 and w.close(10**9)["n"][0].tolist() == [300_000.0] and w.due() is None
+
+
+def test_parameters_from_a_stream(spark, tmp_path):
+    """Versions of an option come as a stream of their own and hold from their time on; the same as the batch."""
+    data = holes(80)
+    g = G.Graph()
+    g.root("in", ["x"])
+    g.add("m", G.kernel("ema", alpha=0.0), "x")
+    g.add("r", G.rolling("sum", rows=4), "x")
+    g.supp_root("given", ["alpha"])
+    g.supp_link("m", alpha="alpha")
+    g.set_output("m", "r")
+    begin = data.ts.iloc[0]
+    versions = pd.DataFrame({"g": [0, 1, 0, 2, 1], "begin": [begin, begin + pd.Timedelta("1h"), begin + pd.Timedelta("3h"), begin, begin + pd.Timedelta("4h")], "alpha": [0.5, 0.2, 0.9, 0.3, 1.0]}).astype({"g": "int32"})
+    schema = "g int, begin timestamp, alpha double"
+    spark.createDataFrame(versions, schema).coalesce(1).write.parquet(f"{tmp_path}/v")
+    given = spark.readStream.schema(schema).parquet(f"{tmp_path}/v")
+    drain(g.run(feed(spark, tmp_path, shuffled(data, 15, np.random.default_rng(7))), ORDER, parameters=given, since="begin", late="5 hours"), "versions")
+    both(spark, "versions", g.run(spark.createDataFrame(data, SCHEMA), ORDER, parameters=spark.createDataFrame(versions, schema), since="begin"), ["g", "ts"])

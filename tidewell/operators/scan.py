@@ -702,6 +702,19 @@ def scan(df: DataFrame, order: Order, nodes: list[Node]) -> DataFrame:
     return df.repartition(*groups).sortWithinPartitions(*groups, *order.keys).mapInArrow(run, schema)
 
 
+IS_ROW = "__is_row"
+
+
+def among(df: DataFrame, order: Order, versions: DataFrame, since: str) -> tuple[DataFrame, list[str]]:
+    """The rows (IS_ROW 1) and among them the versions (0), with a version's parameters as __v_<name>; and these names."""
+    names = [c for c in versions.columns if c not in order.groups and c != since]
+    if set(names) & set(df.columns):
+        raise ValueError(f"columns are taken: {sorted(set(names) & set(df.columns))}")
+    kinds = dict(df.dtypes)
+    marks = versions.select(*order.groups, F.col(since).cast(kinds[order.time]).alias(order.time), *(F.col(c).cast("double").alias(f"__v_{c}") for c in names), F.lit(0).alias(IS_ROW))
+    return df.withColumn(IS_ROW, F.lit(1)).unionByName(marks, allowMissingColumns=True), names
+
+
 def with_versions(df: DataFrame, order: Order, versions: DataFrame, since: str) -> DataFrame:
     """Adds to each row the parameters of the latest version of its group whose time `since` is not later than the row's.
 
@@ -711,17 +724,12 @@ def with_versions(df: DataFrame, order: Order, versions: DataFrame, since: str)
     """
     from .ranges import scan_ranges, wanted
 
-    names = [c for c in versions.columns if c not in order.groups and c != since]
-    if set(names) & set(df.columns):
-        raise ValueError(f"columns are taken: {sorted(set(names) & set(df.columns))}")
-    kinds = dict(df.dtypes)
-    marks = versions.select(*order.groups, F.col(since).cast(kinds[order.time]).alias(order.time), *(F.col(c).cast("double").alias(f"__v_{c}") for c in names), F.lit(0).alias("__is_row"))
-    both = df.withColumn("__is_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    both, names = among(df, order, versions, since)
     node = [Node(partial(Carry, len(names)), [f"__v_{c}" for c in names], names)]
-    inner = Order(order.groups, order.time, ("__is_row", *order.ties))
+    inner = Order(order.groups, order.time, (IS_ROW, *order.ties))
     number = wanted(both, order)
     out = scan_ranges(both, inner, node, number) if number else scan(both, inner, node)
-    return out.filter("__is_row = 1").select(*df.columns, *names)
+    return out.filter(f"{IS_ROW} = 1").select(*df.columns, *names)
 
 
 def with_parameters(df: DataFrame, parameters: DataFrame, on: list[str]) -> DataFrame:

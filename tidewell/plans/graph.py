@@ -21,7 +21,7 @@ from ..operators.frames import Frame, Order, Span
 from ..operators.rolling import Rolling
 from ..operators.rolling import rolling as rolling
 from ..operators.ranges import can_carry, reach, scan_ranges, scan_rows, scan_times, wanted
-from ..operators.scan import KERNELS, Arrays, Functor, Kernel, Node, mfm, scan, with_versions
+from ..operators.scan import IS_ROW, KERNELS, Arrays, Functor, Kernel, Node, among, mfm, scan, with_versions
 from ..operators.spans import STATISTICS, Since, SpanLag, SpanStatistic, Windowed
 from ..operators.windows import WID, Windows, as_time, last_of
 
@@ -563,7 +563,8 @@ class Graph:
         shuffle of the groups; all sequential nodes that are ready run in one pass. On a stream every operator that looks
         at other rows is a kernel of one pass, whose state is kept by group between micro-batches; see stream_scan(). `parameters` has a
         row a group. With `live` the table's own columns hold the parameters, and a change takes effect from its row on; with
-        `since`, a time column of `parameters`, these are versions, and the latest one not later than a row holds for it.
+        `since`, a time column of `parameters`, these are versions, and the latest one not later than a row holds for it; on a
+        stream they are a stream as well, and `late` should be given, as two streams come in no common order.
 
         `ranges` says into how many ranges a table's groups are cut (see ranges), 0 for none; by default they are where the table
         is large and a group is too large for a task. Where they are, every operator over other rows is a kernel, and only
@@ -576,7 +577,11 @@ class Graph:
             from ..streaming.runner import stream_scan
         ranges = 0 if stream else wanted(df, order) if ranges is None else ranges
         columns = {p: (inputs or {}).get(p, p) for p in self._ports[self._root]}
-        if parameters is not None and since is not None:
+        given: list[str] = []
+        if parameters is not None and since is not None and stream:
+            df, given = among(df, order, parameters, since)
+            live = True
+        elif parameters is not None and since is not None:
             df, live = with_versions(df, order, parameters, since), True
         elif parameters is not None:
             df = df.join(parameters, list(order.groups), "left")
@@ -591,7 +596,9 @@ class Graph:
         if self._supp is not None:
             for k, p in enumerate(self._ports[self._supp]):
                 at[Edge(self._supp, k)] = f"__p{k}"
-                base.append(F.col(p).cast("double").alias(f"__p{k}"))
+                base.append(F.col(f"__v_{p}" if p in given else p).cast("double").alias(f"__v{k}" if given else f"__p{k}"))
+            if given:
+                base.append(F.col(IS_ROW))
         if any(k.ticks for k in kernels.values()):
             base.append(order.tick(df).cast("double").alias("__tick"))
         df = df.select(*base)
@@ -633,7 +640,7 @@ class Graph:
                 if stream and passed:
                     raise ValueError("a stream has one pass of kernels; a user's function of columns can't stand between two of them")
                 passed = True
-                df = stream_scan(df, order, nodes, late) if stream else _pass(df, order, nodes, kind, ranges)
+                df = stream_scan(df, order, nodes, late, {f"__v{k}": f"__p{k}" for k in range(len(self._ports[self._supp]))} if given else None) if stream else _pass(df, order, nodes, kind, ranges)
             todo = later
         return df.select(*taken, *(F.col(at[e]).alias(name) for e, name in zip(self._outputs, self.names(), strict=True)))
 

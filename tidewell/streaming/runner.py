@@ -21,9 +21,9 @@ from pyspark.sql.types import StructType
 
 from ..operators import aggs
 from ..operators.frames import Order
-from ..operators.scan import Columns, Node, outputs_of, read_columns
+from ..operators.scan import IS_ROW, Columns, Node, outputs_of, read_columns
 from ..plans.graph import Graph, TumbleGraph
-from .stages import TICK, Aggregates, Chain, Functors, Rows, Trigger, Windows
+from .stages import TICK, Aggregates, Chain, Functors, Given, Rows, Trigger, Windows
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -97,6 +97,8 @@ class _Run(StatefulProcessor):
             ok = frame[f"tw_ok{k}"].to_numpy(dtype=bool)
             data[c] = frame[f"tw_x{k}"].to_numpy(dtype=np.float64), None if ok.all() else ok
         out = chain.feed(data)
+        if IS_ROW in data:
+            frame = frame[data[IS_ROW][0] > 0]
         if len(out[TICK][0]):
             yield self._table(key, out, frame)
 
@@ -150,7 +152,7 @@ def _run(df: DataFrame, order: Order, processor: _Run, schema: StructType, late:
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if late is None else "EventTime")
 
 
-def stream_scan(df: DataFrame, order: Order, nodes: list[Node], late: str | None = None) -> DataFrame:
+def stream_scan(df: DataFrame, order: Order, nodes: list[Node], late: str | None = None, given: dict[str, str] | None = None) -> DataFrame:
     """Adds the outputs of kernels to a stream; each group's kernels live in its state between micro-batches.
 
     Without `late` a group's rows of a micro-batch are taken in the order's sequence, and those of a later micro-batch come
@@ -162,11 +164,17 @@ def stream_scan(df: DataFrame, order: Order, nodes: list[Node], late: str | None
     All columns come out as they were, whole numbers exactly; times must lie between 1678 and 2261. Nulls and NaN are as in
     scan(). Where the query stops and starts again, kernels go on from the state in its checkpoint. The session's state
     store is set to RocksDB, which stateful processors need.
+
+    With `given` there are versions of parameters among the rows (see scan.among): columns of theirs, by the names that nodes read
+    their values under.
     """
     made, schema = outputs_of(nodes, df)
-    read = [c for c in read_columns(nodes) if c != TICK]
+    read = [c for c in read_columns(nodes) if c != TICK and c not in (given or {}).values()]
+    if given:
+        read += [IS_ROW, *given]
+        order = Order(order.groups, order.time, (IS_ROW, *order.ties))
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    held = [c for c in df.columns if c != TICK]
+    held = [c for c in df.columns if c != TICK and c not in (given or ())]
     guard = {c: f"tw_v{k}" for k, c in enumerate(held)}
     ready, keys, _ = _ready(df, order, read, late)
     out, flags = StructType(), {}
@@ -179,7 +187,7 @@ def stream_scan(df: DataFrame, order: Order, nodes: list[Node], late: str | None
     carried = [f.name for f in out.fields]
     for k in range(len(made)):
         out = out.add(f"tw_y{k}", "double").add(f"tw_f{k}", "integer")
-    rows = _run(ready, order, _Run(Chain([Rows(nodes)]), read, keys, carried, made, False, list(order.groups), late is not None), out, late)
+    rows = _run(ready, order, _Run(Chain([*([Given(given)] if given else []), Rows(nodes)]), read, keys, carried, made, False, list(order.groups), late is not None), out, late)
 
     def whole(c: str) -> Column:
         v = F.col(guard[c])

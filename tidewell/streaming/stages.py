@@ -8,7 +8,7 @@ import numpy as np
 
 from ..functions.timeunits import as_size
 from ..operators import aggs
-from ..operators.scan import Columns, Cusum, Kernel, Node, RowNumber, Sessions, advance, part_of, start
+from ..operators.scan import IS_ROW, Carry, Columns, Cusum, Kernel, Node, RowNumber, Sessions, advance, part_of, start
 
 TICK = "__tick"
 
@@ -55,6 +55,27 @@ class Rows:
         return None
 
 
+class Given:
+    """Parameters that come among the rows: carried on to the rows behind them under new names, and left out themselves."""
+
+    def __init__(self, names: dict[str, str]):
+        self.names, self.kernel = names, Carry(len(names))
+
+    def feed(self, data: Columns) -> Columns:
+        if not rows_of(data):
+            return data
+        got = self.kernel.step_nulls(*(data[c] for c in self.names))
+        rows = data[IS_ROW][0] > 0
+        out = {c: taken(data, c, rows) for c in data}
+        return out | {new: (np.ma.getdata(y)[rows], ~np.ma.getmaskarray(y)[rows]) for new, y in zip(self.names.values(), got, strict=True)}
+
+    def due(self) -> float | None:
+        return None
+
+    def close(self, now: float) -> Columns | None:
+        return None
+
+
 class Trigger:
     """Numbers the window of each row and tells whether it ends with that row: ("tumbling", size), ("counter", rows),
     ("session", gap) or ("cusum", (threshold, column))."""
@@ -203,7 +224,7 @@ class Windows:
 class Chain:
     """Stages one behind another; a window that time ends is handed on like one that a row ends."""
 
-    def __init__(self, stages: list[Rows | Windows]):
+    def __init__(self, stages: list[Given | Rows | Windows]):
         self.stages = stages
 
     def feed(self, data: Columns, first: int = 0) -> Columns:
