@@ -106,14 +106,17 @@ def _started(nodes: list[Node], data: Columns, given: dict[tuple[int, int], Any]
 
 
 def _summary(batches: Iterator[pa.RecordBatch], nodes: list[Node], groups: list[str], level: list[list[int]], now: int, starts: Starts) -> Iterator[pa.RecordBatch]:
-    """Of a range: its first and last group, what it did to the first group's parts of level `now`, and the last group's state."""
+    """Of a range: its first and last group, what it did to the first group's parts of level `now`, the last group's state, and its
+    number of rows."""
     read = read_columns(nodes)
     here = lambda parts: {at: p for at, p in parts.items() if level[at[0]][at[1]] == now}
     first = last = own = None
+    rows = 0
     kernels: list[Kernel] = []
     changes: dict = {}
     for batch in batches:
         whole = values(batch, read)
+        rows += batch.num_rows
         for a, b in runs(batch, groups) if batch.num_rows else ():
             data, key = part_of(whole, a, b), group_key(batch, groups, a)
             if key != last:
@@ -130,7 +133,7 @@ def _summary(batches: Iterator[pa.RecordBatch], nodes: list[Node], groups: list[
         alone = not changes
         got = {at: p.change() for at, p in parts.items()} if alone else changes["done"]
         state = None if alone else {at: p.get() for at, p in parts.items()}
-        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([cloudpickle.dumps((first, last, got, state))], pa.binary())], ["at", "did"])
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([cloudpickle.dumps((first, last, got, state, rows))], pa.binary())], ["at", "did"])
 
 
 def _retry(batches: Iterator[pa.RecordBatch], nodes: list[Node], groups: list[str], guessed: list[tuple[int, int]], starts: Starts, level: list[list[int]], now: int) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def _prefix(summaries: dict[int, list], starts: Starts, kinds: dict[tuple[int, i
     """Sets the starts of the parts at hand; returns the ranges whose end depends on a start that was not tried."""
     key, state, untried = object(), {}, set()
     for r in sorted(summaries):
-        first, last, changes, ends = summaries[r]
+        first, last, changes, ends, _ = summaries[r]
         begin = state if first == key else {}
         starts.setdefault(r, {}).update({at: begin.get(at) for at in changes})
         if ends is None:
@@ -183,9 +186,9 @@ def scan_ranges(df: DataFrame, order: Order, nodes: list[Node], number: int, rep
     """scan() with groups cut into `number` ranges in all. Every node must be able to carry (can_carry).
 
     Results are those of scan() but for the rounding of sums that are put together. Runs jobs at once, since
-    starts must be known before a plan can use them; they are at most `number` entries of a few numbers each, which go
-    to all tasks. Where a start has to be guessed (cusum), ranges that began elsewhere are run again from there, just
-    until both runs meet. `report` gets ranges, passes, and the ranges and rows that were run again.
+    starts must be known before a plan can use them; they are at most `number` entries of a few numbers each (scan.CARRIED rows at most
+    for a kernel that keeps rows), which go to all tasks. Where a start has to be guessed (cusum), ranges that began elsewhere are run again from there, just
+    until both runs meet. `report` gets rows, ranges, passes, and the ranges and rows that were run again.
     """
     _, schema = outputs_of(nodes, df)
     groups, held = list(order.groups), list(df.columns)
@@ -195,14 +198,14 @@ def scan_ranges(df: DataFrame, order: Order, nodes: list[Node], number: int, rep
     kinds = {(k, i): type(p) for k, node in enumerate(nodes) for i, (_, p) in enumerate(node.start(lambda c: 0.0).parts())}
     need = cut.select(*dict.fromkeys([*groups, *read_columns(nodes), RANGE]))
     starts: Starts = {}
-    again = rerun = summed = unmet = 0
+    again = rerun = summed = unmet = rows_read = 0
     for now in range(1, top + 1):
         if not any(now in own for own in level):
             continue
         given = {r: dict(s) for r, s in starts.items()}
         got = need.mapInArrow(lambda b, now=now, given=given: _summary(b, nodes, groups, level, now, given), "at int, did binary").collect()
         summaries = {r.at: list(pickle.loads(r.did)) for r in got}
-        summed += 1
+        summed, rows_read = summed + 1, sum(s[4] for s in summaries.values())
         guessed = [at for at, kind in kinds.items() if level[at[0]][at[1]] == now and issubclass(kind, Guessed)]
         while untried := _prefix(summaries, starts, kinds):
             given = {r: dict(starts[r]) for r in untried}
@@ -215,7 +218,7 @@ def scan_ranges(df: DataFrame, order: Order, nodes: list[Node], number: int, rep
                     change[state] = (first_end, first_count + true - cold) if met else (end, true)
                 again, rerun, unmet = again + 1, rerun + rows, unmet + (not met)
     if report is not None:
-        report |= {"ranges": number, "passes": summed + 1, "ranges_again": again, "rows_again": rerun, "never_met": unmet}
+        report |= {"rows": rows_read, "ranges": number, "passes": summed + 1, "ranges_again": again, "rows_again": rerun, "never_met": unmet}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def begin(batch: pa.RecordBatch, data: Columns, first: bool) -> list[Kernel]:
@@ -226,9 +229,9 @@ def scan_ranges(df: DataFrame, order: Order, nodes: list[Node], number: int, rep
     return cut.mapInArrow(run, schema)
 
 
-def numbered(df: DataFrame, order: Order, number: int, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Order, number: int, name: str, report: dict | None = None) -> DataFrame:
     """Adds each row's number in its group, from 0, without a window over the group."""
-    return scan_ranges(df, order, [Node(RowNumber, [], [name])], number).withColumn(name, F.col(name).cast("long"))
+    return scan_ranges(df, order, [Node(RowNumber, [], [name])], number, report).withColumn(name, F.col(name).cast("long"))
 
 
 def scan_blocks(df: DataFrame, order: Order, nodes: list[Node], own: Column, last: Column) -> DataFrame:
@@ -249,10 +252,9 @@ def reach(nodes: list[Node], width: dict[str, float]) -> float:
 
 def scan_rows(df: DataFrame, order: Order, nodes: list[Node], back: int, number: int) -> DataFrame:
     """scan() of nodes that look `back` rows back at most: in blocks of row numbers, of four times `back` rows or more."""
-    row = f"__row{next(_fresh)}"
-    df = numbered(df, order, number, row)
-    rows = df.count()
-    size = max(4 * back, -(-rows // number), 1)
+    row, report = f"__row{next(_fresh)}", {}
+    df = numbered(df, order, number, row, report)
+    size = max(4 * back, -(-report["rows"] // number), 1)
     n = F.col(row)
     return scan_blocks(df, order, nodes, F.floor(n / size), F.floor((n + back) / size)).drop(row)
 

@@ -29,6 +29,8 @@ from ..functions.scalar import TINY
 from .carry import Guessed, Last, Part, Smooth, Tail, Total
 from .frames import Order
 
+#: Most rows that a kernel may hold for its state to be carried over a cut.
+CARRIED = 256
 LARGEST = float(np.finfo(np.float64).max)
 
 
@@ -351,7 +353,7 @@ class Kdj(Kernel):
             s.alpha = smoothing(periods[k]) if k in periods else s.alpha
 
     def parts(self):
-        return [(1, self.held), (2, self.k), (3, self.d)]
+        return [(1, self.held), (2, self.k), (3, self.d)] if self.rows <= CARRIED else None
 
     def step(self, h, lo, c):
         hs, ls = self.held.push(h, lo)
