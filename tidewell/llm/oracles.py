@@ -24,7 +24,7 @@ WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, low AS component_id FROM d JOIN c ON c.i = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-#: Bytes covered by 400-byte strings that start twice or more; kept_text leaves out broken halves of characters.
+#: Bytes covered by 400-byte strings that start twice or more; text leaves out broken halves of characters.
 REPEATED_BYTES = r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
      g AS (SELECT doc_id, i, md5(array_slice(t, i, i + 399)) AS h FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 398)) AS i FROM d WHERE octet_length(t) >= 400)),
@@ -37,5 +37,5 @@ WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
      y AS (SELECT doc_id, any_value(t) AS t, any_value(removed) AS removed, any_value(spans) AS spans, string_agg(CASE WHEN b[k] <= e[k] THEN hex(array_slice(t, b[k], e[k])) ELSE '' END, '' ORDER BY k) AS kept
            FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM x) GROUP BY doc_id)
 SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256,
-       decode(unhex(regexp_replace(kept, '((?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9ABCEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[123][89AB].[89AB].[89AB].|F48.[89AB].[89AB].)+)|..', '\1', 'g'))) AS kept_text FROM y
+       decode(unhex(regexp_replace(kept, '((?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9ABCEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[123][89AB].[89AB].[89AB].|F48.[89AB].[89AB].)+)|..', '\1', 'g'))) AS text FROM y
 """

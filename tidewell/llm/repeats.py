@@ -293,7 +293,8 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             prints = _window_prints(batch.column("piece").to_pylist(), length)
             size = [len(p) for p in prints]
             start = np.concatenate([np.arange(k) + f for k, f in zip(size, batch.column("first").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("row")), size)), pa.array(start)], ["h", "row", "start"])
+            rank, row = (pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in ("rank", "row"))
+            yield pa.RecordBatch.from_arrays([rank, pa.array(np.concatenate(prints).view(np.int64)), row, pa.array(start)], ["rank", "h", "row", "start"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,14 +330,14 @@ def _apply(batches: Iterator[pa.RecordBatch], texts: bool, carried: list[str]) -
                 kept.append(rest)
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             more = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *more, *(batch.column(c) for c in carried)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts, *carried])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *more, *(batch.column(c) for c in carried)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * texts, *carried])
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 400, texts: bool = False, carry: bool = False) -> DataFrame:
     """Removes from `docs` (doc_id, text) every byte covered by a `length`-byte string that also starts elsewhere.
 
     Texts are UTF-8 bytes (null: empty); matches never cross texts; strings are judged on the input. Returns one
-    row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `texts` kept_text, from which the
+    row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `texts` the text that is kept, from which the
     broken halves of characters that a cut runs through are left out; with `carry` also the row's other columns as
     _row. Repeated rows are copies of each other, so they lose all strings of that length; texts shorter than `length`
     lose nothing. An empty table gives no rows.
@@ -387,14 +388,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, texts: bool = False, c
     cold = pieces.join(crowds, "rank", "left_anti") if hot else pieces
     differ = cold.repartition(parts, "rank").sortWithinPartitions("rank").mapInArrow(partial(_compare, length=length), marks)
     if hot:
-        windows = pieces.join(crowds, "rank", "left_semi").select("row", "first", "piece").mapInArrow(partial(_windows, length=length), "h long, row long, start long").distinct()
-        twice = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-        differ = differ.unionAll(windows.join(twice, "h").select("row", "start", (F.col("start") + length).alias("end")).mapInArrow(_joined, marks))
+        windows = pieces.join(crowds, "rank", "left_semi").select("rank", "row", "first", "piece").mapInArrow(partial(_windows, length=length), "rank long, h long, row long, start long").distinct()
+        twice = windows.groupBy("rank", "h").agg(F.count("*").alias("n")).filter("n > 1").select("rank", "h")
+        differ = differ.unionAll(windows.join(twice, ["rank", "h"]).select("row", "start", (F.col("start") + length).alias("end")).mapInArrow(_joined, marks))
     differ = keep(differ)
     discard(close, *([pieces] if hot else []))
     release(spark)
     by_row = equal.unionAll(differ).unionAll(alike).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
-    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts)
     carried = ["_row"] if carry else []
     if carry:
         schema = schema.add(source.schema["_row"])
