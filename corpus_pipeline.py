@@ -50,9 +50,9 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without the strings of PASSAGE bytes that occur twice or more; those of which nothing is left are gone."""
     r = repeats.remove_repeats(docs, length=PASSAGE, texts=True, carry=True)
     cut = F.col("n_removed") > 0
-    r = r.filter(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    n = F.when(cut, F.length("kept_text").cast("long"))
-    columns = {"text": F.col("kept_text"), "n_chars": F.coalesce(n, F.col("_row")["n_chars"].cast("long")) if "n_chars" in docs.columns else None}
+    r = r.filter(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n = F.when(cut, F.length("text").cast("long"))
+    columns = {"text": F.col("text"), "n_chars": F.coalesce(n, F.col("_row")["n_chars"].cast("long")) if "n_chars" in docs.columns else None}
     return r.select(*((columns[c] if c in columns else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
