@@ -297,10 +297,10 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     center, own = None, np.empty(0, dtype=np.uint64)
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for c, s, role, members in zip(*(batch.column(n).to_pylist() for n in ("center", "row", "role", "members")), strict=True):
-            x = np.frombuffer(members, dtype=np.uint64)
+        for c, s, role, members in zip(*(batch.column(n).to_pylist() for n in ("center", "row", "role")), batch.column("members"), strict=True):
+            x = np.frombuffer(members.as_buffer(), dtype=np.uint64)  # not copied
             if not role:
-                center, own = c, x
+                center, own = c, x.copy()
             elif c == center:
                 i = np.searchsorted(own, x)
                 if links(len(x), len(own), int((own[np.minimum(i, len(own) - 1)] == x).sum()), percent):
@@ -430,8 +430,8 @@ def _cross(nodes: pa.Table, percent: int, full: bool) -> pa.Table:
             new &= np.triu(np.ones(new.shape, dtype=bool), 1)
         u, v = np.nonzero(new)
         size = px.sum(axis=1, dtype=np.int64), py.sum(axis=1, dtype=np.int64)
-        for at in range(0, len(u), 1 << 14):
-            p, q = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
+        for at in range(0, len(u), 1 << 12):
+            p, q = u[at : at + (1 << 12)], v[at : at + (1 << 12)]
             bound = overlap_bound(px[p], py[q])
             share = size[0][p] + size[1][q]
             may = (100 + percent) * bound >= percent * share
