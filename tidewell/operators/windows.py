@@ -61,8 +61,8 @@ def counter(n: int, ranges: int | None = None) -> Callable[[DataFrame, Order], W
         raise ValueError("n must be above 0")
 
     def assign(df: DataFrame, order: Order) -> Windows:
-        if wanted(df, order) if ranges is None else ranges:
-            df = _numbered(df, order, Node(RowNumber, [], [WID]), ranges)
+        if number := wanted(df, order) if ranges is None else ranges:
+            df = _numbered(df, order, Node(RowNumber, [], [WID]), number)
             df = df.withColumn(WID, F.floor(F.col(WID) / F.lit(n)).cast("long"))
         else:
             df = df.withColumn(WID, F.floor((F.row_number().over(order.window()) - 1) / F.lit(n)).cast("long"))
@@ -80,8 +80,8 @@ def session(gap: int | float | str | Duration, ranges: int | None = None) -> Cal
 
     def assign(df: DataFrame, order: Order) -> Windows:
         df = df.withColumn("__tick", order.tick(df))
-        if wanted(df, order) if ranges is None else ranges:
-            df = _numbered(df, order, Node(Sessions, ["__tick"], [WID], {"gap": float(w)}), ranges).drop("__tick")
+        if number := wanted(df, order) if ranges is None else ranges:
+            df = _numbered(df, order, Node(Sessions, ["__tick"], [WID], {"gap": float(w)}), number).drop("__tick")
         else:
             breaks = F.coalesce(F.col("__tick") - F.lag("__tick").over(order.window()) >= F.lit(w), F.lit(False))
             df = df.withColumn("__break", breaks.cast("long"))
