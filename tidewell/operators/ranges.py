@@ -13,7 +13,6 @@ rows of the block before it. Time spans of large groups are cut at quantiles of
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -25,6 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
 from .carry import Guessed, Part
 from .frames import Order
 from .scan import Columns, Kernel, Node, RowNumber, advance, group_key, outputs_of, part_of, read_columns, replay, runs, scan, start, values
@@ -39,13 +39,8 @@ Starts = dict[int, dict[tuple[int, int], Any]]  #: by range: value of each (node
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster must name it."""
-    spark = df.sparkSession
-    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,4 +1,4 @@
-"""More registered queries: groups cut into ranges, spans sized by a series, nulls in aggregators, overlapping windows,
+"""More registered queries: groups cut into ranges, streams, spans sized by a series, nulls in aggregators, overlapping windows,
 aggregators by parts, versions of parameters, and their SQL."""
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aggs
 from ..operators import windows as W
 from ..operators.ranges import cut_into
-from ..sources.tables import read
+from ..sources.tables import as_streams, drained, read
 from . import catalog
 from . import graph as G
 from .catalog import _EVENT_SQL, BY_TYPE, BY_USER, Query, _sql_round, rounded
@@ -24,6 +24,8 @@ CUT = (
     "graph_macd", "graph_fan_out", "cum_stddev", "cum_corr", "run_ohlc", "run_log_return", "roll_min_100", "roll_sum_rows", "roll_corr_rows", "roll_zscore_rows", "roll_lag_oldest_rows", "roll_lag_nan_rows",
     "roll_sum_time", "roll_max_time", "roll_std_vw_time", "agg_ohlc_counter", "agg_sum_session", "win_cusum_filter", "tumble_counter_ohlc", "tumble_session_ohlc", "tumble_cusum_ohlc", "tumble_cusum_sum", "tumble_nested",
 )
+#: Queries of the catalog that are also run over streams of the tables' files.
+STREAMS = ("scan_ema", "scan_rsi", "graph_macd", "graph_fan_out", "cum_var", "run_ohlc", "roll_avg_time", "tumble_session_ohlc", "tumble_counter_sum", "tumble_cusum_ohlc", "tumble_time_log_return", "pipeline_sums", "pipeline_log_bars")
 KEYS = ["event_type", "event_id"]
 
 
@@ -41,6 +43,16 @@ def _cuts() -> None:
         _add(f"{name}_ranges", query, catalog._oracles[name])
 
 
+def _streams() -> None:
+    for name in STREAMS:
+
+        def query(spark: SparkSession, d: str, name: str = name) -> DataFrame:
+            with as_streams():
+                return drained(catalog._queries[name](spark, d))
+
+        _add(f"stream_{name}", query, catalog._oracles[name])
+
+
 def _sized() -> None:
     def by_rows(spark: SparkSession, d: str) -> DataFrame:
         df = read(spark, d, "events").select(*BY_TYPE.columns, F.col("value").cast("double").alias("x"), (1 + F.col("event_id") % 23).cast("double").alias("size"))
@@ -228,6 +240,7 @@ def _versions() -> None:
 
 
 _cuts()
+_streams()
 _sized()
 _nulls()
 _overlaps()

@@ -271,6 +271,16 @@ def stream_stages(df: DataFrame, order: Order, stages: list[Graph | TumbleGraph]
             trigger.column = columns.get(trigger.column)
             chain.append(Windows(trigger, Functors(nodes, pick), names))
     last = stages[-1]
+    if all(isinstance(s, Graph) for s in stages):  # every row goes through, with the columns that order it
+        nodes = [n for stage in chain for n in stage.nodes]
+        found: dict[str, str] = {}
+        for stage in chain:
+            for n in stage.nodes:
+                n.args = [found.get(a, a) for a in n.args]
+            found = {new: found.get(old, old) for new, old in stage.pick.items()}
+        rows = df.select(*dict.fromkeys(order.columns), *(F.col(c).cast("double").alias(c) for c in read if c not in order.columns), order.tick(df).cast("double").alias(TICK))
+        out = stream_scan(rows, order, nodes, late)
+        return out.select(*dict.fromkeys(order.columns), *(F.col(found[n]).alias(name) for n, name in zip(names, last.names(), strict=True)))
     return _windows(df, order, Chain(chain), read, names, last.names(), late, time_name if isinstance(last, TumbleGraph) else None)
 
 
