@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def modest(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets the session send rows to Python workers in batches of at most `most` bytes, where it allows more: a batch is held several
+    times over, by the executor and by the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name, None) or "").rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """Hands memory that a task has freed back to the machine: a worker serves many tasks, and would hold the most any of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of a task's batches that gives its memory back when it ends."""
+
+    @wraps(f)
+    def run(*args: object, **given: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(*args, **given)
+        finally:
+            give_back()
+
+    return run
+
+
 def few(df: DataFrame) -> DataFrame:
     """The table in at most two partitions a core, or a sixteenth of the shuffle partitions where that is more, so that no more
     files are written than serve the work, and a task's share stays bounded by the partitions' size; nothing is moved."""
@@ -107,6 +138,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
+@lean
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a partition, a bounded block at a time, as stars around the smallest node of each piece."""
     held: list[pa.RecordBatch] = []

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITS_AT_MOST, bit_table, by_group, components, cut, discard, in_table, keep, release, slices
+from .common import BITS_AT_MOST, bit_table, by_group, components, cut, discard, in_table, keep, lean, release, slices
 
 #: Coordinates of a point: shingles are hashed into so many groups and counted.
 GROUPS = 256
@@ -177,6 +177,7 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
+@lean
 def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Size, digest, point and keys of each text's set, and columns `more` as they are; a set that a batch holds again has no keys there."""
     for whole in batches:
@@ -198,6 +199,7 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], width: int, table: object) -> Iterator[pa.RecordBatch]:
     """Sets of the texts whose doc_id may be wanted; a null doc_id always may. Without a table, of all texts."""
     for whole in batches:
@@ -210,6 +212,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, table: object) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array([s.tobytes() for s in sets], pa.binary())], ["s1", "s2", "members"])
 
 
+@lean
 def _count_pairs(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, size and row: all pairs of a key's sets whose sizes allow a link (kind 0: a, b), and of a key
     with more than `most` sets the sets themselves (kind 1: a is the key). What is held of a key is bounded."""
@@ -258,6 +261,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], most: int, percent: int) ->
         yield done(k, r, n)
 
 
+@lean
 def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, salt, size and row: each set with the first one before it that its size allows a link with."""
     key: tuple | None = None
@@ -274,6 +278,7 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             yield _batch(a=np.array(a), b=np.array(b))
 
 
+@lean
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with keys enough in common, whose summed smaller counts leave the similarity possible.
 
@@ -292,6 +297,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(may)) for c in ("a", "b")], ["a", "b"])
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by centre, the centre's own set first: members linked with their centre."""
     center, own = None, np.empty(0, dtype=np.uint64)
@@ -330,6 +336,7 @@ def _owned(i: str, j: str) -> list[Column]:
 _NODE = "key long, top binary, least long, label long, n int, rows binary, comps binary, points binary, before binary"
 
 
+@lean
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and component: leaf nodes of a key's sets as rows, with their box and members."""
     held: list = []
@@ -366,6 +373,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(rows)
 
 
+@lean
 def _join_nodes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From nodes sorted by key: pairs of one key's nodes that its R-tree can't rule out."""
 

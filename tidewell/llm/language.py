@@ -30,21 +30,29 @@ _TAG = re.compile(r"<[^>]*>")
 #: The html tag, anywhere outside comments and elements that hold no markup; each branch takes in what it reads, so a search is linear.
 _HTML = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template)\b.*?(?:</\1\b|\Z)|<html\b(?P<tag>[^>]*)", re.S | re.I)
 _LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,})", re.I)
-#: ISO 639-2 codes (terminological and bibliographic) followed by the ISO 639-1 code of the same language.
-_CODES = """
-aaraa abkab afraf akaak albsq amham araar argan armhy asmas avaav aveae aymay azeaz bakba bambm baqeu belbe benbn
-bihbh bisbi bodbo bosbs brebr bulbg burmy catca cescs chach chece chizh chucu chvcv corkw cosco crecr cymcy czecs
-danda deude divdv dutnl dzodz ellel engen epoeo estet euseu eweee faofo fasfa fijfj finfi frafr frefr fryfy fulff
-geoka gerde glagd glega glggl glvgv greel grngn gujgu hatht hauha hebhe herhz hinhi hmoho hrvhr hunhu hyehy iboig
-iceis idoio iiiii ikuiu ileie inaia indid ipkik islis itait javjv jpnja kalkl kankn kasks katka kaukr kazkk khmkm
-kikki kinrw kirky komkv konkg korko kuakj kurku laolo latla lavlv limli linln litlt ltzlb lublu luglg macmk mahmh
-malml maomi marmr mayms mkdmk mlgmg mltmt molmo monmn mrimi msams myamy nauna navnv nblnr ndend ndong nepne nldnl
-nnonn nobnb norno nyany ocioc ojioj orior ormom ossos panpa perfa plipi polpl porpt pusps quequ rohrm ronro rumro
-runrn rusru sagsg sansa sinsi slksk slosk slvsl smese smosm snasn sndsd somso sotst spaes sqisq srdsc srpsr sswss
-sunsu swasw swesv tahty tamta tattt telte tgktg tgltl thath tibbo tirti tonto tsntn tsots tuktk turtr twitw uigug
-ukruk urdur uzbuz venve vievi volvo welcy wlnwa wolwo xhoxh yidyi yoryo zhaza zhozh zulzu
+#: Terminological codes of ISO 639-2, and the codes of ISO 639-1 of the same languages.
+TERMINOLOGICAL = """
+aar aa, abk ab, afr af, aka ak, amh am, ara ar, arg an, asm as, ava av, ave ae, aym ay, aze az, bak ba, bam bm,
+bel be, ben bn, bih bh, bis bi, bod bo, bos bs, bre br, bul bg, cat ca, ces cs, cha ch, che ce, chu cu, chv cv,
+cor kw, cos co, cre cr, cym cy, dan da, deu de, div dv, dzo dz, ell el, eng en, epo eo, est et, eus eu, ewe ee,
+fao fo, fas fa, fij fj, fin fi, fra fr, fry fy, ful ff, gla gd, gle ga, glg gl, glv gv, grn gn, guj gu, hat ht,
+hau ha, heb he, her hz, hin hi, hmo ho, hrv hr, hun hu, hye hy, ibo ig, ido io, iii ii, iku iu, ile ie, ina ia,
+ind id, ipk ik, isl is, ita it, jav jv, jpn ja, kal kl, kan kn, kas ks, kat ka, kau kr, kaz kk, khm km, kik ki,
+kin rw, kir ky, kom kv, kon kg, kor ko, kua kj, kur ku, lao lo, lat la, lav lv, lim li, lin ln, lit lt, ltz lb,
+lub lu, lug lg, mah mh, mal ml, mar mr, mkd mk, mlg mg, mlt mt, mol mo, mon mn, mri mi, msa ms, mya my, nau na,
+nav nv, nbl nr, nde nd, ndo ng, nep ne, nld nl, nno nn, nob nb, nor no, nya ny, oci oc, oji oj, ori or, orm om,
+oss os, pan pa, pli pi, pol pl, por pt, pus ps, que qu, roh rm, ron ro, run rn, rus ru, sag sg, san sa, sin si,
+slk sk, slv sl, sme se, smo sm, sna sn, snd sd, som so, sot st, spa es, sqi sq, srd sc, srp sr, ssw ss, sun su,
+swa sw, swe sv, tah ty, tam ta, tat tt, tel te, tgk tg, tgl tl, tha th, tir ti, ton to, tsn tn, tso ts, tuk tk,
+tur tr, twi tw, uig ug, ukr uk, urd ur, uzb uz, ven ve, vie vi, vol vo, wln wa, wol wo, xho xh, yid yi, yor yo,
+zha za, zho zh, zul zu
 """
-TWO_LETTERS = {x[:3]: x[3:] for x in _CODES.split()}
+#: Bibliographic codes of ISO 639-2 that differ from the terminological ones.
+BIBLIOGRAPHIC = """
+alb sq, arm hy, baq eu, bur my, chi zh, cze cs, dut nl, fre fr, geo ka, ger de, gre el, ice is, mac mk, mao mi,
+may ms, per fa, rum ro, slo sk, tib bo, wel cy
+"""
+TWO_LETTERS = dict(pair.split() for pair in f"{TERMINOLOGICAL}, {BIBLIOGRAPHIC}".split(","))
 
 
 def page_text(markup: str | None) -> str:

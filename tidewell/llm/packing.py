@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, slices
+from .common import by_group, cut, lean, slices
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -21,6 +21,7 @@ NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 CACHE = 192 << 20
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, cache: int, forget: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path, cache).encode_flat
     for whole in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, few, keep, release, slices, spread
+from .common import discard, few, keep, lean, release, slices, spread
 from .jaccard import mix
 
 #: Suffixes of the cover in a bucket, about, and in what of a bucket is sorted at once.
@@ -90,6 +90,7 @@ def sampled(n: int, gram: int, period: int, residues: tuple[int, ...]) -> np.nda
     return at[at <= n - gram]
 
 
+@lean
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The cover's suffixes by bucket of their starts, packed: 32 more bits of the start's hash, row and place.
 
@@ -131,6 +132,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "high", "packed"])
 
 
+@lean
 def _sort_suffixes(batches: Iterator[pa.RecordBatch], period: int, first: int) -> Iterator[pa.RecordBatch]:
     """From packed suffixes sorted by bucket: those whose start occurs elsewhere, with its rank, one bucket at a time.
 
@@ -184,6 +186,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], period: int, first: int) -
         yield got
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """For each place asked for: all strings of `length` bytes that it stands for, as their first and last start and the hash
     of the stretch that they cover."""
@@ -211,6 +214,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], ["rank", "stretch", "row", "first", "last"])
 
 
+@lean
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches asked for."""
     for whole in batches:
@@ -237,6 +241,7 @@ def _window_prints(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """From pieces sorted by rank: marks of strings that start at two places with one rank, several ranks at a time.
 
@@ -287,6 +292,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield got
 
 
+@lean
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "piece", 1 << 20):
@@ -297,6 +303,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([rank, pa.array(np.concatenate(prints).view(np.int64)), row, pa.array(start)], ["rank", "h", "row", "start"])
 
 
+@lean
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of a task with those that meet put together, so that a text of one letter does not bring a mark for each place."""
     for batch in batches:
@@ -312,6 +319,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(start[at]), pa.array(reach[np.append(at[1:], len(row)) - 1])], ["row", "start", "end"])
 
 
+@lean
 def _apply(batches: Iterator[pa.RecordBatch], texts: bool, carried: list[str]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
