@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import classifier, jaccard, packing, quality_rules, repeats
-from tidewell.llm.common import discard, keep, table
+from tidewell.llm.common import discard, keep, modest, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the smallest doc_id stays, a null doc_id being the largest; of those with the same doc_id the one whose text has
     the smallest hash. Texts without a shingle are linked to none. Rows that share doc_id and text are copies; one stays.
     """
+    modest(spark)
     links = keep(jaccard.link_documents(docs, rows=True))
     row = ["doc_id", "h1", "h2"]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *row)).alias("row")
@@ -48,6 +49,7 @@ PASSAGE = 240
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of PASSAGE bytes that occur twice or more; those of which nothing is left are gone."""
+    modest(spark)
     r = repeats.remove_repeats(docs, length=PASSAGE, texts=True, carry=True)
     cut = F.col("n_removed") > 0
     r = r.filter(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -58,6 +60,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids with their places in sequences of 2048; words are let go of, as workers serve all stages."""
+    modest(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache=64 << 20, forget=True)
 
 
