@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, delete, shared_dir
+from .common import cut, delete, release, shared_dir
 
 END = "\r\n"
 #: Fixed value: the profile of revisits of equal payloads.
@@ -257,6 +257,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     r = read_warc(spark, path).select("page_id", "record_type", "refers_to", "declared_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.concat(F.lit("sha256:"), F.sha2("payload", 256)).alias("found"))
     r = cut(r)
     delete(spark, path)
+    release(spark)  # the shuffles of writing are not needed any more
     asked = r.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "declared_digest")
     first = r.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "found").agg(F.max("payload_bytes").alias("payload_bytes"))
     found = asked.join(first, [asked.refers_to.eqNullSafe(first.refers_to), asked.declared_digest == first.found], "left").drop(first.refers_to)
