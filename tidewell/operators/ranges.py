@@ -30,7 +30,7 @@ from .frames import Order
 from .scan import Columns, Kernel, Node, RowNumber, advance, group_key, outputs_of, part_of, read_columns, replay, runs, scan, start, values
 
 #: Estimated bytes of a table, and rows of its largest group, from which groups are cut.
-LARGE_BYTES, LARGE_ROWS = 64 << 20, 1 << 20
+LARGE_BYTES, LARGE_ROWS = 64 << 20, 1 << 24
 RANGE, BLOCK, OWN = "__range", "__block", "__own"
 _fresh = count()
 _asked: ContextVar[int | None] = ContextVar("ranges", default=None)
