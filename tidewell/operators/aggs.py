@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalar import TINY, ieee_div
+from ..functions.scalar import TINY, ieee_div, ieee_ln
 from .frames import Order
 from .scan import group_key, runs
 
@@ -66,12 +66,12 @@ def _avg_weighted(seq: Column, x: str, w: str) -> list[Column]:
 
 def _simple_return(seq: Column, p: str) -> list[Column]:
     first, last = _ends(p, seq)
-    return [F.when(F.abs(first) < TINY, F.lit(0.0)).otherwise((last - first) / first)]
+    return [ieee_div(last - first, first)]
 
 
 def _log_return(seq: Column, p: str) -> list[Column]:
     first, last = _ends(p, seq)
-    return [F.when(F.abs(first) < TINY, F.lit(0.0)).otherwise(F.ln(last / first))]
+    return [ieee_ln(ieee_div(last, first))]
 
 
 def _order_flow(seq: Column, buy: str, sell: str) -> list[Column]:
@@ -161,7 +161,7 @@ class _Deviation(Mergeable):
 
 
 def _return(ratio: Callable) -> Parts:
-    return Parts(("first", "last"), lambda x: (x[0], x[-1]), lambda a, b: (0.0 if abs(a) < TINY else ratio(a, b),))
+    return Parts(("first", "last"), lambda x: (x[0], x[-1]), lambda a, b: (ratio(a + 0.0, b),))  # a negative zero counts as zero
 
 
 def by_parts(name: str, **options: object) -> Mergeable:

@@ -189,14 +189,12 @@ def _pair(f: Frame, a: Column, b: Column) -> tuple[Column, Column]:
 
 def _ratio_to_first(f: Frame, x: Column) -> list[Column]:
     first, last = _first(f, x), _last(f, x)
-    n = f.keep(F.count(x).over(f.order.running()))
-    return [F.when(n == 0, F.lit(None)).when((n == 1) | (F.abs(first) < S.TINY), F.lit(0.0)).otherwise((last - first) / first)]
+    return [S.ieee_div(last - first, first)]
 
 
 def _log_to_first(f: Frame, x: Column) -> list[Column]:
     first, last = _first(f, x), _last(f, x)
-    n = f.keep(F.count(x).over(f.order.running()))
-    return [F.when(n == 0, F.lit(None)).when(n == 1, F.lit(0.0)).otherwise(S.ieee_ln(last) - S.ieee_ln(first))]
+    return [S.ieee_ln(last) - S.ieee_ln(first)]
 
 
 def _running_ohlc(f: Frame, x: Column) -> list[Column]:
