@@ -44,3 +44,24 @@ def test_returns_by_parts_from_and_to_zero():
     for name, want in (("simple_return", SIMPLE), ("log_return", LOG)):
         agg = aggs.by_parts(name)
         assert all(same(agg.finish(x)[0], want[g]) for g, x in FROM_ZERO.items())
+
+
+def test_parameters_joined_while_rows_stay_where_they_were_read(spark):
+    """Spark sees only in mid-run that the parameters are few, and then leaves the rows of the join where they were read."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+        df = spark.range(0, 4000, 1, 4).selectExpr("id % 3 as g", "id as t", "1.0D as x")
+        own = df.select("g").distinct().selectExpr("g", "1000.0D as rows")
+        g = G.Graph()
+        g.root("in", ["x"])
+        g.add("s", G.rolling("sum", rows=1), "x")
+        g.supp_root("p", ["rows"])
+        g.supp_link("s", rows="rows")
+        rows = g.set_output("s").run(df, ORDER, parameters=own).collect()
+        assert len(rows) == 4000 and all(r.s == min(r.t // 3 + 1, 1000) for r in rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

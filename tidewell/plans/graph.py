@@ -600,7 +600,7 @@ class Graph:
         if any(k.ticks for k in kernels.values()):
             base.append(order.tick(df).cast("double").alias("__tick"))
         df = df.select(*base)
-        todo, passed = [n for n in self.order() if n in need], False
+        todo, passed, ready = [n for n in self.order() if n in need], False, False
         while todo:
             rest: list[str] = []
             for n in todo:  # columns first
@@ -610,7 +610,7 @@ class Graph:
                     continue
                 frame = Frame(df, order, op.span if isinstance(op, Rolling) else Span())
                 made = op.columns(frame, [F.col(at[a]) for a in self._args[n]])
-                df = frame.df
+                df, ready = frame.df, ready or isinstance(op, Rolling | Running)
                 names = {f"__{n}.{k}": c for k, c in enumerate(made)}
                 df = df.withColumns(names).drop(*frame.added)
                 df = df.withColumnsRenamed({x: x.replace(".", "_") for x in names})
@@ -638,7 +638,8 @@ class Graph:
                 if stream and passed:
                     raise ValueError("a stream has one pass of kernels; a user's function of columns can't stand between two of them")
                 passed = True
-                df = stream_scan(df, order, nodes, late, {f"__v{k}": f"__p{k}" for k in range(len(self._ports[self._supp]))} if given else None) if stream else _pass(df, order, nodes, kind, ranges)
+                df = stream_scan(df, order, nodes, late, {f"__v{k}": f"__p{k}" for k in range(len(self._ports[self._supp]))} if given else None) if stream else _pass(df, order, nodes, kind, ranges, ready)
+                ready = False
             todo = later
         return df.select(*taken, *(F.col(at[e]).alias(name) for e, name in zip(self._outputs, self.names(), strict=True)))
 
@@ -652,7 +653,7 @@ def _kind(node: Node) -> str:
     return "carry" if not node.live and can_carry(node) else ""
 
 
-def _pass(df: DataFrame, order: Order, nodes: list[Node], kind: str, ranges: int) -> DataFrame:
+def _pass(df: DataFrame, order: Order, nodes: list[Node], kind: str, ranges: int, ready: bool) -> DataFrame:
     if kind == "carry":
         return scan_ranges(df, order, nodes, ranges)
     if kind == "rows":
@@ -660,7 +661,7 @@ def _pass(df: DataFrame, order: Order, nodes: list[Node], kind: str, ranges: int
         return scan_rows(df, order, nodes, int(back), ranges)
     if kind == "time":
         return scan_times(df, order, nodes, "__tick", reach(nodes, {n.names[0]: n.options["time"] for n in nodes}), ranges)
-    return scan(df, order, nodes)
+    return scan(df, order, nodes, ready)
 
 
 @dataclass
