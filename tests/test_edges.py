@@ -65,3 +65,21 @@ def test_parameters_joined_while_rows_stay_where_they_were_read(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_ranges_are_more_where_a_table_is_larger(spark, monkeypatch):
+    from tidewell.operators import ranges
+
+    for name, value in (("LARGE_BYTES", 0), ("LARGE_ROWS", 1000), ("RANGE_ROWS", 50)):
+        monkeypatch.setattr(ranges, name, value)
+    width = ranges.width_of(spark)
+    for rows in (1000, 5000):
+        df = spark.range(rows).selectExpr("1 as g", "id as t", "1.0D as x", "2.0D as y")
+        number = ranges.wanted(df, ORDER)
+        assert number == max(width, rows // 50)
+        g = G.Graph()
+        g.root("in", ["x", "y"])
+        g.add("rows", G.rolling("avg_weighted", rows=3), "x", "y")
+        got = g.set_output("rows").run(df, ORDER)
+        assert got.count() == rows and got.filter("rows = 1").count() == rows
+    assert ranges.wanted(spark.range(900).selectExpr("1 as g", "id as t"), ORDER) == 0

@@ -30,7 +30,9 @@ from .frames import Order
 from .scan import Columns, Kernel, Node, RowNumber, advance, group_key, outputs_of, part_of, read_columns, replay, runs, scan, start, values
 
 #: Estimated bytes of a table, and rows of its largest group, from which groups are cut.
-LARGE_BYTES, LARGE_ROWS = 64 << 20, 1 << 24
+LARGE_BYTES, LARGE_ROWS = 64 << 20, 1 << 22
+#: Rows of a range, beyond which there are more ranges, so that a task's memory does not grow with the table.
+RANGE_ROWS = 1 << 20
 RANGE, BLOCK, OWN = "__range", "__block", "__own"
 _fresh = count()
 _asked: ContextVar[int | None] = ContextVar("ranges", default=None)
@@ -61,13 +63,15 @@ def cut_into(number: int | None) -> Iterator[None]:
 
 def wanted(df: DataFrame, order: Order) -> int:
     """Number of ranges where a group is too large for one task, else 0: where the table is estimated at LARGE_BYTES, rows are
-    counted by group, and some group has LARGE_ROWS and twice a core's share; or what cut_into() says."""
+    counted by group, and some group has LARGE_ROWS and twice a core's share, or twice LARGE_ROWS; or what cut_into() says."""
     if (asked := _asked.get()) is not None:
         return asked
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < LARGE_BYTES:
         return 0
     most, rows = df.groupBy(*order.groups).count().agg(F.max("count"), F.sum("count")).first()
-    return width_of(df.sparkSession) if most and most >= LARGE_ROWS and most * df.sparkSession.sparkContext.defaultParallelism > 2 * rows else 0
+    number = max(width_of(df.sparkSession), -(-(rows or 0) // RANGE_ROWS))
+    uneven = most and most * df.sparkSession.sparkContext.defaultParallelism > 2 * rows
+    return number if most and (most >= 2 * LARGE_ROWS or most >= LARGE_ROWS and uneven) else 0
 
 
 def can_carry(node: Node) -> bool:
@@ -229,10 +233,10 @@ def numbered(df: DataFrame, order: Order, number: int, name: str, report: dict |
     return scan_ranges(df, order, [Node(RowNumber, [], [name])], number, report).withColumn(name, F.col(name).cast("long"))
 
 
-def scan_blocks(df: DataFrame, order: Order, nodes: list[Node], own: Column, last: Column) -> DataFrame:
+def scan_blocks(df: DataFrame, order: Order, nodes: list[Node], own: Column, last: Column, number: int) -> DataFrame:
     """scan() in blocks of each group: a row belongs to block `own`, and the blocks up to `last` read it too."""
     df = df.withColumn(OWN, own).withColumn(BLOCK, F.explode(F.sequence(F.col(OWN), last)))
-    out = scan(df, Order((*order.groups, BLOCK), order.time, order.ties), nodes)
+    out = scan(df, Order((*order.groups, BLOCK), order.time, order.ties), nodes, number=4 * number)  # few tasks get several blocks
     return out.filter(F.col(BLOCK) == F.col(OWN)).drop(BLOCK, OWN)
 
 
@@ -251,7 +255,7 @@ def scan_rows(df: DataFrame, order: Order, nodes: list[Node], back: int, number:
     df = numbered(df, order, number, row, report)
     size = max(4 * back, -(-report["rows"] // number), 1)
     n = F.col(row)
-    return scan_blocks(df, order, nodes, F.floor(n / size), F.floor((n + back) / size)).drop(row)
+    return scan_blocks(df, order, nodes, F.floor(n / size), F.floor((n + back) / size), number).drop(row)
 
 
 def scan_times(df: DataFrame, order: Order, nodes: list[Node], tick: str, back: float, number: int) -> DataFrame:
@@ -279,4 +283,4 @@ def scan_times(df: DataFrame, order: Order, nodes: list[Node], tick: str, back:
     df = df.alias("d").join(F.broadcast(cuts).alias("c"), same("d", "c"), "left").select("d.*", F.coalesce("__cuts", F.array().cast("array<double>")).alias("__cuts"))
     own = F.size(F.filter("__cuts", lambda c: c <= F.col(tick)))
     last = F.size(F.filter("__cuts", lambda c: c < F.col(tick) + back))
-    return scan_blocks(df, order, nodes, own, F.greatest(last, F.col(OWN))).drop("__cuts")
+    return scan_blocks(df, order, nodes, own, F.greatest(last, F.col(OWN)), number).drop("__cuts")

@@ -689,18 +689,19 @@ def replay(batches: Iterator[pa.RecordBatch], nodes: list[Node], groups: list[st
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *(pa.array(out[c], mask=None if fine[c].all() else ~fine[c]) for c in made)], [*held, *made])
 
 
-def dealt(df: DataFrame, groups: list[str]) -> DataFrame:
+def dealt(df: DataFrame, groups: list[str], number: int | None = None) -> DataFrame:
     """Rows dealt by group. Not by the columns themselves: over a join on these Spark takes the rows for dealt already, and while the
     query runs may yet turn that join into one that leaves them where they were read, or split its larger partitions."""
-    return df.repartition(F.xxhash64(*groups))
+    by = F.xxhash64(*groups)
+    return df.repartition(number, by) if number else df.repartition(by)
 
 
-def scan(df: DataFrame, order: Order, nodes: list[Node], ready: bool = False) -> DataFrame:
+def scan(df: DataFrame, order: Order, nodes: list[Node], ready: bool = False, number: int | None = None) -> DataFrame:
     """Adds the outputs of all nodes, in one pass over each group's rows in order. Nodes may read earlier nodes' outputs.
 
     An empty table stays empty; a null group is a group. A node must not name an output like a column of the table or like
     another output. A group is one task's work; see ranges for groups that are cut. With `ready` the rows come from windows over the
-    groups, whose shuffle will do.
+    groups, whose shuffle will do; else `number` is that of partitions.
     """
     _, schema = outputs_of(nodes, df)
     groups, held = list(order.groups), list(df.columns)
@@ -708,7 +709,7 @@ def scan(df: DataFrame, order: Order, nodes: list[Node], ready: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return replay(batches, nodes, groups, held, lambda batch, data, first: start(nodes, data))
 
-    rows = df.repartition(*groups) if ready else dealt(df, groups)
+    rows = df.repartition(*groups) if ready else dealt(df, groups, number)
     return rows.sortWithinPartitions(*groups, *order.keys).mapInArrow(run, schema)
 
 
