@@ -1,5 +1,8 @@
 """Building and checking graphs."""
 
+import itertools
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,21 @@ def test_users_operator_over_a_span(spark):
     df = spark.createDataFrame([(1, t, float(x)) for t, x in enumerate([5, 1, 4, 4, 9])], "k int, t int, x double")
     got = g.set_output("r", "d").run(df, Order("k", "t")).orderBy("t").collect()
     assert [(r.r, r.d) for r in got] == [(0, 0), (4, 4), (4, 3), (3, 0), (5, 5)]
+
+
+@pytest.mark.parametrize("ranges", [0, 2])
+def test_sums_of_all_rows_lose_nothing_by_rounding(spark, ranges):
+    inf, nan = float("inf"), float("nan")
+    x = {0: [1e16, 1.0, None, 1.0, -1e16], 1: [2.0, inf, 5.0, 1.0, 1.0], 2: [1.0, inf, -inf, 3.0, 3.0], 3: [None, 1e-3, nan, 1.0, 1.0], 4: [0.1] * 3000}
+    df = spark.createDataFrame([(g, float(k), k, v, 0.0) for g, xs in x.items() for k, v in enumerate(xs)], "grp int, ts double, n int, x double, y double")
+    g = G.Graph()
+    g.root("in", ["x", "y"])
+    for name in ("sum", "avg", "order_flow"):
+        g.add(name, G.running(name), *["x", "y"][: G.running(name).inputs])
+    g.add("all", G.rolling("sum"), "x")
+    out = {k: [(r.sum, r.avg, r.order_flow, r.all) for r in rows] for k, rows in itertools.groupby(g.set_output("sum", "avg", "order_flow", "all").run(df, Order("grp", "ts", "n"), ranges=ranges).orderBy("grp", "n").collect(), lambda r: r.grp)}
+    assert out[0] == [(s, s / n, s, s) for s, n in ((1e16, 1), (1e16, 2), (1e16, 2), (1e16 + 2, 3), (2.0, 4))]
+    assert [r[0] for r in out[1]] == [2.0, inf, inf, inf, inf] and all(r[0] == r[2] == r[3] for r in out[1])
+    assert [r[2] for r in out[2]][:2] == [1.0, inf] and all(math.isnan(s) for r in out[2][2:] for s in r)
+    assert out[3][:2] == [(None,) * 4, (1e-3,) * 4] and all(math.isnan(s) for r in out[3][2:] for s in r)
+    assert [r[0] for r in out[4]] == [r[2] for r in out[4]] == [r[3] for r in out[4]] == [math.fsum([0.1] * n) for n in range(1, 3001)]

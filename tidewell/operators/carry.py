@@ -15,6 +15,14 @@ import numpy as np
 import pandas as pd
 
 
+def lost(a: Any, b: Any, total: Any) -> Any:
+    """What rounding took from total = a + b; 0 where that is not finite."""
+    with np.errstate(all="ignore"):
+        added = total - a
+        rest = (a - (total - added)) + (b - added)
+        return np.where(np.isfinite(rest), rest, 0.0)
+
+
 class Part:
     """A piece of state under `value`."""
 
@@ -124,6 +132,28 @@ class Total(Part):
         return change if start is None else start + change
 
 
+class Summed(Part):
+    """A sum from 0 of many numbers, as two: added one by one, and what rounding took from it."""
+
+    def __init__(self) -> None:
+        self.value = 0.0, 0.0
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The sum at each of the next numbers."""
+        with np.errstate(all="ignore"):
+            total = np.cumsum(np.concatenate([[self.value[0]], x]))
+            rest = np.cumsum(np.concatenate([[self.value[1]], lost(total[:-1], x, total[1:])]))
+            self.value = float(total[-1]), float(rest[-1])
+            return (total + rest)[1:]
+
+    @staticmethod
+    def after(start, change):
+        if start is None:
+            return change
+        total = start[0] + change[0]
+        return total, start[1] + change[1] + float(lost(start[0], change[0], total))
+
+
 class Extreme(Part):
     """The largest or least value so far, by a function of numpy that takes two."""
 

@@ -96,8 +96,16 @@ class Frame:
         return self.order.window().rowsBetween(-(self.span.rows - 1), 0) if self.span.kind == "rows" else self.order.running()
 
     def total(self, x: Column) -> Column:
-        """Sum of x over the span."""
-        return self.keep(F.sum(x).over(self._rolling()))
+        """Sum of x over the span. A sum of all rows so far is given back what rounding took from it at each row, so that its
+        error does not grow with the rows."""
+        total = self.keep(F.sum(x).over(self._rolling()))
+        if self.span.kind == "rows":
+            return total
+        before = self.keep(F.coalesce(F.sum(x).over(self.order.window().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        added = total - before
+        lost = (before - (total - added)) + (F.coalesce(x, F.lit(0.0)) - added)
+        lost = self.keep(F.when(F.abs(lost) < float("inf"), lost).otherwise(0.0))
+        return self.keep(total + F.sum(lost).over(self._rolling()))
 
     def count(self, x: Column) -> Column:
         return self.keep(F.count(x).over(self._rolling()).cast("double"))
@@ -109,7 +117,10 @@ class Frame:
         return self.keep(x - first), first
 
     def mean(self, x: Column) -> Column:
-        return self.keep(F.avg(x).over(self._rolling()))
+        if self.span.kind == "rows":
+            return self.keep(F.avg(x).over(self._rolling()))
+        n = self.count(x)
+        return self.keep(F.when(n > 0, self.total(x) / n))
 
     def covariance(self, x: Column, y: Column, unbiased: bool = True) -> Column:
         """Covariance (variance if y is x); 0 while the span has one row, null while it has none."""
