@@ -648,6 +648,19 @@ def test_repeats(spark, monkeypatch, length, pieces, crowd, block):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_hold_little_on_disk(spark, monkeypatch):
+    """Suffixes are not written down beside their shuffle, and the texts' shuffle is let go of before pieces are compared."""
+    log = []
+    keep, release = repeats.keep, repeats.release
+    monkeypatch.setattr(repeats, "keep", lambda df: log.append(df.columns) or keep(df))
+    monkeypatch.setattr(repeats, "release", lambda s: log.append("release") or release(s))
+    monkeypatch.setattr(repeats, "PIECES", 3)
+    assert repeats.remove_repeats(frame(spark, corpus()), length=60).filter("n_removed > 0").count() > 0
+    assert not any("packed" in x for x in log)
+    at = [k for k, x in enumerate(log) if "piece" in x]
+    assert len(at) == 1 and log[at[0] + 1] == "release"
+
+
 def test_repeats_within_periodic_texts(spark):
     """Places of one text that are near each other have one start; a string met twice at one place is no repeat."""
     rng = random.Random(19)
