@@ -38,6 +38,15 @@ def test_running_returns_from_and_to_zero(spark, ranges):
     assert len(rows) == 4 and all(same(r.s, SIMPLE[r.g]) and same(r.l, LOG[r.g]) for r in rows)
 
 
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_cusum_bars_end_where_a_log_return_is_nan(spark, ranges):
+    values = {"zeros": (5.0, 5.5, 0.0, 0.0, 0.0, 5.0, 6.0, 0.0), "first": (0.0, 0.0, 3.0, 3.1), "below": (5.0, -1.0, 5.0, 5.1)}
+    ends = {"zeros": [2, 3, 4, 5, 7], "first": [1, 2, 3], "below": [1, 2, 3]}  # the last one of "first" and "below" stays open
+    df = spark.createDataFrame([(g, t, v) for g, x in values.items() for t, v in enumerate(x)], "g string, t long, x double")
+    rows = G.AggGraph().input("x").window(W.cusum(2.0, "x", ranges=ranges)).add("count").run(df, ORDER).collect()
+    assert {g: sorted(r.window_ts for r in rows if r.g == g) for g in values} == ends
+
+
 def test_returns_by_parts_from_and_to_zero():
     from tidewell.operators import aggs
 

@@ -399,7 +399,8 @@ class DynwinAvg(Kernel):
 
 class Cusum(Kernel):
     """Number of the bar that each row belongs to: a bar ends with the row whose accumulated log-returns leave
-    (-threshold, threshold) on one side; and whether the row ends a bar. Input x > 0."""
+    (-threshold, threshold) on one side; and whether the row ends a bar. Input x > 0; from and to 0 log-returns are infinite,
+    and one that is NaN (from 0 to 0, or beside x < 0) lies above any threshold, as NaN is SQL's largest number."""
 
     outputs = ("bar", "fired")
 
@@ -421,8 +422,8 @@ class Cusum(Kernel):
         last = self.last.value
         for v in logs:
             g, last = 0.0 if last is None else v - last, v
-            up, down = max(0.0, up + g), min(0.0, down + g)
-            on = up > self.threshold or down < -self.threshold
+            up, down = max(up + g, 0.0), min(0.0, down + g)  # in this order a NaN stays in the first and not in the second
+            on = up > self.threshold or up != up or down < -self.threshold
             bars.append(bar)
             fired.append(float(on))
             if on:
